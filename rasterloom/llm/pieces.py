@@ -1,0 +1,60 @@
+"""Cutting a text where a byte-level BPE's pre-tokenizer would cut it anyway.
+
+The pre-tokenizer's pattern never matches across a single space whose two
+neighbours are no white space, and it always begins a match at that space.  So a
+text is the chain of its *pieces* (each but the first begins with that space),
+and its ids are the pieces' ids in turn.  Few pieces are new, so their packed
+ids are remembered in a dictionary of bounded size.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterable
+
+#: a space with white space, or a text's end, beside it (Python's white space includes all of the pre-tokenizer's)
+_ODD = re.compile(r"\s |\A | \s| \Z")
+_SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: pieces held at most; longer ones than LONGEST are never held
+MOST, LONGEST = 700_000, 64
+
+
+def split(text: str) -> list[str]:
+    """Pieces; a space belongs before every piece but the first."""
+    return _SAFE.split(text) if _ODD.search(text) else text.split(" ")
+
+
+class Memo:
+    """Packed ids of pieces.  ``encode`` maps a list of strings to their packed ids."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
+        self.encode = encode
+        self.inner: dict[str, bytes] = {}
+
+    def packed(self, texts: Iterable[str]) -> list[bytes]:
+        """Packed ids of each text."""
+        if len(self.inner) > MOST:
+            self.inner.clear()
+        inner, find = self.inner, self.inner.get
+        cut = [split(t) for t in texts]
+        firsts = [pieces[0] for pieces in cut]
+        values = []
+        holes: dict[str, list[tuple[int, int]]] = {}
+        for k, pieces in enumerate(cut):
+            del pieces[0]
+            got = list(map(find, pieces))
+            values.append(got)
+            if None in got:
+                for i, v in enumerate(got):
+                    if v is None:
+                        p = pieces[i]
+                        if p in holes:
+                            holes[p].append((k, i))
+                        else:
+                            holes[p] = [(k, i)]
+        for (p, at), ids in zip(holes.items(), self.encode([" " + p for p in holes]), strict=True):
+            if len(p) <= LONGEST:
+                inner[p] = ids
+            for k, i in at:
+                values[k][i] = ids
+        return [first + b"".join(got) for first, got in zip(self.encode(firsts), values, strict=True)]
