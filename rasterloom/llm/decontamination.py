@@ -34,7 +34,7 @@ from . import bytetext as B
 from .scratch import written
 
 INDEX_SCHEMA = "segment long, term long, n int, width int, postings binary, docs array<struct<doc:int,doc_id:long,base:int,n_words:int>>"
-SEGMENT_BYTES = 24 << 20
+SEGMENT_BYTES = 16 << 20
 BLOCK_WORDS = 1 << 19
 WINDOW = 10
 

@@ -12,8 +12,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-#: a space with white space, or a text's end, beside it (Python's white space includes all of the pre-tokenizer's)
-_ODD = re.compile(r"\s |\A | \s| \Z")
+#: ASCII white space of Python's, which includes all of the pre-tokenizer's, and the rest of it
+_ASCII = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_OTHER = "".join(c for c in map(chr, range(128, 0x3001)) if c.isspace())
+_PAIRS = [" " + c for c in _ASCII] + [c + " " for c in _ASCII[1:]]
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: pieces held at most; longer ones than LONGEST are never held
 MOST, LONGEST = 700_000, 64
@@ -21,7 +23,9 @@ MOST, LONGEST = 700_000, 64
 
 def split(text: str) -> list[str]:
     """Pieces; a space belongs before every piece but the first."""
-    return _SAFE.split(text) if _ODD.search(text) else text.split(" ")
+    if text[:1] == " " or text[-1:] == " " or any(map(text.__contains__, _PAIRS)) or not text.isascii() and any(map(text.__contains__, _OTHER)):
+        return _SAFE.split(text)
+    return text.split(" ")
 
 
 class Memo:
@@ -44,14 +48,14 @@ class Memo:
             del pieces[0]
             got = list(map(find, pieces))
             values.append(got)
-            if None in got:
-                for i, v in enumerate(got):
-                    if v is None:
-                        p = pieces[i]
-                        if p in holes:
-                            holes[p].append((k, i))
-                        else:
-                            holes[p] = [(k, i)]
+            i = -1
+            for _ in range(got.count(None)):
+                i = got.index(None, i + 1)
+                p = pieces[i]
+                if p in holes:
+                    holes[p].append((k, i))
+                else:
+                    holes[p] = [(k, i)]
         for (p, at), ids in zip(holes.items(), self.encode([" " + p for p in holes]), strict=True):
             if len(p) <= LONGEST:
                 inner[p] = ids
