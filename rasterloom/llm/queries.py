@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, near_duplicates, token_files
+from . import bpe, decontamination, near_duplicates, repeated_bytes, sentence_spans, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 BYTE_BPE = "byte_bpe_50k.json"
@@ -30,12 +30,20 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes.remove_repeats(table(spark, sf_dir, "documents"), length=100)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "text")
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_decontamination, op2_token_files, op4_near_duplicates, op9_bpe)
+    found = (op1_decontamination, op2_token_files, op4_near_duplicates, op6_repeated_bytes, op9_bpe, op10_sentence_spans)
     return {f.__name__: f for f in found}
 
 
