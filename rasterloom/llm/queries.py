@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontamination, near_duplicates, repeated_bytes, sentence_spans, token_files
+from . import bpe, decontamination, near_duplicates, quality, repeated_bytes, sentence_spans, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 BYTE_BPE = "byte_bpe_50k.json"
@@ -26,6 +27,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(manifest).drop("found")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
@@ -34,6 +39,13 @@ def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes.remove_repeats(table(spark, sf_dir, "documents"), length=100)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = quality.labelled(docs, table(spark, sf_dir, "labels"))
+    model = quality.fit(known.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))  # a quarter stays unseen, to measure on
+    return quality.quality(docs, model).drop("probability")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -43,7 +55,7 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_decontamination, op2_token_files, op4_near_duplicates, op6_repeated_bytes, op9_bpe, op10_sentence_spans)
+    found = (op1_decontamination, op2_token_files, op3_toxicity, op4_near_duplicates, op6_repeated_bytes, op7_quality, op9_bpe, op10_sentence_spans)
     return {f.__name__: f for f in found}
 
 
