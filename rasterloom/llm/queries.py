@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, near_duplicates, quality, repeated_bytes, sentence_spans, token_files, toxicity
+from . import bpe, decontamination, near_duplicates, quality, quotation, repeated_bytes, sentence_spans, site_style, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 BYTE_BPE = "byte_bpe_50k.json"
@@ -35,6 +35,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op5_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes.remove_repeats(table(spark, sf_dir, "documents"), length=100)
 
@@ -46,6 +50,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs, model).drop("probability")
 
 
+def op8_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.reply_ordered(table(spark, sf_dir, "conversations"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -55,7 +63,7 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_decontamination, op2_token_files, op3_toxicity, op4_near_duplicates, op6_repeated_bytes, op7_quality, op9_bpe, op10_sentence_spans)
+    found = (op1_decontamination, op2_token_files, op3_toxicity, op4_near_duplicates, op5_site_style, op6_repeated_bytes, op7_quality, op8_quotation, op9_bpe, op10_sentence_spans)
     return {f.__name__: f for f in found}
 
 
