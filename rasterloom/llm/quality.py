@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as B
-from .toxicity import _platt
+from .toxicity import _platt, sampled
 
-MOST_TRAIN = 3_000
+MOST_TRAIN = 2_500
 MOST_BYTES = 8_192
 BITS = 18
 THRESHOLD = 0.35
@@ -172,11 +172,10 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 6,
     return model
 
 
-def fit(labelled: DataFrame, most: int = MOST_TRAIN) -> Model | None:
-    """A calibrated model of ``labelled(doc_id, text, quality)``; None without both labels."""
-    rows = labelled.where("quality in (0, 1) and text is not null").select("doc_id", F.substring("text", 1, MOST_BYTES).alias("text"), F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id").alias("h"))
-    sample = [r for label in (0, 1) for r in rows.where(F.col("quality") == label).orderBy("h", "doc_id", "text").limit(most).collect()]
-    y = np.array([r.quality for r in sample], np.float64)
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAIN) -> Model | None:
+    """A calibrated model of the labelled rows whose id's text has a crc32 other than 2 modulo 4; None without both labels."""
+    sample, count = sampled(docs, labels, "quality", most, MOST_BYTES)
+    y = np.array([r.label for r in sample], np.float64)
     if len(set(y.tolist())) < 2:
         return None
     held = np.array([(r.h & 0xFFFF) % 5 == 0 for r in sample])
@@ -186,7 +185,6 @@ def fit(labelled: DataFrame, most: int = MOST_TRAIN) -> Model | None:
     check = held if held.any() else ~held
     z = model.logits(Measured(pa.array([r.text for r, c in zip(sample, check, strict=True) if c], pa.string())))
     model.scale, model.shift = _platt(z, y[check])
-    count = {r.quality: r["count"] for r in rows.groupBy("quality").count().collect()}
     model.shift += float(np.log((count[1] / (y == 1).sum()) / (count[0] / (y == 0).sum())))  # the labels' shares in all rows
     return model
 
@@ -210,6 +208,3 @@ def quality(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
-
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id")
