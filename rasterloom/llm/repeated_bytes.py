@@ -7,13 +7,13 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier i
    hash (the last such place).  Equal windows name the same place in them, so they meet
    under one anchor hash.  Consecutive windows with one anchor form a context, about 39
    windows long.  Contexts whose anchor hash is alone in the corpus leave here.
-2. *Contexts.*  The others' bytes are cut from the texts, and equal contexts are
-   pre-aggregated to their first place (all later places repeat it, whatever else they repeat).
+2. *Contexts.*  Equal contexts (by 128 bits of hashes) are pre-aggregated to their first place,
+   whose bytes are cut from the texts; all later places repeat it.
 3. *Shards.*  Distinct contexts are dealt by anchor hash to shards of bounded size.  Each
    shard sorts its suffixes (induced sorting, see :mod:`.suffix_array`), computes permuted
    common prefixes, and reads off runs of windows that share ``LENGTH`` bytes; all but a run's
-   first place go.  An anchor with very many distinct contexts is split into single windows,
-   dealt by their content instead.
+   first place go.  An anchor with more than ``SPLIT_OVER`` distinct contexts would make a
+   shard large, so its windows are dealt by their own hashes instead: same groups, same firsts.
 4. Ranges meet by document, and the remaining bytes are hashed.
 
 Defined results: null and empty texts have no bytes.  Rows without an id come after all
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as B
-from .scratch import written
+from .scratch import discard, written
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 24
@@ -44,12 +44,13 @@ LAST = 2**63 - 1
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(row, start, stop, key) of each context; start and stop are bytes of ``data``."""
+    """(row, start, stop, key, hash) of each context; start and stop are bytes of ``data``."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none
-    key = B.span_hash(B.prefix_hash(data), np.arange(n - gram + 1), np.arange(gram, n + 1))
+        return none, none, none, none, none
+    sums = B.prefix_hash(data)
+    key = B.span_hash(sums, np.arange(n - gram + 1), np.arange(gram, n + 1))
     bits = max(24, int(n).bit_length())
     low = np.uint64((1 << bits) - 1)
     least = (key & ~low) | (low - np.arange(len(key), dtype=np.uint64))  # ties: the last place
@@ -66,10 +67,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     ok = start + length <= offsets[row + 1]
     start, row, place = start[ok], row[ok], place[ok]
     if not len(start):
-        return none, none, none, none
+        return none, none, none, none, none
     first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (row[1:] != row[:-1])])
     last = np.r_[first[1:] - 1, len(start) - 1]
-    return row[first], start[first], start[last] + length, key[place[first]].view(np.int64)
+    begin, end = start[first], start[last] + length
+    return row[first], begin, end, key[place[first]].view(np.int64), B.span_hash(sums, begin, end).view(np.int64)
+
+
+WIDTH_BITS = 16  # of a place: its start, shifted, and its size
 
 
 def _anchor_rows(length: int, gram: int):
@@ -77,29 +82,48 @@ def _anchor_rows(length: int, gram: int):
         for whole in batches:
             for batch in B.slices(whole, "text"):
                 data, offsets = B.text_buffer(batch.column("text"))
-                row, start, stop, key = anchors(data, offsets, length, gram)
-                doc = np.asarray(batch.column("doc").to_numpy(zero_copy_only=False))
-                sum_ = np.asarray(batch.column("sum").to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc[row], pa.int64()), pa.array(sum_[row], pa.int64()), pa.array((start - offsets[row]).astype(np.int32)), pa.array((stop - offsets[row]).astype(np.int32))], ["key", "doc", "sum", "start", "stop"])
+                row, start, stop, key, hash_ = anchors(data, offsets, length, gram)
+                doc, sum_ = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("doc", "sum"))
+                place = ((start - offsets[row]) << WIDTH_BITS) | (stop - start)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, hash_, doc[row], sum_[row], place)], ["key", "hash", "doc", "sum", "place"])
 
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["key", "context", "doc", "sum", "start"]
-    for whole in batches:
-        for batch in B.slices(whole, "text"):
-            data, offsets = B.text_buffer(batch.column("text"))
-            places = batch.column("places")
-            count = pc.list_value_length(places).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = places.flatten()
-            row = np.repeat(np.arange(batch.num_rows), count)
-            start, stop = (np.asarray(flat.field(c).to_numpy(zero_copy_only=False)).astype(np.int64) for c in ("start", "stop"))
-            size = stop - start
-            at = np.r_[0, np.cumsum(size)]
-            take = np.repeat(offsets[row] + start - at[:-1], size) + np.arange(at[-1])
-            doc, sum_ = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False))[row] for c in ("doc", "sum"))
-            yield pa.RecordBatch.from_arrays([flat.field("key"), B.binary_array(at, data[take]), pa.array(doc), pa.array(sum_), pa.array(start.astype(np.int32))], names)
+def _cut(length: int):
+    """Bytes of each context; of a wide anchor's contexts the two hashes of each window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["wide", "key", "hash", "context", "doc", "sum", "start"]
+        for whole in batches:
+            for batch in B.slices(whole, "text", 1 << 20):
+                data, offsets = B.text_buffer(batch.column("text"))
+                places = batch.column("places")
+                count = pc.list_value_length(places).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = places.flatten()
+                row = np.repeat(np.arange(batch.num_rows), count)
+                place, key = (np.asarray(flat.field(c).to_numpy(zero_copy_only=False)) for c in ("place", "key"))
+                wide = np.asarray(flat.field("wide").to_numpy(zero_copy_only=False)).astype(bool)
+                doc, sum_ = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("doc", "sum"))
+                start, size = place >> WIDTH_BITS, place & ((1 << WIDTH_BITS) - 1)
+
+                own = np.flatnonzero(~wide)
+                at = np.r_[0, np.cumsum(size[own])]
+                take = np.repeat(offsets[row[own]] + start[own] - at[:-1], size[own]) + np.arange(at[-1])
+                r = row[own]
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(own), bool)), pa.array(key[own]), pa.array(np.zeros(len(own), np.int64)), B.binary_array(at, data[take]), pa.array(doc[r]), pa.array(sum_[r]), pa.array(start[own].astype(np.int32))], names)
+                own = np.flatnonzero(wide)
+                if len(own):
+                    n = size[own] - length + 1
+                    i = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    r, lo = np.repeat(row[own], n), np.repeat(start[own], n) + i
+                    begin = offsets[r] + lo
+                    sums = B.prefix_hash(data)
+                    one = B.span_hash(sums, begin, begin + length)
+                    two = B.mix(B.span_hash(sums, begin, begin + length // 2) * np.uint64(3) + B.span_hash(sums, begin + length // 2, begin + length))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(r), bool)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.nulls(len(r), pa.binary()), pa.array(doc[r]), pa.array(sum_[r]), pa.array(lo.astype(np.int32))], names)
+
+    return run
 
 
 def _shard(length: int):
@@ -147,32 +171,33 @@ RANGES = "doc long, sum long, start int, stop int"
 
 def repeated_ranges(text: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, sum, start, stop): byte ranges of ``text(doc, sum, text)`` to remove; they may overlap."""
-    rows = text.mapInArrow(_anchor_rows(length, gram), "key long, doc long, sum long, start int, stop int")
+    rows = text.mapInArrow(_anchor_rows(length, gram), "key long, hash long, doc long, sum long, place long")
     many = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    places = rows.join(many, "key").groupBy("doc", "sum").agg(F.collect_set(F.struct("key", "start", "stop")).alias("places"))
-    cut = text.where(F.octet_length("text") >= length).join(places, ["doc", "sum"]).select("doc", "sum", "text", "places").mapInArrow(_cut, "key long, context binary, doc long, sum long, start int")
-    cut = written(cut, "contexts")
-    firsts = written(cut.groupBy("key", "context").agg(F.min(F.struct("doc", "start", "sum")).alias("first"), F.max(F.struct("doc", "start", "sum")).alias("last")), "distinct-contexts")
+    places = written(rows.join(many, "key"), "places")
+    at = F.struct("doc", "place", "sum")
+    firsts = written(places.groupBy("key", "hash").agg(F.min(at).alias("first"), F.max(at).alias("last")).select("key", "hash", "first.*", (F.col("first") != F.col("last")).alias("again")), "contexts")
 
     # later places of a context repeat all of it
-    again = firsts.where("first != last").select("key", "context", F.col("first.doc").alias("d"), F.col("first.start").alias("s"))
-    later = cut.join(again, ["key", "context"]).where("doc != d or start != s").select("doc", "sum", "start", (F.col("start") + F.octet_length("context").cast("int")).alias("stop"))
-
-    shards = max(1, -(-(firsts.agg(F.sum(F.octet_length("context") + 1)).first()[0] or 0) // SHARD_BYTES))
-    # an anchor with one distinct context still goes through its shard: a context can repeat itself
-    wide = firsts.groupBy("key").agg(F.count("*").alias("n")).where(f"n > {SPLIT_OVER}").select("key")
-    flat = firsts.select("key", "context", F.col("first.doc").alias("doc"), F.col("first.sum").alias("sum"), F.col("first.start").alias("start"))
-    if wide.limit(1).count():
-        windows = flat.join(wide, "key", "left_semi").select("doc", "sum", "start", "context", F.explode(F.sequence(F.lit(0), F.octet_length("context") - length)).alias("i"))
-        windows = windows.select(F.substring("context", F.col("i") + 1, F.lit(length)).alias("context"), "doc", "sum", (F.col("start") + F.col("i")).cast("int").alias("start"))
-        # equal windows pre-aggregate to their first place; later ones repeat it
-        own = windows.groupBy("context").agg(F.min(F.struct("doc", "start", "sum")).alias("first"), F.count("*").alias("n"))
-        more = windows.join(own.where("n > 1"), "context").where("doc != first.doc or start != first.start").select("doc", "sum", "start", (F.col("start") + length).alias("stop"))
-        single = own.select(F.xxhash64("context").alias("key"), "context", F.col("first.doc").alias("doc"), F.col("first.sum").alias("sum"), F.col("first.start").alias("start"))
-        flat = flat.join(wide, "key", "left_anti").unionByName(single)
-        later = later.unionByName(more)
-    dealt = flat.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(_dealt(_shard(length)), RANGES).unionByName(later)
+    size = F.col("place").bitwiseAND((1 << WIDTH_BITS) - 1)
+    start = F.shiftright("place", WIDTH_BITS)
+    again = firsts.where("again").select("key", "hash", F.col("doc").alias("d"), F.col("place").alias("p"))
+    later = places.join(again, ["key", "hash"]).where("doc != d or place != p").select("doc", "sum", start.cast("int").alias("start"), (start + size).cast("int").alias("stop"))
+    later = written(later, "later-places")
+    discard(places)
+
+    shards = max(1, -(-(firsts.agg(F.sum(size + 1)).first()[0] or 0) // SHARD_BYTES))
+    wide = firsts.groupBy("key").agg((F.count("*") > SPLIT_OVER).alias("wide")).where("wide")
+    flat = firsts.join(wide, "key", "left").select("doc", "sum", F.struct("key", "place", F.coalesce("wide", F.lit(False)).alias("wide")).alias("place"))
+    by_doc = flat.groupBy("doc", "sum").agg(F.collect_set("place").alias("places"))
+    cut = text.where(F.octet_length("text") >= length).join(by_doc, ["doc", "sum"]).select("doc", "sum", "text", "places").mapInArrow(_cut(length), "wide boolean, key long, hash long, context binary, doc long, sum long, start int")
+    cut = written(cut, "cut-contexts")
+    dealt = cut.where("not wide").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    ranges = dealt.groupBy("shard").applyInArrow(_dealt(_shard(length)), RANGES)
+    place = F.struct("doc", "start", "sum")
+    windows = cut.where("wide")
+    first = windows.groupBy("key", "hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("key", "hash", F.col("first.doc").alias("d"), F.col("first.start").alias("s"))
+    repeated = windows.join(first, ["key", "hash"]).where("doc != d or start != s").select("doc", "sum", "start", (F.col("start") + length).alias("stop"))
+    return ranges.unionByName(later).unionByName(repeated)
 
 
 def _dealt(run):
@@ -203,9 +228,14 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("sum"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    # rows that share an id are told apart by a hash of their text
+    shared = text.groupBy("doc").count().where("count > 1").limit(1).count()
+    text = text.withColumn("sum", F.xxhash64("text") if shared else F.lit(0).cast("long"))
     ranges = repeated_ranges(text.select("doc", "sum", "text"), length).groupBy("doc", "sum").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("ranges"))
-    cut = text.select("doc", "sum", "text").join(ranges, ["doc", "sum"]).mapInArrow(_kept, "doc long, sum long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc", "sum"])
+    ranges = written(ranges, "ranges")
+    cut = text.select("doc", "sum", "text").join(ranges, ["doc", "sum"]).mapInArrow(_kept, "doc long, sum long, n_removed long, n_spans long, kept_sha256 string")
+    cut = cut.dropDuplicates(["doc", "sum"]) if shared else cut
     whole = text.select("doc", "sum", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("own"))
     zero = F.lit(0).cast("long")
     return whole.join(cut, ["doc", "sum"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "own").alias("kept_sha256"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -43,9 +44,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Removes a table of :func:`new_folder` that no plan needs any more."""
-    _remove(spark, path)
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing refers to any more.
+
+    Spark's cleaner removes them when the driver's collectors find the plans gone, which on a
+    quiet driver can be long after the job.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -53,4 +59,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    del df
+    release(spark)
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table of :func:`written` that no plan needs any more."""
+    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _remove(df.sparkSession, file)

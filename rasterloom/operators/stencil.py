@@ -192,7 +192,7 @@ def prewitt_gradients(r: DataFrame) -> DataFrame:
 
 
 #: fixed values: a pattern's neighbours, bit 0 first
-LBP_RING = [(-1, -1), (0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0)]
+LBP_RING = [(0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1)]
 
 
 def local_binary_pattern(r: DataFrame) -> DataFrame:
