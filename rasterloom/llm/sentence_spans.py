@@ -1,8 +1,10 @@
 """Substring deduplication by sliding spans of sentences.
 
 A text is cut into sentences: after a word that ends in ``.``, ``!`` or ``?`` and at line
-ends.  Sentences of over ``LONG`` words are cut again every ``PIECE`` words, so that a
-passage of 50 words always holds a whole span.  Every run of ``span`` consecutive
+ends.  Sentences of over ``LONG`` words are cut again before the word of least hash of every
+``PIECE`` consecutive words (the last such word), which depends on those words alone: pieces
+have ``PIECE`` words at most, but for the two ends, and 50 words without a stop always hold a
+whole span, wherever in a sentence they are.  Every run of ``span`` consecutive
 sentences with ``least_words`` words or more is hashed (128 bits over its words, so white
 space doesn't matter).  A run found more than once in the corpus keeps its first place,
 the one with the least (doc_id, sentence); sentences that any other place covers go.
@@ -20,6 +22,7 @@ sentences all go becomes empty.  An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from pyspark.sql import types as T
 
 from . import bytetext as B
 
-LONG, PIECE = 24, 16
+LONG, PIECE = 24, 12
 _STOP = B.byte_class([(0x21, 0x21), (0x2E, 0x2E), (0x3F, 0x3F)])
 _BASES = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 _INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
@@ -52,20 +55,33 @@ class Sentences:
             new[1:] = (row[1:] != row[:-1]) | _STOP[self.data[ends[:-1] - 1]] | (lines[starts[1:]] > lines[ends[:-1]])
             first = np.flatnonzero(new)
             size = np.diff(np.r_[first, n])
-            place = np.arange(n) - np.repeat(first, size)
-            new |= (np.repeat(size, size) > LONG) & (place % PIECE == 0)
+            new[self.pieces(np.repeat(np.where(size > LONG, first, -1), size))] = True
         self.first = np.flatnonzero(new)  # word that begins each sentence
         self.row = row[self.first]
         self.count = np.bincount(self.row, minlength=len(column))
         self.at = np.r_[0, np.cumsum(self.count)]
         self.n_words = n
 
+    @cached_property
+    def words(self) -> np.ndarray:
+        """A hash of each word."""
+        return B.span_hash(B.prefix_hash(self.data), self.starts, self.ends)
+
+    def pieces(self, sentence: np.ndarray) -> np.ndarray:
+        """Words that begin a piece; ``sentence`` numbers the words' long sentences (-1: a shorter one)."""
+        if len(sentence) < PIECE or sentence.max() < 0:
+            return np.zeros(0, np.int64)
+        low = np.uint64((1 << len(sentence).bit_length()) - 1)
+        least = (self.words & ~low) | (low - np.arange(len(sentence), dtype=np.uint64))  # ties: the last word
+        least = np.lib.stride_tricks.sliding_window_view(least, PIECE)
+        inside = np.flatnonzero((sentence[: len(least)] >= 0) & (sentence[: len(least)] == sentence[PIECE - 1 :]))
+        return np.unique(low - (least[inside].min(axis=1) & low)).astype(np.int64)
+
     def spans(self, span: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sentence number, two hashes) of each run of ``span`` sentences."""
         empty = np.zeros(0, np.int64)
         if len(self.first) < span:
             return empty, empty, empty
-        word = B.span_hash(B.prefix_hash(self.data), self.starts, self.ends)
         begin = self.first[: len(self.first) - span + 1]
         end = np.r_[self.first, self.n_words][span:]
         ok = (self.row[: len(begin)] == self.row[span - 1 :]) & (end - begin >= least_words)
@@ -74,7 +90,7 @@ class Sentences:
         for base, inverse in zip(_BASES, _INVERSES, strict=True):
             power = np.full(self.n_words, base)
             power[:1] = 1
-            sums = np.r_[np.uint64(0), np.cumsum(word * np.multiply.accumulate(power))]
+            sums = np.r_[np.uint64(0), np.cumsum(self.words * np.multiply.accumulate(power))]
             back = np.full(self.n_words + 1, inverse)
             back[0] = 1
             back = np.multiply.accumulate(back)
