@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -210,3 +211,89 @@ def draw_antialiased_polygon(r: DataFrame, poly: list[tuple[int, int]], color: l
     height = r.agg(F.max("h")).first()[0] or 0
     filled = paint_spans(r, polygon_spans(poly, height), color)
     return paint_weighted(filled, [p for a, b in _edges(poly) for p in wu_points(a, b)], color, blend)
+
+
+# ---- segments that come from a table ---------------------------------------------------------------
+
+
+def segment_places(segments: DataFrame) -> DataFrame:
+    """``segments(img, x0, y0, x1, y1)`` as (img, x, y): the places of :func:`line_points`, made by Spark."""
+    steep = F.abs(F.col("y1") - F.col("y0")) > F.abs(F.col("x1") - F.col("x0"))
+    turned = segments.select("img", steep.alias("steep"), *[F.when(steep, F.col(a)).otherwise(F.col(b)).cast("double").alias(n) for n, a, b in (("a0", "y0", "x0"), ("b0", "x0", "y0"), ("a1", "y1", "x1"), ("b1", "x1", "y1"))])
+    back = F.col("a0") > F.col("a1")
+    one_way = turned.select("img", "steep", *[F.when(back, F.col(q)).otherwise(F.col(p)).alias(p) for p, q in (("a0", "a1"), ("b0", "b1"), ("a1", "a0"), ("b1", "b0"))])
+    dx, dy, i = F.col("a1") - F.col("a0"), F.abs(F.col("b1") - F.col("b0")), F.col("i")
+    moved = F.when(dx > 0, F.greatest(F.lit(0), F.ceil(F.try_divide(2 * i * dy - dx, 2 * dx)))).otherwise(0)
+    steps = one_way.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("a1").cast("int") - F.col("a0").cast("int"))))
+    along = F.col("a0").cast("int") + i
+    across = (F.col("b0").cast("int") + F.when(F.col("b0") < F.col("b1"), moved).otherwise(-moved)).cast("int")
+    return steps.select("img", F.when(F.col("steep"), across).otherwise(along).alias("x"), F.when(F.col("steep"), along).otherwise(across).alias("y"))
+
+
+def draw_segments(r: DataFrame, segments: DataFrame, color: list[int]) -> DataFrame:
+    """Each raster's own segments, in one colour."""
+    marks = segment_places(segments).distinct().withColumn("marked", F.lit(True))
+    value = F.when(F.col("marked"), F.element_at(F.array(*[F.lit(v) for v in color]), F.col("c") + 1)).otherwise(F.col("v"))
+    return r.join(marks, ["img", "x", "y"], "left").select("img", "w", "h", "c", "x", "y", value.alias("v"))
+
+
+def intersection_points(lines: DataFrame) -> DataFrame:
+    """``lines(img, w, h, r, angle)`` with x0, y0, x1, y1: where x cos(angle) + y sin(angle) = r meets the box of sides w and h; null where it doesn't.
+
+    Of more than two meeting points (at corners) the first two of right, left, bottom and top count.
+    """
+    r, w, h = (F.col(c).cast("double") for c in ("r", "w", "h"))
+    s, c = F.sin(F.radians("angle")), F.cos(F.radians("angle"))
+    zero = F.lit(0.0)
+    point = lambda x, y, ok: F.struct(x.alias("x"), y.alias("y"), ok.alias("ok"))
+    on_side = lambda y: F.coalesce(y.between(zero, h), F.lit(False))
+    on_end = lambda x: F.coalesce(x.between(zero, w), F.lit(False))
+    right, left, bottom, top = F.try_divide(r - w * c, s), F.try_divide(r, s), F.try_divide(r - h * s, c), F.try_divide(r, c)
+    slanted = F.filter(F.array(point(w, right, on_side(right)), point(zero, left, on_side(left)), point(bottom, h, on_end(bottom)), point(top, zero, on_end(top))), lambda p: p["ok"])
+    upright = F.array(point(r, zero, on_end(r)), point(r, h, on_end(r)))
+    level = F.array(point(zero, r, on_side(r)), point(w, r, on_side(r)))
+    found = F.filter(F.when(F.col("angle") == 0, upright).when(F.col("angle") == 90, level).otherwise(slanted), lambda p: p["ok"])
+    met = lines.withColumn("found", F.when(F.size(found) > 1, found))
+    return met.select(*lines.columns, *[F.get("found", F.lit(i))[a].alias(f"{a}{i}") for i in (0, 1) for a in ("x", "y")])
+
+
+def draw_polar_lines(r: DataFrame, lines: DataFrame, color: list[int]) -> DataFrame:
+    """``lines(img, r, angle)``, such as Hough lines, drawn on their rasters."""
+    sized = lines.select("img", "r", "angle").join(r.groupBy("img").agg(F.max("w").alias("w"), F.max("h").alias("h")), "img")
+    return draw_segments(r, intersection_points(sized).where("x0 is not null"), color)
+
+
+def draw_haar_feature(r: DataFrame, columns: int, rows: int, sign: int, block_w: int, block_h: int, left: int, top: int) -> DataFrame:
+    """A feature of ``columns`` by ``rows`` blocks, signs alternating: positive blocks white, negative ones black."""
+    i, j = F.floor((F.col("x") - left) / block_w), F.floor((F.col("y") - top) / block_h)
+    inside = F.col("x").between(left, left + columns * block_w - 1) & F.col("y").between(top, top + rows * block_h - 1)
+    white = ((i + j + (0 if sign > 0 else 1)) % 2 == 0) | (F.col("c") == 3)
+    return r.withColumn("v", F.when(inside, F.when(white, 255).otherwise(0)).otherwise(F.col("v")))
+
+
+def star_places(side: int, bins: int, signed: bool) -> dict[tuple[int, int], int]:
+    """Places of a square of ``side`` and the bin whose ray from the centre is drawn there last; angles in single precision."""
+    out = {}
+    one = np.float32
+    centre, reach = float(side // 2), one(side / 2)
+    for b in range(bins):
+        for turn in (one(0),) if signed else (one(0), one(math.pi)):
+            angle = one((2 if signed else 1) * math.pi) * one(b) / one(bins) + turn
+            end = (float(one(centre) - reach * np.sin(angle)), float(one(centre) + reach * np.cos(angle)))
+            for x, y in line_points((centre, centre), end):
+                if 0 <= x < side and 0 <= y < side:
+                    out[x, y] = b
+    return out
+
+
+def render_hist_grid(cells: DataFrame, side: int, bins: int, signed: bool) -> DataFrame:
+    """``cells(img, cx, cy, bin, v)`` as a gray raster: a star of ``side`` for each cell, a ray's intensity its bin's value."""
+    from ..functions.expr import clamp_trunc
+
+    places = star_places(side, bins, signed)
+    star = cells.sparkSession.createDataFrame([(x, y, places.get((x, y), -1)) for y in range(side) for x in range(side)], "px int, py int, ray int")
+    grid = cells.groupBy("img", "cx", "cy").agg(F.map_from_entries(F.collect_list(F.struct("bin", "v"))).alias("hist"))
+    sides = grid.groupBy("img").agg(((F.max("cx") + 1) * side).alias("w"), ((F.max("cy") + 1) * side).alias("h"))
+    value = F.coalesce(F.try_element_at("hist", F.col("ray")), F.lit(0.0))
+    placed = grid.join(sides, "img").crossJoin(F.broadcast(star))  # side * side places, whatever the cells
+    return placed.select("img", "w", "h", F.lit(0).alias("c"), (F.col("cx") * side + F.col("px")).alias("x"), (F.col("cy") * side + F.col("py")).alias("y"), clamp_trunc(value).alias("v"))

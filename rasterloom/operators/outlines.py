@@ -5,9 +5,11 @@ A raster is bounded by its tile; the work is spread over rasters.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import stencil as T
@@ -145,14 +147,33 @@ def shrink_width(r: DataFrame, target: int) -> DataFrame:
     return r
 
 
-def seam_marks(seams: list[DataFrame]) -> DataFrame:
-    """(img, y, x): places in the original raster of seams found one after the other."""
+def _marked(seams: list[DataFrame], moved: Callable[[Column], Column]) -> DataFrame:
     out = None
     for seam in seams:
         place = seam.select("img", "y", "x")
-        if out is not None:  # earlier seams, ascending, push the place to the right
+        if out is not None:
             earlier = out.groupBy("img", "y").agg(F.array_sort(F.collect_list("x")).alias("gone"))
-            place = place.join(earlier, ["img", "y"]).select("img", "y", F.aggregate("gone", F.col("x"), lambda a, g: F.when(g <= a, a + 1).otherwise(a)).alias("x"))
+            place = place.join(earlier, ["img", "y"]).select("img", "y", moved(F.col("gone")).alias("x"))
             place = out.unionByName(place)
         out = place
     return out
+
+
+def seam_marks(seams: list[DataFrame]) -> DataFrame:
+    """(img, y, x): places in the original raster of seams found one after the other."""
+    # earlier seams, ascending, push the place to the right
+    return _marked(seams, lambda gone: F.aggregate(gone, F.col("x"), lambda a, g: F.when(g <= a, a + 1).otherwise(a)))
+
+
+def draw_vertical_seams(r: DataFrame, seams: list[DataFrame]) -> DataFrame:
+    """A gray raster as RGB with its seams in red.
+
+    A drawn place moves right by the number of earlier drawn ones left of where it was found, so
+    seams found at one place are drawn over each other, unlike the places of :func:`seam_marks`.
+    """
+    rgb = r.select("img", "w", "h", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("c"), "x", "y", "v")
+    if not seams:
+        return rgb
+    marks = _marked(seams, lambda gone: F.col("x") + F.size(F.filter(gone, lambda g: g < F.col("x")))).distinct().withColumn("red", F.lit(True))
+    value = F.when(F.col("red"), F.when(F.col("c") == 0, 255).otherwise(0)).otherwise(F.col("v"))
+    return rgb.join(marks, ["img", "y", "x"], "left").select("img", "w", "h", "c", "x", "y", value.alias("v"))

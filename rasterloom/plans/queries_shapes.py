@@ -54,3 +54,72 @@ on_emb("pack_round_trip", lambda r: S.tall(S.packed(r)), one("SELECT img, x, y,
 on_emb("pixel_diffs", lambda r: P.diffs(r, r.withColumn("v", F.when(F.col("x") == F.col("y"), 0).otherwise(F.col("v")))).select("img", "x", "y", "actual", "expected"), one("SELECT img, x, y, v AS actual, 0 AS expected FROM px WHERE x = y AND v <> 0"), columns=None)
 on_emb("gaussian_noise", lambda r: P.gaussian_noise(r, 5.0, 3.0, 1))
 on_emb("salt_and_pepper_noise", lambda r: P.salt_and_pepper(r, 0.1, 1))
+
+# ---- rectangles, lines and drawings of other operators' results ----------------------------------------
+
+add(
+    "rect_intersect",
+    lambda spark, d: _rects(spark).select("id", F.col("both.left").alias("left"), F.col("both.top").alias("top"), F.col("both.width").alias("width"), F.col("both.height").alias("height"), "holds"),
+    """SELECT id, CASE WHEN ok THEN l END AS "left", CASE WHEN ok THEN t END AS top, CASE WHEN ok THEN r - l + 1 END AS width, CASE WHEN ok THEN b - t + 1 END AS height,
+  CAST(id % 13 BETWEEN al AND al + 5 AND id % 11 BETWEEN a_top AND a_top + 3 AS BOOLEAN) AS holds
+FROM (SELECT *, r >= l AND b >= t AS ok FROM (SELECT id, al, a_top, greatest(al, bl) AS l, greatest(a_top, bt) AS t, least(al + 5, bl + 3) AS r, least(a_top + 3, bt + 6) AS b
+  FROM (SELECT id, id % 7 AS al, id % 5 AS a_top, id * 3 % 11 AS bl, id * 5 % 9 AS bt FROM range(500) q(id))))""",
+)
+
+
+def _rects(spark) -> DataFrame:
+    i = F.col("id")
+    a, b = G.rect(i % 7, i % 5, F.lit(6), F.lit(4)), G.rect(i * 3 % 11, i * 5 % 9, F.lit(4), F.lit(7))
+    return spark.range(500).select("id", G.rect_intersect(a, b).alias("both"), G.rect_contains(a, i % 13, i % 11).alias("holds"))
+
+
+add(
+    "line_distance",
+    lambda spark, d: spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.round(G.line_distance(F.lit(0.0), F.lit(1.0), F.lit(40.0), F.lit(31.0), F.col("l_quantity"), F.col("l_discount") * 100), 6).alias("distance")),
+    "SELECT l_orderkey, l_linenumber, round(abs(40.0::DOUBLE * (l_discount * 100 - 1) - 30.0::DOUBLE * l_quantity) / 50.0::DOUBLE, 6) AS distance FROM lineitem",
+)
+_POLAR = """SELECT id, CAST(id % 180 AS INTEGER) AS angle, id // 180 * 5 - 8 AS r FROM range(900) q(id)"""
+add(
+    "intersection_points",
+    lambda spark, d: D.intersection_points(spark.range(900).select(F.col("id").alias("img"), F.lit(12).alias("w"), F.lit(9).alias("h"), (F.floor(F.col("id") / 180) * 5 - 8).alias("r"), (F.col("id") % 180).cast("int").alias("angle"))).select("img", "angle", *[F.round(c, 5).alias(c) for c in ("x0", "y0", "x1", "y1")]),
+    f"""WITH l AS (SELECT id, angle, r::DOUBLE AS r, sin(radians(angle)) AS s, cos(radians(angle)) AS c FROM ({_POLAR})),
+p AS (SELECT id, angle, CASE
+  WHEN angle = 0 THEN [{{'x': r, 'y': 0.0::DOUBLE, 'ok': r BETWEEN 0 AND 12}}, {{'x': r, 'y': 9.0::DOUBLE, 'ok': r BETWEEN 0 AND 12}}]
+  WHEN angle = 90 THEN [{{'x': 0.0::DOUBLE, 'y': r, 'ok': r BETWEEN 0 AND 9}}, {{'x': 12.0::DOUBLE, 'y': r, 'ok': r BETWEEN 0 AND 9}}]
+  ELSE [{{'x': 12.0::DOUBLE, 'y': (r - 12 * c) / s, 'ok': (r - 12 * c) / s BETWEEN 0 AND 9}}, {{'x': 0.0::DOUBLE, 'y': r / s, 'ok': r / s BETWEEN 0 AND 9}},
+        {{'x': (r - 9 * s) / c, 'y': 9.0::DOUBLE, 'ok': (r - 9 * s) / c BETWEEN 0 AND 12}}, {{'x': r / c, 'y': 0.0::DOUBLE, 'ok': r / c BETWEEN 0 AND 12}}] END AS pts FROM l),
+k AS (SELECT id, angle, list_filter(pts, lambda z: z.ok) AS f FROM p)
+SELECT id AS img, angle, CASE WHEN len(f) > 1 THEN round(f[1].x, 5) END AS x0, CASE WHEN len(f) > 1 THEN round(f[1].y, 5) END AS y0, CASE WHEN len(f) > 1 THEN round(f[2].x, 5) END AS x1, CASE WHEN len(f) > 1 THEN round(f[2].y, 5) END AS y1 FROM k""",
+)
+on_emb("draw_polar_lines", lambda r: D.draw_polar_lines(r, _two_lines(r), [7]), one("SELECT img, x, y, CASE WHEN x = img % 8 OR y = 2 THEN 7 ELSE v END AS v FROM px"))
+on_emb("draw_hough_lines", lambda r: D.draw_polar_lines(r, _detected(r), [7]))
+
+
+def _two_lines(r: DataFrame) -> DataFrame:
+    rows = r.select("img").distinct()
+    return rows.select("img", (F.col("img") % 8).alias("r"), F.lit(0).alias("angle")).unionByName(rows.select("img", F.lit(2).cast("bigint").alias("r"), F.lit(90).alias("angle")))
+
+
+def _detected(r: DataFrame) -> DataFrame:
+    from ..operators.features import detect_lines
+
+    return detect_lines(P.threshold(r, 180, "binary"), 4, 2)
+
+
+on_emb("draw_haar_feature", lambda r: D.draw_haar_feature(r, 3, 1, -1, 2, 4, 1, 2), one("SELECT img, x, y, CASE WHEN x BETWEEN 1 AND 6 AND y BETWEEN 2 AND 5 THEN CASE WHEN (x - 1) // 2 % 2 = 1 THEN 255 ELSE 0 END ELSE v END AS v FROM px"))
+on_emb("render_hist_grid", lambda r: D.render_hist_grid(_cells(r), 7, 8, False))
+
+
+def _cells(r: DataFrame) -> DataFrame:
+    from ..operators.features import cell_histograms
+
+    return cell_histograms(r, 8, False, 4)
+
+
+on_emb(
+    "draw_vertical_seams",
+    lambda r: O.draw_vertical_seams(r, [r.select("img", "y", ((F.col("img") + k * F.col("y")) % (9 - k)).cast("int").alias("x")).distinct() for k in (1, 2)]),
+    one("SELECT img, CAST(c AS INTEGER) AS c, x, y, CASE WHEN x = (img + y) % 8 OR x = (img + 2 * y) % 7 + CASE WHEN (img + y) % 8 < (img + 2 * y) % 7 THEN 1 ELSE 0 END THEN CASE WHEN c = 0 THEN 255 ELSE 0 END ELSE v END AS v FROM px, range(3) t(c)"),
+    columns=["img", "c", "x", "y", "v"],
+)
+on_emb("significant_pixel_diffs", lambda r: P.diffs(r, r.withColumn("v", F.when(F.col("x") == F.col("y"), 90).otherwise(F.col("v") + 3)), lambda a, b: F.abs(a - b) > 20).select("img", "x", "y", "actual", "expected"), one("SELECT img, x, y, v AS actual, 90 AS expected FROM px WHERE x = y AND abs(v - 90) > 20"), columns=None)

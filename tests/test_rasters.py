@@ -248,3 +248,59 @@ def test_empty(spark):
     none = S.literal(spark, [[1]]).where("v > 5")
     for out in (T.median_filter(none, 1, 1), A.histogram(none), R.connected_components(none), A.integral_image(none), X.average_hash(none), R.squared_distance(none)):
         assert out.count() == 0
+
+
+# ---- lines, stars and seams that other operators found ----------------------------------------------
+
+
+def test_segment_places_match_the_generator(spark):
+    rng = random.Random(3)
+    ends = [tuple(rng.choice((rng.randrange(12), rng.random() * 12)) for _ in range(4)) for _ in range(60)] + [(3, 3, 3, 3)]
+    rows = spark.createDataFrame([(i, *map(float, e)) for i, e in enumerate(ends)], "img long, x0 double, y0 double, x1 double, y1 double")
+    found = {}
+    for r in D.segment_places(rows).collect():
+        found.setdefault(r.img, []).append((r.x, r.y))
+    assert {i: sorted(p) for i, p in found.items()} == {i: sorted(D.line_points(e[:2], e[2:])) for i, e in enumerate(ends)}
+
+
+@pytest.mark.parametrize(("r", "angle", "points"), [(1.5, 0, (1.5, 0, 1.5, 5)), (-1, 0, None), (4, 90, (0, 4, 10, 4)), (6, 90, None), (5 / math.sqrt(2), 45, (0, 5, 0, 5)), (-2 / math.sqrt(2), 135, (7, 5, 2, 0)), (100, 30, None)])
+def test_intersection_points(spark, r, angle, points):
+    row = D.intersection_points(spark.createDataFrame([(0, 10, 5, float(r), angle)], "img long, w int, h int, r double, angle int")).first()
+    found = (row.x0, row.y0, row.x1, row.y1)
+    if points is None:
+        assert found == (None,) * 4
+    elif angle == 45:  # a corner's two sides meet in one place; rounding decides which two of the three points count
+        assert all(min(abs(a - b) for b in (0, 5)) < 1e-6 for a in found)
+    else:
+        assert found == pytest.approx(points, abs=1e-9)
+
+
+def test_draw_polar_lines(spark):
+    r = S.literal(spark, [[0] * 4] * 3)
+    lines = spark.createDataFrame([(0, 2.0, 0), (0, 1.0, 90), (5, 0.0, 0)], "img long, r double, angle int")
+    assert rows(D.draw_polar_lines(r, lines, [9])) == grid("0 0 9 0; 9 9 9 9; 0 0 9 0")
+
+
+def test_draw_haar_feature(spark):
+    r = S.literal(spark, [[5] * 5] * 4)
+    assert rows(D.draw_haar_feature(r, 2, 2, 1, 2, 1, 1, 1)) == grid("5 5 5 5 5; 5 255 255 0 0; 5 0 0 255 255; 5 5 5 5 5")
+
+
+def test_render_hist_grid(spark):
+    cells = spark.createDataFrame([(0, 0, 0, 0, 300.0), (0, 0, 0, 1, 70.9), (0, 1, 0, 1, 8.0)], "img long, cx int, cy int, bin int, v double")
+    found = rows(D.render_hist_grid(cells, 5, 2, False))
+    assert len(found) == 5 and len(found[0]) == 10
+    assert found[2][2] == 70 and found[0][2] == 255 and found[2][4] == 70 and found[0][0] == 0
+    assert found[2][9] == 8 and found[0][7] == 0
+
+
+def test_draw_vertical_seams(spark):
+    r = S.literal(spark, grid("1 2 3 4; 5 6 7 8"))
+    seams = [spark.createDataFrame([(0, y, x) for y, x in enumerate(xs)], "img long, y int, x int") for xs in ((1, 2), (1, 1), (0, 1))]
+    red = O.draw_vertical_seams(r, seams).where("c = 0")
+    assert rows(red) == grid("255 255 3 4; 5 255 255 8")
+
+
+def test_rectangles(spark):
+    row = spark.range(1).select(G.rect_intersect(G.rect(0, 0, 5, 5), G.rect(3, 4, 9, 9)).alias("a"), G.rect_intersect(G.rect(0, 0, 2, 2), G.rect(2, 0, 2, 2)).alias("b"), G.rect_contains(G.rect(1, 1, 2, 2), F.lit(2), F.lit(3)).alias("c")).first()
+    assert tuple(row.a) == (3, 4, 2, 1) and row.b is None and not row.c
