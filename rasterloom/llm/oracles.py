@@ -28,4 +28,87 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
 
-ORACLES = {"op1_decontamination": _OP1}
+#: sets of op4, links between all pairs that share a shingle, and what each document reaches
+_OP4 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM words)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+sized AS MATERIALIZED (SELECT * FROM shingles JOIN sizes USING (doc_id)),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS p, b.doc_id AS q
+  FROM sized a JOIN sized b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ways AS MATERIALIZED (SELECT p, q FROM links UNION ALL SELECT q, p FROM links),
+reach AS (SELECT p, q FROM both_ways UNION SELECT r.p, b.q FROM reach r JOIN both_ways b ON r.q = b.p),
+least_of AS (SELECT p AS doc_id, min(q) AS q FROM reach GROUP BY p)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(q, doc_id)) AS component_id, doc_id <= coalesce(q, doc_id) AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of USING (doc_id)
+"""
+
+#: all 100-byte strings of op6 with their first places, runs of removed bytes and what is left between them
+_OP6 = """
+WITH texts AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+sized AS MATERIALIZED (SELECT doc_id, b, octet_length(b) AS n FROM texts),
+strings AS (SELECT doc_id, i, b[i:i + 99] AS g FROM (SELECT doc_id, b, unnest(range(1, n - 98)) AS i FROM sized)),
+later AS MATERIALIZED (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM strings) WHERE k > 1),
+cut AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM (SELECT doc_id, i, lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM later)),
+runs AS MATERIALIZED (SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi FROM cut GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, lag(hi, 1, 1) OVER (PARTITION BY doc_id ORDER BY lo) AS lo, lo AS hi FROM runs UNION ALL SELECT doc_id, max(hi), NULL FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, sha256(unhex(string_agg(CASE WHEN coalesce(g.hi, n + 1) > g.lo THEN hex(b[g.lo:coalesce(g.hi, n + 1) - 1]) ELSE '' END, '' ORDER BY g.lo))) AS s FROM gaps g JOIN sized USING (doc_id) GROUP BY doc_id),
+counted AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, coalesce(s, sha256(b)) AS kept_sha256
+FROM sized LEFT JOIN counted USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+#: passages, originals, parents, reply paths and threads of op8
+_OP8 = r"""
+WITH RECURSIVE m AS MATERIALIZED (SELECT row_number() OVER () AS id, conv_id, turn, role, text FROM conversations),
+lines AS (
+  SELECT id, conv_id, turn, i, line, regexp_extract(line, '^(?:[ \t]*>)+[ \t]?') AS mark
+  FROM (SELECT id, conv_id, turn, unnest(range(len(parts))) AS i, unnest(parts) AS line
+    FROM (SELECT *, string_split(text, chr(10)) AS parts FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND regexp_matches(text, '(^|\n)[ \t]*>')))),
+leveled AS (SELECT *, len(mark) - len(replace(mark, '>', '')) AS level, line[len(mark) + 1:] AS body FROM lines),
+marked AS MATERIALIZED (
+  SELECT *, regexp_matches(body, '^[\s>]*$') AS blank, level = 0 AND regexp_matches(line, '^\s*On .*wrote:\s*$') AND lead(level, 1, 0) OVER (PARTITION BY id ORDER BY i) > 0 AS said FROM leveled),
+own AS MATERIALIZED (
+  SELECT id, regexp_replace(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0 AND NOT said), ''), '\n[ \t]*(?:\n[ \t]*)+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS own
+  FROM marked GROUP BY id),
+cut AS (SELECT *, level <> lag(level, 1, -1) OVER w OR lag(blank, 1, true) OVER w AS fresh FROM marked WINDOW w AS (PARTITION BY id ORDER BY i)),
+parts AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY id ORDER BY i) AS part FROM cut),
+quoted AS MATERIALIZED (
+  SELECT id, conv_id, turn, part, level, trim(regexp_replace(lower(string_agg(body, ' ' ORDER BY i)), '\s+', ' ', 'g')) AS h
+  FROM parts WHERE level > 0 AND NOT blank GROUP BY id, conv_id, turn, part, level),
+texts AS (SELECT conv_id, turn, coalesce(own, text) AS t FROM m LEFT JOIN own USING (id) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+pieces AS (
+  SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(p), '\s+', ' ', 'g')) AS h
+  FROM (SELECT conv_id, turn, unnest(list_append(string_split_regex(t, '\n[ \t]*\n'), t)) AS p FROM texts WHERE t IS NOT NULL)),
+inside AS MATERIALIZED (SELECT h, conv_id, min(turn) AS first_turn FROM pieces WHERE h <> '' AND h IN (SELECT h FROM quoted) GROUP BY h, conv_id),
+firsts AS (SELECT h, min((conv_id, first_turn)) AS f FROM inside GROUP BY h),
+linked AS MATERIALIZED (
+  SELECT q.*, CASE WHEN i.first_turn < q.turn THEN (q.conv_id, i.first_turn) WHEN f < (q.conv_id, q.turn) THEN f END AS t
+  FROM quoted q LEFT JOIN inside i ON q.h = i.h AND q.conv_id = i.conv_id LEFT JOIN firsts ON q.h = firsts.h),
+counts AS (SELECT id, count(*) AS n_quotes, count(t) AS n_linked, min(level) FILTER (t IS NOT NULL) AS shallow FROM linked GROUP BY id),
+votes AS (SELECT id, conv_id, turn, t, count(*) AS v FROM linked JOIN counts USING (id) WHERE t IS NOT NULL AND level = shallow GROUP BY id, conv_id, turn, t),
+parents AS MATERIALIZED (SELECT id, conv_id, turn, min((-v, t))[2][1] AS pc, min((-v, t))[2][2] AS pt FROM votes GROUP BY id, conv_id, turn),
+ups AS MATERIALIZED (SELECT conv_id, turn, min((pc, pt)) AS up FROM parents GROUP BY conv_id, turn),
+walks AS (
+  SELECT conv_id, turn, up, 1 AS depth, format('{:020d}.{:020d}/{:020d}.{:020d}', up[1], up[2], conv_id, turn) AS path FROM ups
+  UNION ALL
+  SELECT w.conv_id, w.turn, u.up, depth + 1, format('{:020d}.{:020d}/', u.up[1], u.up[2]) || path FROM walks w JOIN ups u ON u.conv_id = w.up[1] AND u.turn = w.up[2]),
+paths AS (SELECT conv_id, turn, max(depth) AS depth, arg_max(path, depth) AS path FROM walks GROUP BY conv_id, turn),
+ties AS (SELECT DISTINCT conv_id AS p, pc AS q FROM parents WHERE pc <> conv_id),
+both_ways AS MATERIALIZED (SELECT p, q FROM ties UNION SELECT q, p FROM ties),
+reach AS (SELECT p, q FROM both_ways UNION SELECT r.p, b.q FROM reach r JOIN both_ways b ON r.q = b.p),
+threads AS (SELECT p AS conv_id, min(q) AS t FROM reach GROUP BY p)
+SELECT m.conv_id, m.turn, role, coalesce(own, text) AS text, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, pc AS parent_conv, pt AS parent_turn,
+  least(m.conv_id, coalesce(threads.t, m.conv_id)) AS thread_id, CAST(coalesce(paths.depth, 0) AS BIGINT) AS depth, coalesce(path, format('{:020d}.{:020d}', m.conv_id, m.turn)) AS reply_path
+FROM m LEFT JOIN own USING (id) LEFT JOIN counts USING (id) LEFT JOIN parents USING (id)
+LEFT JOIN paths ON paths.conv_id = m.conv_id AND paths.turn = m.turn LEFT JOIN threads ON threads.conv_id = m.conv_id
+"""
+
+ORACLES = {"op1_decontamination": _OP1, "op4_near_duplicates": _OP4, "op6_repeated_bytes": _OP6, "op8_quotation": _OP8}

@@ -83,6 +83,7 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
     originals = pieces.select("conv_id", "turn", _hash(F.col("p")).alias("h")).join(wanted, "h", "left_semi")
     inside = written(originals.groupBy("h", "conv_id").agg(F.min("turn").alias("first_turn")), "originals")
     first = inside.groupBy("h").agg(F.min(F.struct(F.col("conv_id").alias("c"), F.col("first_turn").alias("t"))).alias("first"))
+    first = written(first, "first-originals")  # so that the join can split a hot passage
 
     at = F.struct(F.col("conv_id").alias("c"), F.col("turn").alias("t"))
     linked = quoted.join(inside, ["h", "conv_id"], "left").join(first, "h", "left")

@@ -172,7 +172,7 @@ RANGES = "doc long, sum long, start int, stop int"
 def repeated_ranges(text: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, sum, start, stop): byte ranges of ``text(doc, sum, text)`` to remove; they may overlap."""
     rows = text.mapInArrow(_anchor_rows(length, gram), "key long, hash long, doc long, sum long, place long")
-    many = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    many = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "anchors")  # so that the join can split a hot key
     places = written(rows.join(many, "key"), "places")
     at = F.struct("doc", "place", "sum")
     firsts = written(places.groupBy("key", "hash").agg(F.min(at).alias("first"), F.max(at).alias("last")).select("key", "hash", "first.*", (F.col("first") != F.col("last")).alias("again")), "contexts")

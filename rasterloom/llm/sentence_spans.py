@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytetext as B
+from .scratch import written
 
 LONG, PIECE = 24, 12
 _STOP = B.byte_class([(0x21, 0x21), (0x2E, 0x2E), (0x3F, 0x3F)])
@@ -116,6 +117,7 @@ def repeated_sentences(docs: DataFrame, span: int = 3, least_words: int = 8) ->
     """(doc, gone): the numbers of the sentences to remove from each document that has any."""
     spans = span_rows(docs, span, least_words)
     firsts = spans.groupBy("h1", "h2").agg(F.min(F.struct("doc", "sentence")).alias("first"), F.max(F.struct("doc", "sentence")).alias("last")).where("first != last").select("h1", "h2", "first")
+    firsts = written(firsts, "first-spans")  # a table of its own, so that Spark can split a hot key of the join
     later = spans.join(firsts, ["h1", "h2"]).where(F.struct("doc", "sentence") != F.col("first")).select("doc", "sentence")
     starts = later.groupBy("doc").agg(F.collect_set("sentence").alias("starts"))
     return starts.select("doc", F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.lit(span - 1)))))).alias("gone"))

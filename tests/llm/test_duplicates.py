@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from functools import cache
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -15,9 +16,11 @@ from rasterloom.llm import bytetext as B
 from rasterloom.llm import near_duplicates as N
 from rasterloom.llm import repeated_bytes as R
 from rasterloom.llm import sentence_spans as S
+from rasterloom.llm.oracles import ORACLES
+from rasterloom.llm.queries import queries
 from rasterloom.llm.suffix_array import common_prefixes, suffix_array
 
-from .conftest import by_id, pairs
+from .conftest import SF, by_id, pairs
 
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 
@@ -110,6 +113,16 @@ def test_only_eighty_percent_and_more(documents):
         N.near_duplicates(documents, 2, 70)
 
 
+@pytest.mark.parametrize("name", ["op4_near_duplicates", "op6_repeated_bytes"])
+def test_whole_table_against_sql(spark, name):
+    base = duckdb.connect()
+    base.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    expected = base.sql(ORACLES[name])
+    found = queries()[name](spark, SF)
+    assert found.columns == expected.columns
+    assert Counter(map(tuple, found.collect())) == Counter(expected.fetchall())
+
+
 # ---- repeated bytes ---------------------------------------------------------------------
 
 

@@ -1,8 +1,10 @@
 """Quotation linking: small conversations with known links, against a plain version, and odd rows."""
 
 import re
+from collections import Counter
 
 from rasterloom.llm import quotation as Q
+from rasterloom.llm.oracles import ORACLES
 
 from .conftest import SF
 
@@ -36,6 +38,38 @@ def test_links_and_texts(spark):
     assert order == [(1, 0), (1, 1), (1, 3), (2, 0), (1, 2), (1, 4), (3, 0)]
 
 
+MANY = [
+    (1, 0, "a", "Where is the harbour?\n\nAnd when does it open?"),
+    (1, 1, "b", "On Monday, a wrote:\n> Where is  the HARBOUR?\n\nBy the old bridge."),
+    (1, 2, "c", "> And when does it open?\nAt nine.\n\n\n> never said\n>> By the old bridge."),
+    (1, 3, "d", ">> Where is the harbour?\n> By the old bridge.\n\nThank you."),
+    (1, 3, "d", ">> Where is the harbour?\n> By the old bridge.\n\nThank you."),
+    (2, 0, "f", "> By the old bridge.\nFrom another thread.\n > Where is the harbour?\n\t>\tAnd when does it open?"),
+    (2, 1, "f", "> From another thread.\n\n> > Thank you.\n\nDeep."),
+    (3, 0, "g", "No quotes > at all"),
+    (3, 1, None, None),
+    (3, 2, "g", ""),
+    (3, 3, "g", ">\n>>\n"),
+    (4, 0, "h", "> Deep.\nDeeper."),
+    (4, 1, "h", "> Deeper.\n> Deep.\nNo such passage."),
+    (None, 1, "u", "> Deep.\nNowhere."),
+    (5, None, "u", "> Deep.\nNever."),
+]
+
+
+def test_against_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    frame_ = pd.DataFrame(MANY, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    base = duckdb.connect()
+    base.register("conversations", frame_)
+    expected = base.sql(ORACLES["op8_quotation"])
+    found = Q.reply_ordered(frame(spark, MANY))
+    assert found.columns == expected.columns
+    assert Counter(map(tuple, found.collect())) == Counter(expected.fetchall())
+
+
 def test_a_long_chain(spark):
     rows = [(7, 0, "u", "message 0")] + [(7, i, "u", f"> message {i - 1}\nmessage {i}") for i in range(1, 40)]
     found = linked(spark, rows)
