@@ -18,7 +18,7 @@ its original, siblings by (conv_id, turn).  A thread is a conversation, or sever
 quotations connect (the least conv_id names it).
 
 Defined results: null texts have no lines and stay null; empty ones stay empty.  Messages
-without conv_id or turn link to nothing and are no originals.  Repeated rows stay repeated; rows
+without conv_id or turn link to nothing, are no originals and have no reply path.  Repeated rows stay repeated; rows
 that repeat (conv_id, turn) with another text count as originals of their own.  An empty
 table gives no rows; other columns are ignored.
 """
@@ -116,7 +116,7 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
         "parent_turn",
         "thread_id",
         (F.size(path) - 1).cast("long").alias("depth"),
-        F.array_join(F.transform(path, lambda s: F.format_string("%020d.%020d", s["c"], s["t"])), "/").alias("reply_path"),
+        F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.array_join(F.transform(path, lambda s: F.format_string("%020d.%020d", s["c"], s["t"])), "/")).alias("reply_path"),
     )
 
 
