@@ -7,14 +7,20 @@ bits as there are differing samples, and its population count estimates high
 similarities closely.
 
 1. Documents of one shingle set form a class; the least id stands for it from here on.
-2. In each band bucket every class is paired with the bucket's least id, so a bucket of n
-   gives n - 1 pairs, not all of them.  Distinct pairs pass the sketches' estimate (``ESTIMATE`` lies four
-   and a half standard errors below 0.8), then the exact test on full sets.
-3. Components of confirmed links.  Where a bucket still holds several components, the
-   documents outside its largest one are compared, block by block, with all its
-   others; a pair comes out of the first band that it shares only, so no link that could join two
-   components is lost and none is looked at twice.
-4. Components again, over all confirmed links.
+2. In each bucket of the first ``FIRST_BANDS`` bands every class is paired with the bucket's
+   least id, so a bucket of n gives n - 1 pairs, not all of them.  Distinct pairs pass the
+   sketches' estimate (``ESTIMATE`` lies four and a half standard errors below 0.8), then the
+   exact test on full sets.
+3. Components of confirmed links, which hold most of any large group.  In each bucket of any
+   band the least ids of its components are paired with the bucket's least id and tested alike.
+4. Components again.  Where a bucket still holds several components, the
+   documents outside its largest one are compared by sketch, block by block, with all its
+   others; a pair counts in the first band that it shares only, so no link that could join two
+   components is lost and none is looked at twice.  The exact test of what passes is dealt by
+   the other document: each text of a part comes once, and a document outside once for
+   a part, with the list of those it may be linked with.  It leaves as soon as it is
+   linked with a component, so a large group's near misses are never rows.
+5. Components again, over all confirmed links.
 
 Two sets of similarity 0.8 share no band with probability (1 - 0.8**5)**50 < 3e-9.
 
@@ -31,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +47,7 @@ from .scratch import written
 
 BANDS, ROWS = 50, 5
 SAMPLES = BANDS * ROWS
+FIRST_BANDS = 6
 BITS = 1024
 ESTIMATE = 0.675
 BLOCK = 256
@@ -126,6 +134,14 @@ def _sketch(size: int):
     return run
 
 
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share ``percent`` of their union."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _confirm(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -138,32 +154,61 @@ def _confirm(size: int, percent: int):
                     if a[i] != last:
                         own, last = np.unique(left[at[i] : at[i + 1]]), a[i]
                     other = np.unique(right[to[i] : to[i + 1]])
-                    both = len(np.intersect1d(own, other, assume_unique=True))
-                    keep[i] = 100 * both >= percent * (len(own) + len(other) - both)
+                    keep[i] = _similar(own, other, percent)
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
 def _blocks(most: float):
-    """Pairs across components: documents of a chunk (``left``) with those of a block."""
+    """Candidates across components: documents of a chunk (``left``) with those of a block, listed by the others' part."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         bucket = table.column("bucket")[0].as_py()
-        doc, label, minor, left = (table.column(c).to_numpy() for c in ("doc", "label", "minor", "left"))
+        doc, label, minor, left, part = (table.column(c).to_numpy() for c in ("doc", "label", "minor", "left", "part"))
         wide = lambda c: np.asarray(table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False), np.int64).reshape(len(doc), -1)
         words, bands = wide("sketch").view(np.uint64), wide("bands")
         right = np.flatnonzero(~left)
-        a, b = [], []
+        rows: list[dict] = []
         for i in np.flatnonzero(left):
             other = right[(label[right] != label[i]) & (~minor[right] | (doc[right] > doc[i]))]
             other = other[np.bitwise_count(words[other] ^ words[i]).sum(axis=1) <= most]
             shared = bands[other] == bands[i]
             other = other[shared.argmax(axis=1) == int(np.flatnonzero(bands[i] == bucket)[0])] if len(other) else other
-            a.append(np.minimum(doc[i], doc[other]))
-            b.append(np.maximum(doc[i], doc[other]))
-        return pa.table({"a": pa.array(np.concatenate(a) if a else [], pa.int64()), "b": pa.array(np.concatenate(b) if b else [], pa.int64())})
+            for p in np.unique(part[other]):
+                own = other[part[other] == p]
+                rows.append({"doc": int(doc[i]), "part": int(p), "others": doc[own].tolist(), "labels": label[own].tolist()})
+        return pa.Table.from_pylist(rows, pa.schema([("doc", pa.int64()), ("part", pa.int32()), ("others", pa.list_(pa.int64())), ("labels", pa.list_(pa.int64()))]))
+
+    return run
+
+
+def _answered(size: int, percent: int):
+    """Links between the documents of a part and those that ask for them, one for each asker and component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        asks = pc.is_valid(table.column("others"))
+        sets: dict[int, list[np.ndarray]] = {}  # several where rows repeat an id
+        a, b = [], []
+        for asking in (False, True):
+            for whole in table.filter(asks if asking else pc.invert(asks)).to_batches():
+                for batch in B.slices(whole, "text"):
+                    hashes, at = shingles(batch.column("text"), size)
+                    doc = batch.column("doc").to_pylist()
+                    if not asking:
+                        for i, d in enumerate(doc):
+                            sets.setdefault(d, []).append(np.unique(hashes[at[i] : at[i + 1]]))
+                        continue
+                    for i, (others, labels) in enumerate(zip(batch.column("others").to_pylist(), batch.column("labels").to_pylist(), strict=True)):
+                        own, linked = np.unique(hashes[at[i] : at[i + 1]]), set()
+                        for other, label in zip(others, labels, strict=True):
+                            if label not in linked and any(_similar(own, x, percent) for x in sets[other]):
+                                linked.add(label)
+                                a.append(min(doc[i], other))
+                                b.append(max(doc[i], other))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -183,31 +228,39 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     members = written(filled.select("doc_id", "set_key").join(classes, "set_key").where("doc_id != rep").groupBy("doc_id").agg(F.min("rep").alias("rep")), "members")
     reps = written(filled.join(members, "doc_id", "left_anti").select("doc_id", "bands", "sketch"), "representatives")
 
-    entries = reps.select(F.explode("bands").alias("bucket"), "doc_id")
+    entries = reps.select(F.posexplode("bands").alias("band", "bucket"), "doc_id")
     heads = entries.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("head != last").select("bucket", "head", "n")
-    buckets = written(entries.join(heads, "bucket").select("bucket", "doc_id", "head", "n"), "buckets")
+    buckets = written(entries.join(heads, "bucket").select("band", "bucket", "doc_id", "head", "n"), "buckets")
     most = most_different_bits(ESTIMATE)
+    sketch_of = reps.select(F.col("doc_id").alias("id"), "sketch")
+    different = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         full = pairs.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
         return written(full.mapInArrow(_confirm(size, percent), "a long, b long"), name)
 
-    sketch_of = reps.select(F.col("doc_id").alias("id"), "sketch")
-    pairs = buckets.where("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-    different = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
-    near = (
-        pairs.join(sketch_of.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-        .join(sketch_of.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-        .where(different <= F.lit(int(most)))
-        .select("a", "b")
-    )
-    links = confirmed(near, "links")
+    def estimated(pairs: DataFrame) -> DataFrame:
+        sketched = pairs.join(sketch_of.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketch_of.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+        return sketched.where(different <= F.lit(int(most))).select("a", "b")
+
+    def in_buckets(labels: DataFrame) -> DataFrame:
+        label_of = labels.select(F.col("id").alias("doc_id"), "label")
+        return buckets.join(label_of, "doc_id", "left").select("bucket", F.col("doc_id").alias("doc"), F.coalesce("label", "doc_id").alias("label"), "n")
+
     keep = lambda df: written(df, "labels")
+    tested = buckets.where((F.col("band") < FIRST_BANDS) & (F.col("doc_id") != F.col("head"))).select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+    links = confirmed(estimated(tested), "links")
+    labels = component_labels(links, keep)
+
+    # a place of each component in each bucket
+    parts = in_buckets(labels).groupBy("bucket", "label").agg(F.min("doc").alias("b"))
+    leads = parts.groupBy("bucket").agg(F.min("b").alias("a"), F.max("b").alias("last")).where("a != last").select("bucket", "a")
+    between = written(parts.join(leads, "bucket").where("a != b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(confirmed(estimated(between), "links"))
     labels = component_labels(links, keep)
 
     # buckets that still hold more than one component
-    label_of = labels.select(F.col("id").alias("doc_id"), "label")
-    rest = buckets.where("n > 2").join(label_of, "doc_id", "left").select("bucket", F.col("doc_id").alias("doc"), F.coalesce("label", "doc_id").alias("label"), "n")
+    rest = in_buckets(labels).where("n > 2")
     sizes = rest.groupBy("bucket", "label").agg(F.count("*").alias("k"))
     open_ = sizes.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1")
     left = rest.join(open_, "bucket").withColumn("minor", F.col("label") != F.col("major.label"))
@@ -217,11 +270,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     if left.limit(1).count():
         spread = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
         upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        others = left.select("doc").distinct()
+        parts_of = max(1, -(-others.count() // BLOCK))
+        part = F.pmod(F.xxhash64("doc"), F.lit(parts_of)).cast("int").alias("part")
         own = left.where("minor").select("bucket", "doc", "label", "minor", F.lit(True).alias("left"), spread(F.col("chunks")).alias("chunk"), upto(F.col("blocks")).alias("block"))
         all_ = left.select("bucket", "doc", "label", "minor", F.lit(False).alias("left"), spread(F.col("blocks")).alias("block"), upto(F.col("chunks")).alias("chunk"))
-        dealt = own.unionByName(all_).join(reps.select(F.col("doc_id").alias("doc"), "sketch", "bands"), "doc")
-        across = dealt.groupBy("bucket", "chunk", "block").applyInArrow(_blocks(most), "a long, b long")
-        more = confirmed(across.join(pairs, ["a", "b"], "left_anti"), "more-links")
+        dealt = own.unionByName(all_).join(reps.select(F.col("doc_id").alias("doc"), "sketch", "bands", F.pmod(F.xxhash64("doc_id"), F.lit(parts_of)).cast("int").alias("part")), "doc")
+        found = dealt.groupBy("bucket", "chunk", "block").applyInArrow(_blocks(most), "doc long, part int, others array<long>, labels array<long>")
+        lists = F.sort_array(F.collect_list(F.struct("others", "labels")))
+        asks = found.groupBy("doc", "part").agg(lists.alias("l")).select("doc", "part", F.flatten("l.others").alias("others"), F.flatten("l.labels").alias("labels"))
+        texts = text.select(F.col("doc_id").alias("doc"), "text")
+        none = F.lit(None).cast("array<long>")
+        answers = others.select("doc", part, none.alias("others"), none.alias("labels"))
+        parts = asks.unionByName(answers).join(texts, "doc")
+        more = written(parts.groupBy("part").applyInArrow(_answered(size, percent), "a long, b long"), "more-links")
         labels = component_labels(links.unionByName(more), keep)
 
     label_of = labels.select(F.col("id").alias("rep"), "label")
