@@ -225,11 +225,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sketches = written(text.mapInArrow(_sketch(size), SKETCH_SCHEMA), "sketches")
     filled = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("set_key", "rep")
+    classes = written(classes, "classes")  # a table of its own, as are the buckets' heads, so that the join can split a hot key
     members = written(filled.select("doc_id", "set_key").join(classes, "set_key").where("doc_id != rep").groupBy("doc_id").agg(F.min("rep").alias("rep")), "members")
     reps = written(filled.join(members, "doc_id", "left_anti").select("doc_id", "bands", "sketch"), "representatives")
 
     entries = reps.select(F.posexplode("bands").alias("band", "bucket"), "doc_id")
     heads = entries.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("head != last").select("bucket", "head", "n")
+    heads = written(heads, "heads")
     buckets = written(entries.join(heads, "bucket").select("band", "bucket", "doc_id", "head", "n"), "buckets")
     most = most_different_bits(ESTIMATE)
     sketch_of = reps.select(F.col("doc_id").alias("id"), "sketch")
