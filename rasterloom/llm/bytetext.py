@@ -49,7 +49,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows of ``batch`` with at most ``most`` bytes of text, a row at least."""
     if not batch.num_rows:
         return
@@ -64,7 +64,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[
 def _power(n: int, base: np.uint64, name: str) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        seed = np.full(max(n, 1 << 21), base, np.uint64)
+        seed = np.full(max(n, (1 << 20) + 64), base, np.uint64)
         seed[0] = 1
         have = np.multiply.accumulate(seed)
         if n <= 1 << 24:
