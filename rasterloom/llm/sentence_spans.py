@@ -1,10 +1,11 @@
 """Substring deduplication by sliding spans of sentences.
 
 A text is cut into sentences: after a word that ends in ``.``, ``!`` or ``?`` and at line
-ends.  Sentences of over ``LONG`` words are cut again before the word of least hash of every
-``PIECE`` consecutive words (the last such word), which depends on those words alone: pieces
-have ``PIECE`` words at most, but for the two ends, and 50 words without a stop always hold a
-whole span, wherever in a sentence they are.  Every run of ``span`` consecutive
+ends.  Sentences of ``PIECE`` words or more are cut again before the word of least hash of
+every ``PIECE`` consecutive words (the last such word), which depends on those words alone.  So no
+piece has over ``PIECE`` words, cuts that lie ``PIECE`` words or more inside a passage are the
+same wherever it stands, and 50 words, with stops or without, always hold three whole pieces
+(a run, but where every three have less than ``least_words`` words).  Every run of ``span`` consecutive
 sentences with ``least_words`` words or more is hashed (128 bits over its words, so white
 space doesn't matter).  A run found more than once in the corpus keeps its first place,
 the one with the least (doc_id, sentence); sentences that any other place covers go.
@@ -33,7 +34,8 @@ from pyspark.sql import types as T
 from . import bytetext as B
 from .scratch import written
 
-LONG, PIECE = 24, 12
+PIECE = 12
+LONG = PIECE - 1  # sentences of more words are cut, so that the cuts do not depend on what stands around a passage
 _STOP = B.byte_class([(0x21, 0x21), (0x2E, 0x2E), (0x3F, 0x3F)])
 _BASES = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 _INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)

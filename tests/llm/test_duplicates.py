@@ -277,6 +277,27 @@ def test_long_unbroken_passages_are_found_at_any_offset(spark):
     assert all(found[d].n_removed > 0 for d in range(1, 5))
 
 
+def test_passages_with_stops_are_found_at_any_offset(spark):
+    """Passages of 51 to 95 words with stops anywhere, first after a stop, then in the middle of a sentence."""
+    rng = random.Random(13)
+    stops = [(n, {k}) for n in (51, 63, 80, 95) for k in range(n)]
+    stops += [(n, set(range(first, n, every))) for n in (51, 95) for every in (3, 5, 11, 12, 13, 17, 24) for first in range(min(every, 5))]
+    stops += [(n, {16, 33, n - 1}) for n in range(51, 96, 4)]
+    passages, texts = [], []
+    for i, (n, at) in enumerate(stops):
+        words = [f"p{i}x{rng.randrange(10**6)}" + "." * (k in at) for k in range(n)]
+        passages.append(words)
+        texts.append(f"Text {i} begins so. {' '.join(words)} It ends{i} here{i}.")
+        before = [f"see{i}x{k}" for k in range(2 + i % 23)]
+        texts.append(f"{' '.join(before)} {' '.join(words)} {' '.join(f'z{i}x{k}' for k in range(i % 19))}")
+    found = by_id(S.substring_dedup(frame(spark, texts)))
+    for i, words in enumerate(passages):
+        assert found[2 * i].text == texts[2 * i]
+        left, whole = found[2 * i + 1].text.split(), texts[2 * i + 1].split()
+        gone = Counter(whole) - Counter(left)
+        assert not gone - Counter(words) and sum(gone.values()) >= len(words) - 30, (stops[i], sum(gone.values()))
+
+
 def test_sentence_spans_of_awkward_rows(awkward, no_documents):
     found = S.substring_dedup(awkward)
     assert [f.name for f in found.schema.fields if f.name not in ("n_sentences", "n_removed")] == [c for c in awkward.columns if c not in ("n_sentences", "n_removed")]
