@@ -3,7 +3,7 @@
 Features of the classifier are hashed word 1- and 2-grams and character 3- to 5-grams
 (of bytes, case kept), each weighted by its share among the text's features of that kind.
 Logistic regression learns their weights in numpy from a bounded sample of labelled rows
-(``MOST_TRAIN`` of each label, least hashes first, the first ``MOST_BYTES`` characters);
+(``MOST_TRAIN`` of each label, least hashes first, whole texts);
 a held-out fifth calibrates the probability (Platt).  A text is kept if it passes the base
 test and its probability of label 1 is at least ``THRESHOLD``.
 
@@ -27,7 +27,6 @@ from . import bytetext as B
 from .toxicity import _platt, sampled
 
 MOST_TRAIN = 2_500
-MOST_BYTES = 8_192
 BITS = 18
 THRESHOLD = 0.35
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
@@ -154,7 +153,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 6,
         for row, slot in Measured(pa.array([texts[i] for i in chosen], pa.string())).grams():
             key, n = np.unique(row.astype(np.int64) << BITS | slot, return_counts=True)
             row = key >> BITS
-            grams.append((row, key & ((1 << BITS) - 1), n / np.maximum(np.bincount(row, weights=n, minlength=len(chosen)), 1)[row]))
+            grams.append((row.astype(np.int16), (key & ((1 << BITS) - 1)).astype(np.int32), n / np.maximum(np.bincount(row, weights=n, minlength=len(chosen)), 1)[row]))
         parts.append((labels[chosen], grams))
     for _ in range(epochs):
         for y, grams in parts:
@@ -174,7 +173,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 6,
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAIN) -> Model | None:
     """A calibrated model of the labelled rows whose id's text has a crc32 other than 2 modulo 4; None without both labels."""
-    sample, count = sampled(docs, labels, "quality", most, MOST_BYTES)
+    sample, count = sampled(docs, labels, "quality", most)
     y = np.array([r.label for r in sample], np.float64)
     if len(set(y.tolist())) < 2:
         return None

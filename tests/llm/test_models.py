@@ -78,6 +78,20 @@ def test_one_text_scores_alone_as_in_a_batch(toxicity_model):
     assert np.allclose(together, alone)
 
 
+@pytest.mark.parametrize("module, label", [(T, "toxic"), (Q, "quality")])
+def test_what_stands_late_in_a_long_text_is_learnt(module, label, spark):
+    """The evidence stands after 8,192 characters only."""
+    late = [" cruel vile insult", " calm kind remark"]
+    docs = spark.createDataFrame([(i, "x" * 9_000 + late[i % 2], "en") for i in range(800)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(800)], f"doc_id long, {label} int")
+    model = module.fit(docs, labels)
+    if module is T:
+        p = model.scores(pa.array(["x" * 9_000 + t for t in late]))
+    else:
+        p = model.probabilities(Q.Measured(pa.array(["x" * 9_000 + t for t in late])))
+    assert p[0] > p[1] + 0.3
+
+
 def test_labels_of_held_out_rows_are_never_read(large, spark):
     docs, labels = large
     turned = labels.selectExpr("doc_id", "case when crc32(cast(doc_id as string)) % 4 = 2 then 1 - toxic else toxic end as toxic")
