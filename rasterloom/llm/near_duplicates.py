@@ -17,8 +17,9 @@ similarities closely.
    documents outside its largest one are compared by sketch, block by block, with all its
    others; a pair counts in the first band that it shares only, so no link that could join two
    components is lost and none is looked at twice.  The exact test of what passes is dealt by
-   the other document: each text of a part comes once, and a document outside once for
-   a part, with the list of those it may be linked with.  It leaves as soon as it is
+   the other document: a document outside comes once for a part, with the list of those it
+   may be linked with.  The askers of a part are dealt to chunks of about ``ASK_BYTES`` of text and
+   lists, and each text of the part comes once for a chunk.  It leaves as soon as it is
    linked with a component, so a large group's near misses are never rows.
 5. Components again, over all confirmed links.
 
@@ -51,6 +52,7 @@ FIRST_BANDS = 6
 BITS = 1024
 ESTIMATE = 0.675
 BLOCK = 256
+ASK_BYTES = 8 << 20
 
 _rng = np.random.default_rng(5)
 _A = (_rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -283,9 +285,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         asks = found.groupBy("doc", "part").agg(lists.alias("l")).select("doc", "part", F.flatten("l.others").alias("others"), F.flatten("l.labels").alias("labels"))
         texts = text.select(F.col("doc_id").alias("doc"), "text")
         none = F.lit(None).cast("array<long>")
-        answers = others.select("doc", part, none.alias("others"), none.alias("labels"))
+        asks = written(asks, "asks")
+        sized = asks.join(text.groupBy(F.col("doc_id").alias("doc")).agg(F.sum(F.octet_length("text")).alias("bytes")), "doc")
+        chunks = sized.groupBy("part").agg(F.ceil(F.sum(F.col("bytes") + 16 * F.size("others")) / ASK_BYTES).cast("int").alias("chunks"))
+        chunks = written(chunks, "chunks")  # a row per part
+        asks = asks.join(chunks, "part").withColumn("chunk", spread(F.col("chunks"))).drop("chunks")
+        answers = others.select("doc", part, none.alias("others"), none.alias("labels")).join(chunks, "part").withColumn("chunk", upto(F.col("chunks"))).drop("chunks")
         parts = asks.unionByName(answers).join(texts, "doc")
-        more = written(parts.groupBy("part").applyInArrow(_answered(size, percent), "a long, b long"), "more-links")
+        more = written(parts.groupBy("part", "chunk").applyInArrow(_answered(size, percent), "a long, b long"), "more-links")
         labels = component_labels(links.unionByName(more), keep)
 
     label_of = labels.select(F.col("id").alias("rep"), "label")

@@ -91,6 +91,40 @@ def test_chains_and_large_groups(spark):
     assert found == linked(list(enumerate(texts)), 2)
 
 
+def test_askers_of_a_part_are_dealt_to_chunks(spark, monkeypatch):
+    """A family of near misses with a few links: no group holds all texts, and no link is lost."""
+    rng = random.Random(14)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(150):
+        changed = list(base)
+        for k in rng.sample(range(200), 8):
+            changed[k] = f"n{i}x{k}"
+        texts.append(" ".join(changed))
+        if i % 10 == 0:
+            changed[5] = f"m{i}"
+            texts.append(" ".join(changed))
+    answered = N._answered
+    most = sum(map(len, texts)) // 2
+
+    def bounded(size, percent):
+        inner = answered(size, percent)
+
+        def run(table):
+            asked = table.filter(table.column("others").is_valid())
+            total = sum(len(t) for t in asked.column("text").to_pylist())
+            if total > most:
+                raise ValueError(f"a group's askers have {total} bytes of text")
+            return inner(table)
+
+        return run
+
+    monkeypatch.setattr(N, "_answered", bounded)
+    monkeypatch.setattr(N, "ASK_BYTES", most // 8, raising=False)
+    found = {d: r.component_id for d, r in by_id(N.near_duplicates(frame(spark, texts), 2)).items()}
+    assert found == linked(list(enumerate(texts)), 2)
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(6)
     for share in (0.7, 0.8, 0.9, 0.97):
