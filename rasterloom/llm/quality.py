@@ -10,7 +10,8 @@ test and its probability of label 1 is at least ``THRESHOLD``.
 Scoring is one pass over Arrow batches: an n-gram is one gather from a weight table of fixed size.
 
 Defined results: null, empty and blank texts have counters of 0 and fail the base test.
-Without labels of both kinds the base test alone decides.  Every row has one row.
+Without labels of both kinds the base test alone decides.  Every row has one row.  Ids that the
+labels contradict themselves about teach nothing; of rows that repeat an id, one text teaches.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as B
-from .toxicity import _platt, sampled
+from .toxicity import _platt, fitted, sampled
 
 MOST_TRAIN = 2_500
 BITS = 18
@@ -139,24 +140,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(measured) * self.scale + self.shift, -30, 30)))
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 6, batch: int = 64, rate: float = 0.5) -> Model:
-    """Weights by Adagrad, before calibration."""
-    rng = np.random.default_rng(seed)
+def _shares(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, slot, share) of the distinct n-grams of each kind."""
+    out = []
+    for row, slot in Measured(texts).grams():
+        key, n = np.unique(row.astype(np.int64) << BITS | slot, return_counts=True)
+        row = key >> BITS
+        out.append((row, key & ((1 << BITS) - 1), n / np.maximum(np.bincount(row, weights=n, minlength=len(texts)), 1)[row]))
+    return out
+
+
+def train(texts: pa.Array, labels: np.ndarray, seed: int = 7, epochs: int = 6, batch: int = 64, rate: float = 0.5) -> Model:
+    """Weights by Adagrad, before calibration; only one batch's n-grams are held at a time."""
     model = Model(np.zeros((KINDS, 1 << BITS), np.float32), float(np.log((labels.mean() + 1e-3) / (1 - labels.mean() + 1e-3))))
     squares = np.full((KINDS, 1 << BITS), 1e-8, np.float32)
     base = 1e-8
-    parts = []
-    order = rng.permutation(len(texts))
-    for a in range(0, len(order), batch):
-        chosen = order[a : a + batch]
-        grams = []
-        for row, slot in Measured(pa.array([texts[i] for i in chosen], pa.string())).grams():
-            key, n = np.unique(row.astype(np.int64) << BITS | slot, return_counts=True)
-            row = key >> BITS
-            grams.append((row.astype(np.int16), (key & ((1 << BITS) - 1)).astype(np.int32), n / np.maximum(np.bincount(row, weights=n, minlength=len(chosen)), 1)[row]))
-        parts.append((labels[chosen], grams))
+    order = np.random.default_rng(seed).permutation(len(texts))
     for _ in range(epochs):
-        for y, grams in parts:
+        for a in range(0, len(order), batch):
+            chosen = order[a : a + batch]
+            y, grams = labels[chosen], _shares(texts.take(pa.array(chosen)))
             z = np.full(len(y), model.bias)
             for kind, (row, slot, share) in enumerate(grams):
                 z += np.bincount(row, weights=model.weights[kind][slot] * share, minlength=len(y))
@@ -164,30 +167,42 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 6,
             base += error.sum() ** 2
             model.bias -= rate * error.sum() / np.sqrt(base)
             for kind, (row, slot, share) in enumerate(grams):
-                used, inverse = np.unique(slot, return_inverse=True)
-                slope = np.bincount(inverse, weights=error[row] * share)
-                squares[kind][used] += slope**2
-                model.weights[kind][used] -= rate * slope / np.sqrt(squares[kind][used])
+                slope = np.bincount(slot, weights=error[row] * share, minlength=1 << BITS)
+                used = np.flatnonzero(slope)
+                squares[kind][used] += slope[used] ** 2
+                model.weights[kind][used] -= rate * slope[used] / np.sqrt(squares[kind][used])
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAIN) -> Model | None:
-    """A calibrated model of the labelled rows whose id's text has a crc32 other than 2 modulo 4; None without both labels."""
-    sample, count = sampled(docs, labels, "quality", most)
-    y = np.array([r.label for r in sample], np.float64)
+def _fit(batches: Iterator[pa.RecordBatch], count: dict[int, int]) -> Model | None:
+    sample = pa.Table.from_batches(batches, pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("label", pa.int32()), ("h", pa.int64())])) if (batches := list(batches)) else None
+    if sample is None:
+        return None
+    sample = sample.sort_by([("label", "ascending"), ("h", "ascending"), ("doc_id", "ascending")])
+    y = sample.column("label").to_numpy().astype(np.float64)
     if len(set(y.tolist())) < 2:
         return None
-    held = np.array([(r.h & 0xFFFF) % 5 == 0 for r in sample])
+    held = (sample.column("h").to_numpy() & 0xFFFF) % 5 == 0
     if len(set(y[~held].tolist())) < 2 or len(set(y[held].tolist())) < 2:
         held[:] = False
-    model = train([r.text for r, h in zip(sample, held, strict=True) if not h], y[~held])
+    texts = sample.column("text").combine_chunks()
+    model = train(texts.filter(pa.array(~held)), y[~held])
     check = held if held.any() else ~held
-    z = model.logits(Measured(pa.array([r.text for r, c in zip(sample, check, strict=True) if c], pa.string())))
+    z = np.concatenate([model.logits(Measured(part.column("text"))) for part in B.slices(pa.RecordBatch.from_arrays([texts.filter(pa.array(check))], ["text"]), "text")])
     model.scale, model.shift = _platt(z, y[check])
     model.shift += float(np.log((count[1] / (y == 1).sum()) / (count[0] / (y == 0).sum())))  # the labels' shares in all rows
     return model
 
 
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAIN) -> Model | None:
+    """A calibrated model of the labelled rows whose id's text has a crc32 other than 2 modulo 4; None without both labels.
+
+    One task of bounded size learns from the whole texts of at most ``most`` rows of each label; the driver sees no text.
+    """
+    sample, count = sampled(docs, labels, "quality", most)
+    return fitted(sample, lambda batches: _fit(batches, count))
+
+
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double"
 
 

@@ -92,6 +92,58 @@ def test_what_stands_late_in_a_long_text_is_learnt(module, label, spark):
     assert p[0] > p[1] + 0.3
 
 
+def test_the_sample_is_bounded_after_the_join(spark):
+    """Ids that repeat in the documents or the labels; ids that the labels contradict themselves about."""
+    docs = spark.range(5_000).selectExpr("id % 40 as doc_id", "concat('text ', id % 3) as text", "'en' as lang")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 3 + [(i, 1 - i % 2) for i in range(0, 40, 4)] + [(None, 1), (1, None)], "doc_id long, toxic int")
+    rows, counts = T.sampled(docs, labels, "toxic", 5)
+    found = rows.collect()
+    able = [i for i in range(40) if i % 4 and not held_out(i)]
+    assert counts == Counter(i % 2 for i in able)
+    assert Counter(r.label for r in found) == {0: min(5, counts[0]), 1: 5}
+    assert len({r.doc_id for r in found}) == len(found) and all(r.doc_id in able and r.label == r.doc_id % 2 for r in found)
+    again = T.sampled(docs.repartition(7), labels.repartition(3), "toxic", 5)[0].collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, again))
+
+
+def test_toxicity_scores_by_hand(toxicity_model):
+    """The forward pass, word by word."""
+    m = toxicity_model
+    for text in ("a short and kind text", "one", "Größe und 東京, mixed words about 3 boats and boats and boats", "zwei drei vier " * 9):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+        vectors = []
+        for word in words:
+            raw = np.frombuffer(word.encode(), np.uint8)
+            slots = [int(T.B.span_hash(T.B.prefix_hash(raw), np.array([0]), np.array([len(raw)]))[0] >> np.uint64(47))]
+            for k, n in enumerate(T.PREFIXES):
+                if len(raw) >= n:
+                    h = T.B.span_hash(T.B.prefix_hash(raw), np.array([0]), np.array([n]))
+                    slots.append(int(T.B.mix(h + np.uint64(k + 1))[0] >> np.uint64(47)))
+            vectors.append(sum(m.embed[s].astype(float) for s in slots))
+        pooled = []
+        for w, width in enumerate(T.WIDTHS):
+            for f in range(T.FILTERS):
+                best = max(sum(float(vectors[i + k] @ m.filters[w][k * T.DIM : (k + 1) * T.DIM, f]) for k in range(width) if i + k < len(words)) for i in range(len(words)))
+                pooled.append(max(0.0, best + float(m.bias[w * T.FILTERS + f])))
+        z = (float(np.dot(pooled, m.out)) + m.out_bias) * m.scale + m.shift
+        assert abs(m.scores(pa.array([text]))[0] - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_quality_verdict_by_hand(quality_model):
+    m = quality_model
+    for text in ("Plain prose about a river, its boats and the people on them. " * 3, "x", "BUY $$$ now <<< click", "東京 は 都"):
+        raw = text.encode()
+        spans = [(a.start(), a.end()) for a in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+        data = np.frombuffer(raw, np.uint8)
+        words = [int(T.B.span_hash(T.B.prefix_hash(data), np.array([a]), np.array([b]))[0]) for a, b in spans]
+        kinds = [[w % (1 << Q.BITS) for w in words]]
+        kinds.append([int(T.B.mix(np.array([(3 * a + b) % 2**64], np.uint64))[0]) % (1 << Q.BITS) for a, b in zip(words, words[1:], strict=False)])
+        kinds += [[((int.from_bytes(raw[i : i + n], "big") * (0x9E3779B97F4A7C15 + 2 * n)) % 2**64) >> (64 - Q.BITS) for i in range(len(raw) - n + 1)] for n in (3, 4, 5)]
+        z = m.bias + sum(sum(float(m.weights[k][s]) for s in slots) / max(1, len(slots)) for k, slots in enumerate(kinds))
+        p = m.probabilities(Q.Measured(pa.array([text])))[0]
+        assert abs(p - 1 / (1 + np.exp(-(z * m.scale + m.shift)))) < 1e-4
+
+
 def test_labels_of_held_out_rows_are_never_read(large, spark):
     docs, labels = large
     turned = labels.selectExpr("doc_id", "case when crc32(cast(doc_id as string)) % 4 = 2 then 1 - toxic else toxic end as toxic")
