@@ -13,10 +13,12 @@ alone on its bit lives there and the others go to the next level.  A key's slot
 the number of set bits before its own, so the hash is perfect and minimal: one
 slot per key, about three bits a key.  The slot's fingerprint tells absent keys.
 
-**Job.**  Shards are key ranges (bounds from the key column alone, then one shuffle
-of the rows); each task encodes and writes its shard under a name of its own, and
-only the rows that committed tasks return (the manifest) make a file part of the set,
-so lost executors and repeated tasks do no harm.
+**Job.**  Rows are dealt to key ranges in one shuffle (rows without a key, and rows that repeat one,
+by a hash of their text, so a hot key is many ranges) and sorted; each task encodes its range
+and closes a shard whenever ``SHARD_BYTES`` of ids are reached, so shards and what a task holds
+are bounded by bytes.  Shards are written under names of their own, and only the rows that
+committed tasks return (the manifest) make a file part of the set, so lost executors and
+repeated tasks do no harm.
 
 Defined results: a null or empty text is one end id.  A repeated key keeps all its
 documents in the payload; the index finds the first.  Null keys come first and are
@@ -25,23 +27,28 @@ not indexed.  An empty table gives no shard.  Other columns are ignored.
 
 from __future__ import annotations
 
-import gc
+import json
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import bytetext as B
-from .pieces import Memo
+from .pretokens import BLOCK, distinct, gathered, without_gc, word_blocks, word_starts
 from .scratch import new_folder, written
 
+#: bytes of ids at which a shard is closed, of text in a task's range, and the most tasks
+SHARD_BYTES, RANGE_BYTES, MOST_RANGES = 16 << 20, 16 << 20, 20_000
+#: 16 bytes of bounds each go to the tasks of a keyed lookup
+MOST_SHARDS = 8_000_000
 MAGIC = b"TOKSHRD1"
 MANIFEST_SCHEMA = "shard long, path string, n_docs long, n_tokens long, min_key long, max_key long"
 
@@ -150,12 +157,18 @@ class Shard:
         doc = np.where(found, entry["doc"].astype(np.int64), -1)
         return np.where((doc >= 0) & (self.docs["key"][np.maximum(doc, 0)] == keys), doc, -1)
 
-    def ids(self, doc: int) -> np.ndarray:
-        """A document's ids as unsigned 32-bit integers."""
-        first, n = int(self.docs["first"][doc]), int(self.docs["n"][doc])
+    def _read(self, first: int, n: int) -> np.ndarray:
         self.file.seek(self.at + first * self.id_bytes)
         return np.frombuffer(self.file.read(n * self.id_bytes), "<u2" if self.id_bytes == 2 else "<u4").astype("<u4")
 
+    def ids(self, doc: int) -> np.ndarray:
+        """A document's ids as unsigned 32-bit integers."""
+        return self._read(int(self.docs["first"][doc]), int(self.docs["n"][doc]))
+
+    def all_ids(self) -> np.ndarray:
+        """The whole payload; a document's ids begin at its ``first``."""
+        return self._read(0, self.n_ids)
+
 
 # ---- encoding with the tokenizers library ---------------------------------------------
 
@@ -168,7 +181,14 @@ def byte_characters() -> list[str]:
 
 
 class LibraryEncoder:
-    """Packed ids by a tokenizers file: single words by its model, all else by its whole pipeline."""
+    """Ids by a tokenizers file.
+
+    Words of a byte-level pre-tokenizer are cut in whole arrays and each distinct one goes to the
+    library's model; a bounded dictionary holds what it answered.  Texts with special
+    tokens, and files of another kind, go through the library's whole pipeline.
+    """
+
+    MOST = 500_000
 
     def __init__(self, path: str, id_bytes: int):
         from tokenizers import Tokenizer
@@ -178,114 +198,126 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = False
         self.model, self.kind = self.tokenizer.model, "<u2" if id_bytes == 2 else "<u4"
-        self.table = dict(enumerate(byte_characters()))
-        self.marks = {m: self.whole([m])[0] for m in ".,;:!?"}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def word(self, text: str) -> bytes:
-        shown = "Ġ" + text[1:] if text.isascii() else text.encode().decode("latin-1").translate(self.table)
-        return np.array([t.id for t in self.model.tokenize(shown)], self.kind).tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        other = []
-        for i, t in enumerate(texts):
-            if t[:1] == " " and t[1:].isalpha():
-                out[i] = self.word(t)
-            elif t[:1] == " " and t[-1] in self.marks and t[1:-1].isalpha():
-                out[i] = self.word(t[:-1]) + self.marks[t[-1]]
-            elif t:
-                other.append(i)
-        for a in range(0, len(other), 2000):
-            part = other[a : a + 2000]
-            for i, ids in zip(part, self.whole([texts[i] for i in part]), strict=True):
-                out[i] = ids
-        return out
-
-
-_memos: dict = {}
-
-
-def library_memo(path: str, id_bytes: int) -> Memo:
-    """The worker's memo for a tokenizers file; it outlives a task."""
-    if (path, id_bytes) not in _memos:
+        self.shown = {i: c for i, c in enumerate(byte_characters())}
+        spec = json.loads(self.tokenizer.to_str())
+        cutter = spec["pre_tokenizer"] or {}
+        self.by_words = cutter.get("type") == "ByteLevel" and not cutter["add_prefix_space"] and cutter.get("use_regex", True) and not spec["normalizer"]
+        self.special = [t["content"].encode() for t in spec["added_tokens"]]
+        self.known: dict[bytes, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of words."""
+        if len(self.known) > self.MOST:
+            self.known.clear()
+        known, kind, tokenize = self.known, self.kind, self.model.tokenize
+        packed = list(map(known.get, words))
+        for i in [i for i, x in enumerate(packed) if x is None]:
+            packed[i] = known[words[i]] = np.array([t.id for t in tokenize(words[i].decode("latin-1").translate(self.shown))], kind).tobytes()
+        return packed
+
+    def block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of the texts of a block."""
+        starts = word_starts(data, offsets)
+        ends = np.r_[starts[1:], len(data)]
+        first, which = distinct(data, starts, ends)
+        raw = data.tobytes()
+        packed = self.words([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+        at = np.r_[0, np.cumsum([len(x) for x in packed])] // np.dtype(self.kind).itemsize
+        ids, size = gathered(np.frombuffer(b"".join(packed), self.kind), at.astype(np.int64), which)
+        return ids, np.bincount(np.repeat(B.owner(starts, offsets), size), minlength=len(offsets) - 1)
+
+    def column(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a slice."""
+        data, offsets = B.text_buffer(column)
+        raw = data.tobytes() if self.special else b""
+        if not self.by_words or any(s in raw for s in self.special):
+            return self.whole([t or "" for t in column.to_pylist()])
+        if len(data) > 2 * BLOCK:  # one long text
+            parts = [self.block(data[s[0] : end], np.array([0, end - s[0]]))[0] for s, end in word_blocks(data)]
+            return [np.concatenate(parts)] if len(column) == 1 else [x for i in range(len(column)) for x in self.column(column.slice(i, 1))]
+        ids, count = self.block(data, offsets)
+        return np.split(ids, np.cumsum(count)[:-1])
+
+
+_encoders: dict = {}
+
+
+def library_encoder(path: str, id_bytes: int) -> LibraryEncoder:
+    """The worker's encoder for a tokenizers file; it outlives a task."""
+    if (path, id_bytes) not in _encoders:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        gc.disable()  # strings only; collections would walk the memo again and again
-        _memos[path, id_bytes] = Memo(LibraryEncoder(path, id_bytes))
-    return _memos[path, id_bytes]
+        _encoders[path, id_bytes] = LibraryEncoder(path, id_bytes)
+    return _encoders[path, id_bytes]
 
 
 # ---- jobs -----------------------------------------------------------------------------
 
 
-def _bounds(keys: DataFrame, shards: int) -> list[int]:
-    """Ascending keys that cut the key column into ranges of about equal counts."""
-    if shards < 2:
-        return []
-    found = keys.where(F.col("doc_id").isNotNull()).agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 10_000)).first()[0]
-    return sorted(set(found or []))
-
-
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_docs: int = 6_000, id_bytes: int = 2, folder: str | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_bytes_: int = SHARD_BYTES, range_bytes: int = RANGE_BYTES, id_bytes: int = 2, folder: str | None = None) -> DataFrame:
     """Encodes ``docs(doc_id, text)`` into token shards; returns the manifest, a row per shard.
 
-    ``shard_docs`` sets the number of shards, so shards stay the same size as the input grows.
+    Shards ascend with the key; one is closed after the document that brings its ids to ``shard_bytes_``.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "token-shards")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shards = max(1, -(-rows.count() // shard_docs))
-    bounds = _bounds(rows.select("doc_id"), shards)
-    shard = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.coalesce("doc_id", F.lit(-(2**63))))) if 0 < len(bounds) < 64 else None
-    if shard is None and bounds:
-        ranges = F.broadcast(spark.createDataFrame(list(zip([-(2**63), *bounds], [*bounds, 2**63 - 1], range(len(bounds) + 1), strict=True)), "lo long, hi long, shard int"))
-        key = F.coalesce("doc_id", F.lit(-(2**63)))
-        rows = rows.join(ranges, (key >= F.col("lo")) & ((key < F.col("hi")) | ((F.col("hi") == 2**63 - 1) & (key == 2**63 - 1))))
-        rows = rows.select("doc_id", "text", "shard")
-    else:
-        rows = rows.select("doc_id", "text", (shard if shard is not None else F.lit(0)).cast("int").alias("shard"))
-    dealt = rows.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first())
+    total = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
+    ranges = min(MOST_RANGES, max(1, -(-total // range_bytes)))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = library_memo(tokenizer, id_bytes)
+        encoder = library_encoder(tokenizer, id_bytes)
         end = np.array([end_id], f"<u{id_bytes}").tobytes()
-        now, keys, lengths, payload = None, [], [], []
+        part, k = TaskContext.get().partitionId(), 0
+        keys, lengths, payload, held = [], [], [], 0
 
         def close() -> pa.RecordBatch:
             store, path = open_store(folder)
             store.create_dir(path, recursive=True)
-            name = f"{now:06d}-{uuid.uuid4().hex}.tok"
+            shard = (part << 32) + k
+            name = f"{part:06d}-{k:06d}-{uuid.uuid4().hex}.tok"
             n = np.array(lengths, np.int64)
             with store.open_output_stream(f"{path}/{name}", compression=None) as out:
-                for part in shard_bytes(keys, n, payload, id_bytes):
-                    out.write(part)
-            own = [k for k in keys if k is not None]
-            return pa.RecordBatch.from_pylist([{"shard": now, "path": f"{folder}/{name}", "n_docs": len(keys), "n_tokens": int(n.sum()), "min_key": min(own, default=None), "max_key": max(own, default=None)}], pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("min_key", pa.int64()), ("max_key", pa.int64())]))
+                for piece in shard_bytes(keys, n, payload, id_bytes):
+                    out.write(piece)
+            own = [x for x in keys if x is not None]
+            return pa.RecordBatch.from_pylist([{"shard": shard, "path": f"{folder}/{name}", "n_docs": len(keys), "n_tokens": int(n.sum()), "min_key": min(own, default=None), "max_key": max(own, default=None)}], pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("min_key", pa.int64()), ("max_key", pa.int64())]))
 
         for whole in batches:
-            for batch in B.slices(whole, "text", 4 << 20):
-                packed = memo.packed(x or "" for x in batch.column("text").to_pylist())
-                for s, key, ids in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), packed, strict=True):
-                    if s != now and now is not None:
-                        yield close()
-                        keys, lengths, payload = [], [], []
-                    now = s
+            for batch in B.slices(whole, "text", BLOCK):
+                with without_gc():
+                    found = encoder.column(batch.column("text"))
+                for key, ids in zip(batch.column("doc_id").to_pylist(), found, strict=True):
                     keys.append(key)
-                    lengths.append(len(ids) // id_bytes + 1)
-                    payload += (ids, end)
-        if now is not None:
+                    lengths.append(len(ids) + 1)
+                    payload += (ids.tobytes(), end)
+                    held += id_bytes * (len(ids) + 1)
+                    if held >= shard_bytes_:
+                        yield close()
+                        keys, lengths, payload, held = [], [], [], 0
+                        k += 1
+        if keys:
             yield close()
 
     return written(dealt.mapInArrow(save, MANIFEST_SCHEMA), "manifest")
 
 
-def _per_shard(manifest: DataFrame, read: Callable, schema: str, extra: list[str]) -> DataFrame:
-    n = max(1, manifest.count())
-    return manifest.select("shard", "path", *extra).repartitionById(n, F.col("rank") if "rank" in extra else F.col("shard").cast("int")).mapInArrow(read, schema)
+def with_starts(manifest: DataFrame) -> DataFrame:
+    """``manifest`` with ``before``: the ids of all shards before each; sums of a thousand ranges first, so no task sees all rows."""
+    group = F.shiftright("shard", 32 + 10)
+    upto = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    rows = manifest.withColumn("g", group)
+    groups = rows.groupBy("g").agg(F.sum("n_tokens").alias("own"))
+    groups = groups.select("g", F.coalesce(F.sum("own").over(upto(W.orderBy("g"))), zero).alias("base"))  # a row for 1,024 ranges
+    inner = F.coalesce(F.sum("n_tokens").over(upto(W.partitionBy("g").orderBy("shard"))), zero)
+    return rows.withColumn("inner", inner).join(groups, "g").withColumn("before", F.col("base") + F.col("inner")).drop("g", "inner", "base")
 
 
 DOCUMENT_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, found boolean"
@@ -294,39 +326,62 @@ DOCUMENT_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long, shard
 def read_documents(manifest: DataFrame) -> DataFrame:
     """Each document of the files, looked up by its key: doc_id, start, n_tokens, ids_crc32, shard, found.
 
-    ``start`` is the number of ids of all documents before it.  ``found`` says that the
-    index led to the document's own ids (false for a repeated key's later documents).
+    ``start`` is the number of ids of all documents before it.  Ids come from the slot that the
+    index leads a key to; only documents without a key, and a repeated key's later ones,
+    are read by place (``found`` false).  A key that its own index misses is an error.
     """
-    before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # a row per shard, not per document
-    ranked = manifest.select("*", (F.row_number().over(W.orderBy("shard")) - 1).cast("int").alias("rank"), F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("before"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 shard = Shard(row["path"])
                 keys = shard.docs["key"].astype(np.int64)
-                null = np.arange(len(keys)) < shard.n_null
-                own = (shard.find(keys) == np.arange(len(keys))) & ~null
-                n, crc = [], []
-                for doc in range(len(keys)):  # found through the index where ``own``, by place else
-                    ids = shard.ids(doc)
-                    n.append(len(ids))
-                    crc.append(zlib.crc32(ids.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, mask=null), pa.array(row["before"] + shard.docs["first"].astype(np.int64)), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.full(len(n), row["shard"])), pa.array(own)], ["doc_id", "start", "n_tokens", "ids_crc32", "shard", "found"])
-
-    return _per_shard(ranked, read, DOCUMENT_SCHEMA, ["before", "rank"])
+                place = np.arange(len(keys))
+                null = place < shard.n_null
+                again = np.r_[False, (keys[1:] == keys[:-1]) & ~null[:-1]] if len(keys) else null
+                doc = shard.find(keys)
+                if (doc[~null] < 0).any():
+                    raise ValueError(f"{row['path']}: the index misses keys of its own")
+                by_place = null | again
+                doc = np.where(by_place, place, doc)
+                first, n, ids = shard.docs["first"].astype(np.int64)[doc], shard.docs["n"].astype(np.int64)[doc], shard.all_ids()
+                crc = [zlib.crc32(ids[a : a + k]) for a, k in zip(first.tolist(), n.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, mask=null), pa.array(row["before"] + first), pa.array(n), pa.array(crc, pa.int64()), pa.array(np.full(len(n), row["shard"])), pa.array(~by_place)], ["doc_id", "start", "n_tokens", "ids_crc32", "shard", "found"])
+
+    rows = with_starts(manifest).select("shard", "path", "before")
+    return rows.repartition(min(MOST_RANGES, max(1, manifest.count())), "path").mapInArrow(read, DOCUMENT_SCHEMA)
 
 
 def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
-    """(doc_id, ids) of each ``keys(doc_id)`` that the files hold: its shard by key range, its ids by the index."""
-    wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    in_shard = wanted.join(manifest.select("shard", "path", "min_key", "max_key"), F.col("doc_id").between(F.col("min_key"), F.col("max_key")))
+    """(doc_id, ids) of each ``keys(doc_id)`` that the files hold: its shard by binary search in the shards' last keys, its ids by the index.
 
-    def read(table: pa.Table) -> pa.Table:
-        shard = Shard(table.column("path")[0].as_py())
-        asked = table.column("doc_id").to_numpy()
-        doc = shard.find(asked)
-        here = [(int(k), shard.ids(int(d)).tolist()) for k, d in zip(asked, doc, strict=True) if d >= 0]
-        return pa.table({"doc_id": pa.array([k for k, _ in here], pa.int64()), "ids": pa.array([x for _, x in here], pa.list_(pa.int64()))})
+    The shards' last keys go to the tasks, 16 bytes for each ``SHARD_BYTES`` of ids; over ``MOST_SHARDS`` of them is an error.
+    """
+    indexed = manifest.where("max_key is not null")
+    if indexed.count() > MOST_SHARDS:
+        raise ValueError(f"over {MOST_SHARDS} shards: look keys up in parts of the set")
+    bounds = indexed.select("shard", "max_key").orderBy("shard").toPandas()
+    shards, last = bounds["shard"].to_numpy(np.int64), bounds["max_key"].to_numpy(np.int64)
 
-    return in_shard.groupBy("shard").applyInArrow(read, "doc_id long, ids array<bigint>")
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = batch.column("doc_id").to_numpy()
+            at = np.searchsorted(last, asked)
+            here = at < len(last)
+            yield pa.RecordBatch.from_arrays([pa.array(asked[here], pa.int64()), pa.array(shards[at[here]], pa.int64())], ["doc_id", "shard"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, shard = None, None
+        for batch in batches:
+            asked, paths = batch.column("doc_id").to_numpy(), batch.column("path").to_pylist()
+            for own in dict.fromkeys(paths):
+                if own != path:
+                    path, shard = own, Shard(own)
+                mine = asked[[p == own for p in paths]]
+                doc = shard.find(mine)
+                here = [(int(k), shard.ids(int(d)).tolist()) for k, d in zip(mine, doc, strict=True) if d >= 0]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in here], pa.int64()), pa.array([x for _, x in here], pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    dealt = wanted.mapInArrow(place, "doc_id long, shard long").join(manifest.select("shard", "path"), "shard")
+    return dealt.sortWithinPartitions("path", "doc_id").select("doc_id", "path").mapInArrow(read, "doc_id long, ids array<bigint>")
