@@ -8,12 +8,15 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier i
    under one anchor hash.  Consecutive windows with one anchor form a context, about 39
    windows long.  Contexts whose anchor hash is alone in the corpus leave here.
 2. *Contexts.*  Equal contexts (by 128 bits of hashes) are pre-aggregated to their first place,
-   whose bytes are cut from the texts; all later places repeat it.
+   whose bytes are cut from the texts; all later places repeat it.  So a text that a third
+   of all documents copy enters one shard once.
 3. *Shards.*  Distinct contexts are dealt by anchor hash to shards of bounded size.  Each
-   shard sorts its suffixes (induced sorting, see :mod:`.suffix_array`), computes permuted
+   shard sorts its suffixes (recursive induced sorting, see :mod:`.suffix_array`), computes permuted
    common prefixes, and reads off runs of windows that share ``LENGTH`` bytes; all but a run's
-   first place go.  An anchor with more than ``SPLIT_OVER`` distinct contexts would make a
-   shard large, so its windows are dealt by their own hashes instead: same groups, same firsts.
+   first place go.
+   A hot anchor (more than ``SPLIT_OVER`` distinct contexts, as at the edges of a passage that a
+   third of all documents share) must not gather in one shard, so its windows are dealt by
+   their own hashes instead: same groups, same firsts, nothing dropped.
 4. Ranges meet by document, and the remaining bytes are hashed.
 
 Defined results: null and empty texts have no bytes.  Rows without an id come after all
@@ -43,8 +46,8 @@ SPLIT_OVER = 5_000
 LAST = 2**63 - 1
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(row, start, stop, key, hash) of each context; start and stop are bytes of ``data``."""
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, hashed: bool = True) -> tuple[np.ndarray, ...]:
+    """(row, start, stop, key, hash) of each context; start and stop are bytes of ``data``, and the hash is 0 unless ``hashed``."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < length:
@@ -71,12 +74,24 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (row[1:] != row[:-1])])
     last = np.r_[first[1:] - 1, len(start) - 1]
     begin, end = start[first], start[last] + length
-    return row[first], begin, end, key[place[first]].view(np.int64), B.span_hash(sums, begin, end).view(np.int64)
+    return row[first], begin, end, key[place[first]].view(np.int64), B.span_hash(sums, begin, end).view(np.int64) if hashed else np.zeros(len(begin), np.int64)
 
 
 WIDTH_BITS = 16  # of a place: its start, shifted, and its size
 
 
+def _anchor_keys(length: int, gram: int):
+    """Anchor hashes with their numbers of contexts, counted slice by slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in B.slices(whole, "text"):
+                key, n = np.unique(anchors(*B.text_buffer(batch.column("text")), length, gram, hashed=False)[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
+
+    return run
+
+
 def _anchor_rows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -137,7 +152,7 @@ def _shard(length: int):
         text = np.ones(len(data) + len(size) + 1, np.uint8)
         text[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = data + 2
         text[-1] = 0
-        array = suffix_array(text, length, 256)
+        array = suffix_array(text, 256)
         shared = common_prefixes(text, array, length + 2 * int(size.max()))
         context = np.repeat(np.arange(len(size)), size + 1)
         inside = np.arange(len(context)) - begin[context]
@@ -172,7 +187,8 @@ RANGES = "doc long, sum long, start int, stop int"
 def repeated_ranges(text: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, sum, start, stop): byte ranges of ``text(doc, sum, text)`` to remove; they may overlap."""
     rows = text.mapInArrow(_anchor_rows(length, gram), "key long, hash long, doc long, sum long, place long")
-    many = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "anchors")  # so that the join can split a hot key
+    keys = text.select("text").mapInArrow(_anchor_keys(length, gram), "key long, n long")
+    many = written(keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "anchors")  # so that the join can split a hot key
     places = written(rows.join(many, "key"), "places")
     at = F.struct("doc", "place", "sum")
     firsts = written(places.groupBy("key", "hash").agg(F.min(at).alias("first"), F.max(at).alias("last")).select("key", "hash", "first.*", (F.col("first") != F.col("last")).alias("again")), "contexts")

@@ -2,14 +2,16 @@
 
 The text is an array of small integers that ends in a unique 0.  Suffixes are classified
 as smaller (S) or larger (L) than their successor; leftmost S suffixes (LMS) cut the text
-into substrings, which one induction sorts and names.  The reduced string of names is
-sorted in turn, and a second induction from its order gives the whole array.
-
-An induction visits the buckets (first values) in order.  What a bucket's suffixes induce
-depends only on the bucket's own order, so each step moves a bucket's whole run at once;
-a bucket that induces into itself takes another step.  The work is linear, with a step
-per bucket and per repetition of a value.  A reduced string with too many names for
-bucket steps is sorted by doubling the compared length instead.
+into substrings.  One induction sorts and names these; the string of their names is sorted by
+recursion until every name is unique; and a last induction from the sorted LMS suffixes
+gives the whole array.
+
+**Induction.**  An L suffix reads a run of L values and then an LMS suffix, so its place follows
+from the LMS suffix at its run's end, one value at a time: the suffixes whose run
+is longest begin, each step moves one value to the left, shorter runs enter at
+theirs, and a stable pass by that value keeps what is known of the values behind it.  S
+suffixes follow alike from the L suffixes at their runs' ends.  A step handles the suffixes
+whose runs reach it, so the work is the sum of the runs' lengths: linear where runs are bounded.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 
 
-def _types(text: np.ndarray) -> np.ndarray:
+def types(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than its successor."""
     n = len(text)
     step = np.empty(n, np.int8)
@@ -27,90 +29,62 @@ def _types(text: np.ndarray) -> np.ndarray:
     return step[np.minimum.accumulate(at[::-1])[::-1]] > 0
 
 
-def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, values: int) -> np.ndarray:
-    """The suffix array induced from LMS suffixes in the given order."""
+def _by(keys: np.ndarray, most: int) -> np.ndarray:
+    """A stable order of small non-negative keys (few values sort by radix)."""
+    return np.argsort(keys.astype(np.uint16) if most < 1 << 16 else keys, kind="stable")
+
+
+def _runs_back(doubled: np.ndarray, most: int, ends: np.ndarray, runs: np.ndarray, end_last: bool) -> np.ndarray:
+    """Suffixes of one type in order, from the suffixes at their runs' ends.
+
+    ``ends`` lie in order and ``runs`` counts each one's run before it; ``doubled`` is twice
+    the text.  At a value that two suffixes share, an end comes after a run's inside if ``end_last``, else before it.
+    """
+    order = np.zeros(0, np.int32)
+    for k in range(int(runs.max(initial=0)), 0, -1):
+        enter = ends[runs >= k] - np.int32(k)
+        order = np.concatenate([order, enter])
+        key = doubled[order + k]
+        key[: len(order) - len(enter)] += 0 if end_last else 1
+        key[len(order) - len(enter) :] += 1 if end_last else 0
+        order = order[_by(key, 2 * most + 2)]
+    return order[_by(doubled[order], 2 * most + 2)] if len(order) else order
+
+
+def _induce(text: np.ndarray, doubled: np.ndarray, small: np.ndarray, lms: np.ndarray, values: int) -> np.ndarray:
+    """The suffix array induced from LMS suffixes in the given order (the text's end is the first)."""
     n = len(text)
-    counts = np.bincount(text, minlength=values)
-    end = np.cumsum(counts)
-    start = end - counts
-    array = np.full(n, -1, np.int32)
-    first = text[lms]
-    order = np.argsort(first, kind="stable")
-    size = np.bincount(first, minlength=values)
-    place = np.arange(len(lms)) - np.repeat(np.cumsum(size) - size, size)
-    array[np.repeat(end - size, size) + place] = lms[order]
-
-    head = start.copy()
-
-    def larger(chunk: np.ndarray) -> None:
-        p = chunk[chunk > 0] - 1
-        p = p[~small[p]]
-        if len(p):
-            c = text[p]
-            by = np.argsort(c, kind="stable")
-            n_of = np.bincount(c, minlength=values)
-            used = np.flatnonzero(n_of)
-            array[np.repeat(head[used] - (np.cumsum(n_of[used]) - n_of[used]), n_of[used]) + np.arange(len(p))] = p[by]
-            head[used] += n_of[used]
-
-    for c in np.flatnonzero(counts):
-        lo = start[c]
-        while lo < head[c]:
-            lo, hi = head[c], lo
-            larger(array[hi:lo])
-        if size[c]:
-            larger(array[end[c] - size[c] : end[c]])
-    tail = end.copy()
-
-    def smaller(chunk: np.ndarray) -> None:
-        p = chunk[chunk > 0] - 1
-        p = p[small[p]]
-        if len(p):
-            c = text[p]
-            by = np.argsort(c, kind="stable")
-            n_of = np.bincount(c, minlength=values)
-            used = np.flatnonzero(n_of)
-            base = np.repeat(tail[used] - 1 + (np.cumsum(n_of[used]) - n_of[used]), n_of[used])
-            array[base - np.arange(len(p))] = p[by]
-            tail[used] -= n_of[used]
-
-    for c in np.flatnonzero(counts)[::-1]:
-        hi = end[c]
-        while tail[c] < hi:
-            hi, lo = tail[c], hi
-            smaller(array[hi:lo][::-1])
-        if head[c] > start[c]:
-            smaller(array[start[c] : head[c]][::-1])
+    before = np.arange(n, dtype=np.int32)
+    last_small = np.maximum.accumulate(np.where(small, before, -1))
+    last_large = np.maximum.accumulate(np.where(small, -1, before))
+    lms = lms.astype(np.int32)
+    # an LMS place has a run of L before it, back to the last S
+    larger = _runs_back(doubled, values, lms, lms - 1 - np.where(lms > 0, last_small[lms - 1], 0), True)
+    head = larger[(larger > 0) & small[larger - 1]]  # L places that end a run of S
+    smaller = _runs_back(doubled, values, head, head - 1 - last_large[head - 1], False)
+    count = np.bincount(text, minlength=values)
+    count_l, count_s = np.bincount(text[larger], minlength=values), np.bincount(text[smaller], minlength=values)
+    start = np.cumsum(count) - count
+    array = np.empty(n, np.int32)
     array[0] = n - 1
+    array[start[text[larger]] + np.arange(len(larger)) - (np.cumsum(count_l) - count_l)[text[larger]]] = larger
+    array[(start + count_l)[text[smaller]] + np.arange(len(smaller)) - (np.cumsum(count_s) - count_s)[text[smaller]]] = smaller
     return array
 
 
-def _doubled(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes ordered by their first ``depth`` values at least, by doubling."""
-    rank, n, width = text.astype(np.int64), len(text), 1
-    while True:
-        order = np.argsort(rank, kind="stable")
-        sorted_ = rank[order]
-        new = np.r_[False, sorted_[1:] != sorted_[:-1]]
-        if width >= depth or new.sum() == n - 1:
-            return order
-        rank[order] = np.cumsum(new)
-        other = np.zeros(n, np.int64)
-        if width < n:
-            other[:-width] = rank[width:] + 1
-        rank = rank * (n + 1) + other
-        width *= 2
-
-
-def suffix_array(text: np.ndarray, depth: int, values: int | None = None) -> np.ndarray:
-    """Suffixes of ``text`` in order; ones that agree in ``depth`` values may stay in any order."""
+def suffix_array(text: np.ndarray, values: int | None = None, levels: list[int] | None = None) -> np.ndarray:
+    """Suffixes of ``text`` in order; ``levels`` receives the length of the string of each level of the recursion."""
     n = len(text)
+    if levels is not None:
+        levels.append(n)
     values = int(text.max()) + 1 if values is None else values
-    small = _types(text)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    if not len(lms):
-        return _doubled(text, depth)
-    array = _induce(text, small, lms, values)
+    small = types(text)
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
+    if not len(lms):  # the text's end alone
+        return np.zeros(1, np.int32)
+    doubled = text.astype(np.int32) * 2
+    # LMS suffixes by their first value alone induce the order of LMS substrings
+    array = _induce(text, doubled, small, lms[_by(text[lms], values)], values)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     by = array[is_lms[array]].astype(np.int64)
@@ -130,14 +104,11 @@ def suffix_array(text: np.ndarray, depth: int, values: int | None = None) -> np.
         same = same[~done]
     name_of = np.cumsum(~equal) - 1
     names = int(name_of[-1]) + 1
-    if names == len(lms):
-        return _induce(text, small, by, values)
-    reduced = np.zeros(len(lms), np.int64)
-    reduced[number[by]] = name_of
-    half = -(-depth // 2) + 1  # a name spans two values at least
-    # the last LMS is the text's end, whose name 0 is unique
-    order = suffix_array(reduced, half, names) if names * 400 < len(lms) else _doubled(reduced, half)
-    return _induce(text, small, lms[order], values)
+    if names < len(lms):
+        reduced = np.zeros(len(lms), np.int32)  # the last LMS is the text's end, whose name 0 is unique
+        reduced[number[by]] = name_of
+        by = lms[suffix_array(reduced, names, levels)]
+    return _induce(text, doubled, small, by, values)
 
 
 def common_prefixes(text: np.ndarray, array: np.ndarray, most: int) -> np.ndarray:

@@ -219,7 +219,7 @@ def test_suffix_array(letters):
     rng = np.random.default_rng(letters)
     for n in (1, 2, 3, 50, 700):
         text = np.r_[rng.integers(1, letters + 1, n), 0].astype(np.uint8)
-        array = suffix_array(text, n + 1, 256)
+        array = suffix_array(text, 256)
         whole = text.tobytes()
         assert array.tolist() == sorted(range(n + 1), key=lambda i: whole[i:])
         shared = common_prefixes(text, array, n + 1)
@@ -230,6 +230,18 @@ def test_suffix_array(letters):
             assert shared[at] == k
 
 
+def test_substrings_are_sorted_by_recursion(documents):
+    """Shards of real text go down several levels, each at most half as long; prefixes give the repeats."""
+    raw = b"\x01".join((t or "").encode() for _, t in pairs(documents)[:40])
+    text = np.r_[np.frombuffer(raw, np.uint8) + 2, 0].astype(np.uint8)
+    levels = []
+    array = suffix_array(text, 256, levels)
+    assert len(levels) >= 3 and all(2 * b <= a for a, b in zip(levels, levels[1:], strict=False))
+    whole = text.tobytes()
+    assert all(whole[a : a + 4_000] <= whole[b : b + 4_000] for a, b in zip(array[:-1].tolist(), array[1:].tolist(), strict=True))
+    assert sorted(array.tolist()) == list(range(len(text)))
+
+
 # ---- repeated sentences -----------------------------------------------------------------
 
 
