@@ -1,12 +1,14 @@
 """Substring deduplication by sliding spans of sentences.
 
-A text is cut into sentences: after a word that ends in ``.``, ``!`` or ``?`` and at line
-ends.  Sentences of ``PIECE`` words or more are cut again before the word of least hash of
+A text is cut into sentences: at line ends and after a stop (``STOPS``), which closing marks
+(``CLOSERS``) may follow; a full-width stop ends a sentence where it stands, the
+others at the end of a word.  Sentences of ``PIECE`` words or more are cut again before the word of least hash of
 every ``PIECE`` consecutive words (the last such word), which depends on those words alone.  So no
 piece has over ``PIECE`` words, cuts that lie ``PIECE`` words or more inside a passage are the
-same wherever it stands, and 50 words, with stops or without, always hold three whole pieces
-(a run, but where every three have less than ``least_words`` words).  Every run of ``span`` consecutive
-sentences with ``least_words`` words or more is hashed (128 bits over its words, so white
+same wherever it stands, and 50 words, with stops or without, always hold three whole pieces.
+At every sentence a run begins: ``span`` consecutive sentences, and as many more as it takes to reach
+``least_words`` words (three sentences of a word each repeat by chance in texts that have
+nothing to do with each other).  Its words are hashed (128 bits; white
 space doesn't matter).  A run found more than once in the corpus keeps its first place,
 the one with the least (doc_id, sentence); sentences that any other place covers go.
 
@@ -15,13 +17,14 @@ that a third of all documents share is one row per task there; the way back is a
 join in which Spark can split a hot key.
 
 Defined results: null, empty and blank texts have no sentences and stay as they are
-(null stays null).  Rows without an id come after all others and are not told apart, nor
-are rows that repeat an id: where they agree in text, they are one place.  A text whose
-sentences all go becomes empty.  An empty table gives no rows.
+(null stays null).  Rows without an id come after all others.  Rows that share an id, or
+have none, are told apart by a hash of their text and come in its order; rows that agree in both are one
+place.  A text whose sentences all go becomes empty.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -36,18 +39,62 @@ from .scratch import written
 
 PIECE = 12
 LONG = PIECE - 1  # sentences of more words are cut, so that the cuts do not depend on what stands around a passage
-_STOP = B.byte_class([(0x21, 0x21), (0x2E, 0x2E), (0x3F, 0x3F)])
+#: fixed values: marks that end a sentence, those of them that need no white space after them, and marks that may close after one
+STOPS = ".!?…؟۔।。．！？"
+WIDE_STOPS = "。．！？"
+CLOSERS = "\"')]}»”’›」』）】"
 _BASES = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 _INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
 LAST = 2**63 - 1
 
 
+def _ends_with(data: np.ndarray, ends: np.ndarray, marks: str) -> np.ndarray:
+    """For each end, the bytes of the mark of ``marks`` that stands right before it, 0 where none does."""
+    size = np.zeros(len(ends), np.int64)
+    for mark in marks:
+        raw = mark.encode()
+        hit = (ends >= len(raw)) & (data[np.maximum(ends - 1, 0)] == raw[-1])
+        for k in range(2, len(raw) + 1) if hit.any() else ():
+            hit &= data[np.maximum(ends - k, 0)] == raw[-k]
+        size[hit] = len(raw)
+    return size
+
+
+def stopped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each word ends in a stop, closing marks aside."""
+    end = ends.copy()
+    todo = np.arange(len(end))
+    while len(todo):
+        size = _ends_with(data, end[todo], CLOSERS)
+        go = (size > 0) & (end[todo] - size > starts[todo])
+        todo = todo[go]
+        end[todo] -= size[go]
+    return _ends_with(data, end, STOPS) > 0
+
+
+def wide_stops(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places behind full-width stops and the closing marks that follow them, text by text."""
+    raw = data.tobytes()
+    if not any(mark.encode() in raw for mark in WIDE_STOPS):
+        return np.zeros(0, np.int64)
+    at = offsets.tolist()
+    return np.array([m.end() for a, b in zip(at[:-1], at[1:], strict=True) for m in _WIDE.finditer(raw, a, b)], np.int64)
+
+
+_WIDE = re.compile(b"(?:" + b"|".join(c.encode() for c in WIDE_STOPS) + b")+(?:" + b"|".join(re.escape(c.encode()) for c in CLOSERS) + b")*")
+
+
 class Sentences:
     """Sentences of a column of texts: first word and first byte of each."""
 
     def __init__(self, column: pa.Array):
         self.data, self.offsets = B.text_buffer(column)
         starts, ends = B.runs(B.NOT_BLANK[self.data], self.offsets)
+        cuts = wide_stops(self.data, self.offsets)
+        if len(cuts):  # words go on right behind a full-width stop
+            at = np.searchsorted(starts, cuts, "right") - 1
+            cuts = cuts[(at >= 0) & (cuts > starts[at]) & (cuts < ends[at])]
+            starts, ends = np.sort(np.r_[starts, cuts]), np.sort(np.r_[ends, cuts])
         self.starts, self.ends = starts, ends
         row = B.owner(starts, self.offsets)
         n = len(starts)
@@ -55,7 +102,7 @@ class Sentences:
         if n:
             lines = np.r_[0, np.cumsum(self.data == 10)]
             new[0] = True
-            new[1:] = (row[1:] != row[:-1]) | _STOP[self.data[ends[:-1] - 1]] | (lines[starts[1:]] > lines[ends[:-1]])
+            new[1:] = (row[1:] != row[:-1]) | stopped(self.data, starts, ends)[:-1] | (lines[starts[1:]] > lines[ends[:-1]])
             first = np.flatnonzero(new)
             size = np.diff(np.r_[first, n])
             new[self.pieces(np.repeat(np.where(size > LONG, first, -1), size))] = True
@@ -80,15 +127,17 @@ class Sentences:
         inside = np.flatnonzero((sentence[: len(least)] >= 0) & (sentence[: len(least)] == sentence[PIECE - 1 :]))
         return np.unique(low - (least[inside].min(axis=1) & low)).astype(np.int64)
 
-    def spans(self, span: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(sentence number, two hashes) of each run of ``span`` sentences."""
+    def spans(self, span: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(sentence number, sentences, two hashes) of each run of ``span`` sentences or more and ``least_words`` words or more."""
         empty = np.zeros(0, np.int64)
         if len(self.first) < span:
-            return empty, empty, empty
-        begin = self.first[: len(self.first) - span + 1]
-        end = np.r_[self.first, self.n_words][span:]
-        ok = (self.row[: len(begin)] == self.row[span - 1 :]) & (end - begin >= least_words)
-        at = np.flatnonzero(ok)
+            return empty, empty, empty, empty
+        edge = np.r_[self.first, self.n_words]
+        at = np.arange(len(self.first))
+        upto = np.maximum(at + span, np.searchsorted(edge, self.first + least_words))
+        ok = upto <= self.at[self.row + 1]
+        at, upto = at[ok], upto[ok]
+        begin, end = edge[at], edge[upto]
         out = []
         for base, inverse in zip(_BASES, _INVERSES, strict=True):
             power = np.full(self.n_words, base)
@@ -97,40 +146,51 @@ class Sentences:
             back = np.full(self.n_words + 1, inverse)
             back[0] = 1
             back = np.multiply.accumulate(back)
-            out.append(B.mix((sums[end[at]] - sums[begin[at]]) * back[begin[at]] + (end[at] - begin[at]).astype(np.uint64)).view(np.int64))
-        return at, out[0], out[1]
+            out.append(B.mix((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64)).view(np.int64))
+        return at, upto - at, out[0], out[1]
+
+
+KEY = ["doc", "sum"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the (doc, sum) that tells its rows apart; the hash of the text only matters where ids repeat."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    shared = docs.groupBy(doc.alias("doc")).count().where("count > 1").limit(1).count()
+    return docs.withColumn("__doc", doc).withColumn("__sum", F.xxhash64(F.col("text").cast("string")) if shared else F.lit(0).cast("long"))
 
 
-def span_rows(docs: DataFrame, span: int = 3, least_words: int = 8) -> DataFrame:
-    """(doc, sentence, h1, h2): each run of ``span`` sentences of ``docs(doc_id, text)``."""
+def span_rows(keyed: DataFrame, span: int, least_words: int) -> DataFrame:
+    """(doc, sum, sentence, size, h1, h2): the run that begins at each sentence of ``keyed(__doc, __sum, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in B.slices(whole, "text"):
                 cut = Sentences(batch.column("text"))
-                at, h1, h2 = cut.spans(span, least_words)
-                doc = np.asarray(batch.column("doc").to_numpy(zero_copy_only=False))[cut.row[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array((at - cut.at[cut.row[at]]).astype(np.int32)), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], ["doc", "sentence", "h1", "h2"])
+                at, size, h1, h2 = cut.spans(span, least_words)
+                doc, sum_ = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False))[cut.row[at]] for c in KEY)
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(sum_, pa.int64()), pa.array((at - cut.at[cut.row[at]]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], [*KEY, "sentence", "size", "h1", "h2"])
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc long, sentence int, h1 long, h2 long")
+    return keyed.select(F.col("__doc").alias("doc"), F.col("__sum").alias("sum"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc long, sum long, sentence int, size int, h1 long, h2 long")
 
 
-def repeated_sentences(docs: DataFrame, span: int = 3, least_words: int = 8) -> DataFrame:
-    """(doc, gone): the numbers of the sentences to remove from each document that has any."""
-    spans = span_rows(docs, span, least_words)
-    firsts = spans.groupBy("h1", "h2").agg(F.min(F.struct("doc", "sentence")).alias("first"), F.max(F.struct("doc", "sentence")).alias("last")).where("first != last").select("h1", "h2", "first")
+def repeated_sentences(keyed: DataFrame, span: int = 3, least_words: int = 8) -> DataFrame:
+    """(doc, sum, gone): the numbers of the sentences to remove from each text that has any."""
+    spans = span_rows(keyed, span, least_words)
+    place = F.struct("doc", "sum", "sentence")
+    firsts = spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h1", "h2", "first")
     firsts = written(firsts, "first-spans")  # a table of its own, so that Spark can split a hot key of the join
-    later = spans.join(firsts, ["h1", "h2"]).where(F.struct("doc", "sentence") != F.col("first")).select("doc", "sentence")
-    starts = later.groupBy("doc").agg(F.collect_set("sentence").alias("starts"))
-    return starts.select("doc", F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.lit(span - 1)))))).alias("gone"))
+    later = spans.join(firsts, ["h1", "h2"]).where(place != F.col("first")).select(*KEY, "sentence", "size")
+    runs = later.groupBy(*KEY).agg(F.collect_set(F.struct("sentence", "size")).alias("runs"))
+    return runs.select(*KEY, F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["sentence"], r["sentence"] + r["size"] - 1))))).alias("gone"))
 
 
 def substring_dedup(docs: DataFrame, span: int = 3, least_words: int = 8) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``, and n_sentences, n_removed added."""
-    own = ["__doc", "__gone", "n_sentences", "n_removed"]
-    kept = docs.drop("n_sentences", "n_removed")
-    gone = repeated_sentences(docs, span, least_words).select(F.col("doc").alias("__doc"), F.col("gone").alias("__gone"))
-    rows = kept.withColumn("text", F.col("text").cast("string")).withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).join(gone, "__doc", "left").select(*kept.columns, "__gone")
+    own = ["__doc", "__sum", "__gone", "n_sentences", "n_removed"]
+    kept = _keyed(docs.drop("n_sentences", "n_removed"))
+    gone = repeated_sentences(kept, span, least_words).select(F.col("doc").alias("__doc"), F.col("sum").alias("__sum"), F.col("gone").alias("__gone"))
+    rows = kept.withColumn("text", F.col("text").cast("string")).join(gone, ["__doc", "__sum"], "left").select(*(c for c in kept.columns if c not in own), "__gone")
     schema = T.StructType([*(f for f in rows.schema.fields if f.name not in own), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

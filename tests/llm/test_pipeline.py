@@ -37,7 +37,7 @@ def test_stages(spark, documents):
     kept = stage["substring_dedup"](spark, kept, SF).persist()
     assert kept.columns == documents.columns
     plain = without_spans(before)
-    assert sorted(pairs(kept)) == sorted((d, t if not plain[d][1] else plain[d][2]) for d, t in before if not plain[d][1] or plain[d][1] < plain[d][0])
+    assert sorted(pairs(kept)) == sorted((d, t if not plain[d, t][1] else plain[d, t][2]) for d, t in before if not plain[d, t][1] or plain[d, t][1] < plain[d, t][0])
     assert kept.where(F.col("n_chars") != F.length("text")).count() == 0
 
     before = pairs(kept)
