@@ -1,24 +1,31 @@
 """Main text of web pages through a site style tree.
 
-The DOMs of a host's pages are merged by node path (tag, class and id from the root).  For
-each (host, path) two entropies are computed over the host's pages: of the
-*presentation* (the sequence of child elements) and of the *content* (the text below).
+The DOMs of a host's pages are merged by node path (tag, class and id from the root, numbers
+aside).  For each (host, path) two entropies are computed over the host's distinct pages: of the
+*presentation* (the elements below) and of the *content* (the text below).
 With c_i pages showing variant i, of m pages in all, the importance is
 ``-sum(c_i/m * log_m(c_i/m))``: 0 for a node that every page shows alike, 1 for one that is
-different on each page.  A node's importance is the larger of the two, and a block whose
-node has less than ``LEAST`` on ``MIN_PAGES`` pages or more is removed with its branch.
+different on each page.  They decide on every page, inside articles too:
 
-Entropy says nothing on a host's first pages, or where boilerplate changes from page to
-page, so the tree carries prior importance too: elements that are menus, headers, footers, forms and the like
-by tag, role or class name have importance 0, and those inside the article proper keep
-theirs whatever other pages hold (copies of an article are still articles).  If a page has an article or
-main element with text, only that is its main text.
+* *The frame.*  From the root down, while exactly one child carries the site's variety (it stands once on
+  each page that has it, on half of the pages or more, and its presentation has ``CARRY`` of the
+  root's importance or more), the tree goes into that child; what stands beside it has no part in the text.
+* *Branches.*  A node whose two importances are below ``LEAST`` is removed with all that is below it,
+  if it stands on ``MIN_PAGES`` distinct pages and ``SHARE`` of them or more.
 
-Pages of one host are never gathered: variants are counted (with pre-aggregation) and only the
-low-importance paths of a host come back to its pages.
+Pages of equal text (menus and the like aside) count as one, so copies of an article are still
+articles; a page of which the tree would leave nothing keeps what the priors leave.
+
+*Priors.*  What the task names as no part of an article, whatever its entropy (adverts and comments
+differ on each page), goes by tag, role or class name: menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles and reader comments.  If an article or main element
+with text is left, only that is the text; this is what decides where a host has few pages.
+
+Pages of one host are never gathered: variants are counted (with pre-aggregation) and only a
+host's frame and low paths come back to its pages; their number is bounded by the nodes of a page over ``SHARE``.
 
 Defined results: null and empty html give the empty text; pages without a host in
-their url use prior importance alone; repeated rows stay repeated; unclosed and stray
+their url use priors alone; repeated rows stay repeated; unclosed and stray
 tags are repaired as browsers do.  An empty table gives no rows.
 """
 
@@ -37,39 +44,63 @@ from pyspark.sql import functions as F
 from . import bytetext as B
 from .scratch import written
 
-LEAST, MIN_PAGES = 0.2, 5
+LEAST, MIN_PAGES, SHARE, CARRY = 0.2, 5, 0.05, 0.8
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_NUMBER = re.compile(r"\d+")
 #: fixed values: HTML's element kinds
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i iframe input ins kbd label link map mark meta noembed noframes q rb rp rt ruby s samp script small span strike strong style sub sup textarea time tt u var wbr xmp img br".split())
+#: kinds that stand in a line of text but may hold blocks
+NESTED = frozenset("button canvas math noscript object select svg template".split())
+FOREIGN = frozenset(["svg", "math"])
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"})}
-#: fixed values: elements, roles and class words without importance
+#: fixed values: elements, roles and class words of what is no part of an article
 NOISE_TAGS = frozenset("nav footer aside form script style noscript template svg iframe button select option textarea input dialog menu head object canvas title map".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense alert banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies disqus donate footer form gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup privacy promo promoted promotion rail recommended related respond search share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription survey tags toolbar trending widget widgets".split()
+    "advert adverts advertisement advertising adsense banner promo sponsor sponsored"
+    " breadcrumb breadcrumbs menu nav navbar navigation pager pagination footer masthead sidebar"
+    " alert consent cookie cookies gdpr modal newsletter notice notices overlay paywall popup"
+    " form login signin signup comment comments commentlist disqus respond".split()
 )
+AD_WORDS = frozenset("ad ads slot box unit container wrapper block top bottom left right side label text frame space zone area".split())
 MAIN_WORDS = frozenset("article content entry main post story".split())
+HIDDEN = "display:none"
+
+
+def _is_noise(named: str) -> bool:
+    """Whether one of the class names or ids is of the kinds that are no part of an article."""
+    for token in named.split():
+        words = [w.lower() for w in _WORDS.findall(token)]
+        if not NOISE_WORDS.isdisjoint(words):
+            return True
+        if ("ad" in words or "ads" in words) and all(w in AD_WORDS or w.isdigit() for w in words):
+            return True
+    return False
 
 
 class Page:
-    """A page's blocks of text, with their places in the tree."""
+    """A page's elements, as a tree, and its blocks of text.
+
+    ``nodes`` holds (parent, path, tag) of each block element, the root first, and ``blocks``
+    (node, noise, main, text) in page order.
+    """
 
     def __init__(self, source: str):
-        # stack items: tag, path, noise, main, child tags (of block elements)
-        self.stack: list[list] = [["", 0, False, 0, []]]
-        self.blocks: list[tuple[int, bool, int, str]] = []  # path, noise, main, text
-        self.styles: dict[int, list] = {}
+        self.nodes: list[tuple[int, int, str]] = [(-1, 0, "")]
+        self.stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]  # tag, node, noise, main
+        self.noisy = [False]  # for each node
+        self.blocks: list[tuple[int, bool, int, str]] = []
         self.buffer: list[str] = []
         at = 0
         lower = None
         for m in iter(lambda: _TOKEN.search(source, at), None):
             if m.start() > at:
-                self.buffer.append(_html.unescape(source[at : m.start()]))
+                self.say(_html.unescape(source[at : m.start()]))
             at = m.end()
             tag = m.group(2)
             if tag is None:
@@ -84,55 +115,63 @@ class Page:
                 end = lower.find("</" + tag, at)
                 at = len(source) if end < 0 else end
         if at < len(source):
-            self.buffer.append(_html.unescape(source[at:]))
+            self.say(_html.unescape(source[at:]))
         self.flush()
 
+    def say(self, text: str) -> None:
+        _, node, noise, _ = self.stack[-1]
+        if noise == self.noisy[node]:  # else a noisy element in a line: the line goes on without it
+            self.buffer.append(text)
+
     def flush(self) -> None:
         if self.buffer:
             text = " ".join("".join(self.buffer).split())
             self.buffer = []
             if text:
-                top = self.stack[-1]
-                for item in reversed(self.stack):
-                    if item[0] not in INLINE:
-                        self.blocks.append((item[1], top[2], top[3], text))
-                        break
+                node = self.stack[-1][1]
+                main = next(x[3] for x in reversed(self.stack) if x[0] not in INLINE)
+                self.blocks.append((node, self.noisy[node], main, text))
 
     def open(self, tag: str, attributes: str) -> None:
-        if tag not in INLINE:
+        foreign = self.foreign()
+        block = not foreign and tag not in INLINE and tag not in NESTED
+        if block:
             self.flush()
             self.close_implied(tag)
         if tag == "br":
-            self.buffer.append(" ")
-        top = self.stack[-1]
-        noise, main = top[2], top[3]
+            self.say(" ")
+        _, node, noise, main = self.stack[-1]
         named = ""
         if tag in NOISE_TAGS or (tag == "header" and not main):
             noise = True
         if tag in ("article", "main"):
             main = 2
-        if attributes and "=" in attributes or "hidden" in attributes:
+        if attributes and ("=" in attributes or "hidden" in attributes):
             values = {k.lower(): _html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-            named = f"{values.get('class', '')}#{values.get('id', '')}"
+            named = f"{values.get('class', '')} {values.get('id', '')}"
             words = {w.lower() for w in _WORDS.findall(named)}
             role = values.get("role", "").lower()
-            if "hidden" in values or values.get("aria-hidden", "").lower() == "true" or "display:none" in values.get("style", "").replace(" ", "").lower():
+            inner = tag not in ("html", "body")
+            if "hidden" in values or values.get("aria-hidden", "").lower() == "true" or HIDDEN in values.get("style", "").replace(" ", "").lower():
                 noise = True
-            elif role in NOISE_ROLES or (words & NOISE_WORDS and tag not in ("html", "body")) or ("header" in words and not main and tag not in ("html", "body")):
+            elif role in NOISE_ROLES or (inner and (_is_noise(named) or ("header" in words and not main))):
                 noise = True
             elif role in ("main", "article"):
                 main = 2
             elif words & MAIN_WORDS and tag in ("div", "section", "td") and not main:
                 main = 1
-        if tag in VOID:
+        if tag in VOID or (attributes.endswith("/") and (foreign or tag in FOREIGN)):
             return
-        path = top[1] if tag in INLINE else xxhash.xxh64_intdigest(f"{top[1]:x}/{tag}.{named}")
-        if tag not in INLINE:
-            for item in reversed(self.stack):
-                if item[0] not in INLINE:
-                    item[4].append(tag)
-                    break
-        self.stack.append([tag, path, noise, main, self.styles.setdefault(path, []) if tag not in INLINE else []])
+        if block:
+            path = xxhash.xxh64_intdigest(f"{self.nodes[node][1]:x}/{tag}.{_NUMBER.sub('0', named)}")
+            self.nodes.append((node, path, tag))
+            self.noisy.append(noise)
+            node = len(self.nodes) - 1
+        self.stack.append((tag, node, noise, main))
+
+    def foreign(self) -> bool:
+        """Whether a drawing or a formula is open: its elements are no blocks and may close themselves."""
+        return any(x[0] in FOREIGN for x in self.stack)
 
     def close_implied(self, tag: str) -> None:
         if tag in _CLOSES:
@@ -153,52 +192,83 @@ class Page:
                     break
 
     def close(self, tag: str) -> None:
-        if tag not in INLINE:
+        inline = tag in INLINE
+        if not inline and tag not in NESTED and not self.foreign():
             self.flush()
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == tag:
-                if tag in INLINE and any(x[2] for x in self.stack[i:]) != self.stack[i - 1][2]:
-                    self.flush_inline()
+                if not inline and self.stack[-1][1] != self.stack[i][1]:
+                    self.flush()
                 del self.stack[i:]
                 return
-            if tag in INLINE and self.stack[i][0] not in INLINE:
+            if inline and self.stack[i][0] not in INLINE:
                 return
 
-    def flush_inline(self) -> None:
-        """Text of a noisy inline element is dropped from its block."""
-        self.buffer = []
+    def above(self, node: int) -> Iterator[int]:
+        """A node and all above it."""
+        while node >= 0:
+            yield node
+            node = self.nodes[node][0]
+
+    def frame(self, carrying: frozenset[int]) -> int:
+        """The node that the tree goes down to through paths that carry the site's variety; 0, the root, if none does."""
+        below: dict[int, list[int]] = {}
+        for i, (parent, path, _) in enumerate(self.nodes):
+            if path in carrying:
+                below.setdefault(parent, []).append(i)
+        at = 0
+        while len(below.get(at, ())) == 1:
+            at = below[at][0]
+        return at
 
-    def text(self, low: frozenset[int]) -> str:
-        """The blocks of importance; ``low``: paths without."""
+    def text(self, low: frozenset[int] = frozenset(), carrying: frozenset[int] = frozenset()) -> str:
+        """The blocks that stay; ``low``: paths without importance, ``carrying``: paths that may hold the frame."""
         good = [b for b in self.blocks if not b[1]]
-        level = max((b[2] for b in good), default=0)
-        return "\n".join(t for path, _, main, t in good if main >= level and (main == 2 or path not in low))
-
-    def nodes(self) -> Iterator[tuple[int, int, int]]:
-        """(path, presentation, content) of each node that isn't noise by itself, paths once."""
-        texts: dict[int, list[str]] = {}
-        for path, noise, main, text in self.blocks:
-            if not noise and main < 2:
-                texts.setdefault(path, []).append(text)
-        for path, own in texts.items():
-            yield path, xxhash.xxh64_intdigest("/".join(self.styles.get(path, ()))), xxhash.xxh64_intdigest("\n".join(own))
+        if low or carrying:
+            frame = self.frame(carrying)
+            stay = []
+            for b in good:
+                chain = list(self.above(b[0]))
+                if frame in chain and low.isdisjoint(self.nodes[i][1] for i in chain):
+                    stay.append(b)
+            good = stay or good
+        level = 2 if any(b[2] == 2 for b in good) else max((b[2] for b in good), default=0)
+        return "\n".join(t for _, _, main, t in good if main >= level)
+
+    def tree(self) -> tuple[int, dict[int, list]]:
+        """(hash of the text without noise, {path: [presentation, content, once]}) of all nodes."""
+        own = xxhash.xxh64_intdigest("\n".join(t for _, noise, _, t in self.blocks if not noise))
+        style: dict[int, xxhash.xxh64] = {}
+        said: dict[int, xxhash.xxh64] = {}
+        times: dict[int, int] = {}
+        for i, (parent, path, tag) in enumerate(self.nodes):
+            times[path] = times.get(path, 0) + 1
+            for depth, j in enumerate(self.above(parent)):
+                style.setdefault(self.nodes[j][1], xxhash.xxh64()).update(f"{depth}{tag}/")
+            style.setdefault(path, xxhash.xxh64()).update("#")
+        for node, _, _, text in self.blocks:
+            for j in self.above(node):
+                said.setdefault(self.nodes[j][1], xxhash.xxh64()).update(text + "\n")
+        return own, {path: [h.intdigest(), said[path].intdigest() if path in said else 0, times[path] == 1] for path, h in style.items()}
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+NODE_SCHEMA = "host string, path long, page long, style long, content long, once boolean"
+
+
 def _node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in B.slices(whole, "html"):
             out: list[tuple] = []
             for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 if source and host:
-                    for path, style, content in Page(source).nodes():
-                        out.append((host, _signed(path), 0, _signed(style)))
-                        out.append((host, _signed(path), 1, _signed(content)))
-            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["host", "path", "kind", "variant"])
+                    page, nodes = Page(source).tree()
+                    out += [(host, _signed(path), _signed(page), _signed(style), _signed(content), once) for path, (style, content, once) in nodes.items()]
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 4, pa.bool_()), strict=True)], [c.split()[0] for c in NODE_SCHEMA.split(", ")])
 
 
 def hosts(pages: DataFrame) -> DataFrame:
@@ -208,26 +278,40 @@ def hosts(pages: DataFrame) -> DataFrame:
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of the merged trees' nodes that hold text."""
+    """(host, path, pages, once, presentation, content): the merged trees' nodes; path 0 is a host's root."""
     rows = hosts(pages.select("url", F.col("html").cast("string").alias("html"))).select("host", "html").where("host is not null")
-    counts = rows.mapInArrow(_node_rows, "host string, path long, kind int, variant long").groupBy("host", "path", "kind", "variant").agg(F.count("*").alias("c"))
-    nodes = counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
+    nodes = rows.mapInArrow(_node_rows, NODE_SCHEMA)
+    nodes = nodes.groupBy("host", "path", "page").agg(F.min("style").alias("style"), F.min("content").alias("content"), F.min("once").alias("once"))  # distinct pages
+    kinds = nodes.select("host", "path", "once", F.posexplode(F.array("style", "content")).alias("kind", "variant"))
+    counts = kinds.groupBy("host", "path", "kind", "variant").agg(F.count("*").alias("c"), F.min("once").alias("once"))
+    sums = counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"), F.min("once").alias("once"))
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(F.lit(1.0))
-    return nodes.groupBy("host", "path").agg(F.max("m").alias("pages"), F.max(entropy).alias("importance"))
+    of_kind = lambda k: F.max(F.when(F.col("kind") == k, entropy))
+    return sums.groupBy("host", "path").agg(F.max("m").alias("pages"), F.min("once").alias("once"), of_kind(0).alias("presentation"), of_kind(1).alias("content"))
+
+
+def decisions(tree: DataFrame) -> DataFrame:
+    """(host, low, carrying): the paths that :meth:`Page.text` asks for; a row per host."""
+    root = tree.where("path = 0").select("host", F.col("pages").alias("all"), F.col("presentation").alias("variety"))
+    nodes = tree.where("path != 0").join(root, "host").where(F.col("pages") >= MIN_PAGES)
+    low = (F.col("pages") >= SHARE * F.col("all")) & (F.greatest("presentation", "content") < LEAST)
+    carrying = F.col("once") & (2 * F.col("pages") >= F.col("all")) & (F.col("variety") >= LEAST) & (F.col("presentation") >= CARRY * F.col("variety"))
+    return nodes.where(low | carrying).groupBy("host").agg(F.collect_set(F.when(low, F.col("path"))).alias("low"), F.collect_set(F.when(carrying, F.col("path"))).alias("carrying"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
-    low = importance(pages).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LEAST)).groupBy("host").agg(F.collect_set("path").alias("low"))
-    low = written(low, "low-paths")  # a row per host; the join can split a hot host
-    rows = hosts(pages.select("page_id", "url", F.col("html").cast("string").alias("html"))).join(low, "host", "left").select("page_id", "url", "html", "low")
+    tree = written(importance(pages), "site-tree")
+    found = written(decisions(tree), "site-decisions")  # a row per host; the join can split a hot host
+    rows = hosts(pages.select("page_id", "url", F.col("html").cast("string").alias("html"))).join(found, "host", "left").select("page_id", "url", "html", "low", "carrying")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths = lambda listed: frozenset(p & (2**64 - 1) for p in listed or ())
         for whole in batches:
             for batch in B.slices(whole, "html"):
                 texts = []
-                for source, paths in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True):
-                    texts.append(Page(source).text(frozenset(p & (2**64 - 1) for p in paths or ())) if source else "")
+                for source, low, carrying in zip(*(batch.column(c).to_pylist() for c in ("html", "low", "carrying")), strict=True):
+                    texts.append(Page(source).text(paths(low), paths(carrying)) if source else "")
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")

@@ -1,6 +1,9 @@
 """Main text of pages: planted pages, the site style tree, and awkward markup."""
 
 import math
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from rasterloom.llm import site_style as S
 
@@ -30,6 +33,11 @@ def test_markup(spark):
         None,
         "<",
         "<div class=comments><p>reader</p></div><main><p>said</p></main>",
+        '<p>Hello <span class="ad">BUY</span> world</p>',
+        "<p>one <svg/>two <svg><path d='x'/><text>no</text></svg>three<script>no()</script> four</p><math/>five",
+        "<p>a<noscript><p>no</p></noscript>b</p>",
+        "<article><p class=byline>By me</p><div class=recommended-dose>Two a day</div><p>See <a class=tags>tags</a>, <i class=privacy>privacy</i>.</p></article>",
+        "<div class='ad-slot top'>no</div><div class=adHoc>yes</div><div id=ad-12>no</div><p>end<button>no</button>",
     ) == [
         "One & two three\nfour bold x",
         "Title\nBody text.",
@@ -42,24 +50,94 @@ def test_markup(spark):
         "",
         "<",
         "said",
+        "Hello world",
+        "one two three four\nfive",
+        "a\nb",
+        "By me\nTwo a day\nSee tags, privacy.",
+        "yes\nend",
     ]
 
 
-def test_importance(spark):
-    pages = [(i, "http://h.example/x", f"<div class=k>same</div><div class=v>text {i}</div><div class=p>{i % 2}</div>") for i in range(8)]
-    found = {(r.pages, round(r.importance, 6)) for r in S.importance(frame(spark, pages)).collect()}
-    assert found == {(8, 0.0), (8, 1.0), (8, round(math.log(2) / math.log(8), 6))}
+def entropy(values):
+    """By the definition, with logarithms to the base of the number of pages."""
+    m = len(values)
+    return 1.0 if m == 1 else -sum(values.count(v) / m * math.log(values.count(v) / m, m) for v in set(values))
+
+
+def test_importance_by_hand(spark):
+    """A small site: each node's presentation and content over the distinct pages."""
+    sites = []
+    for i in range(8):
+        items = "".join(f"<li>go {k}</li>" for k in range(1 + i % 3))
+        sites.append((f"<ul>{items}</ul><div class=k>same</div><div class=v><p>text {i}</p></div><div class=p>{i % 2}</div>", [f"go {k}" for k in range(1 + i % 3)], str(i), str(i % 2)))
+    pages = [(i, "http://h.example/x", h) for i, (h, *_) in enumerate(sites)] + [(99, "http://h.example/y", sites[0][0])]  # a copy counts once
+    found = Counter((r.pages, r.once, round(r.presentation, 6), round(r.content, 6)) for r in S.importance(frame(spark, pages)).collect())
+    lists = [" ".join(x) for _, x, *_ in sites]
+    varied, twos = [v for *_, v, _ in sites], [w for *_, w in sites]
+    expected = [
+        (entropy(lists), entropy([*zip(lists, varied, twos, strict=True)]), True),  # the root
+        (entropy(lists), entropy(lists), True),  # ul
+        (entropy(lists), entropy(lists), False),  # li: one to three on a page
+        (0.0, 0.0, True),
+        (0.0, entropy(varied), True),
+        (0.0, entropy(varied), True),
+        (0.0, entropy(twos), True),
+    ]
+    assert found == Counter((8, once, round(p, 6) + 0.0, round(c, 6) + 0.0) for p, c, once in expected)
 
 
 def test_low_importance_branches_go(spark):
     """What all pages of a host say alike goes, where no name gives it away; on few pages nothing is known."""
-    page = "<div class=q>Always the same words</div><div class=r>Text number {}</div>"
+    page = "<div class=q><section><p>Always the same words</p><p>and more</p></section></div><div class=r>Text number {}</div>"
     many = texts(spark, *(page.format(i) for i in range(6)))
     assert many == [f"Text number {i}" for i in range(6)]
     few = texts(spark, *(page.format(i) for i in range(3)))
-    assert few == [f"Always the same words\nText number {i}" for i in range(3)]
+    assert few == [f"Always the same words\nand more\nText number {i}" for i in range(3)]
     nowhere = texts(spark, *(page.format(i) for i in range(6)), url=None)
-    assert nowhere == [f"Always the same words\nText number {i}" for i in range(6)]
+    assert nowhere == [f"Always the same words\nand more\nText number {i}" for i in range(6)]
+
+
+def test_entropy_decides_inside_articles_and_copies_stay(spark):
+    page = "<article><h1>Title {0}</h1><p>Body {0}</p><div class=x><p>Read our best stories</p></div></article>"
+    assert texts(spark, *(page.format(i) for i in range(8))) == [f"Title {i}\nBody {i}" for i in range(8)]
+    # the same place with words that differ has importance
+    other = [page.format(i).replace("best stories", f"{'story book poem film'.split()[i % 4]} {i}") for i in range(8)]
+    assert texts(spark, *other) == [f"Title {i}\nBody {i}\nRead our {'story book poem film'.split()[i % 4]} {i}" for i in range(8)]
+    # copies of one article are one page, and nothing is known from one page
+    assert texts(spark, *[page.format(7)] * 9) == ["Title 7\nBody 7\nRead our best stories"] * 9
+
+
+def varied(i, tag):
+    """A page whose frame no name tells: everything differs on each page, but only one branch is built differently."""
+    body = "".join(f"<p>Paragraph {k} of {i}.</p>" + "<ul><li>x</ul>" * (k % 3 == i % 3) for k in range(1 + i % 7))
+    links = "".join(f"<li><a>Link {i} {k}</a></li>" for k in range(5))
+    return f"<body><div><ul>{links}</ul></div><div class=z>Sold {i} today</div><{tag}><h2>Head {i}</h2>{body}</{tag}><div class=w>Rights {i}</div></body>"
+
+
+def test_the_frame_is_found_by_presentation(spark):
+    with_name = texts(spark, *(varied(i, "article") for i in range(21)))
+    assert all("Link" not in t and "Sold" not in t and f"Head {i}" in t for i, t in enumerate(with_name))
+    assert texts(spark, *(varied(i, "section") for i in range(21))) == with_name
+    few = texts(spark, *(varied(i, "section") for i in range(3)))
+    assert all("Link" in t and "Sold" in t for t in few)
+
+
+def test_real_pages_are_decided_by_the_tree(spark):
+    """With the article elements renamed to plain ones, hosts of many pages keep their texts."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    tree = S.importance(pages)
+    hosts = {r.host for r in S.decisions(tree).where("size(carrying) > 0").collect()}
+    assert hosts and tree.where("path != 0 and pages > 5").count() > 50
+    renamed = pages.withColumn("html", F.regexp_replace("html", "(</?)article", "$1section"))
+    one, two = (by_id(S.hosts(S.extract(p)).withColumnRenamed("page_id", "doc_id")) for p in (pages, renamed))
+    known = [i for i, r in one.items() if r.host in hosts]
+    assert len(known) > 40 and all(one[i].text == two[i].text for i in known)
+
+
+def test_long_pages(spark):
+    """Pages above one slice."""
+    page = "<nav>no</nav><article>" + "<p>Word after word after word.</p>" * 60_000 + "</article>"
+    assert texts(spark, page, "<p>x</p>")[0].count("\n") == 59_999
 
 
 def test_a_hot_host_and_repeated_rows(spark):
