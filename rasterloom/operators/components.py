@@ -4,38 +4,59 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: edges of one id that stay together in a join; ids with more are dealt to several keys
+HUB = 1_000
+#: keys that the members of one label are dealt to
+SPREAD = 16
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, kept in the session's checkpoint folder."""
+    """``df`` with its lineage cut, kept in the session's checkpoint folder (a temporary one on a local master only)."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
         conf = spark.conf.get("spark.checkpoint.dir", None)
+        if not conf and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(conf or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
+def _dealt(by: Column | str, keys: Column | int) -> Column:
+    return F.pmod(F.xxhash64(by), F.lit(keys) if isinstance(keys, int) else keys).cast("int")
+
+
+def _copies(keys: Column | int) -> Column:
+    return F.explode(F.sequence(F.lit(0), (F.lit(keys) if isinstance(keys, int) else keys) - 1))
+
+
 def component_labels(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = checkpointed, rounds: int = 200) -> DataFrame:
     """(id, label): the least id reachable from each id of ``edges(a, b)``.
 
-    Each round takes the least label of the neighbours, then jumps to the label's own
+    Each round takes the least label of the neighbours and of the label's own
     label, so long paths take few rounds.  Labels only fall; the loop ends when none did.
+    The edges of a hub, and the members of a large component, are dealt to several keys,
+    so neither lands in one task.
     """
-    both = keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
-    labels = keep(labels)
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
+    both = keep(both)
+    labels = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label"), F.ceil(F.count("*") / HUB).cast("int").alias("keys")))
+    hubs = labels.where("keys > 1").select(F.col("id").alias("b"), "keys")  # one for HUB edges at most
+    both = keep(both.join(hubs, "b", "left").select("a", "b", F.coalesce(_dealt("a", F.col("keys")), F.lit(0)).alias("part")))
     for _ in range(rounds):
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.id == near.a, "left").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = step.select(F.col("id").alias("up"), F.col("label").alias("top"))
-        step = step.join(up, step.label == up.up, "left").select("id", "old", F.least("label", "top").alias("label"))
+        known = labels.select(F.col("id").alias("b"), "label", _copies(F.col("keys")).alias("part"))
+        near = both.join(known, ["b", "part"]).groupBy("a").agg(F.min("label").alias("near"))
+        tops = labels.select("id", F.col("label").alias("top")).join(labels.select(F.col("label").alias("id")).distinct(), "id", "left_semi").where("top != id")
+        tops = tops.select(F.col("id").alias("label"), "top", _copies(SPREAD).alias("part"))
+        up = labels.withColumn("part", _dealt("id", SPREAD)).join(tops, ["label", "part"], "left")
+        step = up.join(near, up.id == near.a, "left").select("id", "keys", F.col("label").alias("old"), F.least("label", "near", "top").alias("label"))
         step = keep(step)
         moved = step.where("label != old").limit(1).count()
-        labels = step.select("id", "label")
+        labels = step.select("id", "label", "keys")
         if not moved:
-            return labels
+            return labels.select("id", "label")
     raise RuntimeError(f"labels still moved after {rounds} rounds")

@@ -304,3 +304,14 @@ def test_draw_vertical_seams(spark):
 def test_rectangles(spark):
     row = spark.range(1).select(G.rect_intersect(G.rect(0, 0, 5, 5), G.rect(3, 4, 9, 9)).alias("a"), G.rect_intersect(G.rect(0, 0, 2, 2), G.rect(2, 0, 2, 2)).alias("b"), G.rect_contains(G.rect(1, 1, 2, 2), F.lit(2), F.lit(3)).alias("c")).first()
     assert tuple(row.a) == (3, 4, 2, 1) and row.b is None and not row.c
+
+
+def test_components_of_hubs_and_chains(spark, monkeypatch):
+    from rasterloom.operators import components
+
+    monkeypatch.setattr(components, "HUB", 5)
+    star = [(0, i) for i in range(1, 60)] + [(i, 3) for i in range(60, 90)]
+    chain = [(i, i + 1) for i in range(100, 140)] + [(500, 500)]
+    edges = spark.createDataFrame(star + chain, "a long, b long")
+    found = {r.id: r.label for r in components.component_labels(edges).collect()}
+    assert found == {i: 0 for i in range(90)} | {i: 100 for i in range(100, 141)}
