@@ -27,7 +27,7 @@ Two sets of similarity 0.8 share no band with probability (1 - 0.8**5)**50 < 3e-
 
 Defined results: null, empty or blank texts have no set, link with nothing and stay.  Rows
 with a null id link with nothing and stay.  Rows that repeat an id are one document to the
-links.  Ties go to the least id.  An empty table gives no rows; other columns are ignored.
+links: what any of their texts links with is one component.  Ties go to the least id.  An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -228,8 +228,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     filled = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("set_key", "rep")
     classes = written(classes, "classes")  # a table of its own, as are the buckets' heads, so that the join can split a hot key
-    members = written(filled.select("doc_id", "set_key").join(classes, "set_key").where("doc_id != rep").groupBy("doc_id").agg(F.min("rep").alias("rep")), "members")
-    reps = written(filled.join(members, "doc_id", "left_anti").select("doc_id", "bands", "sketch"), "representatives")
+    members = written(filled.select("doc_id", "set_key").distinct().join(classes, "set_key").where("doc_id != rep").select("doc_id", "set_key", "rep"), "members")
+    reps = written(filled.join(members, ["doc_id", "set_key"], "left_anti").select("doc_id", "bands", "sketch"), "representatives")
+    # an id that repeats with several sets ties their classes
+    several = filled.groupBy("doc_id").agg(F.min("set_key").alias("k"), F.max("set_key").alias("l")).where("k != l").select("doc_id")
+    ties = members.join(several, "doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
     entries = reps.select(F.posexplode("bands").alias("band", "bucket"), "doc_id")
     heads = entries.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("head != last").select("bucket", "head", "n")
@@ -253,7 +256,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     keep = lambda df: written(df, "labels")
     tested = buckets.where((F.col("band") < FIRST_BANDS) & (F.col("doc_id") != F.col("head"))).select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = confirmed(estimated(tested), "links")
+    links = confirmed(estimated(tested), "links").unionByName(ties)
     labels = component_labels(links, keep)
 
     # a place of each component in each bucket
@@ -296,5 +299,5 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         labels = component_labels(links.unionByName(more), keep)
 
     label_of = labels.select(F.col("id").alias("rep"), "label")
-    out = sketches.select("doc_id", "n_shingles").join(members, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(label_of, "rep", "left")
+    out = sketches.select("doc_id", "n_shingles").join(members.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(label_of, "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (single-machine tests) a temporary folder is used.
+    Only where it is unset on a local master (tests) a temporary folder is used.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = getattr(spark, "_own_scratch", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="scratch-")

@@ -125,6 +125,17 @@ def test_askers_of_a_part_are_dealt_to_chunks(spark, monkeypatch):
     assert found == linked(list(enumerate(texts)), 2)
 
 
+def test_rows_that_repeat_an_id_tie_their_texts(spark):
+    """An id whose texts belong to different classes, or near them, joins those."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    near = lambda t: t.replace("30 ", "30x ")
+    texts = [(3, one), (4, two), (7, one), (7, near(two)), (8, two), (5, three), (9, three), (9, one + " more"), (11, near(three)), (12, "alone here"), (12, "alone there"), (13, None), (13, "alone there")]
+    component = linked(texts, 2)
+    found = Counter(map(tuple, N.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 2).collect()))
+    assert found == Counter((d, len(shingle_set(t, 2)), component[d], component[d] == d) for d, t in texts)
+    assert component[4] == component[5] == 3
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(6)
     for share in (0.7, 0.8, 0.9, 0.97):
