@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: edges of one id that stay together in a join; ids with more are dealt to several keys
@@ -14,16 +17,31 @@ SPREAD = 16
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, kept in the session's checkpoint folder (a temporary one on a local master only)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
+    """``df`` with its lineage cut: a table in the folder of ``spark.checkpoint.dir``, computed once and read back.
 
-        conf = spark.conf.get("spark.checkpoint.dir", None)
-        if not conf and not spark.sparkContext.master.startswith("local"):
+    A temporary folder serves on a local master where the setting is missing.  Tables go when the driver ends.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(conf or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+        folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is not None and context._jvm is not None:
+        try:
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session is over; the shared folder has its own clean-up
+            pass
 
 
 def _dealt(by: Column | str, keys: Column | int) -> Column:
