@@ -150,47 +150,51 @@ class Sentences:
         return at, upto - at, out[0], out[1]
 
 
-KEY = ["doc", "sum"]
+SIZE_BITS = 20  # of a run's place: its first sentence, shifted, and its number of sentences
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the (doc, sum) that tells its rows apart; the hash of the text only matters where ids repeat."""
+def _keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with the columns that tell its rows apart, and their names: doc, and a hash of the text where ids repeat."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     shared = docs.groupBy(doc.alias("doc")).count().where("count > 1").limit(1).count()
-    return docs.withColumn("__doc", doc).withColumn("__sum", F.xxhash64(F.col("text").cast("string")) if shared else F.lit(0).cast("long"))
+    keyed = docs.withColumn("__doc", doc)
+    return (keyed.withColumn("__sum", F.xxhash64(F.col("text").cast("string"))), ["doc", "sum"]) if shared else (keyed, ["doc"])
 
 
-def span_rows(keyed: DataFrame, span: int, least_words: int) -> DataFrame:
-    """(doc, sum, sentence, size, h1, h2): the run that begins at each sentence of ``keyed(__doc, __sum, text)``."""
+def span_rows(keyed: DataFrame, key: list[str], span: int, least_words: int) -> DataFrame:
+    """(doc, ..., place, h1, h2): the run that begins at each sentence of ``keyed(__doc, ..., text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in B.slices(whole, "text"):
                 cut = Sentences(batch.column("text"))
                 at, size, h1, h2 = cut.spans(span, least_words)
-                doc, sum_ = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False))[cut.row[at]] for c in KEY)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(sum_, pa.int64()), pa.array((at - cut.at[cut.row[at]]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], [*KEY, "sentence", "size", "h1", "h2"])
+                rows = [np.asarray(batch.column(c).to_numpy(zero_copy_only=False))[cut.row[at]] for c in key]
+                place = ((at - cut.at[cut.row[at]]) << SIZE_BITS) | size
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*rows, place, h1, h2)], [*key, "place", "h1", "h2"])
 
-    return keyed.select(F.col("__doc").alias("doc"), F.col("__sum").alias("sum"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc long, sum long, sentence int, size int, h1 long, h2 long")
+    return keyed.select(*(F.col(f"__{c}").alias(c) for c in key), F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in (*key, "place", "h1", "h2")))
 
 
-def repeated_sentences(keyed: DataFrame, span: int = 3, least_words: int = 8) -> DataFrame:
-    """(doc, sum, gone): the numbers of the sentences to remove from each text that has any."""
-    spans = span_rows(keyed, span, least_words)
-    place = F.struct("doc", "sum", "sentence")
-    firsts = spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h1", "h2", "first")
+def repeated_sentences(keyed: DataFrame, key: list[str], span: int = 3, least_words: int = 8) -> DataFrame:
+    """(doc, ..., gone): the numbers of the sentences to remove from each text that has any."""
+    spans = span_rows(keyed, key, span, least_words)
+    place = F.struct(*key, "place")
+    firsts = spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
     firsts = written(firsts, "first-spans")  # a table of its own, so that Spark can split a hot key of the join
-    later = spans.join(firsts, ["h1", "h2"]).where(place != F.col("first")).select(*KEY, "sentence", "size")
-    runs = later.groupBy(*KEY).agg(F.collect_set(F.struct("sentence", "size")).alias("runs"))
-    return runs.select(*KEY, F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["sentence"], r["sentence"] + r["size"] - 1))))).alias("gone"))
+    later = spans.join(firsts, ["h1", "h2"]).where(place != F.col("first")).select(*key, "place")
+    runs = later.groupBy(*key).agg(F.collect_set("place").alias("runs"))
+    first = lambda r: F.shiftright(r, SIZE_BITS).cast("int")
+    size = lambda r: r.bitwiseAND(F.lit((1 << SIZE_BITS) - 1)).cast("int")
+    return runs.select(*key, F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(first(r), first(r) + size(r) - 1))))).alias("gone"))
 
 
 def substring_dedup(docs: DataFrame, span: int = 3, least_words: int = 8) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``, and n_sentences, n_removed added."""
     own = ["__doc", "__sum", "__gone", "n_sentences", "n_removed"]
-    kept = _keyed(docs.drop("n_sentences", "n_removed"))
-    gone = repeated_sentences(kept, span, least_words).select(F.col("doc").alias("__doc"), F.col("sum").alias("__sum"), F.col("gone").alias("__gone"))
-    rows = kept.withColumn("text", F.col("text").cast("string")).join(gone, ["__doc", "__sum"], "left").select(*(c for c in kept.columns if c not in own), "__gone")
+    kept, key = _keyed(docs.drop("n_sentences", "n_removed"))
+    gone = repeated_sentences(kept, key, span, least_words).select(*(F.col(c).alias(f"__{c}") for c in key), F.col("gone").alias("__gone"))
+    rows = kept.withColumn("text", F.col("text").cast("string")).join(gone, [f"__{c}" for c in key], "left").select(*(c for c in kept.columns if c not in own), "__gone")
     schema = T.StructType([*(f for f in rows.schema.fields if f.name not in own), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
