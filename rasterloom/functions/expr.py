@@ -22,6 +22,27 @@ def clamp_trunc(v: Column, kind: str = "u8") -> Column:
     return F.when(F.isnan(d) | (d >= hi), F.lit(hi)).when(d <= lo, F.lit(lo)).otherwise(trunc(d)).cast(narrow)
 
 
+#: fixed values: 2^23 / ln 2, and 127 * 2^23 less what makes the mean error of the approximation least
+EXP_SCALE, EXP_SHIFT = 12102203.0, 1065353216.0 - 486411.0
+
+
+def fast_exp_negative(x: Column) -> Column:
+    """exp(x) for x of 0 or less, by reading ``scale * x + shift``, in single precision, as the bits of a float."""
+    bits = F.greatest(F.lit(0), (F.lit(EXP_SCALE).cast("float") * x.cast("float") + F.lit(EXP_SHIFT).cast("float")).cast("int"))
+    exponent, fraction = F.shiftright(bits, 23), bits.bitwiseAND(F.lit((1 << 23) - 1))
+    return F.when(exponent == 0, F.lit(0.0)).otherwise(F.pow(F.lit(2.0), exponent - 127) * (1.0 + fraction / float(1 << 23)))
+
+
+def black(kind: str = "u8") -> int | float:
+    """The value of each channel of a black pixel of a subpixel type."""
+    return 0.0 if kind == "f32" else 0
+
+
+def white(kind: str = "u8") -> int | float:
+    """The value of each channel of a white pixel of a subpixel type."""
+    return 1.0 if kind == "f32" else LIMITS[kind][1]
+
+
 def int_div(a: Column, b: Column | int) -> Column:
     """Integer division that truncates toward zero."""
     return trunc(a / b)

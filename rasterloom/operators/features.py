@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 import random
 
 from pyspark.sql import Column, DataFrame
@@ -113,11 +114,12 @@ def brief(r: DataFrame, keypoints: DataFrame, pairs: list[tuple[tuple[int, int],
     return values.select("img", "x", "y", F.array(*words).alias("bits"))
 
 
-def match_descriptors(a: DataFrame, b: DataFrame, threshold: int, seed: int, tables: int = 3) -> DataFrame:
+def match_descriptors(a: DataFrame, b: DataFrame, threshold: int, seed: int, tables: int = 3, apart: bool = False) -> DataFrame:
     """(id_a, id_b, distance): least Hamming distance below ``threshold`` by bit-sampling buckets.
 
     ``a`` and ``b`` have (id, bits).  The smaller side asks; each table's key is floor(log2 n)
-    sampled bits, so a bucket of the other side has a few rows on average.
+    sampled bits, so a bucket of the other side has a few rows on average.  ``apart`` keeps an
+    id from matching itself, where both sides come from one table.
     """
     na, nb = a.count(), b.count()
     swap = na > nb
@@ -129,7 +131,7 @@ def match_descriptors(a: DataFrame, b: DataFrame, threshold: int, seed: int, tab
     keys = F.posexplode(F.array(*[E.bit_subset(F.col("bits"), bits) for bits in chosen]))
     q = ask.select(F.col("id").alias("q"), F.col("bits").alias("qb"), keys.alias("t", "key"))
     d = base.select(F.col("id").alias("d"), F.col("bits").alias("db"), keys.alias("t", "key"))
-    near = q.join(d, ["t", "key"]).select("q", "d", E.hamming_words(F.col("qb"), F.col("db")).alias("distance")).where(F.col("distance") < threshold)
+    near = q.join(d, ["t", "key"]).select("q", "d", E.hamming_words(F.col("qb"), F.col("db")).alias("distance")).where((F.col("distance") < threshold) & (F.lit(not apart) | (F.col("q") != F.col("d"))))
     best = near.groupBy("q").agg(F.min(F.struct("distance", "d")).alias("b"))
     first, second = (F.col("b.d"), F.col("q")) if swap else (F.col("q"), F.col("b.d"))
     return best.select(first.alias("id_a"), second.alias("id_b"), F.col("b.distance").alias("distance"))
@@ -227,11 +229,15 @@ def detect_lines(r: DataFrame, vote_threshold: int, radius: int) -> DataFrame:
     return a.join(b, (F.col("a.img") == F.col("b.img")) & near & beats, "left_anti").select("img", "r", "angle", "votes")
 
 
+#: template pixels that one pass over the rasters takes
+TAPS = 4_096
+
+
 def match_template(r: DataFrame, template: DataFrame, method: str, mask: DataFrame | None = None) -> DataFrame:
     """(img, ox, oy, score) at each offset where the template (x, y, v) lies inside.
 
-    ``method``: sse, sse_normalized, ccorr or ccorr_normalized.  The template is one small raster; its pixels
-    meet each place once and sums form by offset, with partial aggregation.
+    ``method``: sse, sse_normalized, ccorr or ccorr_normalized.  The template is one raster, read by the driver; blocks of
+    ``TAPS`` of its pixels meet each place once and sums form by offset, with partial aggregation.
     """
     t = template.select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("v").alias("tv"))
     if mask is not None:
@@ -240,10 +246,9 @@ def match_template(r: DataFrame, template: DataFrame, method: str, mask: DataFra
         t = t.withColumn("m", F.lit(1))
     cells = t.collect()
     tw, th = max(c.tx for c in cells) + 1, max(c.ty for c in cells) + 1
-    if tw * th > 1 << 14:
-        raise ValueError("templates have 16384 pixels at most")
-    taps = F.explode(F.array(*[F.struct(F.lit(c.tx).alias("x"), F.lit(c.ty).alias("y"), F.lit(c.tv).cast("double").alias("v"), F.lit(c.m).cast("double").alias("m")) for c in cells]))
-    met = r.select("img", "w", "h", "x", "y", "v", taps.alias("t")).withColumn("ox", F.col("x") - F.col("t.x")).withColumn("oy", F.col("y") - F.col("t.y"))
+    tap = lambda c: F.struct(F.lit(c.tx).alias("x"), F.lit(c.ty).alias("y"), F.lit(c.tv).cast("double").alias("v"), F.lit(c.m).cast("double").alias("m"))
+    parts = [r.select("img", "w", "h", "x", "y", "v", F.explode(F.array(*map(tap, cells[a : a + TAPS]))).alias("t")) for a in range(0, len(cells), TAPS)]
+    met = reduce(DataFrame.unionByName, parts).withColumn("ox", F.col("x") - F.col("t.x")).withColumn("oy", F.col("y") - F.col("t.y"))
     met = met.where((F.col("ox") >= 0) & (F.col("oy") >= 0) & (F.col("ox") <= F.col("w") - tw) & (F.col("oy") <= F.col("h") - th))
     i, tv, m = F.col("v"), F.col("t.v"), F.col("t.m")
     score = F.sum((tv - i) * (tv - i) * m * m) if method.startswith("sse") else F.sum(tv * i * m * m)

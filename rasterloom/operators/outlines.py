@@ -138,12 +138,13 @@ def remove_vertical_seam(r: DataFrame, seam: DataFrame) -> DataFrame:
 
 
 def shrink_width(r: DataFrame, target: int) -> DataFrame:
-    """Removes seams until rasters are ``target`` wide (all rasters are one width)."""
+    """Removes seams until no raster is wider than ``target``; each stops by itself."""
     from .components import checkpointed
 
     width = r.agg(F.max("w")).first()[0] or 0
     for _ in range(max(0, width - target)):
-        r = checkpointed(remove_vertical_seam(r, find_vertical_seam(r)))
+        wide = r.where(F.col("w") > target)
+        r = checkpointed(r.where(F.col("w") <= target).unionByName(remove_vertical_seam(wide, find_vertical_seam(wide))))
     return r
 
 

@@ -88,8 +88,7 @@ def connected_components(r: DataFrame, connectivity: int = 8, background: int =
     reach = 1 if connectivity == 8 else 0
     up = spans.select("img", (F.col("y") + 1).alias("y"), F.col("n").alias("m"), "v", F.col("a").alias("a2"), F.col("b").alias("b2"))
     touch = spans.join(up, ["img", "y", "v"]).where((F.col("a") <= F.col("b2") + reach) & (F.col("a2") <= F.col("b") + reach))
-    # one id over all rasters; the raster is the high part
-    key = lambda n: F.col("img") * F.lit(1 << 32) + F.col(n)
+    key = lambda n: F.struct(F.col("img"), F.col(n).alias("n"))  # noqa: E731  (one id over all rasters, whatever their numbers)
     edges = touch.select(key("n").alias("a"), key("m").alias("b"))
     labels = component_labels(edges)
     named = runs.withColumn("id", key("n")).join(labels, "id", "left").withColumn("root", F.coalesce("label", "id"))

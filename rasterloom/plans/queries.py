@@ -97,15 +97,32 @@ _HK, _VK = T.kernel(_H3, 3, 1), T.kernel(_H3, 1, 3)
 on_emb("horizontal_filter", lambda r: T.horizontal_filter(r, _H3), one(Q.filtered(_HK, Q.clamp("s"))))
 on_emb("vertical_filter", lambda r: T.vertical_filter(r, _H3), one(Q.filtered(_VK, Q.clamp("s"))))
 on_emb("separable_filter", lambda r: T.separable_filter(r, _H3), ("a", Q.filtered(_HK, Q.clamp("s"))), ("r", Q.filtered(_VK, Q.clamp("s"), "a")))
-on_emb("gaussian_blur", lambda r: T.gaussian_blur(r, 1.0))
+def _normal(sigma: float) -> tuple[dict, dict]:
+    """A Gaussian kernel along x and along y, for SQL."""
+    w = [f"CAST({x!r} AS DOUBLE)" for x in T.gaussian_weights(sigma)]
+    n = len(w) // 2
+    return {(i - n, 0): x for i, x in enumerate(w)}, {(0, i - n): x for i, x in enumerate(w)}
+
+
+_GX, _GY = _normal(1.0)
+on_emb("gaussian_blur", lambda r: T.gaussian_blur(r, 1.0), ("a", Q.filtered(_GX, Q.clamp("s"))), ("r", Q.filtered(_GY, Q.clamp("s"), "a")))
 on_emb("laplacian_filter", T.laplacian, one(Q.filtered(T.LAPLACIAN, Q.clamp("s", -32768, 32767))))
 on_emb("sharpen3x3", T.sharpen3x3, one(Q.filtered(T.SHARPEN, Q.clamp("s"))))
-on_emb("sharpen_gaussian", lambda r: T.sharpen_gaussian(r, 0.7, 1.5))
+_SX, _SY = _normal(0.7)
+on_emb("sharpen_gaussian", lambda r: T.sharpen_gaussian(r, 0.7, 1.5), ("a", Q.filtered(_SX, "s")), ("g", Q.filtered(_SY, "s", "a")), one(f"SELECT px.img, px.x, px.y, {Q.clamp('px.v * 2.5::DOUBLE - g.v * 1.5::DOUBLE')} AS v FROM px JOIN g ON px.img = g.img AND px.x = g.x AND px.y = g.y"))
 _B = lambda n, axis: {((i, 0) if axis == "x" else (0, i)): 1 for i in range(-n, n + 1)}
 on_emb("box_filter", lambda r: T.box_filter(r, 2, 1), ("a", Q.filtered(_B(2, "x"), "CAST(s // 5 AS INTEGER)")), ("r", Q.filtered(_B(1, "y"), "CAST(s // 3 AS INTEGER)", "a")))
 _SQ = lambda rx, ry: {(x, y): 1 for y in range(-ry, ry + 1) for x in range(-rx, rx + 1)}
 on_emb("median_filter", lambda r: T.median_filter(r, 1, 2), one(f"SELECT img, x, y, list_sort(list(v))[8] AS v FROM ({Q.near(_SQ(1, 2))}) GROUP BY img, x, y"))
-on_emb("bilateral_filter", lambda r: T.bilateral_filter(r, 1, 2.0, T.gaussian_color(20.0)))
+_BOX = {(dx, dy): 0 for dy in (-1, 0, 1) for dx in (-1, 0, 1)}
+_BITS = "greatest(0, CAST(trunc(CAST(12102203.0 AS FLOAT) * CAST((centre - v) * (centre - v) * CAST(-0.00125 AS DOUBLE) AS FLOAT) + CAST(1064866805.0 AS FLOAT)) AS BIGINT))"
+on_emb(
+    "bilateral_filter",
+    lambda r: T.bilateral_filter(r, 1, 2.0, T.gaussian_color(20.0)),
+    ("b", f"SELECT *, {_BITS} AS bits FROM ({Q.near(_BOX)})"),
+    ("g", "SELECT *, exp(CAST(-0.125 AS DOUBLE) * (dx * dx + dy * dy)) * CASE WHEN bits // 8388608 = 0 THEN 0 ELSE pow(CAST(2 AS DOUBLE), bits // 8388608 - 127) * (1 + CAST(bits % 8388608 AS DOUBLE) / 8388608) END AS k FROM b"),
+    one(f"SELECT img, x, y, {Q.clamp('sum(k * v) / sum(k)')} AS v FROM g GROUP BY img, x, y"),
+)
 for _n, _k in (("horizontal_sobel", T.SOBEL_H), ("vertical_sobel", T.SOBEL_V), ("horizontal_scharr", T.SCHARR_H), ("vertical_scharr", T.SCHARR_V), ("horizontal_prewitt", T.PREWITT_H), ("vertical_prewitt", T.PREWITT_V), ("roberts_horizontal", T.ROBERTS_H), ("roberts_vertical", T.ROBERTS_V)):
     on_emb(_n, lambda r, k=_k: T.filter_clamped(r, k, "i16"), one(Q.filtered(_k, Q.clamp("s", -32768, 32767))))
 

@@ -112,9 +112,10 @@ for _n, _s in _SCORES.items():
 _TM = "(VALUES (0, 0, 90, 2), (1, 0, 140, 1), (0, 1, 150, 0), (1, 1, 100, 3)) t(tx, ty, tv, m)"
 for _n, _s in (("sse", "sum((tv - v) * (tv - v) * m * m)::DOUBLE"), ("ccorr", "sum(tv * v * m * m)::DOUBLE"), ("sse_normalized", "round(sum((tv - v) * (tv - v) * m * m) / sqrt(sum(tv * tv * m * m)::DOUBLE * sum(v * v * m * m)::DOUBLE), 6)"), ("ccorr_normalized", "round(sum(tv * v * m * m) / sqrt(sum(tv * tv * m * m)::DOUBLE * sum(v * v * m * m)::DOUBLE), 6)")):
     on_emb(f"match_template_with_mask_{_n}", lambda r, n=_n: X.match_template(r, S.literal(r.sparkSession, _TEMPLATE), n, S.literal(r.sparkSession, [[2, 1], [0, 3]])).select("img", "ox", "oy", F.round("score", 6).alias("score")), one(f"SELECT img, CAST(x - tx AS INTEGER) AS ox, CAST(y - ty AS INTEGER) AS oy, {_s} AS score FROM px, {_TM} WHERE x - tx BETWEEN 0 AND 6 AND y - ty BETWEEN 0 AND 6 GROUP BY img, x - tx, y - ty"), columns=None)
-on_emb("average_hash", X.average_hash, ("m", "SELECT img, avg(v::DOUBLE) AS mean FROM px GROUP BY img"), ("b", "SELECT px.img, sum(CASE WHEN v > mean THEN CAST(pow(2::DOUBLE, y * 8 + x) AS HUGEINT) ELSE 0::HUGEINT END) AS h FROM px JOIN m ON px.img = m.img GROUP BY px.img"), ("r", "SELECT img, CAST(CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END AS BIGINT) AS h FROM b"), columns=None)
+_HASHED = [("m", "SELECT img, avg(v::DOUBLE) AS mean FROM px GROUP BY img"), ("b", "SELECT px.img, sum(CASE WHEN v > mean THEN CAST(pow(2::DOUBLE, y * 8 + x) AS HUGEINT) ELSE 0::HUGEINT END) AS h FROM px JOIN m ON px.img = m.img GROUP BY px.img"), ("r", "SELECT img, CAST(CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END AS BIGINT) AS h FROM b")]
+on_emb("average_hash", X.average_hash, *_HASHED, columns=None)
 on_emb("phash", X.phash, columns=None)
-on_emb("hash_distances", lambda r: _hash_pairs(X.average_hash(r)), columns=None)
+on_emb("hash_distances", lambda r: _hash_pairs(X.average_hash(r)), *_HASHED, ("d", "SELECT a.img, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM r a JOIN r b ON b.img + 1 = a.img"), columns=None)
 on_emb("brief", lambda r: X.brief(r, r.where("x between 2 and 5 and y between 2 and 5").select("img", "x", "y"), X.brief_pairs(128, 1, 2)), columns=None)
 on_emb("match_binary_descriptors", lambda r: _matched(r), columns=None)
 
@@ -126,6 +127,7 @@ def _hash_pairs(h: DataFrame) -> DataFrame:
 
 
 def _matched(r: DataFrame) -> DataFrame:
-    found = X.brief(r, r.where("x between 3 and 4 and y between 3 and 4").select("img", "x", "y"), X.brief_pairs(128, 1, 2))
+    """Asks with every raster whose number 20 divides, against all rasters, at all places a descriptor fits."""
+    found = X.brief(r, r.where("x between 2 and 5 and y between 2 and 5").select("img", "x", "y"), X.brief_pairs(128, 1, 2))
     rows = found.select((F.col("img") * 64 + F.col("y") * 8 + F.col("x")).alias("id"), "img", "bits")
-    return X.match_descriptors(rows.where("img % 10 = 0").select("id", "bits"), rows.where("img % 10 != 0").select("id", "bits"), 40, 7)
+    return X.match_descriptors(rows.where("img % 20 = 0").select("id", "bits"), rows.select("id", "bits"), 40, 7, apart=True)

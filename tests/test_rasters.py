@@ -306,6 +306,37 @@ def test_rectangles(spark):
     assert tuple(row.a) == (3, 4, 2, 1) and row.b is None and not row.c
 
 
+def test_rasters_of_any_number_and_width(spark):
+    """Region labels where rasters are numbered by hashes; seams where widths differ."""
+    from rasterloom.operators import outlines, regions
+    from rasterloom.sources import rasters
+
+    rows = [[1, 0, 2, 1], [0, 1, 1, 0], [0, 0, 0, 1]]
+    one = rasters.literal(spark, rows, img=-(2**62) - 5).unionByName(rasters.literal(spark, rows, img=2**62 + 7))
+    found = regions.connected_components(one, 8).collect()
+    assert len({r.img for r in found}) == 2 and max(r.v for r in found) == 2 and len(found) == 24
+    mixed = rasters.literal(spark, [[3, 1, 4, 1]] * 3, img=1).unionByName(rasters.literal(spark, [[2, 7, 1, 8, 2, 8]] * 3, img=2)).unionByName(rasters.literal(spark, [[5, 6]] * 3, img=3))
+    left = {(r.img, r.w, r["count"]) for r in outlines.shrink_width(mixed, 3).groupBy("img", "w").count().collect()}
+    assert left == {(1, 3, 9), (2, 3, 9), (3, 2, 6)}
+
+
+def test_fast_exponential_and_noise(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from rasterloom.functions import expr
+    from rasterloom.operators import pixelwise
+    from rasterloom.sources import rasters
+
+    rows = spark.range(200).select((-F.col("id") / 2.0).alias("x")).withColumn("e", expr.fast_exp_negative(F.col("x"))).collect()
+    assert all(abs(r.e - math.exp(r.x)) <= 0.05 * math.exp(r.x) for r in rows if r.x > -85) and rows[-1].e == 0
+    flat = rasters.gray_bench(spark, 40, 30).withColumn("v", F.lit(100))
+    noisy = [sorted(map(tuple, pixelwise.gaussian_noise(flat.repartition(n), 0.0, 10.0, 3).collect())) for n in (1, 5)]
+    values = [r[-1] for r in noisy[0]]
+    assert noisy[0] == noisy[1] and abs(sum(values) / len(values) - 99.5) < 1.5 and 20 < max(values) - 100 < 60
+
+
 def test_components_of_hubs_and_chains(spark, monkeypatch):
     from rasterloom.operators import components
 
