@@ -6,18 +6,21 @@ segment's own position space, stored as differences of one, two or four bytes)
 and one header row that says which document holds which positions.  No posting
 crosses the network while the index is built, and it is written once as a table.
 
-**Search.** Query phrases are taken in blocks of bounded size.  Each block's
-terms select postings by a semi-join (the block's terms have a proven bound, so
-they are broadcast); the selected postings meet by segment, where every phrase
-intersects offset-adjusted position lists, rarest term first.  A segment is
-bounded, so no key can make a group large.
+**Search.** Query phrases and their terms are tables.  The terms select postings
+by a semi-join (Spark broadcasts the written term table only below its size
+threshold); a phrase whose terms all occur is joined through its rarest term to
+the segments that can hold it.  Postings and phrases meet by segment and block of
+phrases, where every phrase intersects offset-adjusted position lists, rarest
+term first.  Segments and blocks are bounded, so no key can make a group large,
+and no phrase passes through the driver.
 
 Position spaces leave a gap between documents, so a phrase never crosses them.
 Terms are 64-bit hashes of the words.
 
 Defined results: null and empty texts have no words and one row; every input
 row has its own row (repeated rows and null ids too); an empty table gives no
-rows; other columns are ignored.
+rows; other columns are ignored.  Items without an id count as one item that the
+hash doesn't list.
 """
 
 from __future__ import annotations
@@ -27,14 +30,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytetext as B
 from .scratch import written
 
 INDEX_SCHEMA = "segment long, term long, n int, width int, postings binary, docs array<struct<doc:int,doc_id:long,base:int,n_words:int>>"
+PHRASE_SCHEMA = "phrase array<long>, item_id long"
 SEGMENT_BYTES = 16 << 20
+SEGMENT_DOCS = 1 << 17
 BLOCK_WORDS = 1 << 19
 WINDOW = 10
 
@@ -101,7 +106,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lengths.append(np.bincount(row, minlength=batch.num_rows))
             terms.append(term)
             size += len(data)
-            if size >= SEGMENT_BYTES:
+            if size >= SEGMENT_BYTES or len(ids) >= SEGMENT_DOCS:
                 yield from _segment((part << 24) + k, ids, np.concatenate(lengths), np.concatenate(terms))
                 ids, lengths, terms, size, k = [], [], [], 0, k + 1
     if ids:
@@ -119,33 +124,30 @@ def document_rows(index: DataFrame) -> DataFrame:
     return index.where("term is null").select("segment", F.explode("docs").alias("d")).select("segment", "d.doc", "d.doc_id", F.col("d.n_words").cast("long").alias("n_words"))
 
 
-class Phrases:
-    """A bounded block of query phrases: items with their term sequences."""
+def _windows(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in B.slices(whole, "text"):
+                terms, row = words_of(*B.text_buffer(batch.column("text")))
+                lengths = np.bincount(row, minlength=batch.num_rows)
+                n = np.minimum(lengths, window)
+                many = np.where(n > 0, lengths - n + 1, 0)
+                item = np.repeat(np.arange(batch.num_rows), many)
+                start = np.repeat(np.cumsum(lengths) - lengths - np.cumsum(many) + many, many) + np.arange(len(item))
+                for i in range(0, len(item), 20_000):
+                    of, at = item[i : i + 20_000], start[i : i + 20_000]
+                    ends = np.cumsum(n[of])
+                    places = np.repeat(at - ends + n[of], n[of]) + np.arange(ends[-1])
+                    phrase = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(terms[places]))
+                    yield pa.RecordBatch.from_arrays([phrase, batch.column("item_id").take(pa.array(of))], ["phrase", "item_id"])
 
-    def __init__(self, window: int):
-        self.window = window
-        self.found: dict[tuple[int, ...], set[int]] = {}
-        self.n_words = 0
+    return run
 
-    def add(self, item: int, terms: np.ndarray) -> None:
-        n = min(self.window, len(terms))
-        for i in range(len(terms) - n + 1 if n else 0):
-            self.found.setdefault(tuple(terms[i : i + n].tolist()), set()).add(item)
-            self.n_words += n
 
-
-def phrase_blocks(items: DataFrame, window: int) -> Iterator[Phrases]:
-    """Query items, read row by row, in blocks of at most ``BLOCK_WORDS`` words."""
-    block = Phrases(window)
-    for row in items.select("item_id", "text").toLocalIterator():
-        if row.item_id is None or not row.text:
-            continue
-        block.add(row.item_id, words_of(*B.text_buffer(pa.array([row.text])))[0])
-        if block.n_words >= BLOCK_WORDS:
-            yield block
-            block = Phrases(window)
-    if block.found:
-        yield block
+def phrases(items: DataFrame, window: int) -> DataFrame:
+    """(phrase, item_id): the distinct windows of each item as term lists, written to the shared folder."""
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return written(rows.mapInArrow(_windows(window), PHRASE_SCHEMA).distinct(), "phrases")
 
 
 def _exact(lists: Callable[[int], np.ndarray], phrase: tuple[int, ...]) -> np.ndarray:
@@ -178,21 +180,25 @@ def _near(lists: Callable[[int], np.ndarray], phrase: tuple[int, ...], reach: in
 
 
 MATCH_SCHEMA = "segment long, doc int, item_id long, start int, stop int"
+NOTHING = pa.table({"segment": pa.array([], pa.int64()), "doc": pa.array([], pa.int32()), "item_id": pa.array([], pa.int64()), "start": pa.array([], pa.int32()), "stop": pa.array([], pa.int32())})
 
 
-def _searcher(block: Phrases, reach: int | None):
-    phrases = [(p, sorted(items)) for p, items in block.found.items()]
-
-    def search(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        segment = table.column("segment")[0].as_py() if table.num_rows else None
+def _searcher(reach: int | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def search(lists_of: pa.Table, asked: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return NOTHING
+        segment = lists_of.column("segment")[0].as_py()
         packed: dict[int, tuple] = {}
         docs = None
-        for t, n, w, b, d in zip(*(table.column(c).to_pylist() if c != "docs" else table.column(c) for c in ("term", "n", "width", "postings", "docs")), strict=True):
+        for t, n, w, b, d in zip(*(lists_of.column(c).to_pylist() if c != "docs" else lists_of.column(c) for c in ("term", "n", "width", "postings", "docs")), strict=True):
             if t is None:
                 docs = d.values
             else:
                 packed[t] = (n, w, b)
+        ids = asked.column("item_id").combine_chunks().dictionary_encode("encode")
+        phrases: dict[tuple[int, ...], list[int]] = {}
+        for phrase, i in zip(asked.column("phrase").to_pylist(), ids.indices.to_pylist(), strict=True):
+            phrases.setdefault(tuple(phrase), []).append(i)
         opened: dict[int, np.ndarray] = {}
 
         def lists(term: int) -> np.ndarray:
@@ -208,7 +214,7 @@ def _searcher(block: Phrases, reach: int | None):
             return (np.searchsorted(base, at, "right") - 1) * (reach + 1)
 
         items, starts, stops = [], [], []
-        for phrase, of in phrases:
+        for phrase, of in phrases.items():
             if all(t in packed for t in phrase):
                 if reach is None:
                     at = _exact(lists, phrase)
@@ -222,7 +228,7 @@ def _searcher(block: Phrases, reach: int | None):
                     starts.append(begin)
                     stops.append(end)
         if not items:
-            return pa.table({"segment": pa.array([], pa.int64()), "doc": pa.array([], pa.int32()), "item_id": pa.array([], pa.int64()), "start": pa.array([], pa.int32()), "stop": pa.array([], pa.int32())})
+            return NOTHING
         item, start, stop = map(np.concatenate, (items, starts, stops))
         doc = np.searchsorted(base, start, "right") - 1
         order = np.lexsort((start, doc, item))
@@ -234,7 +240,7 @@ def _searcher(block: Phrases, reach: int | None):
         new = np.r_[True, (start + lift)[1:] > reached[:-1]]
         first = np.flatnonzero(new)
         last = np.r_[first[1:] - 1, len(new) - 1]
-        return pa.table({"segment": pa.array(np.full(len(first), segment, np.int64)), "doc": pa.array(doc[first].astype(np.int32)), "item_id": pa.array(item[first].astype(np.int64)), "start": pa.array((start[first] - base[doc[first]]).astype(np.int32)), "stop": pa.array(((reached - lift)[last] - base[doc[first]]).astype(np.int32))})
+        return pa.table({"segment": pa.array(np.full(len(first), segment, np.int64)), "doc": pa.array(doc[first].astype(np.int32)), "item_id": ids.dictionary.take(pa.array(item[first])), "start": pa.array((start[first] - base[doc[first]]).astype(np.int32)), "stop": pa.array(((reached - lift)[last] - base[doc[first]]).astype(np.int32))})
 
     return search
 
@@ -247,14 +253,27 @@ def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, reach: int
     words is one window).  Else proximity: places of a window's rarest word that have each
     of the window's other words within ``reach`` words of them in the document.
     """
-    spark = index.sparkSession
-    out = None
-    for block in phrase_blocks(items, window):
-        terms = spark.createDataFrame([(t,) for t in sorted({t for p in block.found for t in p})], "term long")
-        kept = index.join(F.broadcast(terms), "term", "left_semi").unionByName(index.where("term is null").select("term", "segment", "n", "width", "postings", "docs"))
-        one = kept.groupBy("segment").applyInArrow(_searcher(block, reach), MATCH_SCHEMA)
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], MATCH_SCHEMA)
+    asked = phrases(items, window)
+    blocks = max(1, -(-asked.count() * window // BLOCK_WORDS))
+    terms = written(asked.select(F.explode("phrase").alias("term")).distinct(), "terms")
+    posted = index.join(terms, "term", "left_semi")
+    # the rarest term of each phrase whose terms all occur; it leads to the segments that can hold the phrase
+    seen = written(posted.groupBy("term").agg(F.sum("n").alias("n")), "frequencies")
+    each = asked.withColumn("term", F.explode(F.array_distinct("phrase"))).join(seen, "term")
+    rarest = each.groupBy("phrase", "item_id").agg(F.min(F.struct("n", "term"))["term"].alias("term"), F.count("*").alias("k")).where("k = size(array_distinct(phrase))")
+    block = F.pmod(F.xxhash64("phrase", "item_id"), F.lit(blocks)).cast("int")
+    asking = written(rarest.select("phrase", "item_id", "term", block.alias("block")), "asking").join(posted.select(F.col("segment").alias("at"), "term"), "term")
+    lists = posted.unionByName(index.where("term is null")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    found = lists.groupBy("segment", "block").cogroup(asking.groupBy("at", "block")).applyInArrow(_searcher(reach), MATCH_SCHEMA)
+    return _touching(found)
+
+
+def _touching(ranges: DataFrame) -> DataFrame:
+    """Ranges of one item in one document that overlap or touch, found in several blocks, as one."""
+    along = Window.partitionBy("segment", "doc", "item_id").orderBy("start", "stop")
+    upto = F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    runs = ranges.withColumn("new", F.when(F.col("start") <= upto, 0).otherwise(1)).withColumn("run", F.sum("new").over(along))
+    return runs.groupBy("segment", "doc", "item_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -267,7 +286,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     found = matches(index, items, window)
     spans = found.groupBy("segment", "doc").agg(
         F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"),
-        F.collect_set("item_id").alias("items"),
+        F.collect_set(F.struct("item_id")).alias("items"),
     )
     covered = F.aggregate(
         "spans",
@@ -275,7 +294,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["stop"] - F.greatest(s["start"], a["upto"]))).alias("n"), F.greatest(a["upto"], s["stop"]).alias("upto")),
         lambda a: a["n"].cast("long"),
     )
-    hits = spans.select("segment", "doc", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.concat_ws(",", F.array_sort(F.transform("items", lambda i: i.cast("string")))).alias("listed"), "items")
+    hits = spans.select("segment", "doc", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.concat_ws(",", F.array_sort(F.transform("items", lambda i: i["item_id"].cast("string")))).alias("listed"))
     return document_rows(index).join(hits, ["segment", "doc"], "left").select(
         "doc_id",
         "n_words",
@@ -284,8 +303,3 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         F.sha2(F.coalesce("listed", F.lit("")).cast("binary"), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0).cast("long")) > 0).alias("contaminated"),
     )
-
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of the corpus."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -30,14 +30,14 @@ def contaminated(texts, items, window=10):
         own, hit, found = words(t), set(), set()
         for item, text in items:
             w = words(text)
-            if item is None or not w:
+            if not w:
                 continue
             n = min(window, len(w))
             for i in range(len(w) - n + 1):
                 for at in places(own, w[i : i + n]):
                     hit |= set(range(at, at + n))
                     found.add(item)
-        listed = ",".join(sorted(map(str, found)))
+        listed = ",".join(sorted(str(i) for i in found if i is not None))
         out[d, len(own), len(hit), len(found), hashlib.sha256(listed.encode()).hexdigest(), bool(hit)] += 1
     return out
 
@@ -66,6 +66,27 @@ def test_small_tables(spark, awkward, monkeypatch, block):
     assert found == contaminated(pairs(docs), items)
 
 
+def test_items_without_an_id(spark):
+    """They count as one item together, as in the query's SQL."""
+    docs = spark.createDataFrame([(1, "a word"), (2, "b other word"), (3, "c")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, "word"), (None, "other"), (4, "b")], "item_id long, text string")
+    base = duckdb.connect()
+    base.sql("CREATE TABLE documents AS SELECT * FROM (VALUES (1, 'a word'), (2, 'b other word'), (3, 'c')) t(doc_id, text)")
+    base.sql("CREATE TABLE benchmark AS SELECT * FROM (VALUES (NULL, 'word'), (NULL, 'other'), (4, 'b')) t(item_id, text)")
+    assert Counter(map(tuple, D.contamination(docs, benchmark).collect())) == Counter(base.sql(ORACLES["op1_decontamination"]).fetchall())
+
+
+def test_ranges_join_across_blocks(spark, monkeypatch):
+    """Maximal ranges don't depend on how phrases are dealt to blocks."""
+    text = " ".join(f"w{i % 24}" for i in range(200))
+    index = D.build_index(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    items = spark.createDataFrame([(5, " ".join(f"w{i}" for i in range(23)))], "item_id long, text string")
+    expected = {(24 * k, 24 * k + 23) for k in range(8)}
+    for words_a_block in (1 << 19, 20):
+        monkeypatch.setattr(D, "BLOCK_WORDS", words_a_block)
+        assert {(r.start, r.stop) for r in D.matches(index, items).collect()} == expected
+
+
 def test_empty_tables(documents, no_documents, spark):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert D.contamination(no_documents, spark.createDataFrame([(1, "word")], nothing.schema)).count() == 0
