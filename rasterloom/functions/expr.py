@@ -116,3 +116,13 @@ def bit_subset(words: Column, bits: list[int]) -> Column:
     for b in bits:
         total = total * 2 + F.getbit(F.element_at(words, b // 64 + 1), F.lit(b % 64)).cast("bigint")
     return total
+
+
+def black(channels: int, alpha: bool = False) -> tuple[int, ...]:
+    """The black pixel of ``channels`` channels of eight bits; with ``alpha`` the last one is opaque."""
+    return (0,) * (channels - alpha) + (255,) * alpha
+
+
+def white(channels: int) -> tuple[int, ...]:
+    """The white pixel of ``channels`` channels of eight bits."""
+    return (255,) * channels

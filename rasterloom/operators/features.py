@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import dataclasses
 import math
-from functools import reduce
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -203,6 +204,30 @@ def cell_histograms(r: DataFrame, orientations_: int, signed: bool, cell: int) -
     return spread.where(inside).groupBy("img", "cx", "cy", "bin").agg(F.sum("v").alias("v"))
 
 
+@dataclasses.dataclass(frozen=True)
+class HogSpec:
+    """The grid that HoG options give a raster size."""
+
+    orientations: int
+    block: int
+    blocks_wide: int
+    blocks_high: int
+
+    @staticmethod
+    def of(width: int, height: int, orientations_: int, cell: int, block: int, stride: int) -> HogSpec:
+        """Cells must tile the raster, and blocks at the stride the cells."""
+        if width % cell or height % cell:
+            raise ValueError(f"cells of {cell} don't tile a raster of {width}x{height}")
+        wide, high = width // cell - block, height // cell - block
+        if min(wide, high) < 0 or wide % stride or high % stride:
+            raise ValueError(f"blocks of {block} cells at stride {stride} don't cover {width // cell}x{height // cell} cells")
+        return HogSpec(orientations_, block, wide // stride + 1, high // stride + 1)
+
+    def descriptor_length(self) -> int:
+        """Values of one raster's descriptor; :func:`hog` leaves out the bins without votes."""
+        return self.blocks_wide * self.blocks_high * self.block * self.block * self.orientations
+
+
 def hog(r: DataFrame, orientations_: int, signed: bool, cell: int, block: int, stride: int) -> DataFrame:
     """(img, bx, by, cx, cy, bin, v): blocks of cell histograms, each of L2 norm 1 (or 0)."""
     cells = cell_histograms(r, orientations_, signed, cell)

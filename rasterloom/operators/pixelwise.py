@@ -100,3 +100,23 @@ def diff_summary(actual: DataFrame, expected: DataFrame, most: int = 5) -> str |
     """The first differences as text, None where there are none."""
     found = diffs(actual, expected).orderBy("img", "y", "x", "c").limit(most).collect()
     return "\n".join(f"img {r.img} ({r.x}, {r.y}) channel {r.c}: {r.actual}, expected {r.expected}" for r in found) or None
+
+
+def assert_dimensions_match(actual: DataFrame, expected: DataFrame) -> None:
+    """Raises if the rasters of two relations differ in number or size."""
+    size = ["img", "w", "h"]
+    a, b = actual.select(size).distinct(), expected.select(size).distinct()
+    odd = a.exceptAll(b).withColumn("side", F.lit("actual")).unionByName(b.exceptAll(a).withColumn("side", F.lit("expected"))).orderBy("img", "side").limit(5).collect()
+    if odd:
+        raise AssertionError("dimensions differ: " + "; ".join(f"{r.side} img {r.img} is {r.w}x{r.h}" for r in odd))
+
+
+def assert_pixels_equal(actual: DataFrame, expected: DataFrame, tolerance: float = 0) -> None:
+    """Raises if sizes differ or a value differs by more than ``tolerance``; names the first differences."""
+    assert_dimensions_match(actual, expected)
+    places = [actual.select(KEY), expected.select(KEY)]
+    if any(a.join(b, KEY, "left_anti").limit(1).count() for a, b in (places, places[::-1])):
+        raise AssertionError("channels or places differ")
+    found = diffs(actual, expected, lambda a, b: F.abs(a - b) > tolerance).orderBy("img", "y", "x", "c").limit(5).collect()
+    if found:
+        raise AssertionError("\n".join(f"img {r.img} ({r.x}, {r.y}) channel {r.c}: {r.actual}, expected {r.expected}" for r in found))

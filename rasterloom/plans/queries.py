@@ -83,9 +83,11 @@ _CUBIC = lambda p, k: Q.clamp(f"{p[1]} + 0.5::DOUBLE * {k} * ({p[2]} - {p[0]} +
 on_emb("warp_bicubic", lambda r: C.warp(r, _AFFINE, "bicubic", 0), ("g", f"SELECT img, x, y, {_MAP} FROM px"), ("t", "SELECT img, x, y, fx - floor(fx) AS rx, fy - floor(fy) AS ry, " + ", ".join(f"{_TAP(i - 1, j - 1)} AS t{4 * j + i}" for j in range(4) for i in range(4)) + " FROM g"), ("l", "SELECT img, x, y, ry, " + ", ".join(f"{_CUBIC([f't{4 * j + i}' for i in range(4)], 'rx')} AS l{j}" for j in range(4)) + " FROM t"), ("r", f"SELECT img, x, y, {_CUBIC(['l0', 'l1', 'l2', 'l3'], 'ry')} AS v FROM l"))
 on_emb("warp_with", lambda r: C.warp_with(r, lambda x, y: (y / 2.0, x + 1.0), "nearest", "replicate"), one("SELECT a.img, a.x, a.y, b.v FROM px a JOIN px b ON a.img = b.img AND b.x = least(7, floor(a.y / 2.0 + 0.5)) AND b.y = least(7, a.x + 1)"))
 on_emb("warp_into", lambda r: C.warp(r, C.Projection.scale(2.0, 2.0), "nearest", 0, F.col("sw") * 2, F.col("sh") * 2), one("SELECT p.img, CAST(gx AS INTEGER) AS x, CAST(gy AS INTEGER) AS y, coalesce(b.v, 0) AS v FROM (SELECT DISTINCT img FROM px) p, range(16) q(gx), range(16) s(gy) LEFT JOIN px b ON b.img = p.img AND b.x = floor(gx * 0.5 + 0.5) AND b.y = floor(gy * 0.5 + 0.5)"))
-on_emb("rotate", lambda r: C.rotate(r, (3.0, 2.0), 0.5, "nearest", 7))
-on_emb("rotate_about_center", lambda r: C.rotate_about_center(r, 0.5, "bilinear", 0))
-on_emb("rotate_about_center_no_crop", lambda r: C.rotate_about_center_no_crop(r, 0.5, "nearest", 0))
+_TURNED = lambda cx, cy, ox, oy: f"cos(-0.5::DOUBLE) * (x - {ox}) - sin(-0.5::DOUBLE) * (y - {oy}) + {cx} AS fx, sin(-0.5::DOUBLE) * (x - {ox}) + cos(-0.5::DOUBLE) * (y - {oy}) + {cy} AS fy"
+_NEAREST = lambda border: f"SELECT g.img, g.x, g.y, coalesce(b.v, {border}) AS v FROM g LEFT JOIN px b ON b.img = g.img AND b.x = floor(fx + 0.5) AND b.y = floor(fy + 0.5)"
+on_emb("rotate", lambda r: C.rotate(r, (3.0, 2.0), 0.5, "nearest", 7), ("g", f"SELECT img, x, y, {_TURNED(3, 2, 3, 2)} FROM px"), ("r", _NEAREST(7)))
+on_emb("rotate_about_center", lambda r: C.rotate_about_center(r, 0.5, "bilinear", 0), ("g", f"SELECT img, x, y, {_TURNED(4, 4, 4, 4)} FROM px"), ("t", f"SELECT img, x, y, fx - floor(fx) AS rx, fy - floor(fy) AS ry, {_TAP(0, 0)} AS a, {_TAP(1, 0)} AS b, {_TAP(0, 1)} AS c, {_TAP(1, 1)} AS d FROM g"), ("r", f"SELECT img, x, y, {_LERP(_LERP('a', 'b', 'rx'), _LERP('c', 'd', 'rx'), 'ry')} AS v FROM t"))
+on_emb("rotate_about_center_no_crop", lambda r: C.rotate_about_center_no_crop(r, 0.5, "nearest", 0), ("g", f"SELECT img, CAST(gx AS INTEGER) AS x, CAST(gy AS INTEGER) AS y, {_TURNED(4, 4, 5.5, 5.5).replace('(x ', '(gx ').replace('(y ', '(gy ')} FROM (SELECT DISTINCT img FROM px) p, range(11) q(gx), range(11) s(gy)"), ("r", _NEAREST(0)))
 
 # ---- neighbourhoods --------------------------------------------------------------------------
 

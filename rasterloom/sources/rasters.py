@@ -70,12 +70,12 @@ def tall(rows: DataFrame) -> DataFrame:
 def from_images(spark: SparkSession, path: str) -> DataFrame:
     """Image files: Spark's reader gives interleaved BGR rows; channels come back in RGB order."""
     rows = spark.read.format("image").load(path).select("image.*")
-    size = F.col("nChannels")
-    bytes_ = F.transform(F.sequence(F.lit(1), F.octet_length("data")), lambda i: F.conv(F.hex(F.substring("data", i, F.lit(1))), 16, 10).cast("int"))
-    out = rows.select(F.xxhash64("origin").alias("img"), F.col("width").alias("w"), F.col("height").alias("h"), size.alias("channels"), bytes_.alias("data"))
-    flat = tall(out.select("img", "w", "h", "channels", "data"))
-    many = out.select("img", F.col("channels").alias("n"))
-    return flat.join(many, "img").select("img", "w", "h", F.when((F.col("n") >= 3) & (F.col("c") < 3), 2 - F.col("c")).otherwise(F.col("c")).alias("c"), "x", "y", "v")
+    # a byte a character
+    values = F.transform(F.split(F.decode("data", "ISO-8859-1"), ""), lambda b: F.ascii(b))
+    n, w = F.col("n"), F.col("w")
+    out = rows.select(F.xxhash64("origin").alias("img"), F.col("width").alias("w"), F.col("height").alias("h"), F.col("nChannels").alias("n"), F.posexplode(values).alias("i", "v"))
+    c = (F.col("i") % n).cast("int")
+    return out.select("img", "w", "h", F.when((n >= 3) & (c < 3), 2 - c).otherwise(c).alias("c"), (F.floor(F.col("i") / n) % w).cast("int").alias("x"), F.floor(F.col("i") / (n * w)).cast("int").alias("y"), "v")
 
 
 def save(pixels: DataFrame, path: str) -> None:

@@ -2,6 +2,8 @@
 
 import math
 import random
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -346,3 +348,46 @@ def test_components_of_hubs_and_chains(spark, monkeypatch):
     edges = spark.createDataFrame(star + chain, "a long, b long")
     found = {r.id: r.label for r in components.component_labels(edges).collect()}
     assert found == {i: 0 for i in range(90)} | {i: 100 for i in range(100, 141)}
+
+
+def png(path, w, h, colour, data):
+    """Writes raw rows as a PNG file; ``colour`` 0 is gray, 2 is RGB."""
+    def chunk(name, body):
+        return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+
+    n = len(data) // h
+    lines = b"".join(b"\0" + data[i * n : (i + 1) * n] for i in range(h))
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b""))
+
+
+@pytest.mark.parametrize(("colour", "channels", "w", "h"), [(0, 1, 16, 16), (2, 3, 16, 16), (2, 3, 5, 3)])
+def test_images_from_files(spark, tmp_path, colour, channels, w, h):
+    data = bytes((7 * i + i // 256) % 256 for i in range(w * h * channels))
+    png(tmp_path / "a.png", w, h, colour, data)
+    found = {(r.y, r.x, r.c): r.v for r in S.from_images(spark, str(tmp_path)).collect()}
+    assert found == {(i // channels // w, i // channels % w, i % channels): v for i, v in enumerate(data)}
+
+
+def test_named_pixels():
+    assert E.black(1) == (0,) and E.black(4, alpha=True) == (0, 0, 0, 255) and E.white(3) == (255, 255, 255)
+
+
+def test_hog_spec(spark):
+    spec = X.HogSpec.of(8, 8, 8, 2, 2, 1)
+    r = S.literal(spark, [[(x * y) % 9 for x in range(8)] for y in range(8)])
+    found = X.hog(r, 8, True, 2, 2, 1)
+    assert spec.descriptor_length() == 3 * 3 * 4 * 8 >= found.count()
+    assert found.select("bx", "by").distinct().count() == spec.blocks_wide * spec.blocks_high and found.agg(F.max("bin")).first()[0] < 8
+    for bad in ((9, 8, 8, 2, 2, 1), (8, 8, 8, 2, 3, 2), (8, 8, 8, 4, 3, 1)):
+        with pytest.raises(ValueError):
+            X.HogSpec.of(*bad)
+
+
+def test_assertions(spark):
+    a, b = S.literal(spark, [[1, 2], [3, 4]]), S.literal(spark, [[1, 2], [3, 6]])
+    P.assert_pixels_equal(a, a)
+    P.assert_pixels_equal(a, b, 2)
+    with pytest.raises(AssertionError, match="4, expected 6"):
+        P.assert_pixels_equal(a, b, 1)
+    with pytest.raises(AssertionError, match="dimensions"):
+        P.assert_dimensions_match(a, S.literal(spark, [[1, 2]]))
