@@ -139,6 +139,8 @@ def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
     for level in range(LEVELS):
         children = F.broadcast(tree.where(F.col("level") == level).drop("level"))  # a few thousand rows, whatever the data
         rows = rows.join(children, "mask").select("fp", "pivots", F.col("child").alias("mask")).withColumn("key", _in_bucket())
+        if level:  # two parents can have one child
+            rows = rows.dropDuplicates(["fp", "mask"])
         crowded = None
         if level + 1 < LEVELS:
             crowded = written(rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("mask", "key"), "crowded")
