@@ -111,4 +111,26 @@ FROM m LEFT JOIN own USING (id) LEFT JOIN counts USING (id) LEFT JOIN parents US
 LEFT JOIN paths ON paths.conv_id = m.conv_id AND paths.turn = m.turn LEFT JOIN threads ON threads.conv_id = m.conv_id
 """
 
-ORACLES = {"op1_decontamination": _OP1, "op4_near_duplicates": _OP4, "op6_repeated_bytes": _OP6, "op8_quotation": _OP8}
+#: rebuilt conversations of op12, a hash for each of their prefixes, and each node with all nodes below it
+_OP12 = """
+WITH RECURSIVE own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT conv_id, count(*) AS n, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS bytes FROM own GROUP BY conv_id),
+crc AS (SELECT conv_id, n, CAST(1 AS BIGINT) AS i, bytes, CAST(4294967295 AS BIGINT) AS v FROM sizes
+  UNION ALL SELECT conv_id, n, i + 1, bytes, list_reduce([xor(v, bytes[i]), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a % 2 = 1 THEN xor(a // 2, CAST(3988292384 AS BIGINT)) ELSE a // 2 END) FROM crc WHERE i <= len(bytes)),
+plans AS (SELECT conv_id, xor(v, CAST(4294967295 AS BIGINT)) % 9 AS h FROM crc WHERE i > len(bytes)),
+made AS (
+  SELECT p.conv_id, o.pos, o.role, o.text FROM plans p JOIN own o ON o.conv_id = p.conv_id - p.conv_id % 5 WHERE o.pos <= p.h
+  UNION ALL SELECT p.conv_id, least(p.h, coalesce(b.n, 0)) + o.pos - p.h, o.role, o.text FROM plans p JOIN own o ON o.conv_id = p.conv_id LEFT JOIN sizes b ON b.conv_id = p.conv_id - p.conv_id % 5 WHERE o.pos > p.h),
+path AS (SELECT m.conv_id, m.pos AS depth, strlen(m.text) AS size, list(sha256(m.role) || sha256(m.text)) OVER (PARTITION BY m.conv_id ORDER BY m.pos) AS way FROM made m
+  UNION ALL SELECT conv_id, 0, 0, [] FROM plans),
+keyed AS (SELECT conv_id, depth, size, md5(array_to_string(way, '')) AS k, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM path),
+node AS (SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM keyed GROUP BY depth, k),
+pair AS (SELECT a.depth, a.k, n.depth AS below, n.conv_id AS by, n.n_convs, n.size, NOT EXISTS (SELECT 1 FROM keyed e JOIN keyed f ON e.conv_id = f.conv_id AND f.depth = e.depth + 1 WHERE e.depth = n.depth AND e.k = n.k) AS leaf FROM node n JOIN keyed a ON a.conv_id = n.conv_id AND a.depth <= n.depth)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, t.n_children, t.n_leaves, t.saved_tokens, n.ends_sha256
+FROM node n JOIN (SELECT depth, k, CAST(sum(CASE WHEN below = depth + 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_children, CAST(sum(CASE WHEN leaf THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * size) AS BIGINT) AS saved_tokens FROM pair GROUP BY depth, k) t ON n.depth = t.depth AND n.k = t.k
+LEFT JOIN keyed w ON w.conv_id = n.conv_id AND w.depth = n.depth - 1 LEFT JOIN node u ON u.depth = w.depth AND u.k = w.k
+"""
+
+ORACLES = {"op1_decontamination": _OP1, "op4_near_duplicates": _OP4, "op6_repeated_bytes": _OP6, "op8_quotation": _OP8, "op12_prefix_trie": _OP12}
