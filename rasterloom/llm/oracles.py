@@ -133,4 +133,21 @@ FROM node n JOIN (SELECT depth, k, CAST(sum(CASE WHEN below = depth + 1 THEN 1 E
 LEFT JOIN keyed w ON w.conv_id = n.conv_id AND w.depth = n.depth - 1 LEFT JOIN node u ON u.depth = w.depth AND u.k = w.k
 """
 
-ORACLES = {"op1_decontamination": _OP1, "op4_near_duplicates": _OP4, "op6_repeated_bytes": _OP6, "op8_quotation": _OP8, "op12_prefix_trie": _OP12}
+#: all scores of op13's anchors
+_OP13 = """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda e: floor(256 * CAST(e AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+scored AS MATERIALIZED (
+  SELECT a.r, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS s
+  FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+positive AS (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY s DESC, vec_id) AS k FROM scored WHERE same),
+negative AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.s AS positive_score, n.s AS negative_score, row_number() OVER (PARTITION BY p.r, p.k ORDER BY n.s DESC, n.vec_id) AS k
+  FROM positive p JOIN scored n ON n.r = p.r AND NOT n.same AND 30 * p.s <= 100 * n.s AND 100 * n.s <= 90 * p.s WHERE p.k <= 5)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM negative WHERE k <= 10
+"""
+
+ORACLES = {"op1_decontamination": _OP1, "op4_near_duplicates": _OP4, "op6_repeated_bytes": _OP6, "op8_quotation": _OP8, "op12_prefix_trie": _OP12, "op13_hard_negatives": _OP13}

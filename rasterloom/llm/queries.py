@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, near_duplicates, prefix_trie, quality, quotation, repeated_bytes, sentence_spans, simhash, site_style, token_files, toxicity
+from . import bpe, decontamination, near_duplicates, prefix_trie, quality, quotation, repeated_bytes, sentence_spans, simhash, site_style, token_files, toxicity, vantage
 
 Query = Callable[[SparkSession, str], DataFrame]
 BYTE_BPE = "byte_bpe_50k.json"
@@ -68,8 +68,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations")).drop("node", "end")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_decontamination, op2_token_files, op3_toxicity, op4_near_duplicates, op5_site_style, op6_repeated_bytes, op7_quality, op8_quotation, op9_bpe, op10_sentence_spans, op11_simhash, op12_prefix_trie)
+    found = (op1_decontamination, op2_token_files, op3_toxicity, op4_near_duplicates, op5_site_style, op6_repeated_bytes, op7_quality, op8_quotation, op9_bpe, op10_sentence_spans, op11_simhash, op12_prefix_trie, op13_hard_negatives)
     return {f.__name__: f for f in found}
 
 
