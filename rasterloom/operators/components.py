@@ -52,29 +52,31 @@ def _copies(keys: Column | int) -> Column:
     return F.explode(F.sequence(F.lit(0), (F.lit(keys) if isinstance(keys, int) else keys) - 1))
 
 
-def component_labels(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = checkpointed, rounds: int = 200) -> DataFrame:
+def component_labels(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
     """(id, label): the least id reachable from each id of ``edges(a, b)``.
 
-    Each round takes the least label of the neighbours and of the label's own
-    label, so long paths take few rounds.  Labels only fall; the loop ends when none did.
+    Each round takes the least label of the neighbours, the label's own label, and the least that any
+    holder of the same label took in the round before: chains halve, whole regions move at once, and
+    long paths take few rounds.
+    Labels only fall; the loop ends when none did.
     The edges of a hub, and the members of a large component, are dealt to several keys,
     so neither lands in one task.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
     both = keep(both)
-    labels = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label"), F.ceil(F.count("*") / HUB).cast("int").alias("keys")))
+    labels = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label"), F.first("a").alias("old"), F.ceil(F.count("*") / HUB).cast("int").alias("keys")))
     hubs = labels.where("keys > 1").select(F.col("id").alias("b"), "keys")  # one for HUB edges at most
     both = keep(both.join(hubs, "b", "left").select("a", "b", F.coalesce(_dealt("a", F.col("keys")), F.lit(0)).alias("part")))
-    for _ in range(rounds):
+    while True:
         known = labels.select(F.col("id").alias("b"), "label", _copies(F.col("keys")).alias("part"))
         near = both.join(known, ["b", "part"]).groupBy("a").agg(F.min("label").alias("near"))
-        tops = labels.select("id", F.col("label").alias("top")).join(labels.select(F.col("label").alias("id")).distinct(), "id", "left_semi").where("top != id")
-        tops = tops.select(F.col("id").alias("label"), "top", _copies(SPREAD).alias("part"))
-        up = labels.withColumn("part", _dealt("id", SPREAD)).join(tops, ["label", "part"], "left")
+        own = labels.select(F.col("id").alias("label"), F.col("label").alias("top")).join(labels.select("label").distinct(), "label", "left_semi")
+        tops = own.unionByName(labels.select(F.col("old").alias("label"), F.col("label").alias("top"))).groupBy("label").agg(F.min("top").alias("top")).where("top != label")
+        tops = tops.select("label", "top", _copies(SPREAD).alias("part"))
+        up = labels.drop("old").withColumn("part", _dealt("id", SPREAD)).join(tops, ["label", "part"], "left")
         step = up.join(near, up.id == near.a, "left").select("id", "keys", F.col("label").alias("old"), F.least("label", "near", "top").alias("label"))
         step = keep(step)
         moved = step.where("label != old").limit(1).count()
-        labels = step.select("id", "label", "keys")
+        labels = step
         if not moved:
             return labels.select("id", "label")
-    raise RuntimeError(f"labels still moved after {rounds} rounds")

@@ -34,7 +34,7 @@ def corners_fast(r: DataFrame, threshold: int, length: int = 9) -> DataFrame:
     """
     if length not in (9, 12):
         raise ValueError("arcs of 9 or 12")
-    near = T.neighbours(T.dealt(r), CIRCLE, border="null")
+    near = T.neighbours(r, CIRCLE, border="null")
     v = F.col("v")
     brighter = [F.col(f"n{i}") - v for i in range(16)]
     darker = [v - F.col(f"n{i}") for i in range(16)]

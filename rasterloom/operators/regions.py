@@ -1,10 +1,12 @@
-"""Distances, connectivity and growth, as range joins and frontier loops over all rasters at once."""
+"""Distances, connectivity and growth over all rasters at once: folds along rows, and classes of runs."""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,32 +18,123 @@ FOUR = [(1, 0), (0, 1), (-1, 0), (0, -1)]
 EIGHT = [*FOUR, (1, 1), (-1, 1), (1, -1), (-1, -1)]
 
 
+def _column_distance(r: DataFrame, foreground: bool) -> DataFrame:
+    """``r`` with ``g``, the distance to the nearest hit in the column: running maxima down and up; null where there is none."""
+    hit = F.col("v") != 0 if foreground else F.col("v") == 0
+    before = F.last(F.when(hit, F.col("y")), ignorenulls=True).over(T.COL().rowsBetween(W.unboundedPreceding, 0))
+    after = F.first(F.when(hit, F.col("y")), ignorenulls=True).over(T.COL().rowsBetween(0, W.unboundedFollowing))
+    return r.withColumn("g", F.least(F.col("y") - before, after - F.col("y")))
+
+
+def row_envelopes(g: np.ndarray, squared: bool) -> np.ndarray:
+    """For each row and place x, the least over s of (x - s)^2 + g(s)^2, or of max(|x - s|, g(s)).
+
+    Each row keeps the lower envelope of its curves as a stack of sources and the places where they take over; a
+    curve is pushed once and popped at most once, and a second pass reads the envelope from its end.  All rows take a
+    step together, so the work is linear in the places.
+    """
+    n, width = g.shape
+    cost = (lambda x, s: (x - s) ** 2 + g[rows, s] ** 2) if squared else (lambda x, s: np.maximum(np.abs(x - s), g[rows, s]))
+
+    def takes_over(i: np.ndarray, u: int, rows: np.ndarray) -> np.ndarray:
+        """The last place where source i, left of u, is no worse than u."""
+        gi, gu = g[rows, i], g[rows, u]
+        if squared:
+            return (u * u - i * i + gu * gu - gi * gi) // (2 * (u - i))
+        return np.where(gi <= gu, np.maximum(i + gu, (i + u) // 2), np.minimum(u - gi, (i + u) // 2))
+
+    source, start, top = np.zeros((n, width), np.int64), np.zeros((n, width), np.int64), np.zeros(n, np.int64)
+    for u in range(1, width):
+        rows = np.arange(n)
+        while len(rows):  # pop what u beats where it begins
+            s, at = source[rows, top[rows]], start[rows, top[rows]]
+            rows = rows[cost(at, s) > cost(at, u)]
+            top[rows] -= 1
+            rows = rows[top[rows] >= 0]
+        rows = np.flatnonzero(top < 0)
+        top[rows], source[rows, 0], start[rows, 0] = 0, u, 0
+        rows = np.flatnonzero(source[np.arange(n), top] != u)
+        begins = 1 + takes_over(source[rows, top[rows]], u, rows)
+        rows, begins = rows[begins < width], begins[begins < width]
+        top[rows] += 1
+        source[rows, top[rows]], start[rows, top[rows]] = u, begins
+    out = np.empty((n, width), np.int64)
+    rows = np.arange(n)
+    for x in range(width - 1, -1, -1):
+        out[:, x] = cost(x, source[rows, top])
+        top -= start[rows, top] == x
+    return out
+
+
+#: places whose rows are folded together
+FOLDED = 1 << 20
+
+
+def _folded_rows(columns: DataFrame, squared: bool) -> DataFrame:
+    """``columns`` (with g) with ``d``, the least cost along each row; -1 where the raster's column distances are all missing.
+
+    Rows are dealt by line and streamed; lines of one width are folded together.
+    """
+    fed = columns.select("img", "w", "h", "c", "x", "y", F.coalesce("g", F.lit(-1)).cast("long").alias("g"))
+    fed = fed.repartition("img", "c", "y").sortWithinPartitions("img", "c", "y", "x")
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= FOLDED:
+                table = pa.Table.from_batches(held).combine_chunks()
+                line = np.stack([table.column(k).to_numpy() for k in ("img", "c", "y")], 1)
+                same = (line == line[-1]).all(1)
+                cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0  # the last line may go on
+                if cut:
+                    yield from _fold(table.slice(0, cut), squared)
+                held = table.slice(cut).to_batches()
+                n = table.num_rows - cut
+        if n:
+            yield from _fold(pa.Table.from_batches(held).combine_chunks(), squared)
+
+    return fed.mapInArrow(folded, "img bigint, w int, h int, c int, x int, y int, d bigint")
+
+
+def _fold(table: pa.Table, squared: bool) -> Iterator[pa.RecordBatch]:
+    img, w, h, c, x, y, g = (table.column(k).to_numpy() for k in ("img", "w", "h", "c", "x", "y", "g"))
+    new = np.concatenate([[True], (img[1:] != img[:-1]) | (c[1:] != c[:-1]) | (y[1:] != y[:-1])])
+    line = np.cumsum(new) - 1
+    out = np.empty(len(g), np.int64)
+    for width, height in {*zip(w[new].tolist(), h[new].tolist(), strict=True)}:
+        here = (w == width) & (h == height)
+        numbers, row = np.unique(line[here], return_inverse=True)
+        far = width + height  # beyond any distance in the raster
+        costs = np.full((len(numbers), width), far, np.int64)
+        costs[row, x[here]] = np.where(g[here] < 0, far, g[here])
+        found = row_envelopes(costs, squared)[row, x[here]]
+        out[here] = np.where(found >= (far * far if squared else far), -1, found)
+    yield pa.RecordBatch.from_arrays([*(table.column(k).combine_chunks() for k in ("img", "w", "h", "c", "x", "y")), pa.array(out)], ["img", "w", "h", "c", "x", "y", "d"])
+
+
 def squared_distance(r: DataFrame, foreground: bool = True) -> DataFrame:
     """Exact squared Euclidean distance to the nearest non-zero (or zero) place; infinite where there is none.
 
-    Columns first (the nearest place in the column, by running maxima), then one range join
-    along each row: w candidates a place, not w * h.
+    Columns first (running maxima), then one fold along each row: linear in the places.
     """
-    hit = F.col("v") != 0 if foreground else F.col("v") == 0
-    before = F.last(F.when(hit, F.col("y")), ignorenulls=True).over(T.COL().rowsBetween(W.unboundedPreceding, 0))
-    after = F.first(F.when(hit, F.col("y")), ignorenulls=True).over(T.COL().rowsBetween(0, W.unboundedFollowing))
-    columns = T.dealt(r).withColumn("g", F.least(F.col("y") - before, after - F.col("y")))
-    sources = columns.where("g is not null").select("img", "c", "y", F.col("x").alias("sx"), (F.col("g") * F.col("g")).alias("g2"))
-    met = columns.join(sources, ["img", "c", "y"], "left").withColumn("d", (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + F.col("g2"))
-    return met.groupBy("img", "w", "h", "c", "x", "y").agg(F.coalesce(F.min("d").cast("double"), F.lit(float("inf"))).alias("v"))
+    rows = _folded_rows(_column_distance(r, foreground), True)
+    return rows.select("img", "w", "h", "c", "x", "y", F.when(F.col("d") < 0, float("inf")).otherwise(F.col("d").cast("double")).alias("v"))
 
 
 def _city_distance(r: DataFrame, norm: str, foreground: bool) -> DataFrame:
-    """L1 or LInf distance, saturating at min(w + h, 255)."""
-    hit = F.col("v") != 0 if foreground else F.col("v") == 0
-    before = F.last(F.when(hit, F.col("y")), ignorenulls=True).over(T.COL().rowsBetween(W.unboundedPreceding, 0))
-    after = F.first(F.when(hit, F.col("y")), ignorenulls=True).over(T.COL().rowsBetween(0, W.unboundedFollowing))
-    columns = T.dealt(r).withColumn("g", F.least(F.col("y") - before, after - F.col("y")))
-    sources = columns.where("g is not null").select("img", "c", "y", F.col("x").alias("sx"), "g")
-    dx = F.abs(F.col("x") - F.col("sx"))
-    met = columns.drop("g").join(sources, ["img", "c", "y"], "left").withColumn("d", dx + F.col("g") if norm == "l1" else F.greatest(dx, F.col("g")))
+    """L1 or LInf distance, saturating at min(w + h, 255); L1 is two running minima along each row."""
+    columns = _column_distance(r, foreground)
+    if norm == "l1":
+        before = F.min(F.col("g") - F.col("x")).over(T.ROW().rowsBetween(W.unboundedPreceding, 0)) + F.col("x")
+        after = F.min(F.col("g") + F.col("x")).over(T.ROW().rowsBetween(0, W.unboundedFollowing)) - F.col("x")
+        rows = columns.withColumn("d", F.least(before, after))
+    else:
+        rows = _folded_rows(columns, False).withColumn("d", F.when(F.col("d") >= 0, F.col("d")))
     most = F.least(F.col("w") + F.col("h"), F.lit(255))
-    return met.groupBy("img", "w", "h", "c", "x", "y").agg(F.min("d").alias("d")).select("img", "w", "h", "c", "x", "y", F.least(F.coalesce("d", most), most).cast("int").alias("v"))
+    return rows.select("img", "w", "h", "c", "x", "y", F.least(F.coalesce("d", most), most).cast("int").alias("v"))
 
 
 def distance_transform(r: DataFrame, norm: str, foreground: bool = True) -> DataFrame:
@@ -71,6 +164,41 @@ def close(r: DataFrame, norm: str, k: int) -> DataFrame:
     return erode(dilate(r, norm, k), norm, k)
 
 
+# ---- runs ----------------------------------------------------------------------------------
+
+#: places of the cells that two rows' runs meet in
+CELL = 32
+
+
+def row_runs(r: DataFrame) -> DataFrame:
+    """``r`` with ``n``, the number of the run of one value that a place lies in: y * w + the run's first x."""
+    new = F.coalesce(F.col("v") != F.lag("v").over(T.ROW()), F.lit(True)) | F.coalesce(F.col("x") - F.lag("x").over(T.ROW()) > 1, F.lit(True))
+    start = F.last(F.when(F.col("new"), F.col("x")), ignorenulls=True).over(T.ROW().rowsBetween(W.unboundedPreceding, 0))
+    return r.withColumn("new", new).withColumn("n", F.col("y").cast("long") * F.col("w") + start).drop("new")
+
+
+def run_spans(places: DataFrame) -> DataFrame:
+    """(img, y, n, v, a, b) of each run, with its first and last x."""
+    return places.groupBy("img", "y", "n", "v").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+
+
+def touching(spans: DataFrame, reach: int) -> DataFrame:
+    """(img, n, v, a, b, m, v2, a2, b2): each run with those of the next row that it meets, or ``reach`` further at either end.
+
+    Runs meet in cells of ``CELL`` columns, so a row's runs don't all meet all of the next row's.
+    """
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / CELL), F.floor(hi / CELL)))
+    upper = spans.select("img", (F.col("y") + 1).alias("y"), "n", "v", "a", "b", cells(F.col("a") - reach, F.col("b") + reach).alias("cell"))
+    lower = spans.select("img", "y", F.col("n").alias("m"), F.col("v").alias("v2"), F.col("a").alias("a2"), F.col("b").alias("b2"), cells(F.col("a"), F.col("b")).alias("cell"))
+    first = F.greatest(F.floor((F.col("a") - reach) / CELL), F.floor(F.col("a2") / CELL))
+    met = upper.join(lower, ["img", "y", "cell"]).where((F.col("cell") == first) & (F.col("a") <= F.col("b2") + reach) & (F.col("a2") <= F.col("b") + reach))
+    return met.drop("cell", "y")
+
+
+def _key(n: str) -> Column:
+    return F.struct(F.col("img"), F.col(n).alias("n"))  # one id over all rasters, whatever their numbers
+
+
 def connected_components(r: DataFrame, connectivity: int = 8, background: int = 0) -> DataFrame:
     """Labels of regions of one value, from 1 in raster order of their first place; background 0.
 
@@ -78,20 +206,10 @@ def connected_components(r: DataFrame, connectivity: int = 8, background: int =
     """
     if connectivity not in (4, 8):
         raise ValueError("connectivity is 4 or 8")
-    new = F.coalesce(F.col("v") != F.lag("v").over(T.ROW()), F.lit(True))
-    front = T.dealt(r.where(F.col("v") != background)).withColumn("gap", F.coalesce(F.col("x") - F.lag("x").over(T.ROW()) > 1, F.lit(True)) | new)
-    runs = front.withColumn("run", F.sum(F.col("gap").cast("int")).over(T.ROW().rowsBetween(W.unboundedPreceding, 0)))
-    runs = runs.withColumn("start", F.min("x").over(W.partitionBy("img", "c", "y", "run"))).withColumn("id", F.struct("img", F.col("y").cast("long").alias("y"), F.col("start").cast("long").alias("x")))
-    number = F.col("y").cast("long") * F.col("w") + F.col("start")
-    runs = checkpointed(runs.select("img", "w", "h", "c", "x", "y", "v", number.alias("n")))
-    spans = runs.groupBy("img", "y", "n", "v").agg(F.min("x").alias("a"), F.max("x").alias("b"))
-    reach = 1 if connectivity == 8 else 0
-    up = spans.select("img", (F.col("y") + 1).alias("y"), F.col("n").alias("m"), "v", F.col("a").alias("a2"), F.col("b").alias("b2"))
-    touch = spans.join(up, ["img", "y", "v"]).where((F.col("a") <= F.col("b2") + reach) & (F.col("a2") <= F.col("b") + reach))
-    key = lambda n: F.struct(F.col("img"), F.col(n).alias("n"))  # noqa: E731  (one id over all rasters, whatever their numbers)
-    edges = touch.select(key("n").alias("a"), key("m").alias("b"))
+    runs = checkpointed(row_runs(r.where(F.col("v") != background)))
+    edges = touching(run_spans(runs), 1 if connectivity == 8 else 0).where("v = v2").select(_key("n").alias("a"), _key("m").alias("b"))
     labels = component_labels(edges)
-    named = runs.withColumn("id", key("n")).join(labels, "id", "left").withColumn("root", F.coalesce("label", "id"))
+    named = runs.withColumn("id", _key("n")).join(labels, "id", "left").withColumn("root", F.coalesce("label", "id"))
     order = named.select("img", "root").distinct().withColumn("k", F.row_number().over(W.partitionBy("img").orderBy("root")))
     found = named.join(order, ["img", "root"]).select("img", "c", "x", "y", F.col("k").alias("found"))
     return r.join(found, ["img", "c", "x", "y"], "left").select("img", "w", "h", "c", "x", "y", F.coalesce("found", F.lit(0)).cast("int").alias("v"))
@@ -108,24 +226,40 @@ def trees(sets: DataFrame) -> DataFrame:
     return sets.groupBy("root").agg(F.array_sort(F.collect_list("id")).alias("members"))
 
 
-def _grown(seeds: DataFrame, open_places: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
-    """Places of ``open_places(img, x, y)`` reachable from ``seeds`` by the steps: a frontier loop for all rasters."""
-    seen = checkpointed(seeds.select("img", "x", "y").distinct())
-    front = seen
-    spread = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps]))
-    while front.limit(1).count():
-        near = front.withColumn("s", spread).select("img", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y")).distinct()
-        front = checkpointed(near.join(open_places, ["img", "x", "y"], "left_semi").join(seen, ["img", "x", "y"], "left_anti"))
-        seen = checkpointed(seen.unionByName(front))
-    return seen
-
-
 def flood_fill(r: DataFrame, x: int, y: int, value: int) -> DataFrame:
-    """Fills the 4-connected region of the seed's value in each gray raster; its own value changes nothing."""
-    seeds = r.where((F.col("x") == x) & (F.col("y") == y)).select("img", "x", "y", F.col("v").alias("target"))
-    same = r.join(seeds.select("img", "target"), "img").where("v = target").select("img", "x", "y")
-    filled = _grown(seeds, same, FOUR).withColumn("filled", F.lit(True))
-    return r.join(filled, ["img", "x", "y"], "left").select("img", "w", "h", "c", "x", "y", F.when(F.col("filled"), value).otherwise(F.col("v")).alias("v"))
+    """Fills the 4-connected region of the seed's value in each gray raster; its own value changes nothing.
+
+    The region is the class of the seed's run among runs of the seed's value.
+    """
+    runs = checkpointed(row_runs(r))
+    seeds = checkpointed(runs.where((F.col("x") == x) & (F.col("y") == y)).select("img", F.col("n").alias("seed"), F.col("v").alias("target")))
+    spans = run_spans(runs).join(seeds, "img").where("v = target").select("img", "y", "n", "v", "a", "b")
+    labels = component_labels(touching(spans, 0).select(_key("n").alias("a"), _key("m").alias("b")))
+    own = seeds.select("img", F.struct("img", F.col("seed").alias("n")).alias("id"))
+    tops = own.join(labels, "id", "left").select(F.coalesce("label", "id").alias("label"), "id")
+    filled = labels.join(tops.select("label"), "label").select("id").union(tops.select("id")).distinct()
+    filled = filled.select(F.col("id.img").alias("img"), F.col("id.n").alias("n"), F.lit(True).alias("filled"))
+    return runs.join(filled, ["img", "n"], "left").select("img", "w", "h", "c", "x", "y", F.when(F.col("filled"), value).otherwise(F.col("v")).alias("v"))
+
+
+def reachable(sources: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id) of the ``sources(id)`` and of all that directed ``edges(a, b)`` lead to from them.
+
+    Each round takes all edges of what is new, and the jumps of nodes with one edge, which double: a chain of n
+    such nodes takes log n rounds, so rounds grow with the branchings along a path and not with its length.
+    """
+    edges = checkpointed(edges.where("a != b").distinct())
+    ones = checkpointed(edges.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1").select("a", "b"))
+    seen = checkpointed(sources.select("id").distinct())
+    jumps = ones
+    while True:
+        step = lambda over: seen.join(over, seen.id == over.a).select(F.col("b").alias("id"))  # noqa: B023, E731
+        fresh = checkpointed(step(edges).unionByName(step(jumps)).distinct().join(seen, "id", "left_anti"))
+        if not fresh.limit(1).count():
+            return seen
+        seen = checkpointed(seen.unionByName(fresh))
+        longer = checkpointed(jumps.join(jumps.select(F.col("a").alias("b"), F.col("b").alias("to")), "b").select("a", F.col("to").alias("b")))
+        jumps = longer if longer.limit(1).count() else ones
 
 
 #: fixed values: the six steps of edge growth (north and north-east are absent)
@@ -136,7 +270,7 @@ def thin_edges(r: DataFrame) -> DataFrame:
     """Sobel magnitude, kept where it is no less than both neighbours along the gradient; the border is 0."""
     g = T.gradients(r, T.SOBEL_H, T.SOBEL_V).withColumn("v", F.sqrt((F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).cast("double")))
     around = [(-1, 0), (1, 0), (-1, -1), (1, 1), (0, -1), (0, 1), (1, -1), (-1, 1)]
-    near = T.neighbours(T.dealt(g), around)
+    near = T.neighbours(g, around)
     angle = F.degrees(F.atan2(F.col("gy").cast("double"), F.col("gx").cast("double")))
     angle = F.when(angle < 0, angle + 180.0).otherwise(angle)
     pair = lambda i, j: (F.col("v") >= F.col(f"n{i}")) & (F.col("v") >= F.col(f"n{j}"))
@@ -146,10 +280,23 @@ def thin_edges(r: DataFrame) -> DataFrame:
 
 
 def hysteresis(r: DataFrame, low: float, high: float) -> DataFrame:
-    """255 at places of ``high`` or more, and at those of ``low`` or more that growth reaches from them."""
-    strong = r.where(F.col("v") >= high)
-    kept = _grown(strong, r.where(F.col("v") >= low).select("img", "x", "y"), GROW).withColumn("kept", F.lit(True))
-    return r.join(kept, ["img", "x", "y"], "left").select("img", "w", "h", "c", "x", "y", F.when(F.col("kept"), 255).otherwise(0).alias("v"))
+    """255 at places of ``high`` or more, and at those of ``low`` or more that growth reaches from them.
+
+    Growth takes the steps of ``GROW`` through places of ``low`` or more.  A run of such places along a row is reached
+    as a whole.  Down, it reaches all runs that it touches; up, only those that hold the place before one of its
+    own.  Runs that reach each other are one class, and classes are joined by the remaining steps down.
+    """
+    weak = r.where(F.col("v") >= low).withColumn("strong", F.col("v") >= high).withColumn("v", F.lit(1))
+    runs = checkpointed(row_runs(weak))
+    met = checkpointed(touching(run_spans(runs), 1).withColumn("back", (F.col("a2") - 1 <= F.col("b")) & (F.col("a") <= F.col("b2") - 1)))
+    pairs = lambda rows: rows.select(_key("n").alias("a"), _key("m").alias("b"))
+    classes = component_labels(pairs(met.where("back")))
+    of = lambda rows, name: rows.join(classes.select(F.col("id").alias(name), "label"), name, "left").withColumn(name, F.coalesce("label", name)).drop("label")
+    steps = of(of(pairs(met.where("not back")), "a"), "b")
+    strong = of(runs.where("strong").select(_key("n").alias("id")).distinct(), "id")
+    named = of(runs.select("img", "c", "x", "y", _key("n").alias("id")), "id")
+    kept = named.join(reachable(strong, steps), "id", "left_semi").select("img", "c", "x", "y", F.lit(True).alias("kept"))
+    return r.join(kept, ["img", "c", "x", "y"], "left").select("img", "w", "h", "c", "x", "y", F.when(F.col("kept"), 255).otherwise(0).alias("v"))
 
 
 def canny(r: DataFrame, low: float, high: float) -> DataFrame:
@@ -165,9 +312,9 @@ def canny(r: DataFrame, low: float, high: float) -> DataFrame:
 def suppress_non_maximum(r: DataFrame, radius: int) -> DataFrame:
     """Keeps a value that is the largest of its block (ties: least (x, y)), zero elsewhere."""
     key = F.struct("v", (-F.col("x")).alias("a"), (-F.col("y")).alias("b"))
-    rows = T.dealt(r).withColumn("m", F.max(key).over(T.ROW().rowsBetween(-radius, radius)))
-    top = F.max("m").over(T.COL().rowsBetween(-radius, radius))
-    return rows.withColumn("t", top).select("img", "w", "h", "c", "x", "y", F.when((F.col("t.a") == -F.col("x")) & (F.col("t.b") == -F.col("y")), F.col("v")).otherwise(0).alias("v"))
+    rows = T.tiled(r, radius, radius, radius, radius).withColumn("m", F.max(key).over(T.TILE_ROW().rowsBetween(-radius, radius)))
+    top = F.max("m").over(T.TILE_COL().rowsBetween(-radius, radius))
+    return T.untiled(rows.withColumn("t", top)).select("img", "w", "h", "c", "x", "y", F.when((F.col("t.a") == -F.col("x")) & (F.col("t.b") == -F.col("y")), F.col("v")).otherwise(0).alias("v"))
 
 
 def local_maxima(points: DataFrame, radius: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from .stencil import COL, ROW, dealt
+from .stencil import COL, ROW, TILE_COL, TILE_ROW, tiled, untiled
 
 
 def histogram(r: DataFrame) -> DataFrame:
@@ -127,10 +127,13 @@ def match_histogram(r: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def integral_image(r: DataFrame, squared: bool = False) -> DataFrame:
-    """Sums over all places above and to the left; one row and column of zeros first."""
+    """Sums over all places above and to the left; one row and column of zeros first.
+
+    Rows are dealt by line, then columns, so no task needs a whole raster.
+    """
     v = F.col("v").cast("bigint")
     before = (W.unboundedPreceding, 0)
-    rows = dealt(r).withColumn("s", F.sum(v * v if squared else v).over(ROW().rowsBetween(*before)))
+    rows = r.withColumn("s", F.sum(v * v if squared else v).over(ROW().rowsBetween(*before)))
     sums = rows.select("img", (F.col("w") + 1).alias("w"), (F.col("h") + 1).alias("h"), "c", (F.col("x") + 1).alias("x"), (F.col("y") + 1).alias("y"), F.sum("s").over(COL().rowsBetween(*before)).alias("v"))
     sizes = r.select("img", "w", "h", "c").distinct()
     zero = F.lit(0).cast("bigint")
@@ -167,8 +170,8 @@ def running_sums(r: DataFrame, padding: int, rows: bool = True) -> DataFrame:
 
 def block_sum(r: DataFrame, radius: int) -> DataFrame:
     """``r`` with total and area of the block around each place, cut at the edges."""
-    rows = dealt(r).withColumn("s", F.sum("v").over(ROW().rowsBetween(-radius, radius)))
-    out = rows.withColumn("total", F.sum("s").over(COL().rowsBetween(-radius, radius))).drop("s")
+    rows = tiled(r, radius, radius, radius, radius).withColumn("s", F.sum("v").over(TILE_ROW().rowsBetween(-radius, radius)))
+    out = untiled(rows.withColumn("total", F.sum("s").over(TILE_COL().rowsBetween(-radius, radius))).drop("s"))
     side = lambda at, size: F.least(F.col(at) + radius, F.col(size) - 1) - F.greatest(F.col(at) - radius, F.lit(0)) + 1
     return out.withColumn("area", side("x", "w") * side("y", "h"))
 

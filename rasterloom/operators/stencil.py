@@ -1,21 +1,30 @@
 """Neighbourhood operators.
 
-Rasters are dealt once by img; every window below partitions by (img, c, row) or
-(img, c, column), which that one shuffle already satisfies, so a stencil costs a shuffle and
-two sorts whatever its size.  Borders repeat the edge value.
+Rasters are cut into tiles of ``TILE`` x ``TILE`` places, each with a halo as wide as the operator
+reaches, and dealt by (img, tile): a raster of any size is many tasks, and a small one a single tile.
+The windows below partition by (img, tile, c, row) or (img, tile, c, column), which that one shuffle
+already satisfies, so a stencil costs a shuffle and two sorts whatever its size.  A tile's window ends
+where the raster does, or beyond what its own places reach, so borders repeat the raster's edge value.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
 
+#: places of a tile's side, without its halo
+TILE = 256
+RASTER = ["img", "w", "h", "c", "x", "y", "v"]
+
+
 def ROW():  # noqa: N802
     """A raster's row, by x."""
     return W.partitionBy("img", "c", "y").orderBy("x")
@@ -26,6 +35,16 @@ def COL():  # noqa: N802
     return W.partitionBy("img", "c", "x").orderBy("y")
 
 
+def TILE_ROW():  # noqa: N802
+    """A row of a tile and its halo, by x."""
+    return W.partitionBy("img", "tx", "ty", "c", "y").orderBy("x")
+
+
+def TILE_COL():  # noqa: N802
+    """A column of a tile and its halo, by y."""
+    return W.partitionBy("img", "tx", "ty", "c", "x").orderBy("y")
+
+
 Kernel = dict[tuple[int, int], float]
 
 
@@ -49,9 +68,65 @@ LAPLACIAN = kernel([0, 1, 0, 1, -4, 1, 0, 1, 0], 3, 3)
 SHARPEN = kernel([0, -1, 0, -1, 5, -1, 0, -1, 0], 3, 3)
 
 
-def dealt(r: DataFrame) -> DataFrame:
-    """One shuffle for all windows of a raster."""
-    return r.repartition("img")
+def _tiles(at: str, size: str, before: int, after: int) -> Column:
+    """Numbers of the tiles that need a place: those with own places from ``after`` before it to ``before`` behind it."""
+    last = F.floor((F.col(size) - 1) / TILE)
+    lo, hi = F.greatest(F.lit(0), F.floor((F.col(at) - after) / TILE)), F.least(F.floor((F.col(at) + before) / TILE), last)
+    return F.explode(F.sequence(lo.cast("int"), hi.cast("int")))
+
+
+def tiled(r: DataFrame, left: int, right: int, up: int, down: int) -> DataFrame:
+    """``r`` with tile numbers tx and ty, dealt by (img, tx, ty); places that a tile reaches lie in it too."""
+    own = lambda at: F.floor(F.col(at) / TILE).cast("int")
+    placed = r.withColumn("tx", _tiles("x", "w", left, right) if left or right else own("x"))
+    placed = placed.withColumn("ty", _tiles("y", "h", up, down) if up or down else own("y"))
+    return placed.repartition("img", "tx", "ty")
+
+
+def untiled(r: DataFrame) -> DataFrame:
+    """The tiles' own places."""
+    return r.where((F.col("tx") == F.floor(F.col("x") / TILE)) & (F.col("ty") == F.floor(F.col("y") / TILE))).drop("tx", "ty")
+
+
+def on_tiles(r: DataFrame, x_reach: int, y_reach: int, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``f`` of each tile as an array of rows with its halo (edge values repeat); it returns the tile's own places.
+
+    Tasks stream their tiles, one channel of one tile at a time.
+    """
+    kind = r.schema["v"].dataType.simpleString()
+    key = ["img", "c", "tx", "ty"]
+    sorted_ = tiled(r.select(*RASTER), x_reach, x_reach, y_reach, y_reach).sortWithinPartitions(*key, "y", "x")
+
+    def computed(tile: pa.Table) -> pa.RecordBatch:
+        x, y, v = (tile.column(n).to_numpy() for n in ("x", "y", "v"))
+        img, c, w, h, tx, ty = (tile.column(n)[0].as_py() for n in ("img", "c", "w", "h", "tx", "ty"))
+        x0, y0 = int(x.min()), int(y.min())
+        values = np.zeros((int(y.max()) - y0 + 1, int(x.max()) - x0 + 1), v.dtype)
+        values[y - y0, x - x0] = v
+        ox, oy, ex, ey = tx * TILE, ty * TILE, min(w, (tx + 1) * TILE), min(h, (ty + 1) * TILE)
+        pad = ((y_reach - (oy - y0), y_reach - (y0 + values.shape[0] - ey)), (x_reach - (ox - x0), x_reach - (x0 + values.shape[1] - ex)))
+        out = f(np.pad(values, pad, mode="edge"))
+        gy, gx = np.mgrid[oy:ey, ox:ex]
+        n = out.size
+        columns = [np.full(n, img), np.full(n, w, np.int32), np.full(n, h, np.int32), np.full(n, c, np.int32), gx.ravel().astype(np.int32), gy.ravel().astype(np.int32), out.ravel().astype(v.dtype)]
+        return pa.RecordBatch.from_arrays([pa.array(k) for k in columns], RASTER)
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy() for k in key], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and any(held[0].column(k)[0].as_py() != keys[a, i] for i, k in enumerate(key)):
+                    yield computed(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield computed(pa.Table.from_batches(held))
+
+    return sorted_.mapInArrow(streamed, f"img bigint, w int, h int, c int, x int, y int, v {kind}")
 
 
 def _shift(v: str | Column, k: int, window, border: str = "replicate") -> Column:
@@ -67,22 +142,28 @@ def _shift(v: str | Column, k: int, window, border: str = "replicate") -> Column
     return F.coalesce(moved, edge)
 
 
+def reach_of(offsets: list[tuple[int, int]]) -> tuple[int, int, int, int]:
+    """How far offsets go to the left, right, up and down."""
+    xs, ys = [dx for dx, _ in offsets] + [0], [dy for _, dy in offsets] + [0]
+    return -min(xs), max(xs), -min(ys), max(ys)
+
+
 def neighbours(r: DataFrame, offsets: list[tuple[int, int]], value: str = "v", border: str = "replicate", prefix: str = "n") -> DataFrame:
     """``r`` with a column ``{prefix}{i}`` for the value at each offset (dx, dy).  Values must not be null."""
     lines = {}
-    out = r
+    out = tiled(r, *reach_of(offsets))
     for dx in sorted({dx for dx, _ in offsets}):
         lines[dx] = f"__{prefix}r{dx - min(0, min(d for d, _ in offsets))}"
-        out = out.withColumn(lines[dx], _shift(value, dx, ROW(), border))
+        out = out.withColumn(lines[dx], _shift(value, dx, TILE_ROW(), border))
     for i, (dx, dy) in enumerate(offsets):
-        out = out.withColumn(f"{prefix}{i}", _shift(lines[dx], dy, COL(), border))
-    return out.drop(*lines.values())
+        out = out.withColumn(f"{prefix}{i}", _shift(lines[dx], dy, TILE_COL(), border))
+    return untiled(out.drop(*lines.values()))
 
 
 def filtered(r: DataFrame, k: Kernel, finish: Callable[[Column], Column] = lambda s: s) -> DataFrame:
     """Correlation with a kernel; ``finish`` narrows the sum."""
     used = [(o, w) for o, w in k.items() if w != 0] or [((0, 0), 0)]
-    near = neighbours(dealt(r), [o for o, _ in used])
+    near = neighbours(r, [o for o, _ in used])
     total = sum((F.col(f"n{i}") * F.lit(w) for i, (_, w) in enumerate(used)), F.lit(0))
     return near.select("img", "w", "h", "c", "x", "y", finish(total).alias("v"))
 
@@ -145,22 +226,45 @@ def _running(window, before: str, after: str, radius: int) -> Column:
 
 def box_filter(r: DataFrame, x_radius: int, y_radius: int) -> DataFrame:
     """Means by rows, then by columns, each an integer division."""
-    rows = dealt(r).withColumn("v", F.floor(_running(ROW(), "x", "w", x_radius) / (2 * x_radius + 1)).cast("int"))
-    return rows.withColumn("v", F.floor(_running(COL(), "y", "h", y_radius) / (2 * y_radius + 1)).cast("int"))
+    rows = tiled(r, x_radius, x_radius, y_radius, y_radius).withColumn("v", F.floor(_running(TILE_ROW(), "x", "w", x_radius) / (2 * x_radius + 1)).cast("int"))
+    return untiled(rows.withColumn("v", F.floor(_running(TILE_COL(), "y", "h", y_radius) / (2 * y_radius + 1)).cast("int")))
+
+
+def sliding_median(values: np.ndarray, x_radius: int, y_radius: int) -> np.ndarray:
+    """The middle of each full window, by histograms that slide.
+
+    A histogram for each column gains the row that enters a window and loses the one that leaves; running sums over
+    the columns give each window's histogram as a difference.  The work of a place doesn't depend on the radii.
+    """
+    bins, ranks = np.unique(values, return_inverse=True)
+    ranks = ranks.reshape(values.shape)
+    height, width = values.shape[0] - 2 * y_radius, values.shape[1] - 2 * x_radius
+    columns = np.zeros((values.shape[1], len(bins)), np.int32)
+    at = np.arange(values.shape[1])
+    for row in ranks[: 2 * y_radius + 1]:
+        columns[at, row] += 1
+    half = (2 * x_radius + 1) * (2 * y_radius + 1) // 2
+    out = np.empty((height, width), values.dtype)
+    sums = np.zeros((values.shape[1] + 1, len(bins)), np.int32)
+    for y in range(height):
+        if y:
+            columns[at, ranks[y - 1]] -= 1
+            columns[at, ranks[y + 2 * y_radius]] += 1
+        np.cumsum(columns, 0, out=sums[1:])
+        below = np.cumsum(sums[2 * x_radius + 1 :] - sums[:width], 1)
+        out[y] = bins[(below > half).argmax(1)]
+    return out
 
 
 def median_filter(r: DataFrame, x_radius: int, y_radius: int) -> DataFrame:
     """The middle of the (2rx+1)(2ry+1) values, edges repeated."""
-    offsets = [(dx, dy) for dy in range(-y_radius, y_radius + 1) for dx in range(-x_radius, x_radius + 1)]
-    near = neighbours(dealt(r), offsets)
-    middle = F.element_at(F.sort_array(F.array(*[F.col(f"n{i}") for i in range(len(offsets))])), len(offsets) // 2 + 1)
-    return near.select("img", "w", "h", "c", "x", "y", middle.alias("v"))
+    return on_tiles(r, x_radius, y_radius, lambda values: sliding_median(values, x_radius, y_radius))
 
 
 def bilateral_filter(r: DataFrame, radius: int, spatial_sigma: float, color: Callable[[Column, Column], Column]) -> DataFrame:
     """Weighted mean by distance and by ``color(centre, neighbour)``, truncated."""
     offsets = [(dx, dy) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)]
-    near = neighbours(dealt(r), offsets)
+    near = neighbours(r, offsets)
     weights = [F.lit(math.exp(-0.5 * (dx * dx + dy * dy) / spatial_sigma**2)) * color(F.col("v"), F.col(f"n{i}")) for i, (dx, dy) in enumerate(offsets)]
     top = sum((w * F.col(f"n{i}") for i, w in enumerate(weights)), F.lit(0.0))
     return near.select("img", "w", "h", "c", "x", "y", E.clamp_trunc(top / sum(weights, F.lit(0.0))).alias("v"))
@@ -176,7 +280,7 @@ def gaussian_color(sigma: float) -> Callable[[Column, Column], Column]:
 def gradients(r: DataFrame, horizontal: Kernel, vertical: Kernel) -> DataFrame:
     """trunc(sqrt(h^2 + v^2)) of the two correlations, each narrowed to i16 first; also gx and gy."""
     offsets = sorted({o for k in (horizontal, vertical) for o, w in k.items() if w})
-    near = neighbours(dealt(r), offsets)
+    near = neighbours(r, offsets)
     total = lambda k: E.clamp_trunc(sum((F.col(f"n{i}") * F.lit(k[o]) for i, o in enumerate(offsets) if k.get(o)), F.lit(0)), "i16")
     out = near.withColumn("gx", total(horizontal)).withColumn("gy", total(vertical))
     size = F.floor(F.sqrt((F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).cast("double"))).cast("int")
@@ -197,7 +301,7 @@ LBP_RING = [(0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1)
 
 def local_binary_pattern(r: DataFrame) -> DataFrame:
     """Bit i is set where neighbour i is less than the centre; the border has no pattern."""
-    near = neighbours(dealt(r), LBP_RING, border="null")
+    near = neighbours(r, LBP_RING, border="null")
     bits = sum((F.when(F.col(f"n{i}") < F.col("v"), 1 << i).otherwise(0) for i in range(8)), F.lit(0))
     inner = (F.col("x") > 0) & (F.col("y") > 0) & (F.col("x") < F.col("w") - 1) & (F.col("y") < F.col("h") - 1)
     return near.where(inner).select("img", "w", "h", "c", "x", "y", bits.cast("int").alias("v"))
@@ -225,15 +329,49 @@ def mask_from_rows(rows: list[list[int]], center_x: int, center_y: int) -> list[
     return [(x - center_x, y - center_y) for y, row in enumerate(rows) for x, v in enumerate(row) if v]
 
 
+def mask_runs(mask: list[tuple[int, int]]) -> dict[int, list[tuple[int, int]]]:
+    """The mask's rows as runs: dy to pairs of the first and last dx."""
+    runs: dict[int, list[tuple[int, int]]] = {}
+    for dy, dx in sorted({(dy, dx) for dx, dy in mask}):
+        line = runs.setdefault(dy, [])
+        if line and line[-1][1] == dx - 1:
+            line[-1] = (line[-1][0], dx)
+        else:
+            line.append((dx, dx))
+    return runs
+
+
 def _masked(r: DataFrame, mask: list[tuple[int, int]], largest: bool) -> DataFrame:
+    """The extreme over the mask, by runs of its rows.
+
+    Columns ``d{k}`` and ``e{k}`` hold the extreme of the 2^k values that begin, or end, at a place, each from two of
+    the one before; any run is two such spans that overlap.  So columns grow with the mask's distinct rows and the
+    logarithm of its width.
+    """
     empty = 0 if largest else 255
     if not mask:
         return r.withColumn("v", F.lit(empty))
-    near = neighbours(dealt(r), mask, border="null")
-    pick = F.greatest if largest else F.least
-    values = [F.col(f"n{i}") for i in range(len(mask))]
-    # greatest and least skip what lies outside the raster
-    return near.select("img", "w", "h", "c", "x", "y", F.coalesce(pick(*values, F.lit(None).cast("int")), F.lit(empty)).alias("v"))
+    pick = F.greatest if largest else F.least  # both skip what lies outside the raster
+    of = lambda *values: pick(*values) if len(values) > 1 else values[0]
+    runs = mask_runs(mask)
+    distinct = sorted({run for line in runs.values() for run in line})
+    whole = TILE_ROW().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    out = tiled(r, *reach_of(mask)).withColumns({"d0": F.col("v"), "e0": F.col("v"), "all": (F.max if largest else F.min)("v").over(whole)})
+    for k in range(1, max(b - a + 1 for a, b in distinct).bit_length()):
+        half = 1 << (k - 1)
+        out = out.withColumns({f"d{k}": of(F.col(f"d{k - 1}"), _shift(f"d{k - 1}", half, TILE_ROW(), "null")), f"e{k}": of(F.col(f"e{k - 1}"), _shift(f"e{k - 1}", -half, TILE_ROW(), "null"))})
+    for i, (a, b) in enumerate(distinct):
+        k = (b - a + 1).bit_length() - 1
+        spans = [_shift(f"d{k}", a, TILE_ROW(), "null"), _shift(f"d{k}", b - (1 << k) + 1, TILE_ROW(), "null")]
+        spans += [_shift(f"e{k}", a + (1 << k) - 1, TILE_ROW(), "null"), _shift(f"e{k}", b, TILE_ROW(), "null")]
+        both_cut = (F.col("x") + a < 0) & (F.col("x") + b >= F.col("w"))  # then the tile holds the raster's whole row
+        out = out.withColumn(f"run{i}", F.when(both_cut, F.col("all")).otherwise(of(*spans)))
+    tops = []
+    for dy, line in runs.items():
+        out = out.withColumn(f"line{len(tops)}", of(*[F.col(f"run{distinct.index(run)}") for run in line]))
+        tops.append(_shift(f"line{len(tops)}", dy, TILE_COL(), "null"))
+    out = untiled(out.withColumn("best", F.coalesce(of(*tops), F.lit(empty))))
+    return out.select("img", "w", "h", "c", "x", "y", F.col("best").alias("v"))
 
 
 def grayscale_dilate(r: DataFrame, mask: list[tuple[int, int]]) -> DataFrame:
