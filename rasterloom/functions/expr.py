@@ -33,14 +33,14 @@ def fast_exp_negative(x: Column) -> Column:
     return F.when(exponent == 0, F.lit(0.0)).otherwise(F.pow(F.lit(2.0), exponent - 127) * (1.0 + fraction / float(1 << 23)))
 
 
-def black(kind: str = "u8") -> int | float:
-    """The value of each channel of a black pixel of a subpixel type."""
-    return 0.0 if kind == "f32" else 0
+def black(channels: int = 1, kind: str = "u8", alpha: bool = False) -> tuple[int, ...]:
+    """The black pixel of ``channels`` channels of a subpixel type; with ``alpha`` the last one is opaque."""
+    return (LIMITS[kind][0],) * (channels - alpha) + (LIMITS[kind][1],) * alpha
 
 
-def white(kind: str = "u8") -> int | float:
-    """The value of each channel of a white pixel of a subpixel type."""
-    return 1.0 if kind == "f32" else LIMITS[kind][1]
+def white(channels: int = 1, kind: str = "u8") -> tuple[int, ...]:
+    """The white pixel of ``channels`` channels of a subpixel type; alpha is opaque."""
+    return (LIMITS[kind][1],) * channels
 
 
 def int_div(a: Column, b: Column | int) -> Column:
@@ -116,13 +116,3 @@ def bit_subset(words: Column, bits: list[int]) -> Column:
     for b in bits:
         total = total * 2 + F.getbit(F.element_at(words, b // 64 + 1), F.lit(b % 64)).cast("bigint")
     return total
-
-
-def black(channels: int, alpha: bool = False) -> tuple[int, ...]:
-    """The black pixel of ``channels`` channels of eight bits; with ``alpha`` the last one is opaque."""
-    return (0,) * (channels - alpha) + (255,) * alpha
-
-
-def white(channels: int) -> tuple[int, ...]:
-    """The white pixel of ``channels`` channels of eight bits."""
-    return (255,) * channels

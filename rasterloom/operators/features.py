@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import math
 import random
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from . import stats as A
 from . import stencil as T
-from .regions import suppress_non_maximum
+from .components import checkpointed
 
 #: fixed values: the circle of radius 3, clockwise from north
 CIRCLE = [(0, -3), (1, -3), (2, -2), (3, -1), (3, 0), (3, 1), (2, 2), (1, 3), (0, 3), (-1, 3), (-2, 2), (-3, 1), (-3, 0), (-3, -1), (-2, -2), (-1, -3)]
@@ -115,27 +118,56 @@ def brief(r: DataFrame, keypoints: DataFrame, pairs: list[tuple[tuple[int, int],
     return values.select("img", "x", "y", F.array(*words).alias("bits"))
 
 
-def match_descriptors(a: DataFrame, b: DataFrame, threshold: int, seed: int, tables: int = 3, apart: bool = False) -> DataFrame:
-    """(id_a, id_b, distance): least Hamming distance below ``threshold`` by bit-sampling buckets.
+#: bits of the substrings that descriptors are indexed by
+PIECE = 16
 
-    ``a`` and ``b`` have (id, bits).  The smaller side asks; each table's key is floor(log2 n)
-    sampled bits, so a bucket of the other side has a few rows on average.  ``apart`` keeps an
-    id from matching itself, where both sides come from one table.
+
+def _pieces(bits: Column, size: int) -> Column:
+    """(t, piece) of each substring of a descriptor of ``size`` bits."""
+    piece = lambda t: F.shiftrightunsigned(F.element_at(bits, t * PIECE // 64 + 1), t * PIECE % 64).bitwiseAND(F.lit((1 << PIECE) - 1).cast("bigint")).cast("int")
+    return F.posexplode(F.array(*[piece(t) for t in range(size // PIECE)]))
+
+
+def _flips(n: int) -> list[int]:
+    """The words of ``PIECE`` bits of which ``n`` are set."""
+    return [sum(1 << b for b in chosen) for chosen in itertools.combinations(range(PIECE), n)]
+
+
+def match_descriptors(a: DataFrame, b: DataFrame, threshold: int, apart: bool = False) -> DataFrame:
+    """(id_a, id_b, distance): the nearest descriptor below ``threshold`` bits (ties: least id), exactly.
+
+    ``a`` and ``b`` have (id, bits), the smaller side asks, and ``apart`` keeps an id from matching itself.
+
+    Multi-index hashing: of m substrings, some one differs in at most d / m bits where the whole differs in d.
+    Round t meets the rows of which a substring differs from the asked one in t bits, so after it all rows
+    nearer than m (t + 1) bits have been met; whoever has one is answered, and the others go on.  Equal descriptors
+    are one row of the index, with their two least ids.
     """
     na, nb = a.count(), b.count()
     swap = na > nb
     ask, base = (b, a) if swap else (a, b)
-    size = int(ask.select(F.size("bits")).first()[0]) * 64 if min(na, nb) else 64
-    k = int(math.log2(max(na, nb))) if max(na, nb) else 0
-    rng = random.Random(seed)
-    chosen = [[rng.randrange(size) for _ in range(min(k, 62))] for _ in range(tables)]
-    keys = F.posexplode(F.array(*[E.bit_subset(F.col("bits"), bits) for bits in chosen]))
-    q = ask.select(F.col("id").alias("q"), F.col("bits").alias("qb"), keys.alias("t", "key"))
-    d = base.select(F.col("id").alias("d"), F.col("bits").alias("db"), keys.alias("t", "key"))
-    near = q.join(d, ["t", "key"]).select("q", "d", E.hamming_words(F.col("qb"), F.col("db")).alias("distance")).where((F.col("distance") < threshold) & (F.lit(not apart) | (F.col("q") != F.col("d"))))
-    best = near.groupBy("q").agg(F.min(F.struct("distance", "d")).alias("b"))
-    first, second = (F.col("b.d"), F.col("q")) if swap else (F.col("q"), F.col("b.d"))
-    return best.select(first.alias("id_a"), second.alias("id_b"), F.col("b.distance").alias("distance"))
+    if not min(na, nb):
+        return ask.sparkSession.createDataFrame([], "id_a long, id_b long, distance int")
+    size = int(ask.select(F.size("bits")).first()[0]) * 64
+    m = size // PIECE
+    least = base.withColumn("k", F.row_number().over(W.partitionBy("bits").orderBy("id"))).where("k <= 2")
+    distinct = least.groupBy("bits").agg(F.min("id").alias("d"), F.max("id").alias("d2"))
+    index = checkpointed(distinct.select("d", "d2", F.col("bits").alias("db"), _pieces(F.col("bits"), size).alias("t", "piece")))
+    asking = checkpointed(ask.select(F.col("id").alias("q"), F.col("bits").alias("qb")))
+    own = F.when(F.col("q") == F.col("d"), F.when(F.col("d2") != F.col("d"), F.col("d2"))).otherwise(F.col("d")) if apart else F.col("d")
+    best = None
+    for t in range((threshold - 1) // m + 1):
+        spread = asking.select("q", "qb", _pieces(F.col("qb"), size).alias("t", "own"))
+        keys = spread.withColumn("flip", F.explode(F.lit(_flips(t)))).select("q", "qb", "t", F.col("own").bitwiseXOR(F.col("flip")).alias("piece"))
+        near = keys.join(index, ["t", "piece"]).select("q", E.hamming_words(F.col("qb"), F.col("db")).alias("distance"), own.alias("d"))
+        near = near.where(F.col("d").isNotNull() & (F.col("distance") < threshold))
+        met = near if best is None else near.unionByName(best.select("q", "distance", "d"))
+        best = checkpointed(met.groupBy("q").agg(F.min(F.struct("distance", "d")).alias("b")).select("q", "b.distance", "b.d"))
+        asking = checkpointed(asking.join(best.where(F.col("distance") < m * (t + 1)), "q", "left_anti"))
+        if not asking.limit(1).count():
+            break
+    first, second = (F.col("d"), F.col("q")) if swap else (F.col("q"), F.col("d"))
+    return best.select(first.alias("id_a"), second.alias("id_b"), "distance")
 
 
 # ---- Haar features ---------------------------------------------------------------------------
@@ -254,59 +286,137 @@ def detect_lines(r: DataFrame, vote_threshold: int, radius: int) -> DataFrame:
     return a.join(b, (F.col("a.img") == F.col("b.img")) & near & beats, "left_anti").select("img", "r", "angle", "votes")
 
 
-#: template pixels that one pass over the rasters takes
-TAPS = 4_096
+#: places of the side of the blocks that rasters and templates are cut into for correlations
+BLOCK = 64
+#: bytes of a template's blocks that are sent to all tasks; larger ones are shuffled to the rasters' blocks
+SENT = 8 << 20
+
+
+def _blocks(r: DataFrame, keys: list[str]) -> DataFrame:
+    """``r(x, y, v)`` as blocks: bx, by, and the values v at k = 64 y + x within the block."""
+    inside = (F.col("y") % BLOCK) * BLOCK + F.col("x") % BLOCK
+    cut = r.select(*keys, F.floor(F.col("x") / BLOCK).cast("int").alias("bx"), F.floor(F.col("y") / BLOCK).cast("int").alias("by"), F.struct(inside.cast("int").alias("k"), F.col("v").cast("double").alias("v")).alias("p"))
+    return cut.groupBy(*keys, "bx", "by").agg(F.collect_list("p").alias("p")).select(*keys, "bx", "by", F.transform("p", lambda p: p["k"]).alias("k"), F.transform("p", lambda p: p["v"]).alias("v"))
+
+
+def _dense(k: np.ndarray, v: np.ndarray) -> np.ndarray:
+    out = np.zeros((int(k.max()) // BLOCK + 1, int((k % BLOCK).max()) + 1))
+    out[k // BLOCK, k % BLOCK] = v
+    return out
+
+
+def block_correlation(image: np.ndarray, template: np.ndarray) -> np.ndarray:
+    """The sum of image[y + t, x + s] template[t, s] for all (y, x) from (1 - template rows, 1 - template columns) on.
+
+    Each image row's windows meet all template rows in one matrix product.
+    """
+    rows, columns = template.shape
+    padded = np.pad(image, ((rows - 1, rows - 1), (columns - 1, columns - 1)))
+    lines = np.lib.stride_tricks.sliding_window_view(padded, columns, 1) @ template.T  # (row, x, template row)
+    height = image.shape[0] + rows - 1
+    return sum(lines[t : t + height, :, t] for t in range(rows))
+
+
+def correlation(r: DataFrame, template: DataFrame, width: int, height: int) -> DataFrame:
+    """(img, ox, oy, s): the sum of raster times template at each offset where the template lies inside.
+
+    Rasters and the template are cut into blocks; each pair of blocks is one task's matrix product, and the sums
+    of the pairs meet by offset.  The template stays a table, sent to all tasks only where it is small.
+    """
+    across, down = -(-width // BLOCK), -(-height // BLOCK)
+    parts = _blocks(template, []).select((F.col("by") * across + F.col("bx")).alias("part"), F.col("k").alias("tk"), F.col("v").alias("tv"))
+    if 12 * width * height <= SENT:
+        parts = F.broadcast(parts)
+    image = _blocks(r, ["img", "w", "h"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(across * down - 1))))
+
+    def correlated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            img, w, h, bx, by, part = (batch.column(n).to_numpy() for n in ("img", "w", "h", "bx", "by", "part"))
+            k, v, tk, tv = (batch.column(n) for n in ("k", "v", "tk", "tv"))
+            for i in range(batch.num_rows):
+                t = _dense(tk[i].values.to_numpy(), tv[i].values.to_numpy())
+                left, top = bx[i] * BLOCK - (part[i] % across) * BLOCK - t.shape[1] + 1, by[i] * BLOCK - (part[i] // across) * BLOCK - t.shape[0] + 1
+                sums = block_correlation(_dense(k[i].values.to_numpy(), v[i].values.to_numpy()), t)
+                y0, y1, x0, x1 = max(0, -top), min(sums.shape[0], h[i] - height + 1 - top), max(0, -left), min(sums.shape[1], w[i] - width + 1 - left)
+                if y0 >= y1 or x0 >= x1:
+                    continue
+                oy, ox = np.mgrid[top + y0 : top + y1, left + x0 : left + x1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(ox.size, img[i])), pa.array(ox.ravel().astype(np.int32)), pa.array(oy.ravel().astype(np.int32)), pa.array(sums[y0:y1, x0:x1].ravel())], ["img", "ox", "oy", "s"])
+
+    met = image.join(parts, "part").select("img", "w", "h", "bx", "by", "part", "k", "v", "tk", "tv")
+    return met.mapInArrow(correlated, "img bigint, ox int, oy int, s double").groupBy("img", "ox", "oy").agg(F.sum("s").alias("s"))
 
 
 def match_template(r: DataFrame, template: DataFrame, method: str, mask: DataFrame | None = None) -> DataFrame:
     """(img, ox, oy, score) at each offset where the template (x, y, v) lies inside.
 
-    ``method``: sse, sse_normalized, ccorr or ccorr_normalized.  The template is one raster, read by the driver; blocks of
-    ``TAPS`` of its pixels meet each place once and sums form by offset, with partial aggregation.
+    ``method``: sse, sse_normalized, ccorr or ccorr_normalized.  Products come from :func:`correlation`; the squares of
+    the raster under the template from its summed squares (four lookups an offset), or, under a mask, from a correlation too.
     """
-    t = template.select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("v").alias("tv"))
+    if method not in ("sse", "sse_normalized", "ccorr", "ccorr_normalized"):
+        raise ValueError(f"no method {method}")
+    t = template.select("x", "y", F.col("v").cast("double").alias("v"))
+    t = t.join(mask.select("x", "y", F.col("v").cast("double").alias("m")), ["x", "y"]) if mask is not None else t.withColumn("m", F.lit(1.0))
+    facts = t.agg(F.max("x").alias("x"), F.max("y").alias("y"), F.sum(F.col("v") * F.col("v") * F.col("m") * F.col("m")).alias("tt")).first()
+    width, height, tt = facts.x + 1, facts.y + 1, facts.tt
+    square = F.col("m") * F.col("m")
+    places = r.select("img", "w", "h", "c", "x", "y", F.col("v").cast("double").alias("v"))
+    products = correlation(places, t.select("x", "y", (F.col("v") * square).alias("v")), width, height).withColumnRenamed("s", "it")
     if mask is not None:
-        t = t.join(mask.select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("v").alias("m")), ["tx", "ty"])
-    else:
-        t = t.withColumn("m", F.lit(1))
-    cells = t.collect()
-    tw, th = max(c.tx for c in cells) + 1, max(c.ty for c in cells) + 1
-    tap = lambda c: F.struct(F.lit(c.tx).alias("x"), F.lit(c.ty).alias("y"), F.lit(c.tv).cast("double").alias("v"), F.lit(c.m).cast("double").alias("m"))
-    parts = [r.select("img", "w", "h", "x", "y", "v", F.explode(F.array(*map(tap, cells[a : a + TAPS]))).alias("t")) for a in range(0, len(cells), TAPS)]
-    met = reduce(DataFrame.unionByName, parts).withColumn("ox", F.col("x") - F.col("t.x")).withColumn("oy", F.col("y") - F.col("t.y"))
-    met = met.where((F.col("ox") >= 0) & (F.col("oy") >= 0) & (F.col("ox") <= F.col("w") - tw) & (F.col("oy") <= F.col("h") - th))
-    i, tv, m = F.col("v"), F.col("t.v"), F.col("t.m")
-    score = F.sum((tv - i) * (tv - i) * m * m) if method.startswith("sse") else F.sum(tv * i * m * m)
-    sums = met.groupBy("img", "ox", "oy").agg(score.alias("s"), F.sum(tv * tv * m * m).alias("tt"), F.sum((i * i).cast("double") * m * m).alias("ii"))
-    norm = F.sqrt(F.col("tt") * F.col("ii"))
+        squares = correlation(places.withColumn("v", F.col("v") * F.col("v")), t.select("x", "y", square.alias("v")), width, height).withColumnRenamed("s", "ii")
+    elif method != "ccorr":
+        sums = A.integral_image(r, True, None if r.schema["v"].dataType.typeName() in ("integer", "long") else "double").select("img", "w", "h", "x", "y", F.col("v").cast("double").alias("v"))
+        corners = F.explode(F.array(*[F.struct(F.lit(dx).alias("x"), F.lit(dy).alias("y"), F.lit(sign).alias("s")) for dx, dy, sign in ((0, 0, 1), (width, 0, -1), (0, height, -1), (width, height, 1))]))
+        asked = sums.withColumn("k", corners).select("img", "w", "h", (F.col("x") - F.col("k.x")).alias("ox"), (F.col("y") - F.col("k.y")).alias("oy"), (F.col("v") * F.col("k.s")).alias("s"))
+        squares = asked.where((F.col("ox") >= 0) & (F.col("oy") >= 0) & (F.col("ox") <= F.col("w") - 1 - width) & (F.col("oy") <= F.col("h") - 1 - height)).groupBy("img", "ox", "oy").agg(F.sum("s").alias("ii"))
+    both = products.join(squares, ["img", "ox", "oy"]) if method != "ccorr" else products
+    score = F.lit(tt) - 2 * F.col("it") + F.col("ii") if method.startswith("sse") else F.col("it")
     if method.endswith("_normalized"):
-        return sums.select("img", "ox", "oy", F.when(norm > 0, F.col("s") / F.when(norm > 0, norm).otherwise(1.0)).otherwise(F.col("s")).alias("score"))
-    if method not in ("sse", "ccorr"):
-        raise ValueError(f"no method {method}")
-    return sums.select("img", "ox", "oy", F.col("s").alias("score"))
+        norm = F.sqrt(F.lit(tt) * F.col("ii"))
+        score = F.when(norm > 0, score / F.when(norm > 0, norm).otherwise(1.0)).otherwise(score)
+    return both.select("img", "ox", "oy", score.alias("score"))
 
 
-def area_resize(r: DataFrame, side: int) -> DataFrame:
-    """Means over a side x side grid of equal areas (this engine's choice of filter for hashes)."""
-    def overlap(at: str, size: str) -> Column:
-        scale = F.col(size) / float(side)
-        first, last = F.floor(F.col(at) / scale), F.least(F.ceil((F.col(at) + 1) / scale) - 1, F.lit(side - 1))
-        return F.transform(F.sequence(first.cast("int"), F.greatest(first, last).cast("int")), lambda k: F.struct(k.alias("k"), (F.least((k + 1) * scale, (F.col(at) + 1).cast("double")) - F.greatest(k * scale, F.col(at).cast("double"))).alias("s")))
+#: fixed value: the lobes of the resampling window on either side
+LOBES = 3
 
-    rows = r.withColumn("a", F.explode(overlap("x", "w"))).withColumn("b", F.explode(overlap("y", "h")))
-    weight = F.col("a.s") * F.col("b.s")
-    return rows.groupBy("img", "c", F.col("a.k").alias("x"), F.col("b.k").alias("y")).agg((F.sum(F.col("v") * weight) / F.sum(weight)).alias("v")).select("img", F.lit(side).alias("w"), F.lit(side).alias("h"), "c", "x", "y", "v")
+
+def _sinc(x: Column) -> Column:
+    return F.when(x == 0, 1.0).otherwise(F.sin(x * math.pi) / F.when(x == 0, 1.0).otherwise(x * math.pi))
+
+
+def _resampled(r: DataFrame, side: int, axis: str, size: str) -> DataFrame:
+    """One axis to ``side`` places: windowed-sinc taps around each new place's centre, normalised to sum 1."""
+    ratio = F.col(size) / float(side)
+    scale = F.greatest(ratio, F.lit(1.0))
+    at = F.col(axis) + 0.5
+    first = F.greatest(F.lit(0), F.ceil((at - LOBES * scale) / ratio - 0.5)).cast("int")
+    last = F.least(F.lit(side - 1), F.floor((at + LOBES * scale) / ratio - 0.5)).cast("int")
+    spread = r.withColumn("o", F.explode(F.sequence(first, last)))  # each place lies in some window
+    d = (at - (F.col("o") + 0.5) * ratio) / scale
+    weight = F.when(F.abs(d) < LOBES, _sinc(d) * _sinc(d / LOBES)).otherwise(0.0)
+    other = [k for k in ("img", "w", "h", "c", "x", "y") if k != axis]
+    return spread.groupBy(*other, F.col("o").alias(axis)).agg((F.sum(F.col("v") * weight) / F.sum(weight)).alias("v"))
+
+
+def lanczos_resize(r: DataFrame, side: int) -> DataFrame:
+    """``side`` x ``side`` rasters by separable Lanczos-3 resampling: columns, then rows.
+
+    Values aren't narrowed; they are rounded at six places so that sums in any order agree.
+    """
+    out = _resampled(_resampled(r, side, "y", "h"), side, "x", "w")
+    return out.select("img", F.lit(side).alias("w"), F.lit(side).alias("h"), "c", "x", "y", F.round("v", 6).alias("v"))
 
 
 def _above_mean(r: DataFrame) -> DataFrame:
     rows = r.groupBy("img").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda s: s["v"]).alias("d"))
-    mean = F.aggregate("d", F.lit(0.0), lambda a, x: a + x) / F.size("d")
+    mean = F.round(F.aggregate("d", F.lit(0.0), lambda a, x: a + x) / F.size("d"), 6)
     return rows.withColumn("mean", mean).select("img", E.pack_bits(F.transform("d", lambda v: v > F.col("mean"))).alias("h"))
 
 
 def average_hash(r: DataFrame) -> DataFrame:
     """(img, h): 64 bits, raster order from bit 0, set where the 8x8 raster is above its mean."""
-    return _above_mean(area_resize(r, 8))
+    return _above_mean(lanczos_resize(r, 8))
 
 
 def dct2d(r: DataFrame, side: int) -> DataFrame:
@@ -322,5 +432,5 @@ def dct2d(r: DataFrame, side: int) -> DataFrame:
 
 def phash(r: DataFrame) -> DataFrame:
     """(img, h): the 8x8 block at (1, 1) of the 32x32 DCT against its mean."""
-    freq = dct2d(area_resize(r, 32), 32).where("x between 1 and 8 and y between 1 and 8")
+    freq = dct2d(lanczos_resize(r, 32), 32).where("x between 1 and 8 and y between 1 and 8").withColumn("v", F.round("v", 3))
     return _above_mean(freq)

@@ -126,17 +126,17 @@ def match_histogram(r: DataFrame, target: DataFrame) -> DataFrame:
 # ---- prefix sums --------------------------------------------------------------------------
 
 
-def integral_image(r: DataFrame, squared: bool = False) -> DataFrame:
+def integral_image(r: DataFrame, squared: bool = False, kind: str | None = None) -> DataFrame:
     """Sums over all places above and to the left; one row and column of zeros first.
 
     Rows are dealt by line, then columns, so no task needs a whole raster.
     """
-    v = F.col("v").cast("bigint")
+    v = F.col("v").cast(kind or "bigint")
     before = (W.unboundedPreceding, 0)
     rows = r.withColumn("s", F.sum(v * v if squared else v).over(ROW().rowsBetween(*before)))
     sums = rows.select("img", (F.col("w") + 1).alias("w"), (F.col("h") + 1).alias("h"), "c", (F.col("x") + 1).alias("x"), (F.col("y") + 1).alias("y"), F.sum("s").over(COL().rowsBetween(*before)).alias("v"))
     sizes = r.select("img", "w", "h", "c").distinct()
-    zero = F.lit(0).cast("bigint")
+    zero = F.lit(0).cast(kind or "bigint")
     top = sizes.select("img", (F.col("w") + 1).alias("w"), (F.col("h") + 1).alias("h"), "c", F.explode(F.sequence(F.lit(0), F.col("w"))).alias("x"), F.lit(0).alias("y"), zero.alias("v"))
     left = sizes.select("img", (F.col("w") + 1).alias("w"), (F.col("h") + 1).alias("h"), "c", F.lit(0).alias("x"), F.explode(F.sequence(F.lit(1), F.col("h"))).alias("y"), zero.alias("v"))
     return sums.unionByName(top).unionByName(left)

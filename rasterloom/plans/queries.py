@@ -32,6 +32,11 @@ def on_emb(name: str, make: Callable[[DataFrame], DataFrame], *steps: tuple[str,
     add(name, lambda spark, d: (lambda o: o.select(*columns) if columns else o)(make(S.emb8(spark, d))), Q.chain(*steps) if steps else None)
 
 
+def on_mosaic(name: str, make: Callable[[DataFrame], DataFrame], *steps: tuple[str, str], columns: list[str] | None = XYV) -> None:
+    """A query over the 40x40 rasters."""
+    add(name, lambda spark, d: (lambda o: o.select(*columns) if columns else o)(make(S.mosaic(spark, d))), Q.chain(*steps, source=Q.MOSAIC) if steps else None)
+
+
 def one(q: str) -> tuple[str, str]:
     return ("r", q)
 

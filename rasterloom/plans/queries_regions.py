@@ -14,7 +14,7 @@ from ..operators import regions as R
 from ..operators import stats as A
 from ..sources import rasters as S
 from . import sql as Q
-from .queries import _SQ, add, on_emb, one
+from .queries import _SQ, add, on_emb, on_mosaic, one
 
 
 def white(r: DataFrame, level: int = 150) -> DataFrame:
@@ -114,10 +114,52 @@ for _n, _s in (("sse", "sum((tv - v) * (tv - v) * m * m)::DOUBLE"), ("ccorr", "s
     on_emb(f"match_template_with_mask_{_n}", lambda r, n=_n: X.match_template(r, S.literal(r.sparkSession, _TEMPLATE), n, S.literal(r.sparkSession, [[2, 1], [0, 3]])).select("img", "ox", "oy", F.round("score", 6).alias("score")), one(f"SELECT img, CAST(x - tx AS INTEGER) AS ox, CAST(y - ty AS INTEGER) AS oy, {_s} AS score FROM px, {_TM} WHERE x - tx BETWEEN 0 AND 6 AND y - ty BETWEEN 0 AND 6 GROUP BY img, x - tx, y - ty"), columns=None)
 _HASHED = [("m", "SELECT img, avg(v::DOUBLE) AS mean FROM px GROUP BY img"), ("b", "SELECT px.img, sum(CASE WHEN v > mean THEN CAST(pow(2::DOUBLE, y * 8 + x) AS HUGEINT) ELSE 0::HUGEINT END) AS h FROM px JOIN m ON px.img = m.img GROUP BY px.img"), ("r", "SELECT img, CAST(CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END AS BIGINT) AS h FROM b")]
 on_emb("average_hash", X.average_hash, *_HASHED, columns=None)
-on_emb("phash", X.phash, columns=None)
+
+
+def _resized(side: int) -> tuple[tuple[str, str], ...]:
+    """The rasters at ``side`` x ``side`` places: one axis, then the other, with taps of the windowed sinc."""
+    kernel = "CASE WHEN abs(d) >= 3 THEN 0 WHEN d = 0 THEN 1 ELSE sin(pi() * d) / (pi() * d) * sin(pi() * d / 3) / (pi() * d / 3) END"
+    taps = f"SELECT i, o, {kernel} AS k FROM (SELECT i, o, (i + 0.5 - (o + 0.5) * s) / greatest(s, 1) AS d FROM range(40) a(i), range({side}) b(o), (SELECT CAST(40 AS DOUBLE) / {side} AS s))"
+    return (
+        ("tap", taps),
+        ("col", "SELECT img, x, CAST(o AS INTEGER) AS y, sum(v * k) / sum(k) AS v FROM px JOIN tap ON y = i GROUP BY img, x, o"),
+        ("small", "SELECT img, CAST(o AS INTEGER) AS x, y, round(sum(v * k) / sum(k), 6) AS v FROM col JOIN tap ON x = i GROUP BY img, y, o"),
+    )
+
+
+def _bits(source: str) -> tuple[tuple[str, str], ...]:
+    """64 bits of the places above the mean, in raster order from bit 0."""
+    return (
+        ("m", f"SELECT img, round(avg(v), 6) AS mean FROM {source} GROUP BY img"),
+        ("b", f"SELECT s.img, sum(CASE WHEN v > mean THEN CAST(pow(2::DOUBLE, k) AS HUGEINT) ELSE 0::HUGEINT END) AS h FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY y, x) - 1 AS k FROM {source}) s JOIN m ON s.img = m.img GROUP BY s.img"),
+        ("r", "SELECT img, CAST(CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END AS BIGINT) AS h FROM b"),
+    )
+
+
+_FREQ = ("freq", "SELECT img, CAST(u AS INTEGER) AS x, CAST(w AS INTEGER) AS y, round(sum(v * cos(pi() / 32 * (x + 0.5) * u) * cos(pi() / 32 * (y + 0.5) * w)), 3) AS v FROM small, range(1, 9) a(u), range(1, 9) b(w) GROUP BY img, u, w")
+on_mosaic("lanczos_resize", lambda r: X.lanczos_resize(r, 8), *_resized(8), ("r", "SELECT img, x, y, v FROM small"))
+on_mosaic("average_hash_large", X.average_hash, *_resized(8), *_bits("small"), columns=None)
+on_mosaic("phash", X.phash, *_resized(32), _FREQ, *_bits("freq"), columns=None)
 on_emb("hash_distances", lambda r: _hash_pairs(X.average_hash(r)), *_HASHED, ("d", "SELECT a.img, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM r a JOIN r b ON b.img + 1 = a.img"), columns=None)
-on_emb("brief", lambda r: X.brief(r, r.where("x between 2 and 5 and y between 2 and 5").select("img", "x", "y"), X.brief_pairs(128, 1, 2)), columns=None)
-on_emb("match_binary_descriptors", lambda r: _matched(r), columns=None)
+_PAIRS = X.brief_pairs(128, 1, 2)
+#: the tests' bits as two words: of the 128 the first test isn't kept, and the last bit is 0
+_TESTS = ", ".join(f"({k}, {64 * (k // 64)}, {p[0]}, {p[1]}, {q[0]}, {q[1]})" for k, (p, q) in enumerate(_PAIRS[1:]))
+_BRIEF = (
+    ("mean", f"SELECT img, x, y, CAST(sum(v) // count(*) AS INTEGER) AS m FROM ({Q.inside(_SQ(2, 2))}) GROUP BY img, x, y"),
+    ("key", "SELECT img, x, y FROM px WHERE x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5"),
+    ("word", f"SELECT key.img, key.x, key.y, k0, sum(CASE WHEN a.m < b.m THEN CAST(pow(2::DOUBLE, 63 - k + k0) AS HUGEINT) ELSE 0::HUGEINT END) AS w FROM key CROSS JOIN (VALUES {_TESTS}) t(k, k0, ax, ay, bx, by_) JOIN mean a ON a.img = key.img AND a.x = key.x + ax AND a.y = key.y + ay JOIN mean b ON b.img = key.img AND b.x = key.x + bx AND b.y = key.y + by_ GROUP BY key.img, key.x, key.y, k0"),
+    ("bit", "SELECT img, x, y, list(CAST(CASE WHEN w >= 9223372036854775808::HUGEINT THEN w - 18446744073709551616::HUGEINT ELSE w END AS BIGINT) ORDER BY k0) AS bits FROM word GROUP BY img, x, y"),
+)
+on_emb("brief", lambda r: X.brief(r, r.where("x between 2 and 5 and y between 2 and 5").select("img", "x", "y"), _PAIRS), *_BRIEF, ("r", "SELECT * FROM bit"), columns=None)
+on_emb(
+    "match_binary_descriptors",
+    lambda r: _matched(r),
+    *_BRIEF,
+    ("d", "SELECT img * 64 + y * 8 + x AS id, img, bits[1] AS a, bits[2] AS b FROM bit"),
+    ("p", "SELECT q.id AS id_a, d.id AS id_b, CAST(bit_count(xor(q.a, d.a)) + bit_count(xor(q.b, d.b)) AS INTEGER) AS distance FROM d q JOIN d ON q.id <> d.id WHERE q.img % 20 = 0"),
+    ("r", "SELECT id_a, id_b, distance FROM (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY distance, id_b) AS k FROM p WHERE distance < 40) WHERE k = 1"),
+    columns=None,
+)
 
 
 def _hash_pairs(h: DataFrame) -> DataFrame:
@@ -128,6 +170,6 @@ def _hash_pairs(h: DataFrame) -> DataFrame:
 
 def _matched(r: DataFrame) -> DataFrame:
     """Asks with every raster whose number 20 divides, against all rasters, at all places a descriptor fits."""
-    found = X.brief(r, r.where("x between 2 and 5 and y between 2 and 5").select("img", "x", "y"), X.brief_pairs(128, 1, 2))
+    found = X.brief(r, r.where("x between 2 and 5 and y between 2 and 5").select("img", "x", "y"), _PAIRS)
     rows = found.select((F.col("img") * 64 + F.col("y") * 8 + F.col("x")).alias("id"), "img", "bits")
-    return X.match_descriptors(rows.where("img % 20 = 0").select("id", "bits"), rows.select("id", "bits"), 40, 7, apart=True)
+    return X.match_descriptors(rows.where("img % 20 = 0").select("id", "bits"), rows.select("id", "bits"), 40, apart=True)

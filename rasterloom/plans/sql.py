@@ -9,6 +9,13 @@ px AS MATERIALIZED (
          CAST(floor(least(255.0, greatest(0.0, (CAST(embedding[i + 1] AS DOUBLE) + 0.6) * 212.5))) AS INTEGER) AS v
   FROM embeddings, range(64) t(i))"""
 
+#: embeddings as rasters of 5x5 tiles
+MOSAIC = """
+px AS MATERIALIZED (
+  SELECT g.img, CAST(t % 5 * 8 + i % 8 AS INTEGER) AS x, CAST(t // 5 * 8 + i // 8 AS INTEGER) AS y,
+         CAST(floor(least(255.0, greatest(0.0, (CAST(coalesce(embedding[i + 1], -1) AS DOUBLE) + 0.6) * 212.5))) AS INTEGER) AS v
+  FROM (SELECT DISTINCT vec_id // 25 AS img FROM embeddings) g CROSS JOIN range(25) a(t) CROSS JOIN range(64) b(i) LEFT JOIN embeddings e ON e.vec_id = g.img * 25 + t)"""
+
 #: truncates toward zero between the limits of a type
 CLAMP = "CAST(trunc(least({hi}, greatest({lo}, {e}))) AS INTEGER)"
 
@@ -38,6 +45,6 @@ def filtered(k: dict, finish: str, source: str = "px") -> str:
     return f"SELECT img, x, y, {finish} AS v FROM (SELECT img, x, y, sum(w * v) AS s FROM ({near(k, source)}) GROUP BY img, x, y)"
 
 
-def chain(*steps: tuple[str, str]) -> str:
+def chain(*steps: tuple[str, str], source: str = EMB) -> str:
     """WITH over the rasters and named steps; the last step is the result."""
-    return "WITH " + ",\n".join([EMB.strip(), *(f"{n} AS MATERIALIZED ({q})" for n, q in steps)]) + f"\nSELECT * FROM {steps[-1][0]}"
+    return "WITH " + ",\n".join([source.strip(), *(f"{n} AS MATERIALIZED ({q})" for n, q in steps)]) + f"\nSELECT * FROM {steps[-1][0]}"

@@ -15,6 +15,17 @@ def emb8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("img", F.lit(8).alias("w"), F.lit(8).alias("h"), F.lit(0).alias("c"), (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), value.alias("v"))
 
 
+def mosaic(spark: SparkSession, sf_dir: str, side: int = 5) -> DataFrame:
+    """``embeddings`` as tiles of 8x8, ``side`` x ``side`` of them to a gray raster in the order of vec_id; missing ones are 0."""
+    each = side * side
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.floor(F.col("vec_id") / each).alias("img"), F.pmod("vec_id", F.lit(each)).alias("tile"), "embedding")
+    whole = rows.select("img").distinct().withColumn("tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(each - 1).cast("bigint"))))
+    cells = whole.join(rows, ["img", "tile"], "left").select("img", "tile", F.posexplode(F.coalesce("embedding", F.array_repeat(F.lit(-1.0).cast("float"), 64))).alias("i", "e"))
+    value = F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), (F.col("e").cast("double") + 0.6) * 212.5))).cast("int")
+    x, y = (F.col("tile") % side) * 8 + F.col("i") % 8, F.floor(F.col("tile") / side) * 8 + F.floor(F.col("i") / 8)
+    return cells.select("img", F.lit(8 * side).alias("w"), F.lit(8 * side).alias("h"), F.lit(0).alias("c"), x.cast("int").alias("x"), y.cast("int").alias("y"), value.alias("v"))
+
+
 def heat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` counted on a grid of quantity by discount, 50x11, one raster; counts saturate at 255."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_quantity") - 1).cast("int").alias("x"), F.round(F.col("l_discount") * 100).cast("int").alias("y"))

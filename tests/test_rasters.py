@@ -242,7 +242,7 @@ def test_descriptor_matching(spark):
     base = [[rng.getrandbits(63) for _ in range(4)] for _ in range(40)]
     near = [[base[i][0] ^ 1, *base[i][1:]] for i in range(10)]
     table = lambda rs: spark.createDataFrame(list(enumerate(rs)), "id long, bits array<bigint>")
-    found = {r.id_a: (r.id_b, r.distance) for r in X.match_descriptors(table(near), table(base), 10, 1).collect()}
+    found = {r.id_a: (r.id_b, r.distance) for r in X.match_descriptors(table(near), table(base), 10).collect()}
     assert len(found) >= 9 and all(b == a and d == 1 for a, (b, d) in found.items())
 
 
@@ -369,6 +369,7 @@ def test_images_from_files(spark, tmp_path, colour, channels, w, h):
 
 
 def test_named_pixels():
+    assert E.black(2, "u16", alpha=True) == (0, 65535) and E.white(4, "u16") == (65535,) * 4 and E.black() == (0,)
     assert E.black(1) == (0,) and E.black(4, alpha=True) == (0, 0, 0, 255) and E.white(3) == (255, 255, 255)
 
 
