@@ -1,6 +1,7 @@
 """Main text of pages: planted pages, the site style tree, and awkward markup."""
 
 import math
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -163,3 +164,36 @@ def test_empty_and_clashing(spark):
     assert S.extract(pages.where("false")).count() == 0
     clashing = pages.selectExpr("*", "'h' as host", "1 as path", "'t' as text", "array(1) as low", "2 as n_chars")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in S.extract(clashing).collect()) == [(0, "", 0), (1, "x", 1)]
+
+
+def test_names_spare_articles():
+    text = lambda source: S.Page(source).text()
+    assert text('<article class="long-form"><p>one</p></article>') == "one"
+    assert text('<div class="layout has-sidebar banner"><article>one</article></div><div class=sidebar>no</div>') == "one"
+    assert text('<p class="comment-on-policy">a</p><section id="notice-of-meeting">b</section>') == "a\nb"
+    assert text("<article>said</article><div id=comments><article class=comment-body>no</article></div>") == "said"
+    assert text('<article class="post comment">only</article>') == "only"
+    assert text("<footer><article>no</article></footer><p>yes</p>") == "yes"
+
+
+def test_broken_tags_and_deep_pages_end():
+    """A megabyte of unclosed quotes and 100,000 nested blocks are read in time that grows with them."""
+    began = time.perf_counter()
+    assert S.Page('<p title="x>y</p><p>z</p>').text() == "y\nz"
+    for source in ("<a '" * 250_000, "<a<b" * 200_000, "<div>x" * 100_000, "<div>" * 50_000 + "</p>" * 50_000, "<b>" * 50_000 + "</i>" * 50_000 + "<p>end"):
+        page = S.Page(source)
+        page.tree()
+        page.text(frozenset([1]))
+    assert time.perf_counter() - began < 60
+
+
+def test_subtree_hashes_follow_structure_and_text():
+    one = S.Page("<div><p>a</p><ul><li>b</ul></div><div><p>a</p><ul><li>b</ul></div>")
+    own, tree = one.tree()
+    assert own == S.Page("<div><p>a</p><ul><li>b</ul></div><div><p>a</p><ul><li>b</ul></div>").tree()[0]
+    sub = lambda source: S.Page(source).tree()[1]
+    path = S.Page("<div></div>").nodes[1][1]
+    assert sub("<div><p>a</p><p>b</p></div>")[path][0] == sub("<div><p>c</p><p>d</p></div>")[path][0] != sub("<div><p>c</p><ul>d</ul></div>")[path][0]
+    assert sub("<div><p>a</p><p>b</p></div>")[path][1] == sub("<div><p>a</p><b>b</b></div>")[path][1] != sub("<div><p>a</p><p>c</p></div>")[path][1]
+    assert sub("<div><p>a<ul>b</ul></div>")[path][0] != sub("<div><p>a<ul><p>b</ul></div>")[path][0]
+    assert tree[path][2] is False

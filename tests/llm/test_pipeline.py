@@ -62,9 +62,25 @@ def test_run_takes_awkward_documents(spark, awkward, tmp_path):
     assert all(re.fullmatch("[0-9a-f]{64}", r.ids_sha256) for r in found)
 
 
+def test_decontamination_tells_rows_apart(spark, tmp_path):
+    """Rows without an id are judged by their text, as are rows that share an id; extra columns stay."""
+    phrase = "one two three four five six seven eight nine ten"
+    spark.createDataFrame([(1, phrase)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"leaks {phrase} here", "a"), (None, "clean without an id", "b"), (7, f"{phrase} leaks", "c"), (7, "clean and shares an id", "d"), (8, None, "e"), (9, "", "f"), (10, "twice", "g"), (10, "twice", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `row key` string").withColumns({n: F.lit("z") for n in ("segment", "contaminated", "term", "hit")})
+    kept = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(r["row key"] for r in kept.collect()) == ["b", "d", "e", "f", "g", "g"]
+
+
+def test_stages_of_no_documents(spark, documents, no_documents):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_documents, SF).collect() == [], name
+
+
 def test_entry_points_have_the_pipeline(spark):
     import __spark_entry__
 
     found = __spark_entry__.queries()
-    assert "pipeline" in found and sum(bool(re.match(r"op\d+_", n)) for n in found) == 10
+    assert "pipeline" in found and sum(bool(re.match(r"op\d+_", n)) for n in found) == 13
     assert set(__spark_entry__.oracle_sql()) <= set(found)
