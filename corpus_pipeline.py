@@ -16,31 +16,52 @@ from rasterloom.llm.scratch import new_folder
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject; it learns from the labelled rows of the corpus."""
+    """Documents that the classifier doesn't reject; it learns from the labelled rows of the corpus.
+
+    Each row is scored by its own text: rows without an id or text, repeated rows and repeated ids are judged like any other.
+    An empty table stays empty.
+    """
     return toxicity.without_toxic(docs, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each near-duplicate group (five-word shingles, 0.8)."""
+    """One document of each near-duplicate group (five-word shingles, 0.8): that of least id.
+
+    Rows of one id are one document: all of them stay or go.  Rows without an id, which no other row can name as its
+    duplicate, stay; so do rows without words, which are linked with nothing.  An empty table stays empty.
+    """
     found = near_duplicates.near_duplicates(docs.select("doc_id", "text"), size=5, percent=80)
     return docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the sentences of repeated spans; documents of which nothing stays go."""
+    """Texts without the sentences of repeated spans; documents of which nothing stays go.
+
+    Rows are told apart though they share an id or have none; of rows with equal spans, ties included, one keeps them.
+    Null and empty texts stay as they are.  An empty table stays empty.
+    """
     cut = sentence_spans.substring_dedup(docs)
     kept = cut.where("n_removed = 0 or n_removed < n_sentences").withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
-    found = decontamination.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents without a benchmark window.
+
+    Each row is judged by its own text, whatever other rows share its id, or if it has none; equal rows stay or go
+    together.  Null and empty texts have no words and stay.  An empty table, or benchmark, loses nothing.
+    """
+    key = F.xxhash64(docs["doc_id"].isNull(), docs["doc_id"], docs["text"].isNull(), docs["text"])  # of 64 bits: a key for each distinct row
+    found = decontamination.contamination(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    hit = found.where("contaminated").select(F.col("doc_id").alias("hit")).distinct()
+    return docs.join(hit, key == hit["hit"], "left_anti").select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token count, hashes of its ids and of their decoded text."""
+    """Each document's token count, hashes of its ids and of their decoded text.
+
+    A row for each row, repeated ones and those without an id included; a null text counts as empty.
+    """
     return bpe.round_trip(docs, public_tokenizers.path(BYTE_BPE))
 
 
