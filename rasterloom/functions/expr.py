@@ -116,3 +116,15 @@ def bit_subset(words: Column, bits: list[int]) -> Column:
     for b in bits:
         total = total * 2 + F.getbit(F.element_at(words, b // 64 + 1), F.lit(b % 64)).cast("bigint")
     return total
+
+
+def source_over(top: list[Column], bottom: list[Column]) -> list[Column]:
+    """Four channels of 8 bits of ``top`` blended over ``bottom``.
+
+    alpha = a + b - a*b of the shares; each colour is (top*a + bottom*b*(1-a)) / alpha, truncated.  A top without
+    alpha changes nothing.
+    """
+    a, b = top[3] / 255.0, bottom[3] / 255.0
+    alpha = a + b - a * b
+    mixed = [clamp_trunc(F.when(alpha == 0, 0.0).otherwise((t * a + o * b * (1 - a)) / F.when(alpha == 0, 1.0).otherwise(alpha))) for t, o in zip(top[:3], bottom[:3], strict=True)]
+    return [F.when(top[3].isNull() | (top[3] == 0), o).otherwise(m) for o, m in zip(bottom, [*mixed, clamp_trunc(alpha * 255)], strict=True)]

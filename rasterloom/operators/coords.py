@@ -55,18 +55,12 @@ def replace(bottom: DataFrame, top: DataFrame, x: int, y: int) -> DataFrame:
 
 
 def overlay(bottom: DataFrame, top: DataFrame, x: int, y: int) -> DataFrame:
-    """Source-over blend of four-channel rasters of 8 bits at (x, y), clipped.
-
-    alpha = a + b - a*b of the shares; each colour is (fg*a + bg*b*(1-a)) / alpha, truncated.
-    """
+    """Source-over blend of four-channel rasters of 8 bits at (x, y), clipped."""
     def pixel(r: DataFrame, name: str, dx: int, dy: int) -> DataFrame:
         return r.groupBy("img", "w", "h", (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")).agg(*[F.max(F.when(F.col("c") == c, F.col("v"))).alias(f"{name}{c}") for c in range(4)])
 
     both = pixel(bottom, "b", 0, 0).join(pixel(top, "t", x, y).drop("w", "h"), ["img", "x", "y"], "left")
-    a, b = F.col("t3") / 255.0, F.col("b3") / 255.0
-    alpha = a + b - a * b
-    mixed = [E.clamp_trunc(F.when(alpha == 0, 0.0).otherwise((F.col(f"t{c}") * a + F.col(f"b{c}") * b * (1 - a)) / F.when(alpha == 0, 1.0).otherwise(alpha))) for c in range(3)]
-    out = [F.when(F.col("t3").isNull() | (F.col("t3") == 0), F.col(f"b{c}")).otherwise(m) for c, m in enumerate([*mixed, E.clamp_trunc(alpha * 255)])]
+    out = E.source_over([F.col(f"t{c}") for c in range(4)], [F.col(f"b{c}") for c in range(4)])
     return both.select("img", "w", "h", "x", "y", F.posexplode(F.array(*out)).alias("c", "v")).select("img", "w", "h", "c", "x", "y", "v")
 
 

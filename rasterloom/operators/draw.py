@@ -10,9 +10,11 @@ import math
 from collections.abc import Callable, Iterable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import expr as E
+
 Span = tuple[int, int, int]  # y, first x, last x
 
 
@@ -191,6 +193,32 @@ def paint_weighted(r: DataFrame, points: list[tuple[int, int, float]], color: li
     return r.join(marks, ["x", "y"], "left").select("img", "w", "h", "c", "x", "y", new.alias("v"))
 
 
+def composite(r: DataFrame, marks: DataFrame) -> DataFrame:
+    """``r``, rasters of four channels of 8 bits, with translucent ``marks(seq, y, a, b, c0, c1, c2, c3)`` blended in order.
+
+    A mark covers places a to b of row y in every raster.  Each place folds the marks over it by ``seq``, one after the
+    other, each result narrowed to 8 bits before the next; a place that a shape meets twice is blended twice.
+    """
+    rows = marks.groupBy("y").agg(F.array_sort(F.collect_list(F.struct("seq", "a", "b", "c0", "c1", "c2", "c3"))).alias("marks"))
+    pixels = r.groupBy("img", "w", "h", "x", "y").agg(*[F.max(F.when(F.col("c") == c, F.col("v"))).cast("int").alias(f"c{c}") for c in range(4)])
+    names = [f"c{c}" for c in range(4)]
+    over = F.filter(F.coalesce("marks", F.array().cast(rows.schema["marks"].dataType)), lambda m: (m["a"] <= F.col("x")) & (F.col("x") <= m["b"]))
+    blended = lambda old, m: F.struct(*[v.cast("int").alias(n) for n, v in zip(names, E.source_over([m[n] for n in names], [old[n] for n in names]), strict=True)])
+    folded = pixels.join(rows, "y", "left").withColumn("out", F.aggregate(over, F.struct(*names), blended))
+    return folded.select("img", "w", "h", "x", "y", F.posexplode(F.array(*[F.col(f"out.{n}") for n in names])).alias("c", "v")).select("img", "w", "h", "c", "x", "y", "v")
+
+
+def mark_rows(spark: SparkSession, layers: list[tuple[Iterable[Span], list[int]]]) -> DataFrame:
+    """Marks of :func:`composite` for shapes, given as spans with their colours, in drawing order."""
+    listed = ((*span, color) for spans, color in layers for span in spans)
+    rows = [(seq, int(y), int(a), int(b), *map(int, color)) for seq, (y, a, b, color) in enumerate(listed)]
+    return spark.createDataFrame(rows, "seq int, y int, a int, b int, c0 int, c1 int, c2 int, c3 int")
+
+
+def point_spans(points: Iterable[tuple[int, int]]) -> list[Span]:
+    return [(y, x, x) for x, y in points]
+
+
 def draw_line(r: DataFrame, start: tuple[float, float], end: tuple[float, float], color: list[int]) -> DataFrame:
     return paint(r, line_points(start, end), color)
 

@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
@@ -96,10 +97,43 @@ def diffs(actual: DataFrame, expected: DataFrame, differs: Callable[[Column, Col
     return actual.join(other, KEY).where(differs(F.col("v"), F.col("expected"))).select(*KEY, F.col("v").alias("actual"), "expected")
 
 
-def diff_summary(actual: DataFrame, expected: DataFrame, most: int = 5) -> str | None:
-    """The first differences as text, None where there are none."""
-    found = diffs(actual, expected).orderBy("img", "y", "x", "c").limit(most).collect()
-    return "\n".join(f"img {r.img} ({r.x}, {r.y}) channel {r.c}: {r.actual}, expected {r.expected}" for r in found) or None
+#: fixed values: a region of differences of fewer places a side is shown whole, with a margin; else the first differences are listed
+SHOWN, MARGIN, LISTED = 6, 2, 5
+
+
+def describe_diffs(actual: DataFrame, expected: DataFrame, tolerance: float = 0) -> DataFrame:
+    """(img, left, top, right, bottom, n, text) of each raster whose values differ by more than ``tolerance``.
+
+    The box bounds the ``n`` differing places.  If it is small, ``text`` shows its part of both rasters, a line each row,
+    differing places in brackets; else it lists the first differences in raster order.  Only the boxes' own places and the
+    listed differences are gathered, so a text is bounded whatever differs.
+    """
+    far = F.abs(F.col("v") - F.col("v2")) > tolerance
+    both = actual.join(expected.select(*KEY, F.col("v").alias("v2")), KEY)
+    values = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", name))), lambda s: s[name].cast("string")), ",")
+    found = both.where(far).groupBy("img", "x", "y").agg(F.count("*").alias("channels"))
+    box = found.groupBy("img").agg(F.min("x").alias("left"), F.min("y").alias("top"), F.max("x").alias("right"), F.max("y").alias("bottom"), F.count("*").alias("n"))
+    box = box.withColumn("shown", F.greatest(F.col("right") - F.col("left"), F.col("bottom") - F.col("top")) < SHOWN)
+    # the small boxes with their margins, side by side
+    near = both.join(box.where("shown"), "img").where(F.col("x").between(F.col("left") - MARGIN, F.col("right") + MARGIN) & F.col("y").between(F.col("top") - MARGIN, F.col("bottom") + MARGIN))
+    pixels = near.groupBy("img", "x", "y").agg(values("v").alias("a"), values("v2").alias("e"), F.max(far).alias("odd"))
+    cell = lambda name: F.when(F.col("odd"), F.concat(F.lit("["), name, F.lit("]"))).otherwise(F.col(name))
+    line = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", cell(name).alias("t")))), lambda s: s["t"]), " ")
+    lines = pixels.groupBy("img", "y").agg(F.concat(line("a"), F.lit("  |  "), line("e")).alias("t"))
+    shown = lines.groupBy("img").agg(F.concat(F.lit("actual  |  expected\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "t"))), lambda s: s["t"]), "\n")).alias("text"))
+    # the first differences of the others
+    place = W.partitionBy("img").orderBy("y", "x")
+    first = found.join(box.where("not shown").select("img"), "img").withColumn("k", F.row_number().over(place)).where(F.col("k") <= LISTED)
+    each = both.join(first.select("img", "x", "y", "k"), ["img", "x", "y"]).groupBy("img", "x", "y", "k").agg(values("v").alias("a"), values("v2").alias("e"))
+    told = F.concat(F.lit("("), "x", F.lit(", "), "y", F.lit("): actual "), "a", F.lit(", expected "), "e")
+    listed = each.groupBy("img").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", told.alias("t")))), lambda s: s["t"]), "\n").alias("text"))
+    return box.join(shown.unionByName(listed), "img").select("img", "left", "top", "right", "bottom", "n", "text")
+
+
+def diff_summary(actual: DataFrame, expected: DataFrame, most: int = 5, tolerance: float = 0) -> str | None:
+    """The first rasters that differ by more than ``tolerance``, as text; None where there are none."""
+    found = describe_diffs(actual, expected, tolerance).orderBy("img").limit(most).collect()
+    return "\n".join(f"pixels of img {r.img} do not match\n{r.text}" for r in found) or None
 
 
 def assert_dimensions_match(actual: DataFrame, expected: DataFrame) -> None:

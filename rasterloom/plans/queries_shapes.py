@@ -11,7 +11,8 @@ from ..operators import geometry as G
 from ..operators import outlines as O
 from ..operators import pixelwise as P
 from ..sources import rasters as S
-from .queries import XYV, add, on_emb, one
+from . import sql as Q
+from .queries import XYV, _rgba, add, on_emb, one
 
 
 def _points(r: DataFrame) -> DataFrame:
@@ -123,3 +124,47 @@ on_emb(
     columns=["img", "c", "x", "y", "v"],
 )
 on_emb("significant_pixel_diffs", lambda r: P.diffs(r, r.withColumn("v", F.when(F.col("x") == F.col("y"), 90).otherwise(F.col("v") + 3)), lambda a, b: F.abs(a - b) > 20).select("img", "x", "y", "actual", "expected"), one("SELECT img, x, y, v AS actual, 90 AS expected FROM px WHERE x = y AND abs(v - 90) > 20"), columns=None)
+
+
+# ---- translucent drawing and descriptions of differences ------------------------------------------------
+
+#: shapes that overlap, with their colours: a rectangle, a polygon, an ellipse, and a line twice over its own end
+_LAYERS = [
+    ([(y, 1, 5) for y in range(1, 6)], [200, 10, 30, 128]),
+    (D.polygon_spans([(3, 2), (7, 4), (2, 7)], 8), [20, 220, 60, 90]),
+    (sorted(set(D.ellipse_spans((4, 4), 3, 2))), [5, 15, 250, 200]),
+    (D.point_spans([*D.line_points((0, 0), (7, 7)), (7, 7)]), [255, 255, 255, 40]),
+    ([(3, 0, 7)], [1, 2, 3, 0]),
+    ([(4, 2, 4)], [9, 8, 7, 255]),
+]
+_MARKS = ", ".join(f"({k}, {y}, {a}, {b}, {r}, {g}, {u}, {t})" for k, (y, a, b, (r, g, u, t)) in enumerate((*span, color) for spans, color in _LAYERS for span in spans))
+_OVER = "(t / 255.0::DOUBLE + o[4] / 255.0::DOUBLE - t / 255.0::DOUBLE * (o[4] / 255.0::DOUBLE))"
+_MIXED = ", ".join(Q.clamp(f"({c} * (t / 255.0::DOUBLE) + o[{i}] * (o[4] / 255.0::DOUBLE) * (1 - t / 255.0::DOUBLE)) / {_OVER}") for i, c in ((1, "r"), (2, "g"), (3, "u")))
+add(
+    "draw_blended",
+    lambda spark, d: D.composite(_rgba(S.emb8(spark, d)), D.mark_rows(spark, _LAYERS)).select("img", "c", "x", "y", "v"),
+    f"""WITH RECURSIVE {Q.EMB.strip()},
+marks AS (SELECT * FROM (VALUES {_MARKS}) m(k, my, a, b, r, g, u, t)),
+over_ AS MATERIALIZED (SELECT px.img, px.x, px.y, row_number() OVER (PARTITION BY px.img, px.x, px.y ORDER BY k) AS n, r, g, u, t FROM px JOIN marks ON px.y = my AND px.x BETWEEN a AND b),
+step AS (
+  SELECT img, x, y, CAST(0 AS BIGINT) AS n, [v, 255 - v, least(v, 99), (v * 7) % 256] AS o FROM px
+  UNION ALL SELECT s.img, s.x, s.y, m.n, CASE WHEN t = 0 THEN o ELSE [{_MIXED}, {Q.clamp(f"{_OVER} * 255")}] END FROM step s JOIN over_ m ON m.img = s.img AND m.x = s.x AND m.y = s.y AND m.n = s.n + 1)
+SELECT img, CAST(c AS INTEGER) AS c, x, y, o[c + 1] AS v FROM (SELECT img, x, y, arg_max(o, n) AS o FROM step GROUP BY img, x, y), range(4) z(c)""",
+)
+on_emb("describe_pixel_diffs", lambda r: P.describe_diffs(r, _changed(r), 2), columns=["img", "left", "top", "right", "bottom", "n", "text"], *(
+    ("e", "SELECT img, x, y, v, CASE WHEN x = img % 8 AND (y = 3 OR (y = 7 AND img % 2 = 0) OR (y = 0 AND img % 4 = 0)) THEN (v + 40) % 256 ELSE v + x % 3 END AS w FROM px"),
+    ("o", "SELECT * FROM e WHERE abs(v - w) > 2"),
+    ("box", 'SELECT img, min(x) AS "left", min(y) AS top, max(x) AS "right", max(y) AS bottom, count(*) AS n FROM o GROUP BY img'),
+    ("cell", "SELECT e.img, e.x, e.y, CASE WHEN abs(v - w) > 2 THEN '[' || v || ']' ELSE CAST(v AS VARCHAR) END AS a, CASE WHEN abs(v - w) > 2 THEN '[' || w || ']' ELSE CAST(w AS VARCHAR) END AS b FROM e JOIN box ON e.img = box.img WHERE bottom - top < 6 AND x BETWEEN \"left\" - 2 AND \"right\" + 2 AND y BETWEEN top - 2 AND bottom + 2"),
+    ("line", "SELECT img, y, string_agg(a, ' ' ORDER BY x) || '  |  ' || string_agg(b, ' ' ORDER BY x) AS t FROM cell GROUP BY img, y"),
+    ("shown", "SELECT img, 'actual  |  expected' || chr(10) || string_agg(t, chr(10) ORDER BY y) AS text FROM line GROUP BY img"),
+    ("listed", "SELECT img, string_agg('(' || x || ', ' || y || '): actual ' || v || ', expected ' || w, chr(10) ORDER BY y, x) AS text FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY y, x) AS k FROM o) WHERE k <= 5 AND img IN (SELECT img FROM box WHERE bottom - top >= 6) GROUP BY img"),
+    ("r", "SELECT box.*, text FROM box JOIN (SELECT * FROM shown UNION ALL SELECT * FROM listed) t ON box.img = t.img"),
+))
+
+
+def _changed(r: DataFrame) -> DataFrame:
+    """One to three places of a column changed much, and all others by 2 at most."""
+    i, y = F.col("img"), F.col("y")
+    much = (F.col("x") == i % 8) & ((y == 3) | ((y == 7) & (i % 2 == 0)) | ((y == 0) & (i % 4 == 0)))
+    return r.withColumn("v", F.when(much, (F.col("v") + 40) % 256).otherwise(F.col("v") + F.col("x") % 3).cast("int"))
