@@ -80,7 +80,7 @@ def ellipse_offsets(rx: int, ry: int) -> list[tuple[int, int]]:
     while 2 * b * x < 2 * a * y:  # the flat part: x moves on each step
         x += 1
         y -= test >= 0
-        test += b + 2 * b * x - (2 * a * y if (x, y) and out[-1][1] != y else 0)
+        test += b + 2 * b * x - (2 * a * y if out[-1][1] != y else 0)
         out.append((x, y))
     test = b * (x + 0.5) ** 2 + a * (y - 1) ** 2 - a * b
     while y > 0:  # the steep part: y moves on each step

@@ -18,6 +18,7 @@ from ..functions import expr as E
 from . import stats as A
 from . import stencil as T
 from .components import checkpointed
+from .regions import higher, unbeaten
 
 #: fixed values: the circle of radius 3, clockwise from north
 CIRCLE = [(0, -3), (1, -3), (2, -2), (3, -1), (3, 0), (3, 1), (2, 2), (1, 3), (0, 3), (-1, 3), (-2, 2), (-3, 1), (-3, 0), (-3, -1), (-2, -2), (-1, -3)]
@@ -61,15 +62,18 @@ def top_corners(corners: DataFrame, n: int) -> DataFrame:
 def orientations(r: DataFrame, corners: DataFrame, radius: int = 15) -> DataFrame:
     """``corners`` with the angle of the intensity centroid of the patch around each.
 
-    Weights count from -radius at the patch's (clipped) first row and column.
+    Weights count from -radius at the patch's (clipped) first row and column.  The patches' sums of values, and of values
+    times x and y, come from windows over all places; only the corners' own places are joined.
     """
-    at = corners.select("img", F.col("x").alias("cx"), F.col("y").alias("cy"))
-    inside = (F.abs(F.col("x") - F.col("cx")) <= radius) & (F.abs(F.col("y") - F.col("cy")) <= radius)
-    met = r.join(at, "img").where(inside)
-    wx = F.col("x") - F.greatest(F.col("cx") - radius, F.lit(0)) - radius
-    wy = F.col("y") - F.greatest(F.col("cy") - radius, F.lit(0)) - radius
-    sums = met.groupBy("img", "cx", "cy").agg(F.sum(wx * F.col("v")).alias("mx"), F.sum(wy * F.col("v")).alias("my"))
-    turned = sums.select("img", F.col("cx").alias("x"), F.col("cy").alias("y"), (-F.atan2(F.col("my").cast("double"), F.col("mx").cast("double"))).alias("orientation"))
+    v, reach = F.col("v").cast("double"), (-radius, radius)
+    rows = T.tiled(r, radius, radius, radius, radius)
+    for name, value in (("s", v), ("sx", v * F.col("x")), ("sy", v * F.col("y"))):
+        rows = rows.withColumn(name, F.sum(value).over(T.TILE_ROW().rowsBetween(*reach)))
+    for name in ("s", "sx", "sy"):
+        rows = rows.withColumn(name, F.sum(name).over(T.TILE_COL().rowsBetween(*reach)))
+    first = lambda at: F.greatest(F.col(at) - radius, F.lit(0)) + radius
+    mx, my = F.col("sx") - first("x") * F.col("s"), F.col("sy") - first("y") * F.col("s")
+    turned = T.untiled(rows).select("img", "x", "y", (-F.atan2(my, mx)).alias("orientation"))
     return corners.join(turned, ["img", "x", "y"])
 
 
@@ -261,9 +265,16 @@ class HogSpec:
 
 
 def hog(r: DataFrame, orientations_: int, signed: bool, cell: int, block: int, stride: int) -> DataFrame:
-    """(img, bx, by, cx, cy, bin, v): blocks of cell histograms, each of L2 norm 1 (or 0)."""
+    """(img, bx, by, cx, cy, bin, v): blocks of cell histograms, each of L2 norm 1 (or 0).
+
+    A raster that the options don't fit is an error, by the rule of :class:`HogSpec`.
+    """
     cells = cell_histograms(r, orientations_, signed, cell)
-    side = r.groupBy("img").agg(F.floor(F.max("w") / cell).cast("int").alias("nw"), F.floor(F.max("h") / cell).cast("int").alias("nh"))
+    nw, nh = F.floor(F.max("w") / cell).cast("int"), F.floor(F.max("h") / cell).cast("int")
+    untiled = (F.max("w") % cell != 0) | (F.max("h") % cell != 0)
+    uncovered = (nw < block) | (nh < block) | ((nw - block) % stride != 0) | ((nh - block) % stride != 0)
+    checked = F.when(untiled | uncovered, F.raise_error(F.concat(F.lit(f"cells of {cell}, or blocks of {block} at stride {stride}, don't cover a raster of "), F.max("w"), F.lit("x"), F.max("h")))).otherwise(nw)
+    side = r.groupBy("img").agg(checked.cast("int").alias("nw"), nh.alias("nh"))
     offsets = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(block) for j in range(block)]))
     rows = cells.join(side, "img").withColumn("o", offsets)
     left, top = F.col("cx") - F.col("o.i"), F.col("cy") - F.col("o.j")
@@ -278,12 +289,10 @@ def detect_lines(r: DataFrame, vote_threshold: int, radius: int) -> DataFrame:
     place = r.where(F.col("v") != 0).select("img", "w", "h", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(179))).alias("angle"))
     rho = E.trunc(F.col("x") * F.cos(F.radians("angle")) + F.col("y") * F.sin(F.radians("angle"))).cast("int")
     votes = place.groupBy("img", rho.alias("r"), "angle").agg(F.count("*").cast("int").alias("votes"))
-    beaten = votes.select("img", F.col("r").alias("r2"), F.col("angle").alias("a2"), F.col("votes").alias("v2"))
-    a, b = votes.where(F.col("votes") >= vote_threshold).alias("a"), beaten.where(F.col("v2") >= vote_threshold).alias("b")
-    near = (F.abs(F.col("r") - F.col("r2")) <= radius) & (F.abs(F.col("angle") - F.col("a2")) <= radius)
-    # the vote table is a raster with r across and the angle down
-    beats = (F.col("v2") > F.col("votes")) | ((F.col("v2") == F.col("votes")) & (F.struct("r2", "a2") < F.struct("r", "angle")))
-    return a.join(b, (F.col("a.img") == F.col("b.img")) & near & beats, "left_anti").select("img", "r", "angle", "votes")
+    lines = votes.where(F.col("votes") >= vote_threshold).select("img", F.col("r").alias("x"), F.col("angle").alias("y"), F.col("votes").alias("score"))
+    rivals = lines.select("img", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("score").alias("s2"))
+    kept = unbeaten(lines, rivals, radius, higher("x", "y"))  # the vote table is a raster with r across and the angle down
+    return kept.select("img", F.col("x").alias("r"), F.col("y").alias("angle"), F.col("score").alias("votes"))
 
 
 #: places of the side of the blocks that rasters and templates are cut into for correlations

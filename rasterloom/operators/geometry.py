@@ -61,21 +61,25 @@ def _hull(points: np.ndarray) -> np.ndarray:
 
 
 def _box(hull: np.ndarray) -> np.ndarray:
-    """Corners of the least rectangle along an edge of the hull's open outline; outer integers."""
+    """The least rectangle with a side along an edge of the hull's open outline: top left, top right, bottom right, bottom left.
+
+    For the unit vector u of an edge, the rectangle's sides are the extents of the dot products u.p and of the cross
+    products u x p over the hull, and p = (u.p) u + (u x p) u' with u' a quarter turn of u.  The two corners of least x are
+    the left ones, and of either side the one of least y is the top one.  Corners move outwards to integers: left and top
+    ones down, right and bottom ones up.
+    """
     if len(hull) < 3:
         return hull[[0, -1, -1, 0]]
     edge = np.diff(hull, axis=0)
-    angle = np.abs(np.fmod(np.arctan2(edge[:, 1], edge[:, 0]) + math.pi, math.pi / 2))
-    c, s = np.cos(angle)[:, None], np.sin(angle)[:, None]
-    u, v = hull[:, 0] * c + hull[:, 1] * s, hull[:, 1] * c - hull[:, 0] * s  # turned by -angle
-    area = (u.max(1) - u.min(1)) * (v.max(1) - v.min(1))
-    k = int(area.argmin())
-    corners = [(a, b) for a in (u[k].min(), u[k].max()) for b in (v[k].min(), v[k].max())]
-    back = np.array([(a * c[k, 0] - b * s[k, 0], a * s[k, 0] + b * c[k, 0]) for a, b in corners])
-    back = back[np.argsort(back[:, 0], kind="stable")]
-    left, right = back[:2][np.argsort(back[:2, 1])], back[2:][np.argsort(back[2:, 1])]
-    rounded = [(np.floor, np.floor, left[0]), (np.ceil, np.floor, right[0]), (np.ceil, np.ceil, right[1]), (np.floor, np.ceil, left[1])]
-    return np.array([(fx(q[0]), fy(q[1])) for fx, fy, q in rounded])
+    u = edge / np.hypot(edge[:, 0], edge[:, 1])[:, None]
+    dot, cross = u @ hull.T, np.outer(u[:, 0], hull[:, 1]) - np.outer(u[:, 1], hull[:, 0])
+    best = int(np.round(np.ptp(dot, 1) * np.ptp(cross, 1), 9).argmin())
+    (ux, uy), along, across = u[best], dot[best], cross[best]
+    corners = [(d * ux - c * uy, d * uy + c * ux) for d in (along.min(), along.max()) for c in (across.min(), across.max())]
+    by_x = sorted(np.round(corners, 9).tolist())
+    (top_left, bottom_left), (top_right, bottom_right) = (sorted(side, key=lambda p: p[1]) for side in (by_x[:2], by_x[2:]))
+    outwards = {0: (math.floor, math.floor), 1: (math.ceil, math.floor), 2: (math.ceil, math.ceil), 3: (math.floor, math.ceil)}
+    return np.array([[move(v) for move, v in zip(outwards[i], p, strict=True)] for i, p in enumerate((top_left, top_right, bottom_right, bottom_left))], float)
 
 
 def _simplified(points: np.ndarray, epsilon: float, closed: bool) -> np.ndarray:

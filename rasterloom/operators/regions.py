@@ -317,20 +317,32 @@ def suppress_non_maximum(r: DataFrame, radius: int) -> DataFrame:
     return T.untiled(rows.withColumn("t", top)).select("img", "w", "h", "c", "x", "y", F.when((F.col("t.a") == -F.col("x")) & (F.col("t.b") == -F.col("y")), F.col("v")).otherwise(0).alias("v"))
 
 
-def local_maxima(points: DataFrame, radius: int) -> DataFrame:
-    """Points (img, x, y, score) that no other within ``radius`` beats (ties: least (y, x)).
+def unbeaten(points: DataFrame, rivals: DataFrame, radius: int, beats: Column) -> DataFrame:
+    """``points(img, x, y, score)`` that no rival (img, x2, y2, s2) within ``radius`` beats.
 
-    Cells of side ``radius`` are the join's key, so the range condition meets nine cells, not
-    all pairs.  Points of the last occupied row beat nobody.
+    Cells of side ``radius`` are the join's key, so the range condition meets nine cells, not all pairs.
     """
     cell = max(1, radius)
-    rows = points.withColumn("cx", F.floor(F.col("x") / cell).cast("int")).withColumn("cy", F.floor(F.col("y") / cell).cast("int"))
-    last = F.max("y").over(W.partitionBy("img"))
+    at = lambda v: F.floor(F.col(v) / cell).cast("int")
+    rows = points.withColumn("cx", at("x")).withColumn("cy", at("y"))
     steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    others = rows.withColumn("last", last).where("y < last").withColumn("s", steps)
-    others = others.select("img", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("score").alias("s2"))
+    others = rivals.withColumn("s", steps).select("img", (at("x2") + F.col("s.i")).alias("cx"), (at("y2") + F.col("s.j")).alias("cy"), "x2", "y2", "s2")
     near = (F.abs(F.col("x") - F.col("x2")) <= radius) & (F.abs(F.col("y") - F.col("y2")) <= radius)
-    beats = (F.col("s2") > F.col("score")) | ((F.col("s2") == F.col("score")) & (F.struct("y2", "x2") < F.struct("y", "x")))
     a, b = rows.alias("a"), others.alias("b")
     on = (F.col("a.img") == F.col("b.img")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & near & beats
     return a.join(b, on, "left_anti").select("img", "x", "y", "score")
+
+
+def higher(*tie: str) -> Column:
+    """A rival with a higher score, or an equal one and a lesser place, compared in the order of ``tie``."""
+    lesser = F.struct(*[F.col(f"{t}2") for t in tie]) < F.struct(*[F.col(t) for t in tie])
+    return (F.col("s2") > F.col("score")) | ((F.col("s2") == F.col("score")) & lesser)
+
+
+def local_maxima(points: DataFrame, radius: int) -> DataFrame:
+    """Points (img, x, y, score) that no other within ``radius`` beats (ties: least (y, x)).
+
+    Points of the last occupied row beat nobody.
+    """
+    rivals = points.withColumn("last", F.max("y").over(W.partitionBy("img"))).where("y < last")
+    return unbeaten(points, rivals.select("img", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("score").alias("s2")), radius, higher("y", "x"))

@@ -14,6 +14,7 @@ from ..operators import stats as A
 from ..operators import stencil as T
 from ..sources import rasters as S
 from . import sql as Q
+from . import sql_shapes as L
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -177,7 +178,7 @@ for _n, _s in (("binary", "CASE WHEN v > 100 THEN 255 ELSE 0 END"), ("binary_inv
 on_emb("adaptive_threshold", lambda r: A.adaptive_threshold(r, 1, 3), one(f"SELECT img, x, y, CASE WHEN max(centre) >= CAST(sum(v) // count(*) AS BIGINT) - 3 THEN 255 ELSE 0 END AS v FROM ({Q.inside(_SQ(1, 1))}) GROUP BY img, x, y"))
 on_emb("equalize_histogram", A.equalize_histogram, _HIST, _CUM, ("r", f"SELECT px.img, x, y, {Q.clamp('below * 255.0::DOUBLE / total')} AS v FROM px JOIN cum ON px.img = cum.img AND px.v = cum.v"))
 on_emb("stretch_contrast", lambda r: P.stretch_contrast(r, 80, 180, 10, 240), one("SELECT img, x, y, CAST(CASE WHEN v <= 80 THEN 10 WHEN v >= 180 THEN 240 ELSE (v - 80) * 230 // 100 + 10 END AS INTEGER) AS v FROM px"))
-on_emb("match_histogram", lambda r: A.match_histogram(r, P.stretch_contrast(r, 80, 180, 0, 255)))
+on_emb("match_histogram", lambda r: A.match_histogram(r, P.stretch_contrast(r, 80, 180, 0, 255)), *L.MATCHED)
 add("otsu_threshold_counts", lambda spark, d: _otsu_counts(S.emb8(spark, d)), Q.chain(_HIST, _CUM, _OTSU, ("r", "SELECT px.img, level, CAST(sum(CASE WHEN v > level THEN 1 ELSE 0 END) AS BIGINT) AS foreground FROM px JOIN otsu ON px.img = otsu.img GROUP BY px.img, level")))
 
 

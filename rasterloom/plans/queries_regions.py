@@ -12,9 +12,11 @@ from ..operators import features as X
 from ..operators import pixelwise as P
 from ..operators import regions as R
 from ..operators import stats as A
+from ..operators import stencil as T
 from ..sources import rasters as S
 from . import sql as Q
-from .queries import _SQ, add, on_emb, on_mosaic, one
+from . import sql_shapes as L
+from .queries import _CUM, _HIST, _OTSU, _SQ, _normal, add, on_emb, on_mosaic, one
 
 
 def white(r: DataFrame, level: int = 150) -> DataFrame:
@@ -39,20 +41,18 @@ on_emb("open", lambda r: R.open_(white(r, 120), "linf", 1), ("wh", "SELECT img,
 on_emb("close", lambda r: R.close(white(r), "l1", 1), _WHITE, ("d", _distance("l1")), ("e", "SELECT img, x, y, CASE WHEN v <= 1 THEN 255 ELSE 0 END AS v FROM d"), ("f", _distance("l1", "e", "v = 0")), ("r", "SELECT img, x, y, CASE WHEN v <= 1 THEN 0 ELSE 255 END AS v FROM f"))
 
 
-def _components(near: str) -> tuple[str, str]:
-    return ("r", f"""WITH RECURSIVE reach AS (
-  SELECT img, x, y, q, y * 8 + x AS n FROM qv WHERE q <> 0
-  UNION SELECT b.img, b.x, b.y, b.q, a.n FROM reach a JOIN qv b ON a.img = b.img AND a.q = b.q AND {near}),
-roots AS (SELECT img, x, y, min(n) AS n FROM reach GROUP BY img, x, y)
-SELECT qv.img, qv.x, qv.y, CAST(coalesce(k, 0) AS INTEGER) AS v FROM qv LEFT JOIN (SELECT img, x, y, dense_rank() OVER (PARTITION BY img ORDER BY n) AS k FROM roots) z ON qv.img = z.img AND qv.x = z.x AND qv.y = z.y""")
-
-
 _QV = ("qv", "SELECT img, x, y, CAST(v // 40 % 3 AS INTEGER) AS q FROM px")
 for _n, _near in ((4, "abs(a.x - b.x) + abs(a.y - b.y) = 1"), (8, "abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1")):
-    on_emb(f"connected_components_{_n}", lambda r, n=_n: R.connected_components(r.withColumn("v", (F.floor(F.col("v") / 40) % 3).cast("int")), n), _QV, _components(_near))
+    on_emb(f"connected_components_{_n}", lambda r, n=_n: R.connected_components(r.withColumn("v", (F.floor(F.col("v") / 40) % 3).cast("int")), n), _QV, L.components(_near))
 on_emb(
     "component_sizes",
     lambda r: R.connected_components(P.threshold(r.join(A.otsu_level(r), ["img", "c"]), F.col("level"), "binary").drop("level"), 8).where("v > 0").groupBy("img", "v").agg(F.count("*").alias("n")),
+    _HIST,
+    _CUM,
+    _OTSU,
+    ("qv", "SELECT px.img, x, y, CASE WHEN v > level THEN 255 ELSE 0 END AS q FROM px JOIN otsu ON px.img = otsu.img"),
+    L.components("abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1", name="region"),
+    ("r", "SELECT img, v, count(*) AS n FROM region WHERE v > 0 GROUP BY img, v"),
     columns=None,
 )
 on_emb(
@@ -66,12 +66,11 @@ SELECT qv.img, qv.x, qv.y, CASE WHEN reach.img IS NOT NULL THEN 99 ELSE qv.q END
 on_emb(
     "hysteresis",
     lambda r: R.hysteresis(r, 130.0, 190.0),
-    ("r", """WITH RECURSIVE reach AS (SELECT img, x, y FROM px WHERE v >= 190
-  UNION SELECT b.img, b.x, b.y FROM reach a JOIN px b ON a.img = b.img AND b.v >= 130 AND (b.x - a.x, b.y - a.y) IN ((1, 0), (1, 1), (0, 1), (-1, -1), (-1, 0), (-1, 1)))
-SELECT px.img, px.x, px.y, CASE WHEN reach.img IS NOT NULL THEN 255 ELSE 0 END AS v FROM px LEFT JOIN reach ON px.img = reach.img AND px.x = reach.x AND px.y = reach.y"""),
+    L.grown("px", 130, 190),
 )
-on_emb("canny", lambda r: R.canny(r, 20.0, 60.0))
-on_emb("disjoint_set_trees", lambda r: R.trees(R.disjoint_sets(300, r.where("v > 200").select((F.col("img") % 300).alias("a"), (F.col("x") * 37 + F.col("y") * 5).cast("bigint").alias("b")))).select("root", F.size("members").alias("n")), columns=None)
+_BX, _BY = _normal(1.4)
+on_emb("canny", lambda r: R.canny(r, 20.0, 60.0), ("a", Q.filtered(_BX, Q.clamp("s"))), ("g", Q.filtered(_BY, Q.clamp("s"), "a")), L.gradient(T.SOBEL_H, T.SOBEL_V, "g"), L.THIN, L.grown("thin", 20, 60))
+on_emb("disjoint_set_trees", lambda r: R.trees(R.disjoint_sets(300, r.where("v > 200").select((F.col("img") % 300).alias("a"), (F.col("x") * 37 + F.col("y") * 5).cast("bigint").alias("b")))).select("root", F.size("members").alias("n")), *L.TREES, columns=None)
 
 on_emb("suppress_non_maximum", lambda r: R.suppress_non_maximum(r, 2), one("SELECT a.img, a.x, a.y, CASE WHEN EXISTS (SELECT 1 FROM px b WHERE a.img = b.img AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 AND (b.v > a.v OR (b.v = a.v AND (b.x, b.y) < (a.x, a.y)))) THEN 0 ELSE a.v END AS v FROM px a"))
 on_emb("local_maxima", lambda r: R.local_maxima(r.where("v > 120").select("img", "x", "y", F.col("v").cast("double").alias("score")), 2), ("pt", "SELECT img, x, y, CAST(v AS DOUBLE) AS score, max(y) OVER (PARTITION BY img) AS last FROM px WHERE v > 120"), ("r", "SELECT img, x, y, score FROM pt a WHERE NOT EXISTS (SELECT 1 FROM pt b WHERE a.img = b.img AND b.y < b.last AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 AND (b.score > a.score OR (b.score = a.score AND (b.y, b.x) < (a.y, a.x))))"), columns=None)
@@ -92,7 +91,7 @@ def _fast(n: int) -> tuple[tuple[str, str], ...]:
 
 for _n in (9, 12):
     on_emb(f"corners_fast{_n}", lambda r, n=_n: X.corners_fast(r, 5, n), *_fast(_n), columns=None)
-on_emb("oriented_fast", lambda r: X.oriented_fast(r, 5, 2, 3), columns=None)
+on_emb("oriented_fast", lambda r: X.oriented_fast(r, 5, 2, 3).withColumn("orientation", F.round("orientation", 9)), *((n if n != "r" else "corner", q) for n, q in _fast(9)), *L.ORIENTED, columns=None)
 add("haar_feature_count", lambda spark, d: X.haar_features(spark, 6, 5).groupBy("kind").agg(F.count("*").alias("n")), "SELECT kind, CAST(2 * sum((6 - w * nx + 1) * (5 - h * ny + 1)) AS BIGINT) AS n FROM (VALUES ('two_horizontal', 2, 1), ('three_horizontal', 3, 1), ('two_vertical', 1, 2), ('three_vertical', 1, 3), ('four', 2, 2)) k(kind, nx, ny), range(1, 7) a(w), range(1, 6) b(h) WHERE w * nx <= 6 AND h * ny <= 5 GROUP BY kind")
 on_emb(
     "haar_features",
@@ -101,9 +100,9 @@ on_emb(
     ("r", 'SELECT img, kind, sg AS sign, bw AS block_w, bh AS block_h, l AS "left", t AS top, CAST(sum(sg * signs[((y - t) // bh) * nx + (x - l) // bw + 1] * v) AS BIGINT) AS value FROM f JOIN px ON x >= l AND x < l + bw * nx AND y >= t AND y < t + bh * ny GROUP BY ALL'),
     columns=None,
 )
-on_emb("hog", lambda r: X.hog(r, 8, True, 2, 2, 1).withColumn("v", F.round("v", 5)), columns=None)
-on_emb("cell_histograms", lambda r: X.cell_histograms(r, 8, False, 4).withColumn("v", F.round("v", 5)), columns=None)
-on_emb("detect_lines", lambda r: X.detect_lines(white(r, 180), 3, 2), columns=None)
+on_emb("hog", lambda r: X.hog(r, 8, True, 2, 2, 1).withColumn("v", F.round("v", 5)), L.gradient(T.SOBEL_H, T.SOBEL_V), L.cells(8, True, 2), *L.blocks(2, 2, 1), columns=None)
+on_emb("cell_histograms", lambda r: X.cell_histograms(r, 8, False, 4).withColumn("v", F.round("v", 5)), L.gradient(T.SOBEL_H, T.SOBEL_V), L.cells(8, False, 4), ("r", "SELECT img, cx, cy, bin, round(v, 5) AS v FROM cells"), columns=None)
+on_emb("detect_lines", lambda r: X.detect_lines(white(r, 180), 3, 2), *L.lines("v > 180", 3, 2), columns=None)
 _TEMPLATE = [[90, 140], [150, 100]]
 _TV = "(VALUES (0, 0, 90), (1, 0, 140), (0, 1, 150), (1, 1, 100)) t(tx, ty, tv)"
 _SCORES = {"sse": "sum((tv - v) * (tv - v))::DOUBLE", "ccorr": "sum(tv * v)::DOUBLE", "sse_normalized": "round(sum((tv - v) * (tv - v)) / sqrt(sum(tv * tv)::DOUBLE * sum(v * v)::DOUBLE), 6)", "ccorr_normalized": "round(sum(tv * v) / sqrt(sum(tv * tv)::DOUBLE * sum(v * v)::DOUBLE), 6)"}

@@ -10,8 +10,10 @@ from ..operators import draw as D
 from ..operators import geometry as G
 from ..operators import outlines as O
 from ..operators import pixelwise as P
+from ..operators import stencil as T
 from ..sources import rasters as S
 from . import sql as Q
+from . import sql_shapes as L
 from .queries import XYV, _rgba, add, on_emb, one
 
 
@@ -26,12 +28,12 @@ on_emb("arc_length_closed", lambda r: G.arc_length(_points(r), True).select("grp
 _AREA = "sum(CASE WHEN n < 3 THEN 0 ELSE coalesce(px, lx) * y - x * coalesce(py, ly) END) * 0.5"
 on_emb("oriented_contour_area", lambda r: G.oriented_contour_area(_points(r)).select("grp", F.round("area", 3).alias("area")), _PT, ("r", f"SELECT grp, round({_AREA}, 3)::DOUBLE AS area FROM pt GROUP BY grp"), columns=None)
 on_emb("contour_area", lambda r: G.contour_area(_points(r)).select("grp", F.round("area", 3).alias("area")), _PT, ("r", f"SELECT grp, round(abs({_AREA}), 3)::DOUBLE AS area FROM pt GROUP BY grp"), columns=None)
-on_emb("convex_hull", lambda r: G.convex_hull(_points(r)), columns=None)
-on_emb("min_area_rect", lambda r: G.min_area_rect(_points(r)), columns=None)
+on_emb("convex_hull", lambda r: G.convex_hull(_points(r)), _PT, *L.HULL, columns=None)
+on_emb("min_area_rect", lambda r: G.min_area_rect(_points(r)), _PT, *L.BOX, columns=None)
 on_emb("approximate_polygon_dp", lambda r: G.approximate_polygon(_points(r), 1.0, False), columns=None)
 on_emb("find_contours", lambda r: O.find_contours(P.threshold(r, 140, "binary")), columns=None)
 on_emb("find_contours_with_threshold", lambda r: O.find_contours(r, 140), columns=None)
-on_emb("find_vertical_seam", O.find_vertical_seam, columns=None)
+on_emb("find_vertical_seam", O.find_vertical_seam, L.gradient(T.SOBEL_H, T.SOBEL_V), *L.SEAM, columns=None)
 on_emb("remove_vertical_seam", lambda r: O.remove_vertical_seam(r, r.where("x = (img + y) % 8").select("img", "y", "x")), one("SELECT img, CAST(CASE WHEN x > (img + y) % 8 THEN x - 1 ELSE x END AS INTEGER) AS x, y, v FROM px WHERE x <> (img + y) % 8"))
 on_emb("shrink_width", lambda r: O.shrink_width(r, 6))
 on_emb("draw_filled_rect", lambda r: D.draw_filled_rect(r, 2, -1, 4, 5, [7]), one("SELECT img, x, y, CASE WHEN x BETWEEN 2 AND 5 AND y BETWEEN -1 AND 3 THEN 7 ELSE v END AS v FROM px"))
@@ -42,10 +44,10 @@ on_emb("draw_antialiased_line_segment", lambda r: D.paint_weighted(r, D.wu_point
 on_emb("draw_polygon", lambda r: D.draw_polygon(r, [(1, 1), (6, 1), (6, 5), (1, 5)], [7]), one("SELECT img, x, y, CASE WHEN x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 5 THEN 7 ELSE v END AS v FROM px"))
 on_emb("draw_hollow_polygon", lambda r: D.paint(r, D.polygon_outline([(1.0, 1.0), (6.0, 1.0), (6.0, 5.0), (1.0, 5.0)]), [7]), one("SELECT img, x, y, CASE WHEN (x IN (1, 6) AND y BETWEEN 1 AND 5) OR (y IN (1, 5) AND x BETWEEN 1 AND 6) THEN 7 ELSE v END AS v FROM px"))
 on_emb("draw_antialiased_polygon", lambda r: D.draw_antialiased_polygon(r, [(1, 1), (6, 2), (4, 6)], [200], lambda c, old, w: E.clamp_trunc(c * w + old * (1 - w))))
-on_emb("draw_hollow_circle", lambda r: D.paint(r, D.ellipse_points((3, 3), 3, 3), [7]))
-on_emb("draw_filled_circle", lambda r: D.paint_spans(r, D.ellipse_spans((3, 3), 2, 2), [7]))
-on_emb("draw_hollow_ellipse", lambda r: D.paint(r, D.ellipse_points((4, 3), 4, 2), [7]))
-on_emb("draw_filled_ellipse", lambda r: D.paint_spans(r, D.ellipse_spans((4, 3), 4, 2), [7]))
+on_emb("draw_hollow_circle", lambda r: D.paint(r, D.ellipse_points((3, 3), 3, 3), [7]), L.circle(3), L.drawn(3, 3, False, 7))
+on_emb("draw_filled_circle", lambda r: D.paint_spans(r, D.ellipse_spans((3, 3), 2, 2), [7]), L.circle(2), L.drawn(3, 3, True, 7))
+on_emb("draw_hollow_ellipse", lambda r: D.paint(r, D.ellipse_points((4, 3), 4, 2), [7]), L.ellipse(4, 2), L.drawn(4, 3, False, 7))
+on_emb("draw_filled_ellipse", lambda r: D.paint_spans(r, D.ellipse_spans((4, 3), 4, 2), [7]), L.ellipse(4, 2), L.drawn(4, 3, True, 7))
 on_emb("draw_cubic_bezier_curve", lambda r: D.paint(r, D.bezier_points((0.0, 0.0), (7.0, 7.0), (7.0, 0.0), (0.0, 7.0)), [7]))
 add("gray_bench_image", lambda spark, d: S.gray_bench(spark, 60, 40).select("x", "y", "v"), "SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(x % 7 + y % 6 AS INTEGER) AS v FROM range(60) a(x), range(40) b(y)")
 add("rgb_bench_image", lambda spark, d: S.rgb_bench(spark, 20, 15).select("c", "x", "y", "v"), "SELECT CAST(c AS INTEGER) AS c, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(CASE c WHEN 0 THEN x % 7 + y % 6 WHEN 1 THEN 255 - (x % 7 + y % 6) ELSE least(x % 7 + y % 6, 255 - (x % 7 + y % 6)) END AS INTEGER) AS v FROM range(20) a(x), range(15) b(y), range(3) d(c)")
