@@ -193,10 +193,16 @@ def haar_features(spark, width: int, height: int) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], "kind string, sign int, block_w int, block_h int, left int, top int")
 
 
-def haar_count(width: int, height: int) -> int:
-    """How many features fit, in closed form."""
-    one = lambda side, k: (m := side // k) * (side + 1) - k * m * (m + 1) // 2
-    return sum(2 * one(width, nx) * one(height, ny) for nx, ny, _ in HAAR.values())
+def haar_counts(width: Column, height: Column) -> Column:
+    """How many features fit a frame, in closed form.
+
+    Blocks that number n along a side of s places are of 1 to s div n places, and one of k places has s - n k + 1 of them to begin at.
+    """
+    def along(side: Column, n: int) -> Column:
+        m = F.floor(side / n)
+        return m * (side + 1) - n * m * (m + 1) / 2
+
+    return sum((2 * along(width, nx) * along(height, ny) for nx, ny, _ in HAAR.values()), F.lit(0)).cast("long")
 
 
 def haar_values(r: DataFrame, features: DataFrame) -> DataFrame:

@@ -1,7 +1,4 @@
-"""Operators that are sequential within a raster: contours and seams, one raster per task call.
-
-A raster is bounded by its tile; the work is spread over rasters.
-"""
+"""Contours, as cycles of steps over all rasters at once, and seams, which are sequential within a raster."""
 
 from __future__ import annotations
 
@@ -10,9 +7,11 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import stencil as T
+from .components import checkpointed, component_labels
 
 #: directions clockwise from west, as (dx, dy)
 RING = np.array([(-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1)])
@@ -25,82 +24,115 @@ def _array(frame: pd.DataFrame) -> np.ndarray:
     return out
 
 
-class _Borders:
-    """Border following on a grid of marks: 0 is outside, 1 unvisited, +-n on border n."""
-
-    def __init__(self, white: np.ndarray):
-        self.h, self.w = white.shape
-        self.marks = np.zeros((self.h + 2, self.w + 2), np.int64)
-        self.marks[1:-1, 1:-1] = white
-        self.found: list[tuple[list[tuple[int, int]], str, int | None]] = []
-
-    def turn(self, x: int, y: int, start: int, step: int) -> int | None:
-        """The first direction from ``start`` on, clockwise (1) or back (-1), that leads inside."""
-        for k in range(8):
-            d = (start + step * k) % 8
-            if self.marks[y + 1 + RING[d, 1], x + 1 + RING[d, 0]]:
-                return d
-        return None
-
-    def follow(self, x: int, y: int, start: int, number: int) -> list[tuple[int, int]]:
-        first = self.turn(x, y, start, 1)
-        if first is None:
-            self.marks[y + 1, x + 1] = -number
-            return [(x, y)]
-        goal = (x + RING[first, 0], y + RING[first, 1])
-        points, at, back = [], (x, y), first
-        while True:
-            points.append((int(at[0]), int(at[1])))
-            ahead = self.turn(at[0], at[1], back - 1, -1)  # back from the place we came from
-            turned = (back - 1 - ahead) % 8  # directions that were outside
-            passed_east = any((back - 1 - k) % 8 == EAST for k in range(turned))
-            here = self.marks[at[1] + 1, at[0] + 1]
-            if at[0] + 1 == self.w or passed_east:
-                self.marks[at[1] + 1, at[0] + 1] = -number
-            elif here == 1:
-                self.marks[at[1] + 1, at[0] + 1] = number
-            after = (at[0] + RING[ahead, 0], at[1] + RING[ahead, 1])
-            if after == (x, y) and at == goal:
-                return points
-            at, back = after, (ahead + 4) % 8
-
-    def scan(self) -> list[tuple[list[tuple[int, int]], str, int | None]]:
-        for y in range(self.h):
-            last = 1
-            for x in range(self.w):
-                here = self.marks[y + 1, x + 1]
-                if not here:
-                    continue
-                kind = None
-                if here == 1 and x > 0 and not self.marks[y + 1, x]:
-                    kind, start = "outer", 0
-                elif here > 0 and x + 1 < self.w and not self.marks[y + 1, x + 2]:
-                    kind, start = "hole", EAST
-                    last = here if here > 1 else last
-                if kind:
-                    parent = None
-                    if last > 1:
-                        parent = int(last) - 2
-                        if self.found[parent][1] == kind:
-                            parent = self.found[parent][2]
-                    self.found.append((self.follow(x, y, start, len(self.found) + 2), kind, parent))
-                here = self.marks[y + 1, x + 1]
-                last = abs(here) if here != 1 else last
-        return self.found
+CONTOURS = "img long, contour int, seq int, x int, y int, border string, parent int"
 
 
-CONTOURS = "img long, contour int, seq int, x int, y int, border string, parent int"
+def _turns() -> list[tuple[int, int, int, bool, bool]]:
+    """(mask, back, ahead, west, east) for each set of white neighbours, a bit for each of ``RING``.
+
+    Coming from direction ``back``, a border turns back from it until it meets white, ``ahead``; west and east tell if it
+    passed black there.  Only turns past a black place beside this one belong to borders.  A place alone has
+    one turn, 8, of its own.
+    """
+    rows = [(0, 8, 8, True, True)]
+    for mask in range(1, 256):
+        for back in range(8):
+            if mask >> back & 1:
+                passed = []
+                while not mask >> (ahead := (back - 1 - len(passed)) % 8) & 1:
+                    passed.append(ahead)
+                if any(d % 2 == 0 for d in passed):
+                    rows.append((mask, back, ahead, 0 in passed, EAST in passed))
+    return rows
+
+
+def _border_steps(r: DataFrame, threshold: int) -> DataFrame:
+    """(img, w, x, y, pix, n, next, west, east): each place of a border with the way it is passed, and the step that follows."""
+    white = r.select("img", "w", "h", "c", "x", "y", (F.col("v") > threshold).cast("int").alias("v"))
+    near = T.neighbours(white, [tuple(map(int, d)) for d in RING], border="null").where("v = 1")
+    mask = sum((F.when(F.col(f"n{i}") == 1, 1 << i).otherwise(0) for i in range(8)), F.lit(0))
+    turns = r.sparkSession.createDataFrame(_turns(), "mask int, back int, ahead int, west boolean, east boolean")  # of one size, whatever the rasters
+    steps = near.select("img", "w", "x", "y", mask.alias("mask")).join(F.broadcast(turns), "mask")
+    move = lambda axis: F.element_at(F.array(*[F.lit(int(d[axis])) for d in RING], F.lit(0)), F.col("ahead") + 1)
+    pix = F.col("y").cast("long") * F.col("w") + F.col("x")
+    back = F.when(F.col("ahead") == 8, 8).otherwise((F.col("ahead") + 4) % 8)
+    return steps.select("img", "w", "x", "y", pix.alias("pix"), (pix * 9 + F.col("back")).alias("n"), ((pix + move(1) * F.col("w") + move(0)) * 9 + back).alias("next"), "west", "east")
+
+
+def _border_starts(steps: DataFrame) -> DataFrame:
+    """(img, cycle, start, n): where each border begins, ``start`` being twice the place's number, and one more for a hole.
+
+    Scanning by rows, a border begins at a place with black before it (not in the first column) that no border has
+    passed yet, or else at one with black behind it (not in the last column).  Of the two a place begins one at most, so
+    a border whose first place begins another one waits for its next.
+    """
+    begins = F.array(F.when(F.col("west") & (F.col("x") > 0), 2 * F.col("pix")), F.when(F.col("east") & (F.col("x") + 1 < F.col("w")), 2 * F.col("pix") + 1))
+    events = checkpointed(steps.select("img", "cycle", "pix", "n", F.explode(begins).alias("at")).where("at is not null"))
+    passed = checkpointed(steps.select("img", "cycle", "pix").distinct())
+    holes = events.where("at % 2 = 1")
+    starts = checkpointed(holes.groupBy("img", "cycle").agg(F.min("at").alias("start")))
+    taken = None
+    while True:
+        other = passed.join(starts, ["img", "cycle"]).select("img", "pix", F.col("cycle").alias("other"), "start")
+        outer = events.where("at % 2 = 0").join(other, ["img", "pix"], "left").groupBy("img", "cycle", "n", "at").agg(F.max((F.col("other") != F.col("cycle")) & (F.col("start") < F.col("at"))).alias("late"))
+        fresh = outer.where("not coalesce(late, false)").select("img", "cycle", "n", "at")
+        open_ = holes if taken is None else holes.join(taken, ["img", "at"], "left_anti")
+        found = checkpointed(fresh.unionByName(open_.select("img", "cycle", "n", "at")).groupBy("img", "cycle").agg(F.min(F.struct("at", "n")).alias("e")).select("img", "cycle", F.col("e.at").alias("start"), F.col("e.n").alias("n")))
+        firsts = found.where("start % 2 = 0").select("img", (F.col("start") + 1).alias("start"))
+        lost = checkpointed(found.join(firsts, ["img", "start"], "left_semi").select("img", F.col("start").alias("at")))
+        if not lost.limit(1).count():
+            return found
+        starts = found.select("img", "cycle", "start")
+        taken = lost if taken is None else checkpointed(taken.unionByName(lost))
+
+
+def _parents(steps: DataFrame, starts: DataFrame) -> DataFrame:
+    """(img, start, up): the border that each border lies in, by its start; null if none.
+
+    The border met last before a start, along its row, is the parent if it is of the other kind, else it has the same parent.
+    A place shows the border that has passed black behind it, else the first that passed it; one of the last column the last.
+    """
+    at = steps.groupBy("img", "cycle", "w", "x", "y", "pix").agg(F.max("east").alias("east")).join(starts.select("img", "cycle", "start"), ["img", "cycle"]).where(F.col("start") <= 2 * F.col("pix") + 1)
+    last_column = F.col("x") + 1 == F.col("w")
+    shown = F.coalesce(F.max(F.when(last_column, F.col("start"))), F.max(F.when(F.col("east"), F.col("start"))), F.min("start"))
+    places = at.groupBy("img", "y", "x", "pix").agg(shown.alias("shown"), F.min(F.when(F.col("start") < 2 * F.col("pix"), F.col("start"))).alias("before"))
+    places = places.withColumn("left", F.last("shown", ignorenulls=True).over(W.partitionBy("img", "y").orderBy("x").rowsBetween(W.unboundedPreceding, -1)))
+    met = starts.select("img", "start", F.floor(F.col("start") / 2).alias("pix")).join(places.select("img", "pix", "left", "before"), ["img", "pix"])
+    rows = checkpointed(met.select("img", "start", F.when(F.col("start") % 2 == 1, F.coalesce("before", "left")).otherwise(F.col("left")).alias("up")))
+    while True:  # borders of one kind point on to where the met one points, twice as far each round
+        same = (F.col("up") - F.col("start")) % 2 == 0
+        if not rows.where(same).limit(1).count():
+            return rows
+        beyond = rows.select("img", F.col("start").alias("up"), F.col("up").alias("further"))
+        rows = checkpointed(rows.where(F.coalesce(~same, F.lit(True))).unionByName(rows.where(same).join(beyond, ["img", "up"]).select("img", "start", F.col("further").alias("up"))))
 
 
 def find_contours(r: DataFrame, threshold: int = 0) -> DataFrame:
-    """Borders of the places above ``threshold``, with their kind and parent, in scan order."""
-    def each(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = [(frame["img"].iloc[0], k, i, x, y, kind, parent) for k, (points, kind, parent) in enumerate(_Borders(_array(frame) > threshold).scan()) for i, (x, y) in enumerate(points)]
-        out = pd.DataFrame(rows, columns=["img", "contour", "seq", "x", "y", "border", "parent"])
-        out["parent"] = out["parent"].astype("Int32")
-        return out
+    """Borders of the places above ``threshold`` of gray rasters, with their kind and parent, in scan order.
 
-    return r.groupBy("img").applyInPandas(each, CONTOURS)
+    A border is a cycle of steps from place to place.  Steps are rows: classes of linked steps are the borders, and
+    pointers that double number their places from the start on.  No task needs a whole raster or border.
+    """
+    steps = checkpointed(_border_steps(r, threshold))
+    key = lambda n: F.struct(F.col("img"), F.col(n).alias("n"))
+    labels = component_labels(steps.select(key("n").alias("a"), key("next").alias("b")))
+    cycles = labels.select(F.col("id.img").alias("img"), F.col("id.n").alias("n"), F.col("label.n").alias("cycle"))
+    steps = checkpointed(steps.join(cycles, ["img", "n"], "left").withColumn("cycle", F.coalesce("cycle", "n")))
+    starts = checkpointed(_border_starts(steps))
+    parents = _parents(steps, starts)
+    order = starts.select("img", "start", (F.row_number().over(W.partitionBy("img").orderBy("start")) - 1).alias("contour"))
+    named = starts.join(order, ["img", "start"]).join(parents, ["img", "start"])
+    named = named.join(order.select("img", F.col("start").alias("up"), F.col("contour").alias("parent")), ["img", "up"], "left")
+    named = checkpointed(named.select("img", "cycle", F.col("n").alias("first"), "contour", "parent", F.when(F.col("start") % 2 == 0, "outer").otherwise("hole").alias("border")))
+
+    told = steps.join(named.select("img", "cycle", "first"), ["img", "cycle"])
+    links = told.where("next != first").select("img", F.col("next").alias("n"), F.col("n").alias("before"))
+    ranked = checkpointed(told.join(links, ["img", "n"], "left").select("img", "n", "before", F.when(F.col("before").isNull(), 0).otherwise(1).alias("seq")))
+    while ranked.where("before is not null").limit(1).count():
+        far = ranked.select("img", F.col("n").alias("before"), F.col("before").alias("further"), F.col("seq").alias("more"))
+        ranked = checkpointed(ranked.join(far, ["img", "before"], "left").select("img", "n", F.col("further").alias("before"), (F.col("seq") + F.coalesce("more", F.lit(0))).alias("seq")))
+    points = steps.select("img", "n", "x", "y", "cycle").join(ranked.select("img", "n", "seq"), ["img", "n"]).join(named, ["img", "cycle"])
+    return points.select("img", "contour", F.col("seq").cast("int").alias("seq"), "x", "y", "border", "parent")
 
 
 def _seam(energy: np.ndarray) -> list[int]:
@@ -139,8 +171,6 @@ def remove_vertical_seam(r: DataFrame, seam: DataFrame) -> DataFrame:
 
 def shrink_width(r: DataFrame, target: int) -> DataFrame:
     """Removes seams until no raster is wider than ``target``; each stops by itself."""
-    from .components import checkpointed
-
     width = r.agg(F.max("w")).first()[0] or 0
     for _ in range(max(0, width - target)):
         wide = r.where(F.col("w") > target)

@@ -50,7 +50,7 @@ on_emb("map_pixels_gray_to_rgb", lambda r: P.map_pixels(r, lambda p: [p[0], 255
 on_emb("map_pixels2_min", lambda r: P.map_pixels2(r, C.flip_horizontal(r), lambda a, b: F.least(a, b)), one("SELECT a.img, a.x, a.y, least(a.v, b.v) AS v FROM px a JOIN px b ON a.img = b.img AND a.y = b.y AND b.x = 7 - a.x"))
 for _c, _n in enumerate(("red", "green", "blue")):
     on_emb(f"from_{_n}_channel", lambda r, c=_c: P.from_channel(r, c), one(f"SELECT img, CAST(c AS INTEGER) AS c, x, y, CASE WHEN c = {_c} THEN v ELSE 0 END AS v FROM px, range(3) t(c)"), columns=["img", "c", "x", "y", "v"])
-    add(f"into_{_n}_channel", lambda spark, d, c=_c: P.into_channel(S.rgb_bench(spark, 40, 30), c).select("x", "y", "v"), f"SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST({('x % 7 + y % 6', '255 - (x % 7 + y % 6)', 'least(x % 7 + y % 6, 255 - (x % 7 + y % 6))')[_c]} AS INTEGER) AS v FROM range(40) a(x), range(30) b(y)")
+    on_emb(f"into_{_n}_channel", lambda r, c=_c: P.into_channel(P.map_pixels(r, lambda p: [p[0], 255 - p[0], F.least(p[0], F.lit(99))], 1), c), one(f"SELECT img, x, y, {('v', '255 - v', 'least(v, 99)')[_c]} AS v FROM px"))
 on_emb("weighted_sum", lambda r: P.blend(r, C.flip_vertical(r), 0.7, 0.8), one(f"SELECT a.img, a.x, a.y, {Q.clamp('a.v * 0.7::DOUBLE + b.v * 0.8::DOUBLE')} AS v FROM px a JOIN px b ON a.img = b.img AND a.x = b.x AND b.y = 7 - a.y"))
 on_emb("interpolate_pixels", lambda r: P.map_pixels2(r, C.rotate180(r), lambda a, b: E.interpolate(a, b, 0.25)), one(f"SELECT a.img, a.x, a.y, {Q.clamp('a.v * 0.25::DOUBLE + b.v * 0.75::DOUBLE')} AS v FROM px a JOIN px b ON a.img = b.img AND b.x = 7 - a.x AND b.y = 7 - a.y"))
 add("vector_norms", lambda spark, d: spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.round(E.l1_norm(F.transform("embedding", lambda e: e.cast("double"))), 6).alias("l1"), F.round(E.l2_norm(F.transform("embedding", lambda e: e.cast("double"))), 6).alias("l2")), "SELECT vec_id, round(list_sum([abs(e::DOUBLE) for e in embedding]), 6) AS l1, round(sqrt(list_sum([e::DOUBLE * e::DOUBLE for e in embedding])), 6) AS l2 FROM embeddings")

@@ -92,7 +92,12 @@ def _fast(n: int) -> tuple[tuple[str, str], ...]:
 for _n in (9, 12):
     on_emb(f"corners_fast{_n}", lambda r, n=_n: X.corners_fast(r, 5, n), *_fast(_n), columns=None)
 on_emb("oriented_fast", lambda r: X.oriented_fast(r, 5, 2, 3).withColumn("orientation", F.round("orientation", 9)), *((n if n != "r" else "corner", q) for n, q in _fast(9)), *L.ORIENTED, columns=None)
-add("haar_feature_count", lambda spark, d: X.haar_features(spark, 6, 5).groupBy("kind").agg(F.count("*").alias("n")), "SELECT kind, CAST(2 * sum((6 - w * nx + 1) * (5 - h * ny + 1)) AS BIGINT) AS n FROM (VALUES ('two_horizontal', 2, 1), ('three_horizontal', 3, 1), ('two_vertical', 1, 2), ('three_vertical', 1, 3), ('four', 2, 2)) k(kind, nx, ny), range(1, 7) a(w), range(1, 6) b(h) WHERE w * nx <= 6 AND h * ny <= 5 GROUP BY kind")
+add(
+    "haar_feature_count",
+    lambda spark, d: spark.read.parquet(f"{d}/part.parquet").select("p_partkey", X.haar_counts(F.col("p_size") % 9 + 1, F.col("p_partkey") % 7 + 1).alias("n")),
+    """SELECT p_partkey, CAST(2 * coalesce(sum((pw - w * nx + 1) * (ph - h * ny + 1)), 0) AS BIGINT) AS n FROM (SELECT p_partkey, p_size % 9 + 1 AS pw, p_partkey % 7 + 1 AS ph FROM part)
+LEFT JOIN ((VALUES (2, 1), (3, 1), (1, 2), (1, 3), (2, 2)) k(nx, ny) CROSS JOIN range(1, 10) a(w) CROSS JOIN range(1, 8) b(h)) ON w * nx <= pw AND h * ny <= ph GROUP BY p_partkey""",
+)
 on_emb(
     "haar_features",
     lambda r: X.haar_values(r, X.haar_features(r.sparkSession, 4, 3)),

@@ -49,9 +49,18 @@ on_emb("draw_filled_circle", lambda r: D.paint_spans(r, D.ellipse_spans((3, 3),
 on_emb("draw_hollow_ellipse", lambda r: D.paint(r, D.ellipse_points((4, 3), 4, 2), [7]), L.ellipse(4, 2), L.drawn(4, 3, False, 7))
 on_emb("draw_filled_ellipse", lambda r: D.paint_spans(r, D.ellipse_spans((4, 3), 4, 2), [7]), L.ellipse(4, 2), L.drawn(4, 3, True, 7))
 on_emb("draw_cubic_bezier_curve", lambda r: D.paint(r, D.bezier_points((0.0, 0.0), (7.0, 7.0), (7.0, 0.0), (0.0, 7.0)), [7]))
-add("gray_bench_image", lambda spark, d: S.gray_bench(spark, 60, 40).select("x", "y", "v"), "SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(x % 7 + y % 6 AS INTEGER) AS v FROM range(60) a(x), range(40) b(y)")
-add("rgb_bench_image", lambda spark, d: S.rgb_bench(spark, 20, 15).select("c", "x", "y", "v"), "SELECT CAST(c AS INTEGER) AS c, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(CASE c WHEN 0 THEN x % 7 + y % 6 WHEN 1 THEN 255 - (x % 7 + y % 6) ELSE least(x % 7 + y % 6, 255 - (x % 7 + y % 6)) END AS INTEGER) AS v FROM range(20) a(x), range(15) b(y), range(3) d(c)")
-add("luma32f_bench_image", lambda spark, d: S.float_bench(spark, 20, 15).select("x", "y", F.round("v", 6).alias("v")), "SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, round((x % 7 + y % 6) / 255.0::DOUBLE, 6) AS v FROM range(20) a(x), range(15) b(y)")
+
+
+def _sizes(spark, d: str) -> DataFrame:
+    """A raster size for each supplier."""
+    key = F.col("s_suppkey")
+    return spark.read.parquet(f"{d}/supplier.parquet").select(key.alias("img"), (key % 9 + 3).cast("int").alias("w"), (key % 7 + 2).cast("int").alias("h"))
+
+
+_BENCH = "FROM supplier, range(11) a(x), range(8) b(y) WHERE x < s_suppkey % 9 + 3 AND y < s_suppkey % 7 + 2"
+add("gray_bench_image", lambda spark, d: S.gray_benches(_sizes(spark, d)).select(*XYV), f"SELECT s_suppkey AS img, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(x % 7 + y % 6 AS INTEGER) AS v {_BENCH}")
+add("rgb_bench_image", lambda spark, d: S.rgb_benches(_sizes(spark, d)).select("c", *XYV), f"SELECT CAST(c AS INTEGER) AS c, s_suppkey AS img, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(CASE c WHEN 0 THEN x % 7 + y % 6 WHEN 1 THEN 255 - (x % 7 + y % 6) ELSE least(x % 7 + y % 6, 255 - (x % 7 + y % 6)) END AS INTEGER) AS v {_BENCH.replace('FROM', 'FROM range(3) k(c),')}")
+add("luma32f_bench_image", lambda spark, d: S.float_benches(_sizes(spark, d)).select("img", "x", "y", F.round("v", 6).alias("v")), f"SELECT s_suppkey AS img, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, round((x % 7 + y % 6) / 255.0::DOUBLE, 6) AS v {_BENCH}")
 add("heat_raster", lambda spark, d: S.heat(spark, d).select("x", "y", "v"), "SELECT CAST(gx AS INTEGER) AS x, CAST(gy AS INTEGER) AS y, CAST(least(255, count(l_quantity)) AS INTEGER) AS v FROM range(50) a(gx) CROSS JOIN range(11) b(gy) LEFT JOIN lineitem ON CAST(l_quantity AS INTEGER) - 1 = gx AND CAST(round(l_discount * 100) AS INTEGER) = gy GROUP BY gx, gy")
 on_emb("pack_round_trip", lambda r: S.tall(S.packed(r)), one("SELECT img, x, y, v FROM px"))
 on_emb("pixel_diffs", lambda r: P.diffs(r, r.withColumn("v", F.when(F.col("x") == F.col("y"), 0).otherwise(F.col("v")))).select("img", "x", "y", "actual", "expected"), one("SELECT img, x, y, v AS actual, 0 AS expected FROM px WHERE x = y AND v <> 0"), columns=None)
@@ -62,18 +71,23 @@ on_emb("salt_and_pepper_noise", lambda r: P.salt_and_pepper(r, 0.1, 1))
 
 add(
     "rect_intersect",
-    lambda spark, d: _rects(spark).select("id", F.col("both.left").alias("left"), F.col("both.top").alias("top"), F.col("both.width").alias("width"), F.col("both.height").alias("height"), "holds"),
+    lambda spark, d: _rects(spark, d).select("id", F.col("both.left").alias("left"), F.col("both.top").alias("top"), F.col("both.width").alias("width"), F.col("both.height").alias("height"), "holds"),
     """SELECT id, CASE WHEN ok THEN l END AS "left", CASE WHEN ok THEN t END AS top, CASE WHEN ok THEN r - l + 1 END AS width, CASE WHEN ok THEN b - t + 1 END AS height,
   CAST(id % 13 BETWEEN al AND al + 5 AND id % 11 BETWEEN a_top AND a_top + 3 AS BOOLEAN) AS holds
 FROM (SELECT *, r >= l AND b >= t AS ok FROM (SELECT id, al, a_top, greatest(al, bl) AS l, greatest(a_top, bt) AS t, least(al + 5, bl + 3) AS r, least(a_top + 3, bt + 6) AS b
-  FROM (SELECT id, id % 7 AS al, id % 5 AS a_top, id * 3 % 11 AS bl, id * 5 % 9 AS bt FROM range(500) q(id))))""",
+  FROM (SELECT id, id % 7 AS al, id % 5 AS a_top, id * 3 % 11 AS bl, id * 5 % 9 AS bt FROM (SELECT l_orderkey * 8 + l_linenumber AS id FROM lineitem))))""",
 )
 
 
-def _rects(spark) -> DataFrame:
+def _line_ids(spark, d: str) -> DataFrame:
+    """A number for each row of ``lineitem``."""
+    return spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"))
+
+
+def _rects(spark, d: str) -> DataFrame:
     i = F.col("id")
     a, b = G.rect(i % 7, i % 5, F.lit(6), F.lit(4)), G.rect(i * 3 % 11, i * 5 % 9, F.lit(4), F.lit(7))
-    return spark.range(500).select("id", G.rect_intersect(a, b).alias("both"), G.rect_contains(a, i % 13, i % 11).alias("holds"))
+    return _line_ids(spark, d).select("id", G.rect_intersect(a, b).alias("both"), G.rect_contains(a, i % 13, i % 11).alias("holds"))
 
 
 add(
@@ -81,10 +95,10 @@ add(
     lambda spark, d: spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.round(G.line_distance(F.lit(0.0), F.lit(1.0), F.lit(40.0), F.lit(31.0), F.col("l_quantity"), F.col("l_discount") * 100), 6).alias("distance")),
     "SELECT l_orderkey, l_linenumber, round(abs(40.0::DOUBLE * (l_discount * 100 - 1) - 30.0::DOUBLE * l_quantity) / 50.0::DOUBLE, 6) AS distance FROM lineitem",
 )
-_POLAR = """SELECT id, CAST(id % 180 AS INTEGER) AS angle, id // 180 * 5 - 8 AS r FROM range(900) q(id)"""
+_POLAR = "SELECT id, CAST(id % 180 AS INTEGER) AS angle, id // 180 % 5 * 5 - 8 AS r FROM (SELECT l_orderkey * 8 + l_linenumber AS id FROM lineitem)"
 add(
     "intersection_points",
-    lambda spark, d: D.intersection_points(spark.range(900).select(F.col("id").alias("img"), F.lit(12).alias("w"), F.lit(9).alias("h"), (F.floor(F.col("id") / 180) * 5 - 8).alias("r"), (F.col("id") % 180).cast("int").alias("angle"))).select("img", "angle", *[F.round(c, 5).alias(c) for c in ("x0", "y0", "x1", "y1")]),
+    lambda spark, d: D.intersection_points(_line_ids(spark, d).select(F.col("id").alias("img"), F.lit(12).alias("w"), F.lit(9).alias("h"), (F.floor(F.col("id") / 180) % 5 * 5 - 8).alias("r"), (F.col("id") % 180).cast("int").alias("angle"))).select("img", "angle", *[F.round(c, 5).alias(c) for c in ("x0", "y0", "x1", "y1")]),
     f"""WITH l AS (SELECT id, angle, r::DOUBLE AS r, sin(radians(angle)) AS s, cos(radians(angle)) AS c FROM ({_POLAR})),
 p AS (SELECT id, angle, CASE
   WHEN angle = 0 THEN [{{'x': r, 'y': 0.0::DOUBLE, 'ok': r BETWEEN 0 AND 12}}, {{'x': r, 'y': 9.0::DOUBLE, 'ok': r BETWEEN 0 AND 12}}]

@@ -40,13 +40,37 @@ def grid(spark: SparkSession, width: int, height: int, value: Column, img: int =
     return places.select(F.lit(img).cast("bigint").alias("img"), F.lit(width).alias("w"), F.lit(height).alias("h"), F.lit(channel).alias("c"), "x", "y", value.cast("int").alias("v"))
 
 
+def grids(sizes: DataFrame, value: Column, channel: int = 0) -> DataFrame:
+    """A generated raster for each row of ``sizes(img, w, h)``; ``value`` reads columns ``x`` and ``y``."""
+    rows = sizes.select("img", "w", "h", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
+    return rows.select("img", "w", "h", F.lit(channel).alias("c"), "x", "y", value.cast("int").alias("v"))
+
+
+def _bench() -> list[Column]:
+    """The test pattern's three channels; the first is the gray one."""
+    r = F.col("x") % 7 + F.col("y") % 6
+    return [r, 255 - r, F.least(r, 255 - r)]
+
+
+def gray_benches(sizes: DataFrame) -> DataFrame:
+    return grids(sizes, _bench()[0])
+
+
+def rgb_benches(sizes: DataFrame) -> DataFrame:
+    parts = [grids(sizes, v, c) for c, v in enumerate(_bench())]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def float_benches(sizes: DataFrame) -> DataFrame:
+    return gray_benches(sizes).withColumn("v", F.col("v") / 255.0)
+
+
 def gray_bench(spark: SparkSession, width: int, height: int) -> DataFrame:
-    return grid(spark, width, height, F.col("x") % 7 + F.col("y") % 6)
+    return grid(spark, width, height, _bench()[0])
 
 
 def rgb_bench(spark: SparkSession, width: int, height: int) -> DataFrame:
-    r = F.col("x") % 7 + F.col("y") % 6
-    parts = [grid(spark, width, height, v, channel=c) for c, v in enumerate((r, 255 - r, F.least(r, 255 - r)))]
+    parts = [grid(spark, width, height, v, channel=c) for c, v in enumerate(_bench())]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

@@ -117,9 +117,9 @@ def test_haar(spark):
     r = S.literal(spark, grid("1 2 3 4 5; 6 7 8 9 0; 9 8 7 6 5; 4 3 2 1 0; 6 5 4 2 1"))
     f = spark.createDataFrame([("two_horizontal", 1, 2, 3, 1, 1)], "kind string, sign int, block_w int, block_h int, left int, top int")
     assert X.haar_values(r, f).first().value == 14
-    for w in range(5):
-        for h in range(5):
-            assert X.haar_features(spark, w, h).count() == X.haar_count(w, h)
+    sizes = spark.createDataFrame([(w, h) for w in range(5) for h in range(5)], "w int, h int")
+    for c in sizes.withColumn("n", X.haar_counts(F.col("w"), F.col("h"))).collect():
+        assert X.haar_features(spark, c.w, c.h).count() == c.n
 
 
 POINTS = {(0, 0): 8, (0, 3): 10, (0, 6): 9, (5, 5): 10, (7, 5): 15, (12, 20): 10, (13, 20): 10, (13, 21): 10}
