@@ -76,10 +76,16 @@ def stretch_contrast(r: DataFrame, in_low: int, in_high: int, out_low: int, out_
     return r.withColumn("v", F.when(F.col("c") == 3, v).when(v <= in_low, out_low).when(v >= in_high, out_high).otherwise(inner).cast("int"))
 
 
+def _even(seed: int, *of: str) -> Column:
+    """A number between 0 and 1, evenly, from the MD5 of a seed and columns."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in of])
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+
+
 def gaussian_noise(r: DataFrame, mean: float, deviation: float, seed: int) -> DataFrame:
     """Normal noise on each value, from hashes of the seed and the place, so that it doesn't depend on partitions."""
-    even = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "img", "c", "x", "y"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    normal = F.sqrt(-2.0 * F.log(even(0))) * F.cos(2 * math.pi * even(1))
+    place = ("img", "c", "x", "y")
+    normal = F.sqrt(-2.0 * F.log(_even(2 * seed, *place))) * F.cos(2 * math.pi * _even(2 * seed + 1, *place))
     return r.withColumn("v", E.clamp_trunc(F.col("v") + normal * deviation + mean))
 
 
@@ -87,7 +93,7 @@ def salt_and_pepper(r: DataFrame, rate: float, seed: int) -> DataFrame:
     """Black or white, evenly, with probability ``rate`` per pixel."""
     if not 0 <= rate <= 1:
         raise ValueError("rate is a probability")
-    spot = F.pmod(F.xxhash64(F.lit(seed), "img", "x", "y"), F.lit(1 << 30)) / float(1 << 30)
+    spot = _even(seed, "img", "x", "y")
     return r.withColumn("v", F.when((F.lit(float(rate)) == 0) | (spot >= rate), F.col("v")).when(spot < rate / 2, 0).otherwise(255).cast("int"))
 
 

@@ -30,12 +30,21 @@ on_emb("oriented_contour_area", lambda r: G.oriented_contour_area(_points(r)).se
 on_emb("contour_area", lambda r: G.contour_area(_points(r)).select("grp", F.round("area", 3).alias("area")), _PT, ("r", f"SELECT grp, round(abs({_AREA}), 3)::DOUBLE AS area FROM pt GROUP BY grp"), columns=None)
 on_emb("convex_hull", lambda r: G.convex_hull(_points(r)), _PT, *L.HULL, columns=None)
 on_emb("min_area_rect", lambda r: G.min_area_rect(_points(r)), _PT, *L.BOX, columns=None)
-on_emb("approximate_polygon_dp", lambda r: G.approximate_polygon(_points(r), 1.0, False), columns=None)
+on_emb("approximate_polygon_dp", lambda r: G.approximate_polygon(_points(r), 1.0, False), _PT, *L.simplified(1.0), columns=None)
 on_emb("find_contours", lambda r: O.find_contours(P.threshold(r, 140, "binary")), columns=None)
 on_emb("find_contours_with_threshold", lambda r: O.find_contours(r, 140), columns=None)
-on_emb("find_vertical_seam", O.find_vertical_seam, L.gradient(T.SOBEL_H, T.SOBEL_V), *L.SEAM, columns=None)
+on_emb("find_vertical_seam", O.find_vertical_seam, L.gradient(T.SOBEL_H, T.SOBEL_V), *L.seam(), columns=None)
 on_emb("remove_vertical_seam", lambda r: O.remove_vertical_seam(r, r.where("x = (img + y) % 8").select("img", "y", "x")), one("SELECT img, CAST(CASE WHEN x > (img + y) % 8 THEN x - 1 ELSE x END AS INTEGER) AS x, y, v FROM px WHERE x <> (img + y) % 8"))
-on_emb("shrink_width", lambda r: O.shrink_width(r, 6))
+on_emb(
+    "shrink_width",
+    lambda r: O.shrink_width(r, 6),
+    L.gradient(T.SOBEL_H, T.SOBEL_V),
+    *L.seam(),
+    L.without_seam("px", "seam", "px7"),
+    L.gradient(T.SOBEL_H, T.SOBEL_V, "px7", "grad7", 7),
+    *L.seam("grad7", "7"),
+    L.without_seam("px7", "seam7", "px6"),
+)
 on_emb("draw_filled_rect", lambda r: D.draw_filled_rect(r, 2, -1, 4, 5, [7]), one("SELECT img, x, y, CASE WHEN x BETWEEN 2 AND 5 AND y BETWEEN -1 AND 3 THEN 7 ELSE v END AS v FROM px"))
 on_emb("draw_hollow_rect", lambda r: D.paint(r, D.rect_points(1, 2, 9, 4), [7]), one("SELECT img, x, y, CASE WHEN (x = 1 AND y BETWEEN 2 AND 5) OR (y IN (2, 5) AND x >= 1) THEN 7 ELSE v END AS v FROM px"))
 on_emb("draw_cross", lambda r: D.paint(r, D.cross_points(0, 3), [7]), one("SELECT img, x, y, CASE WHEN abs(x) + abs(y - 3) <= 1 THEN 7 ELSE v END AS v FROM px"))
@@ -48,7 +57,7 @@ on_emb("draw_hollow_circle", lambda r: D.paint(r, D.ellipse_points((3, 3), 3, 3)
 on_emb("draw_filled_circle", lambda r: D.paint_spans(r, D.ellipse_spans((3, 3), 2, 2), [7]), L.circle(2), L.drawn(3, 3, True, 7))
 on_emb("draw_hollow_ellipse", lambda r: D.paint(r, D.ellipse_points((4, 3), 4, 2), [7]), L.ellipse(4, 2), L.drawn(4, 3, False, 7))
 on_emb("draw_filled_ellipse", lambda r: D.paint_spans(r, D.ellipse_spans((4, 3), 4, 2), [7]), L.ellipse(4, 2), L.drawn(4, 3, True, 7))
-on_emb("draw_cubic_bezier_curve", lambda r: D.paint(r, D.bezier_points((0.0, 0.0), (7.0, 7.0), (7.0, 0.0), (0.0, 7.0)), [7]))
+on_emb("draw_cubic_bezier_curve", lambda r: D.paint(r, D.bezier_points((0.0, 0.0), (7.0, 7.0), (7.0, 0.0), (0.0, 7.0)), [7]), L.bezier((0.0, 0.0), (7.0, 7.0), (7.0, 0.0), (0.0, 7.0)), L.segments("seg", "one"), one("SELECT img, x, y, CASE WHEN EXISTS (SELECT 1 FROM mark m WHERE m.x = px.x AND m.y = px.y) THEN 7 ELSE v END AS v FROM px"))
 
 
 def _sizes(spark, d: str) -> DataFrame:
@@ -64,8 +73,9 @@ add("luma32f_bench_image", lambda spark, d: S.float_benches(_sizes(spark, d)).se
 add("heat_raster", lambda spark, d: S.heat(spark, d).select("x", "y", "v"), "SELECT CAST(gx AS INTEGER) AS x, CAST(gy AS INTEGER) AS y, CAST(least(255, count(l_quantity)) AS INTEGER) AS v FROM range(50) a(gx) CROSS JOIN range(11) b(gy) LEFT JOIN lineitem ON CAST(l_quantity AS INTEGER) - 1 = gx AND CAST(round(l_discount * 100) AS INTEGER) = gy GROUP BY gx, gy")
 on_emb("pack_round_trip", lambda r: S.tall(S.packed(r)), one("SELECT img, x, y, v FROM px"))
 on_emb("pixel_diffs", lambda r: P.diffs(r, r.withColumn("v", F.when(F.col("x") == F.col("y"), 0).otherwise(F.col("v")))).select("img", "x", "y", "actual", "expected"), one("SELECT img, x, y, v AS actual, 0 AS expected FROM px WHERE x = y AND v <> 0"), columns=None)
-on_emb("gaussian_noise", lambda r: P.gaussian_noise(r, 5.0, 3.0, 1))
-on_emb("salt_and_pepper_noise", lambda r: P.salt_and_pepper(r, 0.1, 1))
+_PLACE = ("img", "'0'", "x", "y")
+on_emb("gaussian_noise", lambda r: P.gaussian_noise(r, 5.0, 3.0, 1), one(f"SELECT img, x, y, {Q.clamp('v + sqrt(-2 * ln(' + L.even(2, *_PLACE) + ')) * cos(2 * pi() * ' + L.even(3, *_PLACE) + ') * 3 + 5')} AS v FROM px"))
+on_emb("salt_and_pepper_noise", lambda r: P.salt_and_pepper(r, 0.1, 1), one(f"SELECT img, x, y, CASE WHEN s >= 0.1::DOUBLE THEN v WHEN s < 0.05::DOUBLE THEN 0 ELSE 255 END AS v FROM (SELECT *, {L.even(1, 'img', 'x', 'y')} AS s FROM px)"))
 
 # ---- rectangles, lines and drawings of other operators' results ----------------------------------------
 
@@ -109,7 +119,7 @@ k AS (SELECT id, angle, list_filter(pts, lambda z: z.ok) AS f FROM p)
 SELECT id AS img, angle, CASE WHEN len(f) > 1 THEN round(f[1].x, 5) END AS x0, CASE WHEN len(f) > 1 THEN round(f[1].y, 5) END AS y0, CASE WHEN len(f) > 1 THEN round(f[2].x, 5) END AS x1, CASE WHEN len(f) > 1 THEN round(f[2].y, 5) END AS y1 FROM k""",
 )
 on_emb("draw_polar_lines", lambda r: D.draw_polar_lines(r, _two_lines(r), [7]), one("SELECT img, x, y, CASE WHEN x = img % 8 OR y = 2 THEN 7 ELSE v END AS v FROM px"))
-on_emb("draw_hough_lines", lambda r: D.draw_polar_lines(r, _detected(r), [7]))
+on_emb("draw_hough_lines", lambda r: D.draw_polar_lines(r, _detected(r), [7]), *L.lines("v > 180", 4, 2), L.MET, L.segments("met", "img"), one("SELECT px.img, px.x, px.y, CASE WHEN m.img IS NOT NULL THEN 7 ELSE v END AS v FROM px LEFT JOIN mark m ON m.img = px.img AND m.x = px.x AND m.y = px.y"))
 
 
 def _two_lines(r: DataFrame) -> DataFrame:

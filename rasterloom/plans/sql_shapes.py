@@ -26,13 +26,13 @@ def grown(source: str, low: float, high: float, name: str = "r") -> Step:
 SELECT s.img, s.x, s.y, CASE WHEN reach.img IS NOT NULL THEN 255 ELSE 0 END AS v FROM {source} s LEFT JOIN reach ON s.img = reach.img AND s.x = reach.x AND s.y = reach.y""")
 
 
-def gradient(horizontal: dict, vertical: dict, source: str = "px", name: str = "grad") -> Step:
+def gradient(horizontal: dict, vertical: dict, source: str = "px", name: str = "grad", width: int = 8) -> Step:
     """gx and gy of every place, within 16 bits, and m, the root of their squares."""
     both = {o: (horizontal.get(o, 0), vertical.get(o, 0)) for o in {*horizontal, *vertical}}
     k = ", ".join(f"({dx}, {dy}, {a}, {b})" for (dx, dy), (a, b) in both.items())
     return (name, f"""SELECT *, sqrt(CAST(gx * gx + gy * gy AS DOUBLE)) AS m FROM (
   SELECT a.img, a.x, a.y, sum(k.a * b.v) AS gx, sum(k.b * b.v) AS gy FROM {source} a CROSS JOIN (VALUES {k}) k(dx, dy, a, b)
-  JOIN {source} b ON b.img = a.img AND b.x = greatest(0, least(7, a.x + dx)) AND b.y = greatest(0, least(7, a.y + dy)) GROUP BY a.img, a.x, a.y)""")
+  JOIN {source} b ON b.img = a.img AND b.x = greatest(0, least({width - 1}, a.x + dx)) AND b.y = greatest(0, least(7, a.y + dy)) GROUP BY a.img, a.x, a.y)""")
 
 
 #: magnitudes that are no less than both neighbours along the gradient; 0 at the border
@@ -105,17 +105,19 @@ BOX: tuple[Step, ...] = (
   UNION ALL SELECT h.grp, CAST(k AS INTEGER), h.x, h.y FROM hull h, range(4) z(k) WHERE (SELECT max(seq) FROM hull m WHERE m.grp = h.grp) = 1 AND h.seq = CASE WHEN k IN (1, 2) THEN 1 ELSE 0 END"""),
 )
 
-#: the seam of least Sobel magnitude; each step back compares with the least value seen so far
-SEAM: tuple[Step, ...] = (
-    ("energy", "SELECT img, y, list(CAST(floor(m) AS BIGINT) ORDER BY x) AS e FROM grad GROUP BY img, y"),
-    ("cost", """WITH RECURSIVE c AS (SELECT img, y, e AS cost FROM energy WHERE y = 0
-  UNION ALL SELECT n.img, n.y, list_transform(n.e, lambda v, i: v + least(coalesce(c.cost[i - 1], 9223372036854775807), c.cost[i], coalesce(c.cost[i + 1], 9223372036854775807))) FROM c JOIN energy n ON n.img = c.img AND n.y = c.y + 1) SELECT * FROM c"""),
-    ("seam", """WITH RECURSIVE s AS (SELECT img, y, list_position(cost, list_min(cost)) AS i, list_min(cost) AS held FROM cost WHERE y = 7
+def seam(grad: str = "grad", tag: str = "") -> tuple[Step, ...]:
+    """The seam of least Sobel magnitude; each step back compares with the least value seen so far."""
+    energy, cost, way = f"energy{tag}", f"cost{tag}", f"way{tag}"
+    return (
+        (energy, f"SELECT img, y, list(CAST(floor(m) AS BIGINT) ORDER BY x) AS e FROM {grad} GROUP BY img, y"),
+        (cost, f"""WITH RECURSIVE c AS (SELECT img, y, e AS cost FROM {energy} WHERE y = 0
+  UNION ALL SELECT n.img, n.y, list_transform(n.e, lambda v, i: v + least(coalesce(c.cost[i - 1], 9223372036854775807), c.cost[i], coalesce(c.cost[i + 1], 9223372036854775807))) FROM c JOIN {energy} n ON n.img = c.img AND n.y = c.y + 1) SELECT * FROM c"""),
+        (way, f"""WITH RECURSIVE s AS (SELECT img, y, list_position(cost, list_min(cost)) AS i, list_min(cost) AS held FROM {cost} WHERE y = 7
   UNION ALL SELECT img, y, CASE WHEN i < len(cost) AND cost[i + 1] < h THEN i + 1 ELSE j END, CASE WHEN i < len(cost) AND cost[i + 1] < h THEN cost[i + 1] ELSE h END FROM (
     SELECT c.img, c.y, s.i, c.cost, CASE WHEN s.i > 1 AND c.cost[s.i - 1] < c.cost[s.i] THEN s.i - 1 ELSE s.i END AS j, CASE WHEN s.i > 1 AND c.cost[s.i - 1] < c.cost[s.i] THEN c.cost[s.i - 1] ELSE s.held END AS h
-    FROM s JOIN cost c ON c.img = s.img AND c.y = s.y - 1)) SELECT * FROM s"""),
-    ("r", "SELECT img, y, CAST(i - 1 AS INTEGER) AS x FROM seam"),
-)
+    FROM s JOIN {cost} c ON c.img = s.img AND c.y = s.y - 1)) SELECT * FROM s"""),
+        (f"seam{tag}", f"SELECT img, y, CAST(i - 1 AS INTEGER) AS x FROM {way}"),
+    )
 
 
 def circle(radius: int) -> Step:
@@ -156,3 +158,57 @@ TREES: tuple[Step, ...] = (
     ("root", "WITH RECURSIVE reach AS (SELECT n AS a, n AS b FROM range(300) z(n) UNION SELECT reach.a, tie.b FROM reach JOIN tie ON reach.b = tie.a) SELECT a, min(b) AS root FROM reach GROUP BY a"),
     ("r", "SELECT root, CAST(count(*) AS INTEGER) AS n FROM root GROUP BY root"),
 )
+
+
+def without_seam(source: str, seam_: str, name: str) -> Step:
+    """The raster without a seam's places; what is right of them moves left."""
+    return (name, f"SELECT s.img, CAST(CASE WHEN s.x > k.x THEN s.x - 1 ELSE s.x END AS INTEGER) AS x, s.y, s.v FROM {source} s JOIN {seam_} k ON s.img = k.img AND s.y = k.y WHERE s.x <> k.x")
+
+
+def segments(source: str, key: str, name: str = "mark") -> Step:
+    """(key, x, y): the places of segments x0, y0, x1, y1, along their longer axis; the other has moved ceil(i * slope - 1/2) after i steps."""
+    return (name, f"""WITH t AS (SELECT *, abs(y1 - y0) > abs(x1 - x0) AS steep FROM {source}),
+u AS (SELECT {key}, steep, CASE WHEN steep THEN y0 ELSE x0 END AS a0, CASE WHEN steep THEN x0 ELSE y0 END AS b0, CASE WHEN steep THEN y1 ELSE x1 END AS a1, CASE WHEN steep THEN x1 ELSE y1 END AS b1 FROM t),
+o AS (SELECT {key}, steep, least(a0, a1) AS a0, greatest(a0, a1) AS a1, CASE WHEN a0 > a1 THEN b1 ELSE b0 END AS b0, CASE WHEN a0 > a1 THEN b0 ELSE b1 END AS b1 FROM u),
+s AS (SELECT *, unnest(range(CAST(trunc(a1) AS BIGINT) - CAST(trunc(a0) AS BIGINT) + 1)) AS i FROM o),
+m AS (SELECT {key}, steep, trunc(a0) + i AS along, trunc(b0) + CASE WHEN b0 < b1 THEN 1 ELSE -1 END * CASE WHEN a1 > a0 THEN greatest(0, ceil((2 * i * abs(b1 - b0) - (a1 - a0)) / (2 * (a1 - a0)))) ELSE 0 END AS across FROM s)
+SELECT DISTINCT {key}, CAST(CASE WHEN steep THEN across ELSE along END AS INTEGER) AS x, CAST(CASE WHEN steep THEN along ELSE across END AS INTEGER) AS y FROM m""")
+
+
+#: where the lines of line(img, r, angle) meet the box of 8 x 8: the first two of right, left, bottom and top
+MET: Step = ("met", """WITH l AS (SELECT img, angle, r::DOUBLE AS r, sin(radians(angle)) AS s, cos(radians(angle)) AS c FROM line),
+p AS (SELECT *, CASE WHEN angle = 0 THEN [{'x': r, 'y': 0.0::DOUBLE, 'ok': r BETWEEN 0 AND 8}, {'x': r, 'y': 8.0::DOUBLE, 'ok': r BETWEEN 0 AND 8}]
+  WHEN angle = 90 THEN [{'x': 0.0::DOUBLE, 'y': r, 'ok': r BETWEEN 0 AND 8}, {'x': 8.0::DOUBLE, 'y': r, 'ok': r BETWEEN 0 AND 8}]
+  ELSE [{'x': 8.0::DOUBLE, 'y': (r - 8 * c) / s, 'ok': (r - 8 * c) / s BETWEEN 0 AND 8}, {'x': 0.0::DOUBLE, 'y': r / s, 'ok': r / s BETWEEN 0 AND 8},
+        {'x': (r - 8 * s) / c, 'y': 8.0::DOUBLE, 'ok': (r - 8 * s) / c BETWEEN 0 AND 8}, {'x': r / c, 'y': 0.0::DOUBLE, 'ok': r / c BETWEEN 0 AND 8}] END AS pts FROM l),
+k AS (SELECT img, list_filter(pts, lambda z: z.ok) AS f FROM p)
+SELECT img, f[1].x AS x0, f[1].y AS y0, f[2].x AS x1, f[2].y AS y1 FROM k WHERE len(f) > 1""")
+
+
+def bezier(start: tuple[float, float], end: tuple[float, float], a: tuple[float, float], b: tuple[float, float]) -> Step:
+    """A cubic curve as floor(sqrt(length^2 + 800) / 8) segments between places rounded half away from zero."""
+    dist = lambda p, q: f"sqrt(pow({p[0] - q[0]}::DOUBLE, 2) + pow({p[1] - q[1]}::DOUBLE, 2))"
+    at = lambda k, t: f"({start[k]}::DOUBLE * pow(1 - {t}, 3) + 3 * {a[k]}::DOUBLE * pow(1 - {t}, 2) * {t} + 3 * {b[k]}::DOUBLE * (1 - {t}) * pow({t}, 2) + {end[k]}::DOUBLE * pow({t}, 3))"
+    rounded = lambda v: f"sign(round({v}, 9)) * floor(abs(round({v}, 9)) + 0.5)"
+    return ("seg", f"""WITH n AS (SELECT CAST(floor(sqrt(pow({dist(start, a)} + {dist(a, b)} + {dist(b, end)}, 2) + 800) / 8) AS BIGINT) AS n), i AS (SELECT n, unnest(range(n)) AS i FROM n),
+t AS (SELECT i / n::DOUBLE AS t, (i + 1) / n::DOUBLE AS u FROM i)
+SELECT 0 AS one, {rounded(at(0, 't'))} AS x0, {rounded(at(1, 't'))} AS y0, {rounded(at(0, 'u'))} AS x1, {rounded(at(1, 'u'))} AS y1 FROM t""")
+
+
+def simplified(epsilon: float) -> tuple[Step, ...]:
+    """Places of pt(grp, seq, x, y) that stay: from chord to chord, the farthest place if it is farther than ``epsilon``."""
+    far = "abs((xs[b] - xs[a]) * (ys[i] - ys[a]) - (ys[b] - ys[a]) * (xs[i] - xs[a])) / sqrt(pow(xs[b] - xs[a], 2) + pow(ys[b] - ys[a], 2))"
+    return (
+        ("arc", "SELECT grp, list(x ORDER BY seq) AS xs, list(y ORDER BY seq) AS ys FROM pt GROUP BY grp"),
+        ("chord", f"""WITH RECURSIVE c AS (SELECT grp, xs, ys, CAST(1 AS BIGINT) AS a, CAST(len(xs) AS BIGINT) AS b FROM arc
+  UNION ALL SELECT grp, xs, ys, unnest([a, k]), unnest([k, b]) FROM (
+    SELECT grp, xs, ys, a, b, list_max(ds) AS d, a + list_position(ds, list_max(ds)) AS k FROM (SELECT *, list_transform(range(a + 1, b), lambda i: {far}) AS ds FROM c WHERE b - a >= 2 AND (xs[a] <> xs[b] OR ys[a] <> ys[b])))
+  WHERE d > {epsilon}) SELECT * FROM c"""),
+        ("stay", "SELECT DISTINCT grp, xs, ys, unnest([a, b]) AS i FROM chord"),
+        ("r", "SELECT grp, CAST(row_number() OVER (PARTITION BY grp ORDER BY i) - 1 AS INTEGER) AS seq, xs[i] AS x, ys[i] AS y FROM stay"),
+    )
+
+
+def even(seed: int, *of: str) -> str:
+    """A number between 0 and 1 from the MD5 of a seed and columns."""
+    return f"((CAST('0x' || md5(concat_ws('|', '{seed}', {', '.join(of)}))[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296)"
