@@ -82,6 +82,12 @@ _AFFINE = C.Projection((0.9, 0.2, 0.3, -0.1, 1.1, 0.4, 0.0, 0.0, 1.0))
 _INV = _AFFINE.invert().matrix
 _MAP = f"{_INV[0]!r}::DOUBLE * x + {_INV[1]!r}::DOUBLE * y + {_INV[2]!r}::DOUBLE AS fx, {_INV[3]!r}::DOUBLE * x + {_INV[4]!r}::DOUBLE * y + {_INV[5]!r}::DOUBLE AS fy"
 on_emb("warp_nearest", lambda r: C.warp(r, _AFFINE, "nearest", 0), ("g", f"SELECT img, x, y, {_MAP} FROM px"), ("r", "SELECT g.img, g.x, g.y, coalesce(b.v, 0) AS v FROM g LEFT JOIN px b ON b.img = g.img AND b.x = floor(fx + 0.5) AND b.y = floor(fy + 0.5)"))
+#: (x, y) to (x, y) / (1 + 0.07 x), as a matrix and by what becomes of four corners
+_TILT = [(0.0, 0.0), (7.0, 0.0), (7.0, 7.0), (0.0, 7.0)]
+_TILTED = "SELECT a.img, a.x, a.y, coalesce(b.v, 3) AS v FROM px a LEFT JOIN px b ON b.img = a.img AND b.x = floor(a.x / (1 - 0.07::DOUBLE * a.x) + 0.5) AND b.y = floor(a.y / (1 - 0.07::DOUBLE * a.x) + 0.5)"
+on_emb("warp_control_points", lambda r: C.warp(r, C.Projection.from_control_points(_TILT, [(x / (1 + 0.07 * x), y / (1 + 0.07 * x)) for x, y in _TILT]), "nearest", 3), one(_TILTED))
+on_emb("warp_from_matrix", lambda r: C.warp(r, C.Projection.from_matrix([2.0, 0.0, 0.0, 0.0, 2.0, 0.0, 0.14, 0.0, 2.0]), "nearest", 3), one(_TILTED))
+on_emb("warp_translation", lambda r: C.warp(r, C.Projection.translate(2.0, -3.0), "nearest", 3), one("SELECT a.img, a.x, a.y, coalesce(b.v, 3) AS v FROM px a LEFT JOIN px b ON b.img = a.img AND b.x = a.x - 2 AND b.y = a.y + 3"))
 _LERP = lambda p, q, k: Q.clamp(f"({p}) * (1.0::DOUBLE - {k}) + ({q}) * {k}")
 _TAP = lambda i, j: f"coalesce((SELECT b.v FROM px b WHERE b.img = g.img AND b.x = floor(fx) + {i} AND b.y = floor(fy) + {j}), 0)"
 on_emb("warp_bilinear", lambda r: C.warp(r, _AFFINE, "bilinear", 0), ("g", f"SELECT img, x, y, {_MAP} FROM px"), ("t", f"SELECT img, x, y, fx - floor(fx) AS rx, fy - floor(fy) AS ry, {_TAP(0, 0)} AS a, {_TAP(1, 0)} AS b, {_TAP(0, 1)} AS c, {_TAP(1, 1)} AS d FROM g"), ("r", f"SELECT img, x, y, {_LERP(_LERP('a', 'b', 'rx'), _LERP('c', 'd', 'rx'), 'ry')} AS v FROM t"))

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import expr as E
 from ..operators import coords as C
 from ..operators import features as X
 from ..operators import pixelwise as P
@@ -144,6 +145,7 @@ _FREQ = ("freq", "SELECT img, CAST(u AS INTEGER) AS x, CAST(w AS INTEGER) AS y,
 on_mosaic("lanczos_resize", lambda r: X.lanczos_resize(r, 8), *_resized(8), ("r", "SELECT img, x, y, v FROM small"))
 on_mosaic("average_hash_large", X.average_hash, *_resized(8), *_bits("small"), columns=None)
 on_mosaic("phash", X.phash, *_resized(32), _FREQ, *_bits("freq"), columns=None)
+on_emb("hash_bits", lambda r: X.average_hash(r).select("img", F.posexplode(E.unpack_bits(F.col("h"))).alias("i", "above")), ("m", "SELECT img, avg(v::DOUBLE) AS mean FROM px GROUP BY img"), ("r", "SELECT px.img, CAST(y * 8 + x AS INTEGER) AS i, v > mean AS above FROM px JOIN m ON px.img = m.img"), columns=None)
 on_emb("hash_distances", lambda r: _hash_pairs(X.average_hash(r)), *_HASHED, ("d", "SELECT a.img, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM r a JOIN r b ON b.img + 1 = a.img"), columns=None)
 _PAIRS = X.brief_pairs(128, 1, 2)
 #: the tests' bits as two words: of the 128 the first test isn't kept, and the last bit is 0
