@@ -322,6 +322,17 @@ def without_spans(texts, span=3, least=8):
     return out
 
 
+def test_runs_of_any_length_of_words(spark):
+    """With ``least_words`` 1 every run of three sentences counts, however short; with the default, short ones stay."""
+    texts = ["A. B. C.", "A. B. C.", "One two. Three. Four five.", "x. One two. Three. Four five. y.", "Own words. Here. Only.", ""]
+    docs = frame(spark, texts)
+    found = by_id(S.substring_dedup(docs, least_words=1))
+    plain = without_spans(list(enumerate(texts)), least=1)
+    assert {(d, t): (found[d].n_sentences, found[d].n_removed, found[d].text) for d, t in enumerate(texts)} == plain
+    assert [found[i].n_removed for i in range(4)] == [0, 3, 0, 3]
+    assert {r.n_removed for r in S.substring_dedup(docs).collect()} == {0}
+
+
 HASHES = {}
 
 
