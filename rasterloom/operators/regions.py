@@ -75,7 +75,7 @@ def _folded_rows(columns: DataFrame, squared: bool) -> DataFrame:
 
     Rows are dealt by line and streamed; lines of one width are folded together.
     """
-    fed = columns.select("img", "w", "h", "c", "x", "y", F.coalesce("g", F.lit(-1)).cast("long").alias("g"))
+    fed = columns.select(F.col("img").cast("long").alias("img"), *[F.col(k).cast("int").alias(k) for k in ("w", "h", "c", "x", "y")], F.coalesce("g", F.lit(-1)).cast("long").alias("g"))
     fed = fed.repartition("img", "c", "y").sortWithinPartitions("img", "c", "y", "x")
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

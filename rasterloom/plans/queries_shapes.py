@@ -52,7 +52,8 @@ on_emb("draw_line_segment", lambda r: D.draw_line(r, (0, 0), (9, 4), [7]), one("
 on_emb("draw_antialiased_line_segment", lambda r: D.paint_weighted(r, D.wu_points((0, 0), (8, 4)), [200], lambda c, old, w: E.clamp_trunc(c * w + old * (1 - w))), one("SELECT img, x, y, CASE WHEN y = x // 2 THEN CAST(trunc(200 * (1 - (x % 2) / 2.0) + v * ((x % 2) / 2.0)) AS INTEGER) WHEN y = x // 2 + 1 THEN CAST(trunc(200 * ((x % 2) / 2.0) + v * (1 - (x % 2) / 2.0)) AS INTEGER) ELSE v END AS v FROM px"))
 on_emb("draw_polygon", lambda r: D.draw_polygon(r, [(1, 1), (6, 1), (6, 5), (1, 5)], [7]), one("SELECT img, x, y, CASE WHEN x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 5 THEN 7 ELSE v END AS v FROM px"))
 on_emb("draw_hollow_polygon", lambda r: D.paint(r, D.polygon_outline([(1.0, 1.0), (6.0, 1.0), (6.0, 5.0), (1.0, 5.0)]), [7]), one("SELECT img, x, y, CASE WHEN (x IN (1, 6) AND y BETWEEN 1 AND 5) OR (y IN (1, 5) AND x BETWEEN 1 AND 6) THEN 7 ELSE v END AS v FROM px"))
-on_emb("draw_antialiased_polygon", lambda r: D.draw_antialiased_polygon(r, [(1, 1), (6, 2), (4, 6)], [200], lambda c, old, w: E.clamp_trunc(c * w + old * (1 - w))))
+_SMOOTH = [(1, 1), (6, 2), (4, 6)]
+add("draw_antialiased_polygon", lambda spark, d: D.draw_antialiased_polygon(S.emb8(spark, d), _SMOOTH, [200], lambda c, old, w: E.clamp_trunc(c * w + old * (1 - w))).select(*XYV), L.smooth_polygon(_SMOOTH, 200))
 on_emb("draw_hollow_circle", lambda r: D.paint(r, D.ellipse_points((3, 3), 3, 3), [7]), L.circle(3), L.drawn(3, 3, False, 7))
 on_emb("draw_filled_circle", lambda r: D.paint_spans(r, D.ellipse_spans((3, 3), 2, 2), [7]), L.circle(2), L.drawn(3, 3, True, 7))
 on_emb("draw_hollow_ellipse", lambda r: D.paint(r, D.ellipse_points((4, 3), 4, 2), [7]), L.ellipse(4, 2), L.drawn(4, 3, False, 7))
@@ -134,7 +135,7 @@ def _detected(r: DataFrame) -> DataFrame:
 
 
 on_emb("draw_haar_feature", lambda r: D.draw_haar_feature(r, 3, 1, -1, 2, 4, 1, 2), one("SELECT img, x, y, CASE WHEN x BETWEEN 1 AND 6 AND y BETWEEN 2 AND 5 THEN CASE WHEN (x - 1) // 2 % 2 = 1 THEN 255 ELSE 0 END ELSE v END AS v FROM px"))
-on_emb("render_hist_grid", lambda r: D.render_hist_grid(_cells(r), 7, 8, False))
+on_emb("render_hist_grid", lambda r: D.render_hist_grid(_cells(r), 7, 8, False), L.gradient(T.SOBEL_H, T.SOBEL_V), L.cells(8, False, 4), *L.stars(7, 8))
 
 
 def _cells(r: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import math
 
+from . import sql as Q
+
 Step = tuple[str, str]
 
 
@@ -212,3 +214,36 @@ def simplified(epsilon: float) -> tuple[Step, ...]:
 def even(seed: int, *of: str) -> str:
     """A number between 0 and 1 from the MD5 of a seed and columns."""
     return f"((CAST('0x' || md5(concat_ws('|', '{seed}', {', '.join(of)}))[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296)"
+
+
+def stars(side: int, bins: int) -> tuple[Step, ...]:
+    """The cells' histograms as stars: rays both ways from the middle, in single precision, the highest bin on top."""
+    turn = f"CAST(CAST(pi() AS FLOAT) * CAST(b AS FLOAT) / CAST({bins} AS FLOAT) + CASE t WHEN 1 THEN CAST(pi() AS FLOAT) ELSE CAST(0 AS FLOAT) END AS FLOAT)"
+    end = lambda sign, f: f"CAST(CAST({side // 2} AS FLOAT) {sign} CAST({side / 2} AS FLOAT) * CAST({f}({turn}) AS FLOAT) AS DOUBLE)"
+    return (
+        ("ray", f"SELECT CAST(b AS INTEGER) AS b, {side // 2}::DOUBLE AS x0, {side // 2}::DOUBLE AS y0, {end('-', 'sin')} AS x1, {end('+', 'cos')} AS y1 FROM range({bins}) a(b), range(2) c(t)"),
+        segments("ray", "b"),
+        ("top", "SELECT x AS sx, y AS sy, max(b) AS ray FROM mark GROUP BY x, y"),
+        ("place", f"SELECT img, cx, cy, CAST(sx AS INTEGER) AS sx, CAST(sy AS INTEGER) AS sy FROM (SELECT DISTINCT img, cx, cy FROM cells), range({side}) a(sx), range({side}) b(sy)"),
+        ("r", f"SELECT p.img, p.cx * {side} + p.sx AS x, p.cy * {side} + p.sy AS y, {Q.clamp('coalesce(c.v, 0)')} AS v FROM place p LEFT JOIN top ON top.sx = p.sx AND top.sy = p.sy LEFT JOIN cells c ON c.img = p.img AND c.cx = p.cx AND c.cy = p.cy AND c.bin = top.ray"),
+    )
+
+
+def smooth_polygon(points: list[tuple[int, int]], color: int) -> str:
+    """A convex polygon filled by even-odd spans, then its edges' weighted places blended in order."""
+    ring = ", ".join(f"({k}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for k, (a, b) in enumerate(zip(points, [*points[1:], points[0]], strict=True)))
+    return f"""WITH RECURSIVE {Q.EMB.strip()},
+ring AS (SELECT * FROM (VALUES {ring}) e(k, x0, y0, x1, y1)),
+met AS (SELECT y, x0 + (y - y0)::DOUBLE / (y1 - y0) * (x1 - x0) AS hit_at FROM ring, range(8) a(y) WHERE y0 <> y1 AND y > least(y0, y1) AND y < greatest(y0, y1)
+  UNION ALL SELECT y0, x0 FROM ring WHERE y1 > y0 UNION ALL SELECT y1, x1 FROM ring WHERE y0 > y1),
+span AS (SELECT y, min(sign(hit_at) * floor(abs(hit_at) + 0.5)) AS a, max(sign(hit_at) * floor(abs(hit_at) + 0.5)) AS b FROM met GROUP BY y),
+turned AS (SELECT k, abs(y1 - y0) > abs(x1 - x0) AS steep, CASE WHEN abs(y1 - y0) > abs(x1 - x0) THEN [y0, x0, y1, x1] ELSE [x0, y0, x1, y1] END AS q FROM ring),
+ordered AS (SELECT k, steep, CASE WHEN q[1] > q[3] THEN [q[3], q[4], q[1], q[2]] ELSE q END AS q FROM turned),
+step AS (SELECT k, steep, q, unnest(range(q[3] - q[1] + 1)) AS i FROM ordered),
+line AS (SELECT k, steep, i, q[1] + i AS along, q[2] + CASE WHEN q[3] <> q[1] THEN (q[4] - q[2])::DOUBLE / (q[3] - q[1]) ELSE 0 END * i AS hit_at FROM step),
+two AS (SELECT k, steep, i, j, along, trunc(hit_at) + j AS across, CASE j WHEN 0 THEN 1 - (hit_at - trunc(hit_at)) ELSE hit_at - trunc(hit_at) END AS w FROM line, range(2) a(j)),
+mark AS MATERIALIZED (SELECT CAST(CASE WHEN steep THEN across ELSE along END AS INTEGER) AS x, CAST(CASE WHEN steep THEN along ELSE across END AS INTEGER) AS y, w, row_number() OVER (PARTITION BY CASE WHEN steep THEN across ELSE along END, CASE WHEN steep THEN along ELSE across END ORDER BY k, i, j) AS n FROM two),
+drawn AS (
+  SELECT px.img, px.x, px.y, CAST(0 AS BIGINT) AS n, CASE WHEN px.x BETWEEN span.a AND span.b THEN {color} ELSE v END AS v FROM px LEFT JOIN span ON px.y = span.y
+  UNION ALL SELECT d.img, d.x, d.y, m.n, {Q.clamp(f"{color} * w + d.v * (1 - w)")} FROM drawn d JOIN mark m ON m.x = d.x AND m.y = d.y AND m.n = d.n + 1)
+SELECT img, x, y, CAST(arg_max(v, n) AS INTEGER) AS v FROM drawn GROUP BY img, x, y"""
