@@ -179,3 +179,25 @@ def _matched(r: DataFrame) -> DataFrame:
     found = X.brief(r, r.where("x between 2 and 5 and y between 2 and 5").select("img", "x", "y"), _PAIRS)
     rows = found.select((F.col("img") * 64 + F.col("y") * 8 + F.col("x")).alias("id"), "img", "bits")
     return X.match_descriptors(rows.where("img % 20 = 0").select("id", "bits"), rows.select("id", "bits"), 40, apart=True)
+
+
+# ---- the same on rasters of 40 x 40 ---------------------------------------------------------------------
+
+_M5 = T.kernel([1, 2, 0, -1, 1, 0, 3, 1, -2, 1, 1, 1, 2, 1, 0, 0, -1, 1, 1, 2, 1, 0, 1, 0, 1], 5, 5)
+_M_DISK = {o: 1 for o in T.disk_mask(4)}
+on_mosaic("filter_5x5_large", lambda r: T.filtered(r, _M5, lambda s: s.cast("bigint")), one(f"SELECT img, x, y, CAST(sum(w * v) AS BIGINT) AS v FROM ({Q.near(_M5, size=40)}) GROUP BY img, x, y"))
+on_mosaic("median_filter_large", lambda r: T.median_filter(r, 3, 2), one(f"SELECT img, x, y, list_sort(list(v))[18] AS v FROM ({Q.near(_SQ(3, 2), size=40)}) GROUP BY img, x, y"))
+for _n, _f, _s in (("dilate", T.grayscale_dilate, "max"), ("erode", T.grayscale_erode, "min")):
+    on_mosaic(f"grayscale_{_n}_large", lambda r, f=_f: f(r, list(_M_DISK)), one(f"SELECT img, x, y, {_s}(v) AS v FROM ({Q.inside(_M_DISK)}) GROUP BY img, x, y"))
+for _n in ("l1", "linf", "l2"):
+    on_mosaic(f"distance_transform_{_n}_large", lambda r, n=_n: R.distance_transform(white(r, 200), n), ("wh", "SELECT img, x, y, CASE WHEN v > 200 THEN 255 ELSE 0 END AS v FROM px"), ("r", _distance(_n).replace(", 16)", ", 80)")))
+on_mosaic("connected_components_large", lambda r: R.connected_components(white(r, 145), 8), ("qv", "SELECT img, x, y, CASE WHEN v > 145 THEN 255 ELSE 0 END AS q FROM px"), L.components("abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1", width=40))
+on_mosaic("hysteresis_large", lambda r: R.hysteresis(r, 140.0, 200.0), L.grown("px", 140, 200))
+on_mosaic("flood_fill_large", lambda r: R.flood_fill(white(r, 125), 20, 20, 99), ("qv", "SELECT img, x, y, CASE WHEN v > 125 THEN 255 ELSE 0 END AS q FROM px"), ("r", """WITH RECURSIVE reach AS (SELECT img, x, y, q FROM qv WHERE x = 20 AND y = 20
+  UNION SELECT b.img, b.x, b.y, b.q FROM reach a JOIN qv b ON a.img = b.img AND a.q = b.q AND abs(a.x - b.x) + abs(a.y - b.y) = 1)
+SELECT qv.img, qv.x, qv.y, CASE WHEN reach.img IS NOT NULL THEN 99 ELSE qv.q END AS v FROM qv LEFT JOIN reach ON qv.img = reach.img AND qv.x = reach.x AND qv.y = reach.y"""))
+on_mosaic("integral_image_large", A.integral_image, one("SELECT g.img, CAST(gx AS INTEGER) AS x, CAST(gy AS INTEGER) AS y, CAST(coalesce(sum(v), 0) AS BIGINT) AS v FROM (SELECT DISTINCT img FROM px) g CROSS JOIN range(41) a(gx) CROSS JOIN range(41) b(gy) LEFT JOIN px ON px.img = g.img AND px.x < gx AND px.y < gy GROUP BY g.img, gx, gy"))
+on_mosaic("suppress_non_maximum_large", lambda r: R.suppress_non_maximum(r, 3), one("SELECT a.img, a.x, a.y, CASE WHEN EXISTS (SELECT 1 FROM px b WHERE a.img = b.img AND abs(a.x - b.x) <= 3 AND abs(a.y - b.y) <= 3 AND (b.v > a.v OR (b.v = a.v AND (b.x, b.y) < (a.x, a.y)))) THEN 0 ELSE a.v END AS v FROM px a"))
+_CUT = ("t", "SELECT x - 5 AS tx, y - 3 AS ty, v AS tv FROM px WHERE img = 0 AND x BETWEEN 5 AND 16 AND y BETWEEN 3 AND 12")
+for _n, _s in _SCORES.items():
+    on_mosaic(f"match_template_{_n}_large", lambda r, n=_n: X.match_template(r, C.crop(r.where("img = 0"), 5, 3, 12, 10), n).select("img", "ox", "oy", F.round("score", 6).alias("score")), _CUT, one(f"SELECT img, CAST(x - tx AS INTEGER) AS ox, CAST(y - ty AS INTEGER) AS oy, {_s} AS score FROM px, t WHERE x - tx BETWEEN 0 AND 28 AND y - ty BETWEEN 0 AND 30 GROUP BY img, x - tx, y - ty"), columns=None)

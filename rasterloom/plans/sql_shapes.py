@@ -12,10 +12,10 @@ from . import sql as Q
 Step = tuple[str, str]
 
 
-def components(near: str, source: str = "qv", name: str = "r") -> Step:
+def components(near: str, source: str = "qv", name: str = "r", width: int = 8) -> Step:
     """Numbers of the regions of equal, non-zero q, from 1 in raster order."""
     return (name, f"""WITH RECURSIVE reach AS (
-  SELECT img, x, y, q, y * 8 + x AS n FROM {source} WHERE q <> 0
+  SELECT img, x, y, q, y * {width} + x AS n FROM {source} WHERE q <> 0
   UNION SELECT b.img, b.x, b.y, b.q, a.n FROM reach a JOIN {source} b ON a.img = b.img AND a.q = b.q AND {near}),
 roots AS (SELECT img, x, y, min(n) AS n FROM reach GROUP BY img, x, y)
 SELECT q0.img, q0.x, q0.y, CAST(coalesce(k, 0) AS INTEGER) AS v FROM {source} q0 LEFT JOIN (SELECT img, x, y, dense_rank() OVER (PARTITION BY img ORDER BY n) AS k FROM roots) z ON q0.img = z.img AND q0.x = z.x AND q0.y = z.y""")
