@@ -15,8 +15,10 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier i
    common prefixes, and reads off runs of windows that share ``LENGTH`` bytes; all but a run's
    first place go.
    A hot anchor (more than ``SPLIT_OVER`` distinct contexts, as at the edges of a passage that a
-   third of all documents share) must not gather in one shard, so its windows are dealt by
-   their own hashes instead: same groups, same firsts, nothing dropped.
+   third of all documents share) must not gather in one shard.  Its windows are named again, by their
+   2, 4, 8, ... least hashes and at last by all of their bytes; consecutive windows of one name
+   form finer contexts, which go through steps 2 and 3 alike until no name is hot.  A name is a
+   function of the window's bytes, so equal windows still meet, and all of them in a suffix array.
 4. Ranges meet by document, and the remaining bytes are hashed.
 
 Defined results: null and empty texts have no bytes.  Rows without an id come after all
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +44,10 @@ from .suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 24
 SHARD_BYTES = 2 << 20
-#: distinct contexts of one anchor beyond which it is split
+#: distinct contexts of one name beyond which its windows are named again
 SPLIT_OVER = 5_000
+#: least hashes that name a window, level by level; after the last one its own bytes do
+LEVELS = (2, 4, 8, 16, 32)
 LAST = 2**63 - 1
 
 
@@ -105,38 +110,57 @@ def _anchor_rows(length: int, gram: int):
     return run
 
 
-def _cut(length: int):
-    """Bytes of each context; of a wide anchor's contexts the two hashes of each window."""
+CONTEXTS = "wide boolean, key long, context binary, doc long, sum long, start int"
 
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes of each context."""
+    for whole in batches:
+        for batch in B.slices(whole, "text"):
+            data, offsets = B.text_buffer(batch.column("text"))
+            places = batch.column("places")
+            count = pc.list_value_length(places).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = places.flatten()
+            row = np.repeat(np.arange(batch.num_rows), count)
+            place, key = (np.asarray(flat.field(c).to_numpy(zero_copy_only=False)) for c in ("place", "key"))
+            doc, sum_ = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("doc", "sum"))
+            start, size = place >> WIDTH_BITS, place & ((1 << WIDTH_BITS) - 1)
+            at = np.r_[0, np.cumsum(size)]
+            take = np.repeat(offsets[row] + start - at[:-1], size) + np.arange(at[-1])
+            yield pa.RecordBatch.from_arrays([flat.field("wide"), pa.array(key), B.binary_array(at, data[take]), pa.array(doc[row]), pa.array(sum_[row]), pa.array(start.astype(np.int32))], ["wide", "key", "context", "doc", "sum", "start"])
+
+
+def finer_contexts(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, level: int | None) -> tuple[np.ndarray, ...]:
+    """(row, start, stop, key, hash) of contexts whose windows share their ``level`` least hashes (None: all of their bytes)."""
+    start = np.arange(max(0, len(data) - length + 1))
+    row = B.owner(start, offsets)
+    ok = start + length <= offsets[row + 1]
+    start, row = start[ok], row[ok]
+    sums = B.prefix_hash(data)
+    if level is None:
+        key = B.span_hash(sums, start, start + length)
+    else:
+        grams = B.span_hash(sums, np.arange(len(data) - gram + 1), np.arange(gram, len(data) + 1)) if len(start) else np.zeros(length, np.uint64)
+        windows = np.lib.stride_tricks.sliding_window_view(grams, length - gram + 1)[start]
+        key = B.mix(np.partition(windows, level - 1, axis=1)[:, :level].sum(axis=1, dtype=np.uint64))
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (start[1:] != start[:-1] + 1) | (row[1:] != row[:-1])]) if len(start) else start
+    last = np.r_[first[1:] - 1, len(start) - 1] if len(start) else start
+    begin, end = start[first], start[last] + length
+    return row[first], begin, end, key[first].view(np.int64), B.span_hash(sums, begin, end).view(np.int64)
+
+
+def _finer(length: int, gram: int, level: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["wide", "key", "hash", "context", "doc", "sum", "start"]
         for whole in batches:
-            for batch in B.slices(whole, "text", 1 << 20):
-                data, offsets = B.text_buffer(batch.column("text"))
-                places = batch.column("places")
-                count = pc.list_value_length(places).to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = places.flatten()
-                row = np.repeat(np.arange(batch.num_rows), count)
-                place, key = (np.asarray(flat.field(c).to_numpy(zero_copy_only=False)) for c in ("place", "key"))
-                wide = np.asarray(flat.field("wide").to_numpy(zero_copy_only=False)).astype(bool)
-                doc, sum_ = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("doc", "sum"))
-                start, size = place >> WIDTH_BITS, place & ((1 << WIDTH_BITS) - 1)
-
-                own = np.flatnonzero(~wide)
-                at = np.r_[0, np.cumsum(size[own])]
-                take = np.repeat(offsets[row[own]] + start[own] - at[:-1], size[own]) + np.arange(at[-1])
-                r = row[own]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(own), bool)), pa.array(key[own]), pa.array(np.zeros(len(own), np.int64)), B.binary_array(at, data[take]), pa.array(doc[r]), pa.array(sum_[r]), pa.array(start[own].astype(np.int32))], names)
-                own = np.flatnonzero(wide)
-                if len(own):
-                    n = size[own] - length + 1
-                    i = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                    r, lo = np.repeat(row[own], n), np.repeat(start[own], n) + i
-                    begin = offsets[r] + lo
-                    sums = B.prefix_hash(data)
-                    one = B.span_hash(sums, begin, begin + length)
-                    two = B.mix(B.span_hash(sums, begin, begin + length // 2) * np.uint64(3) + B.span_hash(sums, begin + length // 2, begin + length))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(r), bool)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.nulls(len(r), pa.binary()), pa.array(doc[r]), pa.array(sum_[r]), pa.array(lo.astype(np.int32))], names)
+            for batch in B.slices(whole, "context", 1 << 17):
+                data, offsets = B.text_buffer(batch.column("context"))
+                row, begin, end, key, hash_ = finer_contexts(data, offsets, length, gram, level)
+                doc, sum_, start = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("doc", "sum", "start"))
+                size = end - begin
+                at = np.r_[0, np.cumsum(size)]
+                take = np.repeat(begin - at[:-1], size) + np.arange(at[-1])
+                place = (start[row] + begin - offsets[row]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(hash_), B.binary_array(at, data[take]), pa.array(doc[row]), pa.array(sum_[row]), pa.array(place)], ["key", "hash", "context", "doc", "sum", "start"])
 
     return run
 
@@ -201,19 +225,32 @@ def repeated_ranges(text: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     later = written(later, "later-places")
     discard(places)
 
-    shards = max(1, -(-(firsts.agg(F.sum(size + 1)).first()[0] or 0) // SHARD_BYTES))
-    wide = firsts.groupBy("key").agg((F.count("*") > SPLIT_OVER).alias("wide")).where("wide")
-    flat = firsts.join(wide, "key", "left").select("doc", "sum", F.struct("key", "place", F.coalesce("wide", F.lit(False)).alias("wide")).alias("place"))
+    crowded = lambda df: df.groupBy("key").agg((F.count("*") > SPLIT_OVER).alias("wide")).where("wide")
+    flat = firsts.join(crowded(firsts), "key", "left").select("doc", "sum", F.struct("key", "place", F.coalesce("wide", F.lit(False)).alias("wide")).alias("place"))
     by_doc = flat.groupBy("doc", "sum").agg(F.collect_set("place").alias("places"))
-    cut = text.where(F.octet_length("text") >= length).join(by_doc, ["doc", "sum"]).select("doc", "sum", "text", "places").mapInArrow(_cut(length), "wide boolean, key long, hash long, context binary, doc long, sum long, start int")
+    cut = text.where(F.octet_length("text") >= length).join(by_doc, ["doc", "sum"]).select("text", "places", "doc", "sum").mapInArrow(_cut, CONTEXTS)
     cut = written(cut, "cut-contexts")
-    dealt = cut.where("not wide").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    ranges = dealt.groupBy("shard").applyInArrow(_dealt(_shard(length)), RANGES)
-    place = F.struct("doc", "start", "sum")
-    windows = cut.where("wide")
-    first = windows.groupBy("key", "hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("key", "hash", F.col("first.doc").alias("d"), F.col("first.start").alias("s"))
-    repeated = windows.join(first, ["key", "hash"]).where("doc != d or start != s").select("doc", "sum", "start", (F.col("start") + length).alias("stop"))
-    return ranges.unionByName(later).unionByName(repeated)
+    found = [_sorted(cut.where("not wide"), length), later]
+    for level in (*LEVELS, None):
+        coarse = cut.where("wide").drop("wide")
+        if not coarse.limit(1).count():
+            break
+        fine = written(coarse.mapInArrow(_finer(length, gram, level), "key long, hash long, context binary, doc long, sum long, start int"), "fine-contexts")
+        at = F.struct("doc", "start", "sum", "context")
+        distinct = written(fine.groupBy("key", "hash").agg(F.min(at).alias("first"), F.max(F.struct("doc", "start")).alias("last")).select("key", "hash", "first.*", "last"), "fine-firsts")
+        again = distinct.where("doc != last.doc or start != last.start").select("key", "hash", F.col("doc").alias("d"), F.col("start").alias("s"))
+        found.append(fine.join(again, ["key", "hash"]).where("doc != d or start != s").select("doc", "sum", "start", (F.col("start") + F.octet_length("context")).cast("int").alias("stop")))
+        cut = distinct.join(crowded(distinct), "key", "left").select(F.coalesce("wide", F.lit(False)).alias("wide"), "key", "context", "doc", "sum", "start")
+        cut = written(cut if level else cut.withColumn("wide", F.lit(False)), "cut-contexts")  # a window's own bytes are one context
+        found.append(_sorted(cut.where("not wide"), length))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _sorted(contexts: DataFrame, length: int) -> DataFrame:
+    """Repeated ranges of ``contexts``, dealt by their names to suffix arrays of bounded size."""
+    shards = max(1, -(-(contexts.agg(F.sum(F.octet_length("context") + 1)).first()[0] or 0) // SHARD_BYTES))
+    dealt = contexts.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    return dealt.groupBy("shard").applyInArrow(_dealt(_shard(length)), RANGES)
 
 
 def _dealt(run):

@@ -208,14 +208,33 @@ def test_repeated_bytes_within_and_across(spark):
     assert removed(docs) == without_repeats(list(enumerate(texts)), 100)
 
 
-def test_wide_anchor_is_split(spark, monkeypatch):
-    """Many different texts around one string: the anchor's windows are dealt by their own hashes."""
-    monkeypatch.setattr(R, "SPLIT_OVER", 20)
+@pytest.mark.parametrize("most", [20, 1])
+def test_hot_anchors_get_finer_names(spark, monkeypatch, most):
+    """Many different texts around one string: the anchor's windows are named by more of their hashes, at last by all of their bytes."""
+    monkeypatch.setattr(R, "SPLIT_OVER", most)
     rng = random.Random(9)
     middle = "".join(rng.choice("abcdefghij") for _ in range(90))
     texts = ["".join(rng.choice("klmnopqrst") for _ in range(5)) * (i % 3 + 1) + middle + rng.choice("uvw") * rng.randrange(30) for i in range(150)]
     docs = frame(spark, texts)
+    levels, finer = [], R._finer
+    monkeypatch.setattr(R, "_finer", lambda length, gram, level: levels.append(level) or finer(length, gram, level))
     assert removed(docs) == without_repeats(list(enumerate(texts)), 100)
+    assert levels and (most > 1 or levels == [*R.LEVELS, None])
+
+
+@pytest.mark.parametrize("level", [*R.LEVELS, None])
+def test_finer_contexts_hold_each_window_once(level):
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 100, n, dtype=np.uint8)) for n in (0, 99, 100, 101, 176, 400)] + [b"ab" * 90, b"z" * 150, b"a" * 100]
+    offsets = np.r_[0, np.cumsum([len(t) for t in texts])]
+    row, begin, end, key, _ = R.finer_contexts(np.frombuffer(b"".join(texts), np.uint8), offsets, 100, 24, level)
+    windows, names = Counter(), {}
+    for r, a, b, k in zip(row.tolist(), begin.tolist(), end.tolist(), key.tolist(), strict=True):
+        for i in range(a, b - 99):
+            windows[r, i - int(offsets[r])] += 1
+            assert names.setdefault(texts[r][i - offsets[r] : i - offsets[r] + 100], k) == k
+    assert windows == Counter((r, i) for r, t in enumerate(texts) for i in range(len(t) - 99))
+    assert not len(R.finer_contexts(np.zeros(0, np.uint8), np.zeros(1, np.int64), 100, 24, level)[0])
 
 
 def test_repeated_bytes_of_awkward_rows(awkward, no_documents):
