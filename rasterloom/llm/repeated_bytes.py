@@ -43,7 +43,7 @@ from .scratch import discard, written
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 24
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 19
 #: distinct contexts of one name beyond which its windows are named again
 SPLIT_OVER = 5_000
 #: least hashes that name a window, level by level; after the last one its own bytes do
