@@ -87,6 +87,24 @@ def test_ranges_join_across_blocks(spark, monkeypatch):
         assert {(r.start, r.stop) for r in D.matches(index, items).collect()} == expected
 
 
+def test_lists_go_to_the_blocks_that_ask(documents, spark, monkeypatch):
+    """A hundred blocks of phrases and several segments: each list stands once for each block that has a phrase with its term there."""
+    monkeypatch.setattr(D, "BLOCK_WORDS", 100)
+    seen, asked_lists = [], D.asked_lists
+    monkeypatch.setattr(D, "asked_lists", lambda *tables: seen.append((tables[2], asked_lists(*tables))) or seen[-1][1])
+    items = documents.select(F.col("doc_id").alias("item_id"), F.substring("text", 30, 400).alias("text")).where("doc_id < 20")
+    index = D.build_index(documents.repartition(3, "doc_id"))
+    found = D.matches(index, items)
+    asking, lists = seen[0]
+    held = {(r["segment"], r["term"]) for r in index.select("segment", "term").collect()}
+    asks = {(r["at"], r["of"], t) for r in asking.collect() for t in r["phrase"]}
+    got = [(r["segment"], r["block"], r["term"]) for r in lists.select("segment", "block", "term").collect()]
+    assert len({b for _, b, _ in asks}) > 50 and len({a for a, _, _ in asks}) > 1
+    assert Counter(g for g in got if g[2] is not None) == Counter(a for a in asks if (a[0], a[2]) in held)
+    assert Counter(g[:2] for g in got if g[2] is None) == Counter({a[:2] for a in asks})
+    assert {r.item_id for r in found.select("item_id").distinct().collect()} == {r.item_id for r in items.collect() if words(r.text)}
+
+
 def test_empty_tables(documents, no_documents, spark):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert D.contamination(no_documents, spark.createDataFrame([(1, "word")], nothing.schema)).count() == 0
