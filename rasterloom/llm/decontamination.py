@@ -7,10 +7,10 @@ and one header row that says which document holds which positions.  No posting
 crosses the network while the index is built, and it is written once as a table.
 
 **Search.** Query phrases and their terms are tables.  The terms select postings
-by a semi-join (Spark broadcasts the written term table only below its size
+by a join (Spark broadcasts the written term table only below its size
 threshold); a phrase whose terms all occur is joined through its rarest term to
-the segments that can hold it.  A posting list goes to the blocks of phrases that ask for
-its term in its segment, and to no others.  Postings and phrases meet by segment and block, where every phrase intersects offset-adjusted position lists, rarest
+the segments that can hold it.  A posting list goes to the blocks of phrases that have its
+term and ask its segment for something, and to no others.  Postings and phrases meet by segment and block, where every phrase intersects offset-adjusted position lists, rarest
 term first.  Segments and blocks are bounded, so no key can make a group large,
 and no phrase passes through the driver.
 
@@ -246,10 +246,11 @@ def _searcher(reach: int | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 
 def asked_lists(index: DataFrame, posted: DataFrame, asking: DataFrame) -> DataFrame:
-    """The posting lists and headers that phrases ``asking(at, of, phrase)`` of a segment and block need, once for each of the two."""
-    terms = asking.select(F.col("at").alias("segment"), F.col("of").alias("block"), F.explode("phrase").alias("term")).distinct()
-    headers = index.where("term is null").join(asking.select(F.col("at").alias("segment"), F.col("of").alias("block")).distinct(), "segment")
-    return posted.join(terms, ["segment", "term"]).unionByName(headers.select(*index.columns, "block"))
+    """Posting lists and headers by (segment, block): lists ``posted`` go to the ``blocks`` that have their term, where these ask ``asking(at, of)`` anything of the segment."""
+    pairs = asking.select(F.col("at").alias("segment"), F.col("of").alias("block")).distinct()
+    headers = index.where("term is null").join(pairs, "segment")
+    lists = posted.select(*index.columns, F.explode("blocks").alias("block")).join(pairs, ["segment", "block"], "left_semi")
+    return lists.unionByName(headers.select(*index.columns, "block"))
 
 
 def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, reach: int | None = None) -> DataFrame:
@@ -262,13 +263,13 @@ def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, reach: int
     """
     asked = phrases(items, window)
     blocks = max(1, -(-asked.count() * window // BLOCK_WORDS))
-    terms = written(asked.select(F.explode("phrase").alias("term")).distinct(), "terms")
-    posted = index.join(terms, "term", "left_semi")
+    block = F.pmod(F.xxhash64("phrase", "item_id"), F.lit(blocks)).cast("int")
+    terms = asked.select(block.alias("block"), F.explode("phrase").alias("term")).groupBy("term").agg(F.collect_set("block").alias("blocks"))
+    posted = index.join(written(terms, "terms"), "term")
     # the rarest term of each phrase whose terms all occur; it leads to the segments that can hold the phrase
     seen = written(posted.groupBy("term").agg(F.sum("n").alias("n")), "frequencies")
     each = asked.withColumn("term", F.explode(F.array_distinct("phrase"))).join(seen, "term")
     rarest = each.groupBy("phrase", "item_id").agg(F.min(F.struct("n", "term"))["term"].alias("term"), F.count("*").alias("k")).where("k = size(array_distinct(phrase))")
-    block = F.pmod(F.xxhash64("phrase", "item_id"), F.lit(blocks)).cast("int")
     asking = rarest.select("phrase", "item_id", "term", block.alias("of")).join(posted.select(F.col("segment").alias("at"), "term"), "term")
     asking = written(asking.select("at", "of", "phrase", "item_id"), "asking")
     found = asked_lists(index, posted, asking).groupBy("segment", "block").cogroup(asking.groupBy("at", "of")).applyInArrow(_searcher(reach), MATCH_SCHEMA)

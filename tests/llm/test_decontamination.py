@@ -88,7 +88,7 @@ def test_ranges_join_across_blocks(spark, monkeypatch):
 
 
 def test_lists_go_to_the_blocks_that_ask(documents, spark, monkeypatch):
-    """A hundred blocks of phrases and several segments: each list stands once for each block that has a phrase with its term there."""
+    """A hundred blocks of phrases and several segments: each list stands once for each block that has its term and asks its segment for something."""
     monkeypatch.setattr(D, "BLOCK_WORDS", 100)
     seen, asked_lists = [], D.asked_lists
     monkeypatch.setattr(D, "asked_lists", lambda *tables: seen.append((tables[2], asked_lists(*tables))) or seen[-1][1])
@@ -97,11 +97,14 @@ def test_lists_go_to_the_blocks_that_ask(documents, spark, monkeypatch):
     found = D.matches(index, items)
     asking, lists = seen[0]
     held = {(r["segment"], r["term"]) for r in index.select("segment", "term").collect()}
-    asks = {(r["at"], r["of"], t) for r in asking.collect() for t in r["phrase"]}
+    asks = {(r["at"], r["of"]) for r in asking.collect()}
+    blocks = -(-D.phrases(items, 10).count() * 10 // 100)
+    block = F.pmod(F.xxhash64("phrase", "item_id"), F.lit(blocks)).cast("int")
+    block_of = {(r["b"], r["t"]) for r in D.phrases(items, 10).select(block.alias("b"), F.explode("phrase").alias("t")).collect()}
     got = [(r["segment"], r["block"], r["term"]) for r in lists.select("segment", "block", "term").collect()]
-    assert len({b for _, b, _ in asks}) > 50 and len({a for a, _, _ in asks}) > 1
-    assert Counter(g for g in got if g[2] is not None) == Counter(a for a in asks if (a[0], a[2]) in held)
-    assert Counter(g[:2] for g in got if g[2] is None) == Counter({a[:2] for a in asks})
+    assert len({b for _, b in asks}) > 50 and len({a for a, _ in asks}) > 1
+    assert Counter(g for g in got if g[2] is not None) == Counter((a, b, t) for a, b in asks for c, t in block_of if c == b and (a, t) in held)
+    assert Counter(g[:2] for g in got if g[2] is None) == Counter(asks)
     assert {r.item_id for r in found.select("item_id").distinct().collect()} == {r.item_id for r in items.collect() if words(r.text)}
 
 
