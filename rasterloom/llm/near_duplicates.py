@@ -39,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import component_labels
@@ -52,6 +52,7 @@ FIRST_BANDS = 6
 BITS = 1024
 ESTIMATE = 0.675
 BLOCK = 256
+WIDE_BLOCK = 1 << 12
 ASK_BYTES = 8 << 20
 
 _rng = np.random.default_rng(5)
@@ -215,6 +216,30 @@ def _answered(size: int, percent: int):
     return run
 
 
+def _chunks(n: Column) -> Column:
+    return F.ceil(n / WIDE_BLOCK).cast("int")
+
+
+def _spread(n: Column) -> Column:
+    return F.pmod(F.xxhash64("doc"), n).cast("int")
+
+
+def _upto(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
+
+def _dealt(left: DataFrame, reps: DataFrame, parts_of: int) -> DataFrame:
+    """The rows of open buckets for :func:`_blocks`: each chunk of documents outside the major component meets each block.
+
+    Sketches join before the copies, so the join has one row for each place in an open bucket; a bucket of up to
+    ``WIDE_BLOCK`` places isn't copied at all.
+    """
+    sketched = left.join(reps.select(F.col("doc_id").alias("doc"), "sketch", "bands", F.pmod(F.xxhash64("doc_id"), F.lit(parts_of)).cast("int").alias("part")), "doc")
+    deal = lambda rows, own, chunk, block: rows.select("bucket", "doc", "label", "minor", F.lit(own).alias("left"), chunk.alias("chunk"), block.alias("block"), "sketch", "bands", "part")
+    asking = deal(sketched.where("minor"), True, _spread(F.col("chunks")), _upto(F.col("blocks")))
+    return asking.unionByName(deal(sketched, False, _upto(F.col("chunks")), _spread(F.col("blocks"))))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -252,7 +277,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     def in_buckets(labels: DataFrame) -> DataFrame:
         label_of = labels.select(F.col("id").alias("doc_id"), "label")
-        return buckets.join(label_of, "doc_id", "left").select("bucket", F.col("doc_id").alias("doc"), F.coalesce("label", "doc_id").alias("label"), "n")
+        return buckets.join(label_of.hint("merge"), "doc_id", "left").select("bucket", F.col("doc_id").alias("doc"), F.coalesce("label", "doc_id").alias("label"), "n")
 
     keep = lambda df: written(df, "labels")
     tested = buckets.where((F.col("band") < FIRST_BANDS) & (F.col("doc_id") != F.col("head"))).select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -271,19 +296,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sizes = rest.groupBy("bucket", "label").agg(F.count("*").alias("k"))
     open_ = sizes.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1")
     left = rest.join(open_, "bucket").withColumn("minor", F.col("label") != F.col("major.label"))
-    chunk = lambda n: F.ceil(n / BLOCK).cast("int")
-    left = left.select("bucket", "doc", "label", "minor", chunk(F.col("n") - F.col("major.k")).alias("chunks"), chunk(F.col("n")).alias("blocks"))
+    left = left.select("bucket", "doc", "label", "minor", _chunks(F.col("n") - F.col("major.k")).alias("chunks"), _chunks(F.col("n")).alias("blocks"))
     left = written(left, "open-buckets")
     if left.limit(1).count():
-        spread = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
-        upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
         others = left.select("doc").distinct()
         parts_of = max(1, -(-others.count() // BLOCK))
         part = F.pmod(F.xxhash64("doc"), F.lit(parts_of)).cast("int").alias("part")
-        own = left.where("minor").select("bucket", "doc", "label", "minor", F.lit(True).alias("left"), spread(F.col("chunks")).alias("chunk"), upto(F.col("blocks")).alias("block"))
-        all_ = left.select("bucket", "doc", "label", "minor", F.lit(False).alias("left"), spread(F.col("blocks")).alias("block"), upto(F.col("chunks")).alias("chunk"))
-        dealt = own.unionByName(all_).join(reps.select(F.col("doc_id").alias("doc"), "sketch", "bands", F.pmod(F.xxhash64("doc_id"), F.lit(parts_of)).cast("int").alias("part")), "doc")
-        found = dealt.groupBy("bucket", "chunk", "block").applyInArrow(_blocks(most), "doc long, part int, others array<long>, labels array<long>")
+        found = _dealt(left, reps, parts_of).groupBy("bucket", "chunk", "block").applyInArrow(_blocks(most), "doc long, part int, others array<long>, labels array<long>")
         lists = F.sort_array(F.collect_list(F.struct("others", "labels")))
         asks = found.groupBy("doc", "part").agg(lists.alias("l")).select("doc", "part", F.flatten("l.others").alias("others"), F.flatten("l.labels").alias("labels"))
         texts = text.select(F.col("doc_id").alias("doc"), "text")
@@ -292,8 +311,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         sized = asks.join(text.groupBy(F.col("doc_id").alias("doc")).agg(F.sum(F.octet_length("text")).alias("bytes")), "doc")
         chunks = sized.groupBy("part").agg(F.ceil(F.sum(F.col("bytes") + 16 * F.size("others")) / ASK_BYTES).cast("int").alias("chunks"))
         chunks = written(chunks, "chunks")  # a row per part
-        asks = asks.join(chunks, "part").withColumn("chunk", spread(F.col("chunks"))).drop("chunks")
-        answers = others.select("doc", part, none.alias("others"), none.alias("labels")).join(chunks, "part").withColumn("chunk", upto(F.col("chunks"))).drop("chunks")
+        asks = asks.join(chunks, "part").withColumn("chunk", _spread(F.col("chunks"))).drop("chunks")
+        answers = others.select("doc", part, none.alias("others"), none.alias("labels")).join(chunks, "part").withColumn("chunk", _upto(F.col("chunks"))).drop("chunks")
         parts = asks.unionByName(answers).join(texts, "doc")
         more = written(parts.groupBy("part", "chunk").applyInArrow(_answered(size, percent), "a long, b long"), "more-links")
         labels = component_labels(links.unionByName(more), keep)
