@@ -2,9 +2,9 @@
 
 Features of the classifier are hashed word 1- and 2-grams and character 3- to 5-grams
 (of bytes, case kept), each weighted by its share among the text's features of that kind.
-Logistic regression learns their weights in numpy from a bounded sample of labelled rows
-(``MOST_TRAIN`` of each label, least hashes first, whole texts);
-a held-out fifth calibrates the probability (Platt).  A text is kept if it passes the base
+Logistic regression learns their weights in numpy from all labelled rows (whole texts), in rounds
+of tasks whose steps are averaged (``averaging``);
+a held-out fifth, all of it, calibrates the probability (Platt).  A text is kept if it passes the base
 test and its probability of label 1 is at least ``THRESHOLD``.
 
 Scoring is one pass over Arrow batches: an n-gram is one gather from a weight table of fixed size.
@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import averaging as A
 from . import bytetext as B
-from .toxicity import _platt, fitted, sampled
+from .toxicity import _platt, sampled, share_of
 
-MOST_TRAIN = 2_500
 BITS = 18
 THRESHOLD = 0.35
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
@@ -150,16 +150,24 @@ def _shares(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return out
 
 
-def train(texts: pa.Array, labels: np.ndarray, seed: int = 7, epochs: int = 6, batch: int = 64, rate: float = 0.5) -> Model:
-    """Weights by Adagrad, before calibration; only one batch's n-grams are held at a time."""
-    model = Model(np.zeros((KINDS, 1 << BITS), np.float32), float(np.log((labels.mean() + 1e-3) / (1 - labels.mean() + 1e-3))))
-    squares = np.full((KINDS, 1 << BITS), 1e-8, np.float32)
-    base = 1e-8
+def initial(share: float) -> np.ndarray:
+    """Weights, their squares, bias and its square before training, as one array."""
+    return np.concatenate([np.zeros(KINDS << BITS), np.full(KINDS << BITS, 1e-8), [np.log((share + 1e-3) / (1 - share + 1e-3)), 1e-8]]).astype(np.float32)
+
+
+def _model(state: np.ndarray) -> Model:
+    return Model(state[: KINDS << BITS].reshape(KINDS, -1), float(state[-2]))
+
+
+def train(state: np.ndarray, texts: pa.Array, labels: np.ndarray, seed: int, epochs: int, batch: int = 64, rate: float = 0.5) -> None:
+    """Moves the state by Adagrad, before calibration; only one batch's n-grams are held at a time."""
+    model = _model(state)
+    squares, base = state[KINDS << BITS : -2].reshape(KINDS, -1), float(state[-1])
     order = np.random.default_rng(seed).permutation(len(texts))
     for _ in range(epochs):
         for a in range(0, len(order), batch):
             chosen = order[a : a + batch]
-            y, grams = labels[chosen], _shares(texts.take(pa.array(chosen)))
+            y, grams = labels[chosen], _shares(texts.take(pa.array(chosen)).cast(pa.string()))
             z = np.full(len(y), model.bias)
             for kind, (row, slot, share) in enumerate(grams):
                 z += np.bincount(row, weights=model.weights[kind][slot] * share, minlength=len(y))
@@ -171,36 +179,33 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 7, epochs: int = 6, b
                 used = np.flatnonzero(slope)
                 squares[kind][used] += slope[used] ** 2
                 model.weights[kind][used] -= rate * slope[used] / np.sqrt(squares[kind][used])
-    return model
+    state[-2:] = model.bias, base
 
 
-def _fit(batches: Iterator[pa.RecordBatch], count: dict[int, int]) -> Model | None:
-    sample = pa.Table.from_batches(batches, pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("label", pa.int32()), ("h", pa.int64())])) if (batches := list(batches)) else None
-    if sample is None:
-        return None
-    sample = sample.sort_by([("label", "ascending"), ("h", "ascending"), ("doc_id", "ascending")])
-    y = sample.column("label").to_numpy().astype(np.float64)
-    if len(set(y.tolist())) < 2:
-        return None
-    held = (sample.column("h").to_numpy() & 0xFFFF) % 5 == 0
-    if len(set(y[~held].tolist())) < 2 or len(set(y[held].tolist())) < 2:
-        held[:] = False
-    texts = sample.column("text").combine_chunks()
-    model = train(texts.filter(pa.array(~held)), y[~held])
-    check = held if held.any() else ~held
-    z = np.concatenate([model.logits(Measured(part.column("text"))) for part in B.slices(pa.RecordBatch.from_arrays([texts.filter(pa.array(check))], ["text"]), "text")])
-    model.scale, model.shift = _platt(z, y[check])
-    model.shift += float(np.log((count[1] / (y == 1).sum()) / (count[0] / (y == 0).sum())))  # the labels' shares in all rows
-    return model
+def _learner(k: int, epochs: int) -> A.Learn:
+    def learn(state: np.ndarray, batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        own = pa.Table.from_batches(list(batches))
+        texts = own.column("text").cast(pa.large_string()).combine_chunks()
+        train(state, texts, own.column("label").to_numpy().astype(np.float64), 7 + k, epochs)
+        return state
+
+    return learn
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAIN) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, most: int | None = None) -> Model | None:
     """A calibrated model of the labelled rows whose id's text has a crc32 other than 2 modulo 4; None without both labels.
 
-    One task of bounded size learns from the whole texts of at most ``most`` rows of each label; the driver sees no text.
+    All of them are read, whole texts, or ``most`` of each label if the caller asks so; the driver sees no text.
     """
-    sample, count = sampled(docs, labels, "quality", most)
-    return fitted(sample, lambda batches: _fit(batches, count))
+    rows, count = sampled(docs, labels, "quality", most)
+    rows, check, read, parts = A.divided(rows)
+    if not (read[0] and read[1]):
+        return None
+    model = _model(A.trained(rows, parts, initial(read[1] / (read[0] + read[1])), _learner))
+    found = A.counted(check, lambda batch: np.concatenate([model.logits(Measured(b.column("text"))) for b in B.slices(batch, "text")] or [np.zeros(0)]))
+    model.scale, model.shift = _platt(*(np.array([f[i] for f in found], np.float64) for i in (1, 2, 3)))
+    model.shift -= float(np.log(share_of(count, read, most)))  # the labels' shares in all rows
+    return model
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double"

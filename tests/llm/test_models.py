@@ -183,3 +183,23 @@ def test_quality_without_labels_or_rows(spark, awkward, no_documents):
     assert Q.fit(awkward, none) is None
     assert all(r.kept != r.base_failed for r in Q.quality(awkward, None).collect())
     assert Q.quality(no_documents, None).count() == 0
+
+
+def test_all_labelled_rows_are_read(spark):
+    """More rows of a label than a task takes, or the former sample of 2,500 of each label."""
+    docs = spark.range(9_000).selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang")
+    labels = spark.range(9_000).selectExpr("id as doc_id", "cast(id % 10 = 0 as int) as toxic")
+    rows, counts = T.sampled(docs, labels, "toxic")
+    assert rows.count() == sum(counts.values()) == sum(not held_out(i) for i in range(9_000)) > 5_000
+
+
+@pytest.mark.parametrize("module, label", [(T, "toxic"), (Q, "quality")])
+def test_parts_are_averaged(module, label, spark, monkeypatch):
+    """Several parts learn what one part does, and the same however the rows are dealt."""
+    monkeypatch.setattr(T.A, "TASK_ROWS", 150)
+    late = ["cruel vile insult ", "calm kind remark "]
+    docs = spark.createDataFrame([(i, f"word{i} " + late[i % 2] * 3, "en") for i in range(1_200)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(1_200)], f"doc_id long, {label} int")
+    score = lambda m: m.scores(pa.array(late)) if module is T else m.probabilities(Q.Measured(pa.array(late)))
+    one, two = (score(module.fit(d, labels)) for d in (docs, docs.repartition(7)))
+    assert one[0] > one[1] + 0.3 and np.array_equal(one, two)
