@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import component_labels
+from ..operators.components import contracted_labels
 from . import bytetext as B
 from .scratch import written
 
@@ -282,14 +282,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     keep = lambda df: written(df, "labels")
     tested = buckets.where((F.col("band") < FIRST_BANDS) & (F.col("doc_id") != F.col("head"))).select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = confirmed(estimated(tested), "links").unionByName(ties)
-    labels = component_labels(links, keep)
+    labels = contracted_labels(links, keep)
+    known = lambda: labels.select(F.col("label").alias("a"), F.col("id").alias("b"))
 
     # a place of each component in each bucket
     parts = in_buckets(labels).groupBy("bucket", "label").agg(F.min("doc").alias("b"))
     leads = parts.groupBy("bucket").agg(F.min("b").alias("a"), F.max("b").alias("last")).where("a != last").select("bucket", "a")
     between = written(parts.join(leads, "bucket").where("a != b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(confirmed(estimated(between), "links"))
-    labels = component_labels(links, keep)
+    labels = contracted_labels(known().unionByName(confirmed(estimated(between), "links")), keep)
 
     # buckets that still hold more than one component
     rest = in_buckets(labels).where("n > 2")
@@ -315,7 +315,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         answers = others.select("doc", part, none.alias("others"), none.alias("labels")).join(chunks, "part").withColumn("chunk", _upto(F.col("chunks"))).drop("chunks")
         parts = asks.unionByName(answers).join(texts, "doc")
         more = written(parts.groupBy("part", "chunk").applyInArrow(_answered(size, percent), "a long, b long"), "more-links")
-        labels = component_labels(links.unionByName(more), keep)
+        labels = contracted_labels(known().unionByName(more), keep)
 
     label_of = labels.select(F.col("id").alias("rep"), "label")
     out = sketches.select("doc_id", "n_shingles").join(members.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(label_of, "rep", "left")
